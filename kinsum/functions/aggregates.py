@@ -35,3 +35,12 @@ def distinct_sorted_concat(cond: Column, label: Column, sep: str = ", ") -> Colu
     its rows into one buffer."""
     s = F.array_sort(F.collect_set(F.when(cond, label)))
     return F.when(F.size(s) > 0, F.array_join(s, sep))
+
+
+def restrict(df, column: str, contacts):
+    """Keep rows whose ``column`` is one of ``contacts.entity_id`` (key
+    restriction of the incremental path); identity when ``contacts`` is None."""
+    if contacts is None:
+        return df
+    k = contacts.select(F.col("entity_id").alias("_rk"))
+    return df.join(k, df[column] == k["_rk"], "left_semi")

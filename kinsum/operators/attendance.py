@@ -14,15 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsum.config import RollupConfig
+from kinsum.functions.aggregates import restrict
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
 
 KEYS = ["event_first_attended_date"]
 
 
-def build(src: Sources, cfg: RollupConfig, keys=None) -> DataFrame:
+def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFrame:
     p = IdFilter(cfg.participant_status_ids, "participant_status").apply(
-        src["participant"], src, "status_id", "_status_ok"
+        restrict(src["participant"], "contact_id", contacts), src, "status_id", "_status_ok"
     )
     e = IdFilter(cfg.event_type_ids, "event_type").restrict(src["event"], src, "event_type_id")
     e = e.select(F.col("id").alias("_eid"), F.col("start_date"))

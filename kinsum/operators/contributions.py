@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kinsum.config import RollupConfig
 from kinsum.functions import periods
-from kinsum.functions.aggregates import MONEY, sum_or_zero
+from kinsum.functions.aggregates import MONEY, restrict, sum_or_zero
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
 
@@ -33,7 +33,7 @@ def completed_in_list(src: Sources, cfg: RollupConfig, ids, flag: str = "_ok") -
     return c.withColumn(flag, (F.col("contribution_status_id") == 1) & F.col("_type_ok")).drop("_type_ok")
 
 
-def build(src: Sources, cfg: RollupConfig, keys=None) -> DataFrame:
+def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFrame:
     keys = list(keys or KEYS)
     c = completed_in_list(src, cfg, cfg.financial_type_ids)
     own = c.select(
@@ -48,6 +48,7 @@ def build(src: Sources, cfg: RollupConfig, keys=None) -> DataFrame:
     if "hard_and_soft" in keys:
         parts.append(_hard_and_soft_rows(src, c))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rows = restrict(rows, "contact_id", contacts)
 
     ok = F.col("_own") & F.col("_ok")
     aggs = []

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsum.config import RollupConfig
-from kinsum.functions.aggregates import count_if, sum_or_zero
+from kinsum.functions.aggregates import count_if, restrict, sum_or_zero
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter, bounded_broadcast, option_lookup
 
@@ -36,9 +36,9 @@ def type_labels(src: Sources) -> DataFrame:
     )
 
 
-def build(src: Sources, cfg: RollupConfig, keys=None) -> DataFrame:
+def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFrame:
     keys = list(keys or KEYS)
-    g = src["grant"]
+    g = restrict(src["grant"], "contact_id", contacts)
     g = IdFilter(cfg.grant_status_ids, "grant_status").apply(g, src, "status_id", "_st_ok")
     g = IdFilter(cfg.grant_type_ids, "grant_type").apply(g, src, "grant_type_id", "_ty_ok")
     ok = F.col("_st_ok") & F.col("_ty_ok")

@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 
 from kinsum.config import RollupConfig
 from kinsum.functions import periods
+from kinsum.functions.aggregates import restrict
 from kinsum.functions.rates import rate
 from kinsum.sources.crm import Sources
 
 KEYS = ["mail_openrate_alltime", "mail_openrate_last12months", "mail_clickrate_alltime"]
 
 
-def _tagged(src: Sources, tables: dict[str, str]) -> DataFrame:
+def _tagged(src: Sources, tables: dict[str, str], queue: DataFrame | None = None) -> DataFrame:
     """UNION ALL of event tables as ``(qid, n_<tag>...)`` pre-aggregated per queue id."""
     tags = sorted(set(tables.values()))
     legs = []
@@ -44,14 +45,18 @@ def _tagged(src: Sources, tables: dict[str, str]) -> DataFrame:
     u = legs[0]
     for leg in legs[1:]:
         u = u.unionAll(leg)
+    if queue is not None:
+        u = u.join(queue.select(F.col("id").alias("_qk")), u["qid"] == F.col("_qk"), "left_semi")
     return u.groupBy("qid").agg(*[F.sum(f"n_{x}").alias(f"n_{x}") for x in tags])
 
 
-def open_rate(src: Sources, cfg: RollupConfig, window: periods.Period | None = None, key="mail_openrate_alltime") -> DataFrame:
+def open_rate(
+    src: Sources, cfg: RollupConfig, window: periods.Period | None = None, key="mail_openrate_alltime", contacts=None
+) -> DataFrame:
+    q = restrict(src["mailing_queue"].select("id", "contact_id", "job_id"), "contact_id", contacts)
     ev = _tagged(
-        src, {"mailing_delivered": "s", "mailing_opened": "o", "mailing_bounce": "b"}
+        src, {"mailing_delivered": "s", "mailing_opened": "o", "mailing_bounce": "b"}, q if contacts is not None else None
     )
-    q = src["mailing_queue"].select("id", "contact_id", "job_id")
     if window is not None:
         jobs = src["mailing_job"].where(window.contains("start_date")).select(F.col("id").alias("_jid"))
         q = q.join(jobs, q["job_id"] == jobs["_jid"], "left_semi")
@@ -69,11 +74,11 @@ def links_per_job(src: Sources) -> DataFrame:
     return j.join(u, "mailing_id", "inner").select("job_id", "n_links")
 
 
-def click_rate(src: Sources, cfg: RollupConfig, key="mail_clickrate_alltime") -> DataFrame:
+def click_rate(src: Sources, cfg: RollupConfig, key="mail_clickrate_alltime", contacts=None) -> DataFrame:
+    q = restrict(src["mailing_queue"].select("id", "contact_id", "job_id"), "contact_id", contacts)
     ev = _tagged(
-        src, {"mailing_delivered": "s", "mailing_url_open": "o", "mailing_bounce": "b"}
+        src, {"mailing_delivered": "s", "mailing_url_open": "o", "mailing_bounce": "b"}, q if contacts is not None else None
     )
-    q = src["mailing_queue"].select("id", "contact_id", "job_id")
     jl = links_per_job(src)
     qj = q.join(jl, "job_id", "left")
     j = ev.join(qj, ev["qid"] == qj["id"], "inner")
@@ -90,18 +95,18 @@ def click_rate(src: Sources, cfg: RollupConfig, key="mail_clickrate_alltime") ->
     return agg.where(F.col("s") > 0).select("entity_id", rate(F.col("o"), F.col("s"), F.col("b")).alias(key))
 
 
-def build(src: Sources, cfg: RollupConfig, keys=None) -> DataFrame:
+def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFrame:
     """Mail metrics have different populations; more than one key gives the
     full outer combination on ``entity_id``."""
     keys = list(keys or KEYS)
     parts = []
     for k in keys:
         if k == "mail_openrate_alltime":
-            parts.append(open_rate(src, cfg, None, k))
+            parts.append(open_rate(src, cfg, None, k, contacts))
         elif k == "mail_openrate_last12months":
-            parts.append(open_rate(src, cfg, periods.rolling_year(cfg), k))
+            parts.append(open_rate(src, cfg, periods.rolling_year(cfg), k, contacts))
         elif k == "mail_clickrate_alltime":
-            parts.append(click_rate(src, cfg, k))
+            parts.append(click_rate(src, cfg, k, contacts))
         else:
             raise KeyError(k)
     out = parts[0]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from kinsum.config import RollupConfig
 from kinsum.functions import periods
-from kinsum.functions.aggregates import MONEY, sum_if
+from kinsum.functions.aggregates import MONEY, restrict, sum_if
 from kinsum.operators.contributions import completed_in_list
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
@@ -46,11 +46,12 @@ def window_of(key: str) -> str:
     return key.removeprefix("relatedcontrib_").removeprefix("plusme_")
 
 
-def donor_totals(src: Sources, cfg: RollupConfig, windows) -> DataFrame:
+def donor_totals(src: Sources, cfg: RollupConfig, windows, donors: DataFrame | None = None) -> DataFrame:
     """``(donor, w_<window>...)``: per-window sums over completed donations of a
     listed related financial type; NULL where nothing falls in the window."""
     c = src["contribution"].where(F.col("contribution_status_id") == 1)
     c = IdFilter(cfg.related_financial_type_ids, "financial_type").restrict(c, src, "financial_type_id")
+    c = restrict(c, "contact_id", donors)
     aggs = []
     for w in windows:
         p = periods.named(cfg, w)
@@ -78,11 +79,13 @@ def symmetric_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def related_totals(src: Sources, cfg: RollupConfig, windows, donors: DataFrame | None = None) -> DataFrame:
+def related_totals(
+    src: Sources, cfg: RollupConfig, windows, donors: DataFrame | None = None, sym: DataFrame | None = None
+) -> DataFrame:
     """``(entity_id, r_<window>...)`` for every contact with at least one
     matched (edge, donor) pair."""
     donors = donors if donors is not None else donor_totals(src, cfg, windows)
-    sym = symmetric_edges(active_edges(src, cfg))
+    sym = sym if sym is not None else symmetric_edges(active_edges(src, cfg))
     j = sym.join(donors, sym["dst"] == donors["donor"], "inner")
     return j.groupBy(F.col("src").alias("entity_id")).agg(*[F.sum(f"w_{w}").alias(f"r_{w}") for w in windows])
 
@@ -92,12 +95,17 @@ def population(src: Sources) -> DataFrame:
     return src["contribution"].select(F.col("contact_id").alias("entity_id")).distinct()
 
 
-def build(src: Sources, cfg: RollupConfig, keys=None, pop: DataFrame | None = None) -> DataFrame:
+def build(src: Sources, cfg: RollupConfig, keys=None, contacts: DataFrame | None = None) -> DataFrame:
     keys = list(keys or KEYS)
     windows = [w for w in WINDOW_NAMES if any(window_of(k) == w for k in keys)]
-    donors = donor_totals(src, cfg, windows)
-    rel = related_totals(src, cfg, windows, donors)
-    pop = pop if pop is not None else population(src)
+    sym = restrict(symmetric_edges(active_edges(src, cfg)), "src", contacts)
+    needed = None
+    if contacts is not None:
+        # donors whose totals the restricted contacts need: their neighbours and themselves
+        needed = sym.select(F.col("dst").alias("entity_id")).unionAll(contacts.select("entity_id")).distinct()
+    donors = donor_totals(src, cfg, windows, needed)
+    rel = related_totals(src, cfg, windows, donors, sym)
+    pop = restrict(population(src), "entity_id", contacts)
     out = pop.join(rel, "entity_id", "left")
     need_own = any(k in PLUSME_KEYS for k in keys)
     if need_own:

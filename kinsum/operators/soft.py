@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kinsum.config import RollupConfig
 from kinsum.functions import periods
-from kinsum.functions.aggregates import sum_or_zero
+from kinsum.functions.aggregates import restrict, sum_or_zero
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
 
@@ -30,7 +30,7 @@ def windows(cfg: RollupConfig) -> dict:
     }
 
 
-def build(src: Sources, cfg: RollupConfig, keys=None) -> DataFrame:
+def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFrame:
     keys = list(keys or KEYS)
     win = windows(cfg)
     c = src["contribution"].where(F.col("contribution_status_id") == 1)
@@ -42,7 +42,7 @@ def build(src: Sources, cfg: RollupConfig, keys=None) -> DataFrame:
     parents = c.where(any_window).select(
         F.col("id").alias("_pid"), *[win[k].contains("receive_date").alias(f"_in_{i}") for i, k in enumerate(keys)]
     )
-    soft = src["contribution_soft"]
+    soft = restrict(src["contribution_soft"], "contact_id", contacts)
     j = soft.join(parents, soft["contribution_id"] == parents["_pid"], "left")
     aggs = [sum_or_zero(F.coalesce(F.col(f"_in_{i}"), F.lit(False)), F.col("amount")).alias(k) for i, k in enumerate(keys)]
     return j.groupBy(F.col("contact_id").alias("entity_id")).agg(*aggs)

@@ -35,10 +35,10 @@ def metric(src: Sources, cfg: RollupConfig, key: str, registry: Registry | None
     return reg.families[spec.family](src, cfg, [key])
 
 
-def family_frames(src: Sources, cfg: RollupConfig, registry: Registry, keys=None) -> list[DataFrame]:
+def family_frames(src: Sources, cfg: RollupConfig, registry: Registry, keys=None, contacts=None) -> list[DataFrame]:
     frames = []
     for fam, fkeys in registry.by_family(keys).items():
-        frames.append(registry.families[fam](src, cfg, fkeys))
+        frames.append(registry.families[fam](src, cfg, fkeys, contacts=contacts))
     return frames
 
 
@@ -50,8 +50,10 @@ def wide(frames: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def refresh(
-    src: Sources, cfg: RollupConfig, registry: Registry | None = None, keys=None
+    src: Sources, cfg: RollupConfig, registry: Registry | None = None, keys=None, contacts: DataFrame | None = None
 ) -> tuple[DataFrame | None, RefreshReport]:
+    """Wide table of the active metrics; with ``contacts`` only those contacts'
+    rows are computed (the incremental path), each from its own base rows."""
     reg = registry or default_registry()
     keys = keys if keys is not None else cfg.active
     specs = reg.select(keys)
@@ -60,6 +62,6 @@ def refresh(
         report.ok = False
         return None, report
     active = [s.key for s in specs]
-    frames = family_frames(src, cfg, reg, active)
+    frames = family_frames(src, cfg, reg, active, contacts)
     report.computed = active
     return wide(frames, active), report
