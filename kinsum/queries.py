@@ -1,4 +1,173 @@
-"""Registered non-metric queries (lookups, graph, incremental, upsert,
-contracts) over the testdata views; filled in as operators land."""
+"""Registered non-metric queries over the testdata views: lookups (SRC2,
+SRC3), the contact graph (AG7/JN6), affected-contact derivation (I1-I7), the
+incremental path end to end (I8-I10), upsert (SNK1) and contracts (K1-K5).
 
-QUERIES: dict = {}
+Change feeds are derived from the tables themselves: donations received from
+the start of the current fiscal year are the "new" rows of an incremental run,
+inactive edges are edges that were just deactivated, link opens are new mail
+events.  Every query runs over the whole tables.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinsum.functions.periods import fiscal_year_bounds
+from kinsum.operators import contracts as K
+from kinsum.operators.related import neighbours
+from kinsum.plans.affected import affected
+from kinsum.plans.refresh import refresh
+from kinsum.plans.upsert import upsert
+from kinsum.session import configure
+from kinsum.sources.lookups import option_lookup, relationship_type_labels
+from kinsum.sources.testdata import MAIL_CONFIG, TESTDATA_CONFIG, crm_sources
+from kinsum.streaming import incremental as inc
+
+CFG = TESTDATA_CONFIG
+# the incremental split: donations from the start of the current fiscal year are new
+SPLIT = fiscal_year_bounds(CFG, 0)[0]
+
+
+def _src(spark, sf_dir):
+    configure(spark)
+    return crm_sources(spark, sf_dir)
+
+
+def _new_donations(src):
+    return src["contribution"].where(F.col("receive_date") >= F.lit(dt.datetime.combine(SPLIT, dt.time())).cast("timestamp_ntz"))
+
+
+def q_relationship_type_labels(spark, sf_dir):
+    return relationship_type_labels(_src(spark, sf_dir))
+
+
+def q_option_lookup(spark, sf_dir):
+    return option_lookup(_src(spark, sf_dir), "grant_type")
+
+
+def q_neighbours(spark, sf_dir):
+    return neighbours(_src(spark, sf_dir), CFG)
+
+
+def q_affected_by_contribution(spark, sf_dir):
+    src = _src(spark, sf_dir)
+    return affected(src, CFG, "contribution", inc.inserts(_new_donations(src)))
+
+
+def q_affected_by_relationship(spark, sf_dir):
+    src = _src(spark, sf_dir)
+    inactive = src["relationship"].where(~F.col("is_active"))
+    # each inactive edge arrives as the update that deactivated it
+    before = inactive.withColumn("is_active", F.lit(True))
+    return affected(src, CFG, "relationship", inc.updates(before, {"is_active": F.lit(False)}))
+
+
+def q_affected_by_mail_event(spark, sf_dir):
+    src = _src(spark, sf_dir)
+    return affected(src, MAIL_CONFIG, "mailing_url_open", inc.inserts(src["mailing_url_open"]))
+
+
+def q_incremental_equals_batch(spark, sf_dir):
+    """Batch over the base before the new donations, then the incremental
+    refresh for the inserts; must equal the batch over the whole base."""
+    src1 = _src(spark, sf_dir)
+    new = _new_donations(src1)
+    old_rows = src1["contribution"].join(new.select("id"), "id", "left_anti")
+    src0 = src1.replace(contribution=old_rows)
+    stored, _ = refresh(src0, CFG)
+    return inc.refresh_affected(stored, src1, CFG, "contribution", inc.inserts(new))
+
+
+UPSERT_KEYS = ["contribution_total_this_calendar_year", "relatedcontrib_alltime", "mail_openrate_last12months"]
+UPSERT_REL_CFG = CFG.with_(relationship_type_ids=(5, 6, 7))
+
+
+def q_upsert_patch(spark, sf_dir):
+    """SNK1 twice: a related total under other edge types (NULL patches
+    overwrite), then the 12-month open rate at a later date (contacts outside
+    the new window keep the old value, Q5)."""
+    src = _src(spark, sf_dir)
+    old, _ = refresh(src, CFG, keys=UPSERT_KEYS)
+    from kinsum.operators import mailings, related
+
+    p1 = related.build(src, UPSERT_REL_CFG, ["relatedcontrib_alltime"])
+    p2 = mailings.build(src, MAIL_CONFIG, ["mail_openrate_last12months"])
+    return upsert(upsert(old, p1), p2)
+
+
+# --- contracts over the raw tables -----------------------------------------
+LINEITEM_CONTRACT = K.TableContract(
+    "lineitem",
+    (
+        K.ColumnSpec("l_orderkey", "bigint", required=True),
+        K.ColumnSpec("l_linenumber", "int", required=True),
+        K.ColumnSpec("l_returnflag", "char(1)", required=True, default="N"),
+        K.ColumnSpec("l_linestatus", "char(1)", required=True, default="O"),
+        K.ColumnSpec("l_extendedprice", "decimal(7,2)", required=True),
+        K.ColumnSpec("l_quantity", "decimal(4,1)"),
+    ),
+    primary_key=("l_orderkey", "l_linenumber"),
+    foreign_keys=(("l_partkey", "customer", "c_custkey"), ("l_orderkey", "orders", "o_orderkey")),
+)
+
+
+def _lineitem_with_gaps(spark, sf_dir):
+    """lineitem with NULLs derived by ``nullif`` (the tables have none)."""
+    li = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
+    return li.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
+        F.nullif(F.col("l_returnflag"), F.lit("A")).alias("l_returnflag"),
+        F.nullif(F.col("l_linestatus"), F.lit("F")).alias("l_linestatus"),
+    )
+
+
+def q_contract_not_null(spark, sf_dir):
+    configure(spark)
+    return K.not_null_violations(_lineitem_with_gaps(spark, sf_dir), LINEITEM_CONTRACT)
+
+
+def q_contract_defaults(spark, sf_dir):
+    configure(spark)
+    df = _lineitem_with_gaps(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    return K.apply_defaults(df, LINEITEM_CONTRACT)
+
+
+def q_contract_unique(spark, sf_dir):
+    configure(spark)
+    li = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
+    return K.unique_violations(li, LINEITEM_CONTRACT.primary_key)
+
+
+def q_contract_fk(spark, sf_dir):
+    configure(spark)
+    li = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
+    cu = spark.read.parquet(os.path.join(sf_dir, "customer.parquet"))
+    return K.fk_violations(li, "l_partkey", cu, "c_custkey")
+
+
+def q_contract_types(spark, sf_dir):
+    configure(spark)
+    li = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
+    _, fails = K.conform(li, LINEITEM_CONTRACT)
+    return fails
+
+
+QUERIES = {
+    "relationship_type_labels": q_relationship_type_labels,
+    "option_lookup": q_option_lookup,
+    "neighbours": q_neighbours,
+    "affected_by_contribution": q_affected_by_contribution,
+    "affected_by_relationship": q_affected_by_relationship,
+    "affected_by_mail_event": q_affected_by_mail_event,
+    "incremental_equals_batch": q_incremental_equals_batch,
+    "upsert_patch": q_upsert_patch,
+    "contract_not_null": q_contract_not_null,
+    "contract_defaults": q_contract_defaults,
+    "contract_unique": q_contract_unique,
+    "contract_fk": q_contract_fk,
+    "contract_types": q_contract_types,
+}

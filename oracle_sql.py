@@ -315,5 +315,98 @@ def metric_oracle(key: str, cfg: RollupConfig | None = None) -> str:
     return with_views(metric_sql(key, cfg))
 
 
+def _types_in(cfg) -> str:
+    return _rel_ids(cfg)
+
+
 def extra_oracles() -> dict[str, str]:
-    return {}
+    cfg = TESTDATA_CONFIG
+    fy_begin = fiscal_year_bounds(cfg, 0)[0]
+    new = f"SELECT * FROM civicrm_contribution WHERE receive_date >= {_d(fy_begin)}"
+    rel_pred = f"r.relationship_type_id IN ({_types_in(cfg)}) AND r.is_active"
+    out = {}
+    out["relationship_type_labels"] = with_views("""
+        SELECT id, coalesce(label_a_b, '') || '/' || coalesce(label_b_a, '') AS label
+        FROM civicrm_relationship_type WHERE coalesce(name_a_b, '') NOT IN ('', '0')""")
+    out["option_lookup"] = with_views("""
+        SELECT ov.value, ov.label FROM civicrm_option_value ov
+        JOIN civicrm_option_group og ON og.id = ov.option_group_id AND og.name = 'grant_type'""")
+    out["neighbours"] = with_views(f"""
+        SELECT DISTINCT c.contact_id AS entity_id,
+               if(r.contact_id_a = c.contact_id, r.contact_id_b, r.contact_id_a) AS related_contact_id
+        FROM (SELECT contact_id_a AS contact_id FROM civicrm_relationship
+              UNION SELECT contact_id_b FROM civicrm_relationship) c
+        JOIN civicrm_relationship r ON c.contact_id IN (r.contact_id_a, r.contact_id_b)
+        WHERE {rel_pred}""")
+    out["affected_by_contribution"] = with_views(f"""
+        WITH changed AS ({new})
+        SELECT contact_id AS entity_id FROM changed
+        UNION
+        SELECT if(r.contact_id_a = ch.contact_id, r.contact_id_b, r.contact_id_a)
+        FROM changed ch JOIN civicrm_relationship r ON ch.contact_id IN (r.contact_id_a, r.contact_id_b)
+        WHERE {rel_pred}
+        UNION
+        SELECT s.contact_id FROM civicrm_contribution_soft s WHERE s.contribution_id IN (SELECT id FROM changed)""")
+    out["affected_by_relationship"] = with_views("""
+        SELECT contact_id_a AS entity_id FROM civicrm_relationship WHERE NOT is_active
+        UNION SELECT contact_id_b FROM civicrm_relationship WHERE NOT is_active""")
+    out["affected_by_mail_event"] = with_views("""
+        SELECT DISTINCT q.contact_id AS entity_id
+        FROM civicrm_mailing_event_trackable_url_open o
+        JOIN civicrm_mailing_event_queue q ON q.id = o.event_queue_id""")
+    keys = list(_all_keys())
+    out["incremental_equals_batch"] = with_views(wide_sql(keys, cfg))
+    ukeys = ["contribution_total_this_calendar_year", "relatedcontrib_alltime", "mail_openrate_last12months"]
+    old = wide_sql(ukeys, cfg)
+    p1 = metric_sql("relatedcontrib_alltime", cfg.with_(relationship_type_ids=(5, 6, 7)))
+    p2 = metric_sql("mail_openrate_last12months", MAIL_CONFIG)
+    out["upsert_patch"] = with_views(f"""
+        WITH old AS ({old}), p1 AS ({p1}), p2 AS ({p2}),
+        s1 AS (
+          SELECT coalesce(o.entity_id, p.entity_id) AS entity_id,
+                 o.contribution_total_this_calendar_year,
+                 CASE WHEN p.entity_id IS NOT NULL THEN p.relatedcontrib_alltime ELSE o.relatedcontrib_alltime END
+                   AS relatedcontrib_alltime,
+                 o.mail_openrate_last12months
+          FROM old o FULL JOIN p1 p ON o.entity_id = p.entity_id)
+        SELECT coalesce(s.entity_id, p.entity_id) AS entity_id,
+               s.contribution_total_this_calendar_year, s.relatedcontrib_alltime,
+               CASE WHEN p.entity_id IS NOT NULL THEN p.mail_openrate_last12months ELSE s.mail_openrate_last12months END
+                 AS mail_openrate_last12months
+        FROM s1 s FULL JOIN p2 p ON s.entity_id = p.entity_id""")
+    gaps = """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice,
+                     nullif(l_returnflag, 'A') AS l_returnflag, nullif(l_linestatus, 'F') AS l_linestatus
+              FROM lineitem"""
+    out["contract_not_null"] = f"""
+        WITH g AS ({gaps})
+        SELECT 'l_orderkey' AS column_name, count(*) FILTER (WHERE l_orderkey IS NULL) AS violations FROM g
+        UNION ALL SELECT 'l_linenumber', count(*) FILTER (WHERE l_linenumber IS NULL) FROM g
+        UNION ALL SELECT 'l_returnflag', count(*) FILTER (WHERE l_returnflag IS NULL) FROM g
+        UNION ALL SELECT 'l_linestatus', count(*) FILTER (WHERE l_linestatus IS NULL) FROM g
+        UNION ALL SELECT 'l_extendedprice', count(*) FILTER (WHERE l_extendedprice IS NULL) FROM g"""
+    out["contract_defaults"] = f"""
+        WITH g AS ({gaps})
+        SELECT l_orderkey, l_linenumber, coalesce(l_returnflag, 'N') AS l_returnflag,
+               coalesce(l_linestatus, 'O') AS l_linestatus FROM g"""
+    out["contract_unique"] = """
+        SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
+        WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
+        GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
+    out["contract_fk"] = """
+        SELECT l_partkey, count(*) AS n_rows FROM lineitem
+        WHERE l_partkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = l_partkey)
+        GROUP BY l_partkey"""
+    out["contract_types"] = """
+        SELECT 'l_orderkey' AS column_name, count(*) FILTER (WHERE l_orderkey IS NOT NULL AND TRY_CAST(l_orderkey AS BIGINT) IS NULL) AS violations FROM lineitem
+        UNION ALL SELECT 'l_linenumber', count(*) FILTER (WHERE l_linenumber IS NOT NULL AND TRY_CAST(l_linenumber AS INTEGER) IS NULL) FROM lineitem
+        UNION ALL SELECT 'l_returnflag', count(*) FILTER (WHERE l_returnflag IS NOT NULL AND length(l_returnflag) > 1) FROM lineitem
+        UNION ALL SELECT 'l_linestatus', count(*) FILTER (WHERE l_linestatus IS NOT NULL AND length(l_linestatus) > 1) FROM lineitem
+        UNION ALL SELECT 'l_extendedprice', count(*) FILTER (WHERE l_extendedprice IS NOT NULL AND TRY_CAST(l_extendedprice AS DECIMAL(7,2)) IS NULL) FROM lineitem
+        UNION ALL SELECT 'l_quantity', count(*) FILTER (WHERE l_quantity IS NOT NULL AND TRY_CAST(l_quantity AS DECIMAL(4,1)) IS NULL) FROM lineitem"""
+    return out
+
+
+def _all_keys():
+    from kinsum.plans.registry import default_registry
+
+    return default_registry().keys()
