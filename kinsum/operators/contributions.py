@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kinsum.config import RollupConfig
 from kinsum.functions import periods
-from kinsum.functions.aggregates import MONEY, restrict, sum_or_zero
+from kinsum.functions.aggregates import MONEY, restrict, sum_if, sum_or_zero
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
 
@@ -26,20 +26,29 @@ WINDOWS = {
 KEYS = [*WINDOWS, "contribution_count_distinct_years", "hard_and_soft"]
 
 
-def completed_in_list(src: Sources, cfg: RollupConfig, ids, flag: str = "_ok") -> DataFrame:
+def completed_in_list(src: Sources, cfg: RollupConfig, ids, flag: str = "_ok", c: DataFrame | None = None) -> DataFrame:
     """contribution + ``flag`` = completed (FLT1) and financial type listed (FLT2)."""
-    c = src["contribution"]
+    c = src["contribution"] if c is None else c
     c = IdFilter(ids, "financial_type").apply(c, src, "financial_type_id", "_type_ok")
     return c.withColumn(flag, (F.col("contribution_status_id") == 1) & F.col("_type_ok")).drop("_type_ok")
 
 
-def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFrame:
-    keys = list(keys or KEYS)
+def rollup(src: Sources, cfg: RollupConfig, keys, related_windows=(), contacts=None) -> DataFrame:
+    """One aggregation over contribution (plus the C5 fan-out rows) grouped by
+    contact: ``contact_id``, the requested C keys and, for the related family,
+    ``w_<window>`` = Σ completed donations of a listed *related* financial type
+    in the window (NULL when none).  Every contact in ``contribution`` gets a
+    row (the batch population of both families)."""
     c = completed_in_list(src, cfg, cfg.financial_type_ids)
+    if related_windows:
+        c = completed_in_list(src, cfg, cfg.related_financial_type_ids, "_rok", c)
+    else:
+        c = c.withColumn("_rok", F.lit(False))
     own = c.select(
         F.col("contact_id"),
         F.lit(True).alias("_own"),
         F.col("_ok"),
+        F.col("_rok"),
         F.col("total_amount"),
         F.col("receive_date"),
         F.lit(None).cast(MONEY).alias("_hs"),
@@ -57,21 +66,35 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
             p = periods.calendar_year(cfg, WINDOWS[k])
             aggs.append(sum_or_zero(ok & p.contains("receive_date"), F.col("total_amount")).alias(k))
         elif k == "contribution_count_distinct_years":
-            aggs.append(
-                F.count_distinct(F.when(ok, F.year(F.to_date("receive_date")))).alias(k)
-            )
+            aggs.append(F.count_distinct(F.when(ok, F.year(F.to_date("receive_date")))).alias(k))
         elif k == "hard_and_soft":
             aggs.append(F.coalesce(F.sum("_hs"), F.lit(0).cast(MONEY)).alias(k))
         else:
             raise KeyError(k)
+    rok = F.col("_own") & F.col("_rok")
+    for w in related_windows:
+        aggs.append(sum_if(rok & periods.named(cfg, w).contains("receive_date"), F.col("total_amount")).alias(f"w_{w}"))
     out = rows.groupBy("contact_id").agg(F.max(F.col("_own").cast("int")).alias("_in_pop"), *aggs)
-    return out.where(F.col("_in_pop") == 1).select(F.col("contact_id").alias("entity_id"), *keys)
+    return out.where(F.col("_in_pop") == 1).drop("_in_pop")
+
+
+def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFrame:
+    """C keys; R/P keys given here are computed from the same aggregation."""
+    from kinsum.operators import related
+
+    keys = list(keys or KEYS)
+    ckeys = [k for k in keys if k in KEYS]
+    rkeys = [k for k in keys if k in related.KEYS]
+    if rkeys:
+        return related.build(src, cfg, rkeys, contacts, extra_keys=ckeys).select("entity_id", *keys)
+    return rollup(src, cfg, ckeys, (), contacts).select(F.col("contact_id").alias("entity_id"), *ckeys)
 
 
 def _hard_and_soft_rows(src: Sources, c: DataFrame) -> DataFrame:
     """C5: Σ total_amount over rows of ``contribution ⟕ soft`` (fan-out kept)
     where the contact is the donor or the soft-credited contact; a row where
     the contact is both counts once."""
+    c = c.drop("_rok")
     s = src["contribution_soft"].select(
         F.col("contribution_id"), F.col("contact_id").alias("_soft_contact")
     )
@@ -83,6 +106,7 @@ def _hard_and_soft_rows(src: Sources, c: DataFrame) -> DataFrame:
         F.explode(credited).alias("contact_id"),
         F.lit(False).alias("_own"),
         F.lit(False).alias("_ok"),
+        F.lit(False).alias("_rok"),
         F.lit(None).cast(MONEY).alias("total_amount"),
         F.lit(None).cast("timestamp_ntz").alias("receive_date"),
         F.col("total_amount").alias("_hs"),

@@ -8,8 +8,9 @@ matches when its status and its type are both listed.
   numerically with the integer type id.  NULL when no label.
 
 Plan: the option lookup is reduced to one row per type id holding its sorted
-label array (so duplicate option rows cannot fan out the counts), broadcast
-after a size check, and joined to the grants; one aggregation per contact.
+label array (so duplicate option rows cannot fan out the counts) and joined
+to the grants (adaptive execution broadcasts it after measuring it); one
+aggregation per contact.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from kinsum.config import RollupConfig
 from kinsum.functions.aggregates import count_if, restrict, sum_or_zero
 from kinsum.sources.crm import Sources
-from kinsum.sources.lookups import IdFilter, bounded_broadcast, option_lookup
+from kinsum.sources.lookups import IdFilter, option_lookup
 
 KEYS = ["grant_count_received", "grant_total_received", "grant_types_received"]
 
@@ -43,7 +44,7 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
     g = IdFilter(cfg.grant_type_ids, "grant_type").apply(g, src, "grant_type_id", "_ty_ok")
     ok = F.col("_st_ok") & F.col("_ty_ok")
     if "grant_types_received" in keys:
-        lab = bounded_broadcast(type_labels(src))
+        lab = type_labels(src)
         g = g.join(lab, g["grant_type_id"].cast("double") == lab["_type_num"], "left")
     aggs = []
     for k in keys:

@@ -95,28 +95,34 @@ def population(src: Sources) -> DataFrame:
     return src["contribution"].select(F.col("contact_id").alias("entity_id")).distinct()
 
 
-def build(src: Sources, cfg: RollupConfig, keys=None, contacts: DataFrame | None = None) -> DataFrame:
+def build(
+    src: Sources, cfg: RollupConfig, keys=None, contacts: DataFrame | None = None, extra_keys=()
+) -> DataFrame:
+    """R/P keys (plus any contribution-family ``extra_keys``, computed by the
+    same aggregation).  With ``contacts``, only their rows: edges are cut to
+    those contacts first and only their neighbours' donations are summed."""
+    from kinsum.operators import contributions
+
     keys = list(keys or KEYS)
     windows = [w for w in WINDOW_NAMES if any(window_of(k) == w for k in keys)]
     sym = restrict(symmetric_edges(active_edges(src, cfg)), "src", contacts)
     needed = None
     if contacts is not None:
-        # donors whose totals the restricted contacts need: their neighbours and themselves
+        # the restricted contacts and their neighbours (whose totals they need)
         needed = sym.select(F.col("dst").alias("entity_id")).unionAll(contacts.select("entity_id")).distinct()
-    donors = donor_totals(src, cfg, windows, needed)
+    base = contributions.rollup(src, cfg, list(extra_keys), windows, needed)
+    wcols = [f"w_{w}" for w in windows]
+    donors = base.where(F.coalesce(*[F.col(c) for c in wcols]).isNotNull() if len(wcols) > 1 else F.col(wcols[0]).isNotNull())
+    donors = donors.select(F.col("contact_id").alias("donor"), *wcols)
     rel = related_totals(src, cfg, windows, donors, sym)
-    pop = restrict(population(src), "entity_id", contacts)
-    out = pop.join(rel, "entity_id", "left")
-    need_own = any(k in PLUSME_KEYS for k in keys)
-    if need_own:
-        own = donors.select(F.col("donor").alias("entity_id"), *[F.col(f"w_{w}").alias(f"o_{w}") for w in windows])
-        out = out.join(own, "entity_id", "left")
+    base = restrict(base, "contact_id", contacts)
+    out = base.join(rel, base["contact_id"] == rel["entity_id"], "left").drop("entity_id")
     cols = []
     for k in keys:
         w = window_of(k)
         r = F.col(f"r_{w}")
         if k in PLUSME_KEYS:
-            o = F.col(f"o_{w}")
+            o = F.col(f"w_{w}")
             v = F.when(r.isNull() & o.isNull(), F.lit(None).cast(MONEY)).otherwise(
                 F.coalesce(r, F.lit(0)) + F.coalesce(o, F.lit(0))
             )
@@ -125,7 +131,7 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts: DataFrame | None
         if cfg.related_empty == "zero":
             v = F.coalesce(v, F.lit(0))
         cols.append(v.cast(MONEY).alias(k))
-    return out.select("entity_id", *cols)
+    return out.select(F.col("contact_id").alias("entity_id"), *list(extra_keys), *cols)
 
 
 def neighbours(src: Sources, cfg: RollupConfig) -> DataFrame:

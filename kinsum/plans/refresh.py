@@ -1,11 +1,13 @@
 """Fused batch refresh (SNK2, X5): every active metric in one wide table.
 
-Each family is computed once for all of its active keys (a single scan and a
-single conditional aggregation per source), and the family outputs, each one
-row per contact, are combined by ``UNION ALL`` + ``groupBy(entity_id)``: one
-shuffle for the whole assembly instead of a chain of full outer joins.  A
-column a family does not produce is NULL in its rows and ``max`` ignores it,
-so each metric keeps exactly its own value (NULL included) and population.
+Each family is computed once for all of its active keys (a single
+conditional aggregation per source table; the contribution and related
+families share theirs).  Every family output is one row per contact and is
+already hash-partitioned on the contact by its own aggregation, so the
+assembly is: the union of the contact ids (one narrow shuffle), then a chain
+of left joins on ``entity_id`` that reuse the families' partitioning (no
+further exchange) and the previous join's sort order.  Each metric keeps its
+own value, NULL included, and its own population.
 """
 
 from __future__ import annotations
@@ -35,18 +37,28 @@ def metric(src: Sources, cfg: RollupConfig, key: str, registry: Registry | None
     return reg.families[spec.family](src, cfg, [key])
 
 
+# families whose keys have different populations: one frame per key
+PER_KEY_FAMILIES = {"mailings"}
+
+
 def family_frames(src: Sources, cfg: RollupConfig, registry: Registry, keys=None, contacts=None) -> list[DataFrame]:
     frames = []
     for fam, fkeys in registry.by_family(keys).items():
-        frames.append(registry.families[fam](src, cfg, fkeys, contacts=contacts))
+        build = registry.families[fam]
+        groups = [[k] for k in fkeys] if fam in PER_KEY_FAMILIES else [fkeys]
+        for g in groups:
+            frames.append(build(src, cfg, g, contacts=contacts))
     return frames
 
 
 def wide(frames: list[DataFrame], keys: list[str]) -> DataFrame:
-    u = frames[0]
+    ids = frames[0].select("entity_id")
     for f in frames[1:]:
-        u = u.unionByName(f, allowMissingColumns=True)
-    return u.groupBy("entity_id").agg(*[F.max(k).alias(k) for k in keys])
+        ids = ids.unionAll(f.select("entity_id"))
+    out = ids.distinct()
+    for f in frames:
+        out = out.join(f, "entity_id", "left")
+    return out.select("entity_id", *keys)
 
 
 def refresh(

@@ -63,18 +63,18 @@ _BUILTIN = [
     RollupSpec("soft_total_this_calendar_year", "soft", "Total Soft Credits this Calendar Year", "Money", "soft", _CONTRIB),
     RollupSpec("soft_total_last_calendar_year", "soft", "Total Soft Credits last Calendar Year", "Money", "soft", _CONTRIB),
     RollupSpec("soft_total_last_fiscal_year", "soft", "Total Soft Credits last Fiscal Year", "Money", "soft", _CONTRIB),
-    RollupSpec("relatedcontrib_this_fiscal_year", "relatedcontrib", "Related contact contributions this fiscal year", "Money", "related", _REL),
-    RollupSpec("relatedcontrib_last_fiscal_year", "relatedcontrib", "Related contact contributions last fiscal year", "Money", "related", _REL),
-    RollupSpec("relatedcontrib_this_calendar_year", "relatedcontrib", "Related contact contributions this calendar year", "Money", "related", _REL),
-    RollupSpec("relatedcontrib_last_calendar_year", "relatedcontrib", "Related contact contributions last calendar year", "Money", "related", _REL),
-    RollupSpec("relatedcontrib_year_before_last_calendar_year", "relatedcontrib", "Related contact contributions year before last calendar year", "Money", "related", _REL),
-    RollupSpec("relatedcontrib_alltime", "relatedcontrib", "Related contact contributions all time", "Money", "related", _REL),
-    RollupSpec("relatedcontrib_plusme_this_fiscal_year", "relatedcontrib", "Combined contact & related contact contributions this fiscal year", "Money", "related", _REL),
-    RollupSpec("relatedcontrib_plusme_last_fiscal_year", "relatedcontrib", "Combined contact & related contact contributions last fiscal year", "Money", "related", _REL),
-    RollupSpec("relatedcontrib_plusme_this_calendar_year", "relatedcontrib", "Combined contact & related contact contributions this calendar year", "Money", "related", _REL),
-    RollupSpec("relatedcontrib_plusme_last_calendar_year", "relatedcontrib", "Combined contact & related contact contributions last calendar year", "Money", "related", _REL),
-    RollupSpec("relatedcontrib_plusme_year_before_last_calendar_year", "relatedcontrib", "Combined contact & related contact contributions year before last calendar year", "Money", "related", _REL),
-    RollupSpec("relatedcontrib_plusme_alltime", "relatedcontrib", "Combined contact & related contact contributions all time", "Money", "related", _REL),
+    RollupSpec("relatedcontrib_this_fiscal_year", "relatedcontrib", "Related contact contributions this fiscal year", "Money", "contributions", _REL),
+    RollupSpec("relatedcontrib_last_fiscal_year", "relatedcontrib", "Related contact contributions last fiscal year", "Money", "contributions", _REL),
+    RollupSpec("relatedcontrib_this_calendar_year", "relatedcontrib", "Related contact contributions this calendar year", "Money", "contributions", _REL),
+    RollupSpec("relatedcontrib_last_calendar_year", "relatedcontrib", "Related contact contributions last calendar year", "Money", "contributions", _REL),
+    RollupSpec("relatedcontrib_year_before_last_calendar_year", "relatedcontrib", "Related contact contributions year before last calendar year", "Money", "contributions", _REL),
+    RollupSpec("relatedcontrib_alltime", "relatedcontrib", "Related contact contributions all time", "Money", "contributions", _REL),
+    RollupSpec("relatedcontrib_plusme_this_fiscal_year", "relatedcontrib", "Combined contact & related contact contributions this fiscal year", "Money", "contributions", _REL),
+    RollupSpec("relatedcontrib_plusme_last_fiscal_year", "relatedcontrib", "Combined contact & related contact contributions last fiscal year", "Money", "contributions", _REL),
+    RollupSpec("relatedcontrib_plusme_this_calendar_year", "relatedcontrib", "Combined contact & related contact contributions this calendar year", "Money", "contributions", _REL),
+    RollupSpec("relatedcontrib_plusme_last_calendar_year", "relatedcontrib", "Combined contact & related contact contributions last calendar year", "Money", "contributions", _REL),
+    RollupSpec("relatedcontrib_plusme_year_before_last_calendar_year", "relatedcontrib", "Combined contact & related contact contributions year before last calendar year", "Money", "contributions", _REL),
+    RollupSpec("relatedcontrib_plusme_alltime", "relatedcontrib", "Combined contact & related contact contributions all time", "Money", "contributions", _REL),
     RollupSpec("event_first_attended_date", "event_standard", "Date of the first attended event", "Date", "attendance", ("participant", "event")),
     RollupSpec("grant_count_received", "civigrant", "Total number of grants received", "Int", "grants", ("grant",)),
     RollupSpec("grant_total_received", "civigrant", "Total amount in grants received", "Money", "grants", ("grant",)),

@@ -3,8 +3,13 @@
 An id list given in the config becomes an ``IN (...)`` predicate that Catalyst
 pushes into the scan.  A missing list means "every id the lookup table knows":
 that is resolved as a join flag against the distinct lookup ids, so nothing is
-collected to the driver and the lookup may be of any size.  Lookup tables are
-broadcast only after :func:`bounded_broadcast` has proven their size.
+collected to the driver and the lookup may be of any size.
+
+Lookup joins carry no broadcast hint: adaptive execution measures the lookup
+side after its (small) shuffle stage and turns the join into a broadcast join
+only when the measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``;
+otherwise it stays a shuffle join.  :func:`bounded_broadcast` is the explicit
+form, for a side that is reused (it counts it first).
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ def option_lookup(src: Sources, group_name: str) -> DataFrame:
     (its option tables) is missing."""
     og = src["option_group"].where(F.col("name") == group_name).select(F.col("id").alias("_gid"))
     ov = src["option_value"]
-    return ov.join(bounded_broadcast(og), ov["option_group_id"] == og["_gid"], "left_semi").select(
+    return ov.join(og, ov["option_group_id"] == og["_gid"], "left_semi").select(
         "value", "label"
     )
 
@@ -83,7 +88,7 @@ class IdFilter:
         ids give false)."""
         if self.ids is not None:
             return df.withColumn(flag, F.coalesce(F.col(column).isin(list(self.ids)), F.lit(False)))
-        known = bounded_broadcast(known_ids(src, self.kind).select(F.col("id").alias(f"_{flag}_id")))
+        known = known_ids(src, self.kind).select(F.col("id").alias(f"_{flag}_id"))
         joined = df.join(known, F.col(column).cast("long") == F.col(f"_{flag}_id"), "left")
         return joined.withColumn(flag, F.col(f"_{flag}_id").isNotNull()).drop(f"_{flag}_id")
 
@@ -92,6 +97,6 @@ class IdFilter:
         list is explicit, semi-join otherwise)."""
         if self.ids is not None:
             return df.where(F.col(column).isin(list(self.ids)))
-        known = bounded_broadcast(known_ids(src, self.kind).select(F.col("id").alias("_known_id")))
+        known = known_ids(src, self.kind).select(F.col("id").alias("_known_id"))
         return df.join(known, F.col(column).cast("long") == F.col("_known_id"), "left_semi")
 
