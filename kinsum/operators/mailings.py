@@ -14,7 +14,7 @@ Population: contacts with at least one *sent* row of the metric.
 
 Plan: the event tables are tagged and unioned, pre-aggregated per queue id
 (the join key, so the shuffle is shared with the queue join), joined to the
-queue once, and counted per contact.
+queue once, and counted per contact once for all three metrics.
 """
 
 from __future__ import annotations
@@ -50,66 +50,66 @@ def _tagged(src: Sources, tables: dict[str, str], queue: DataFrame | None = None
     return u.groupBy("qid").agg(*[F.sum(f"n_{x}").alias(f"n_{x}") for x in tags])
 
 
-def open_rate(
-    src: Sources, cfg: RollupConfig, window: periods.Period | None = None, key="mail_openrate_alltime", contacts=None
-) -> DataFrame:
-    q = restrict(src["mailing_queue"].select("id", "contact_id", "job_id"), "contact_id", contacts)
-    ev = _tagged(
-        src, {"mailing_delivered": "s", "mailing_opened": "o", "mailing_bounce": "b"}, q if contacts is not None else None
-    )
-    if window is not None:
-        jobs = src["mailing_job"].where(window.contains("start_date")).select(F.col("id").alias("_jid"))
-        q = q.join(jobs, q["job_id"] == jobs["_jid"], "left_semi")
-    j = ev.join(q, ev["qid"] == q["id"], "inner")
-    agg = j.groupBy(F.col("contact_id").alias("entity_id")).agg(
-        F.sum("n_s").alias("s"), F.sum("n_o").alias("o"), F.sum("n_b").alias("b")
-    )
-    return agg.where(F.col("s") > 0).select("entity_id", rate(F.col("o"), F.col("s"), F.col("b")).alias(key))
-
-
-def links_per_job(src: Sources) -> DataFrame:
-    """``(job_id, n_links)`` for jobs whose mailing has trackable URLs."""
-    u = src["mailing_trackable_url"].groupBy("mailing_id").agg(F.count(F.lit(1)).alias("n_links"))
-    j = src["mailing_job"].select(F.col("id").alias("job_id"), "mailing_id")
-    return j.join(u, "mailing_id", "inner").select("job_id", "n_links")
-
-
-def click_rate(src: Sources, cfg: RollupConfig, key="mail_clickrate_alltime", contacts=None) -> DataFrame:
-    q = restrict(src["mailing_queue"].select("id", "contact_id", "job_id"), "contact_id", contacts)
-    ev = _tagged(
-        src, {"mailing_delivered": "s", "mailing_url_open": "o", "mailing_bounce": "b"}, q if contacts is not None else None
-    )
-    jl = links_per_job(src)
-    qj = q.join(jl, "job_id", "left")
-    j = ev.join(qj, ev["qid"] == qj["id"], "inner")
-    has_links = F.col("n_links").isNotNull()
-    if cfg.distinct_links:
-        s = F.sum(F.when(has_links & (F.col("n_s") > 0), 1))
-        b = F.sum(F.when(has_links & (F.col("n_b") > 0), 1))
-        o = F.sum(F.when(F.col("n_o") > 0, 1))
-    else:
-        s = F.sum(F.when(has_links, F.col("n_s") * F.col("n_links")))
-        b = F.sum(F.when(has_links, F.col("n_b") * F.col("n_links")))
-        o = F.sum("n_o")
-    agg = j.groupBy(F.col("contact_id").alias("entity_id")).agg(s.alias("s"), o.alias("o"), b.alias("b"))
-    return agg.where(F.col("s") > 0).select("entity_id", rate(F.col("o"), F.col("s"), F.col("b")).alias(key))
-
-
 def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFrame:
-    """Mail metrics have different populations; more than one key gives the
-    full outer combination on ``entity_id``."""
+    """All requested mail rates from one plan: the four event tables are tagged
+    and pre-aggregated per queue id once, joined to the queue (with the job's
+    window flag and link count) once, and counted per contact once.  Each
+    metric keeps its own population: its column is NULL outside it, and a
+    contact appears when it is in the population of any requested key."""
     keys = list(keys or KEYS)
-    parts = []
     for k in keys:
-        if k == "mail_openrate_alltime":
-            parts.append(open_rate(src, cfg, None, k, contacts))
-        elif k == "mail_openrate_last12months":
-            parts.append(open_rate(src, cfg, periods.rolling_year(cfg), k, contacts))
-        elif k == "mail_clickrate_alltime":
-            parts.append(click_rate(src, cfg, k, contacts))
-        else:
+        if k not in KEYS:
             raise KeyError(k)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "entity_id", "full")
-    return out
+    q = restrict(src["mailing_queue"].select("id", "contact_id", "job_id"), "contact_id", contacts)
+    tables = {"mailing_delivered": "s", "mailing_bounce": "b"}
+    if "mail_openrate_alltime" in keys or "mail_openrate_last12months" in keys:
+        tables["mailing_opened"] = "o"
+    if "mail_clickrate_alltime" in keys:
+        tables["mailing_url_open"] = "u"
+    ev = _tagged(src, tables, q if contacts is not None else None)
+    tags = sorted(set(tables.values()))
+
+    jobs = src["mailing_job"].select(F.col("id").alias("job_id"), "mailing_id", "start_date")
+    jflags = []
+    if "mail_openrate_last12months" in keys:
+        jobs = jobs.withColumn("_in_win", periods.rolling_year(cfg).contains("start_date"))
+        jflags.append("_in_win")
+    if "mail_clickrate_alltime" in keys:
+        u = src["mailing_trackable_url"].groupBy("mailing_id").agg(F.count(F.lit(1)).alias("n_links"))
+        jobs = jobs.join(u, "mailing_id", "left")
+        jflags.append("n_links")
+    if jflags:
+        q = q.join(jobs.select("job_id", *jflags), "job_id", "left")
+    j = ev.join(q, ev["qid"] == q["id"], "inner")
+
+    n = {t: F.col(f"n_{t}") for t in tags}
+    aggs = {}
+    if "mail_openrate_alltime" in keys:
+        aggs.update(s_all=F.sum(n["s"]), o_all=F.sum(n["o"]), b_all=F.sum(n["b"]))
+    if "mail_openrate_last12months" in keys:
+        win = F.coalesce(F.col("_in_win"), F.lit(False))
+        aggs.update(
+            s_win=F.sum(F.when(win, n["s"])), o_win=F.sum(F.when(win, n["o"])), b_win=F.sum(F.when(win, n["b"]))
+        )
+    if "mail_clickrate_alltime" in keys:
+        links = F.col("n_links")
+        if cfg.distinct_links:
+            aggs.update(
+                s_clk=F.sum(F.when(links.isNotNull() & (n["s"] > 0), 1)),
+                b_clk=F.sum(F.when(links.isNotNull() & (n["b"] > 0), 1)),
+                o_clk=F.sum(F.when(n["u"] > 0, 1)),
+            )
+        else:
+            aggs.update(s_clk=F.sum(n["s"] * links), b_clk=F.sum(n["b"] * links), o_clk=F.sum(n["u"]))
+    agg = j.groupBy(F.col("contact_id").alias("entity_id")).agg(*[v.alias(k) for k, v in aggs.items()])
+    suffix = {"mail_openrate_alltime": "all", "mail_openrate_last12months": "win", "mail_clickrate_alltime": "clk"}
+    cols, pops = [], []
+    for k in keys:
+        x = suffix[k]
+        pop = F.coalesce(F.col(f"s_{x}"), F.lit(0)) > 0
+        pops.append(pop)
+        cols.append(F.when(pop, rate(F.col(f"o_{x}"), F.col(f"s_{x}"), F.col(f"b_{x}"))).alias(k))
+    any_pop = pops[0]
+    for p in pops[1:]:
+        any_pop = any_pop | p
+    return agg.where(any_pop).select("entity_id", *cols)

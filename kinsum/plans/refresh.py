@@ -38,7 +38,7 @@ def metric(src: Sources, cfg: RollupConfig, key: str, registry: Registry | None
 
 
 # families whose keys have different populations: one frame per key
-PER_KEY_FAMILIES = {"mailings"}
+PER_KEY_FAMILIES: set[str] = set()
 
 
 def family_frames(src: Sources, cfg: RollupConfig, registry: Registry, keys=None, contacts=None) -> list[DataFrame]:
