@@ -1,9 +1,8 @@
 """Contribution family C1-C5.  Population: every contact with a row in
 ``contribution`` (unfiltered), so the filters sit inside the aggregates.
 
-Plan: one conditional aggregation keyed on ``contact_id``.  The C5 rows come
-from ``contribution LEFT JOIN soft`` with each joined row credited to the
-distinct set {donor, soft contact}; they are unioned with the plain
+Plan: one conditional aggregation keyed on ``contact_id``.  The C5 credit
+rows (see :func:`_hard_and_soft_rows`) are unioned with the plain
 contribution rows so a single shuffle feeds a single aggregate.
 """
 
@@ -51,7 +50,7 @@ def rollup(src: Sources, cfg: RollupConfig, keys, related_windows=(), contacts=N
         F.col("_rok"),
         F.col("total_amount"),
         F.col("receive_date"),
-        F.lit(None).cast(MONEY).alias("_hs"),
+        F.lit(None).cast("decimal(38,2)").alias("_hs"),
     )
     parts = [own]
     if "hard_and_soft" in keys:
@@ -93,21 +92,34 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
 def _hard_and_soft_rows(src: Sources, c: DataFrame) -> DataFrame:
     """C5: Σ total_amount over rows of ``contribution ⟕ soft`` (fan-out kept)
     where the contact is the donor or the soft-credited contact; a row where
-    the contact is both counts once."""
-    c = c.drop("_rok")
-    s = src["contribution_soft"].select(
-        F.col("contribution_id"), F.col("contact_id").alias("_soft_contact")
-    )
-    j = c.where("_ok").select("id", "contact_id", "total_amount").join(
-        s, F.col("id") == F.col("contribution_id"), "left"
+    the contact is both counts once.  Computed without materialising the
+    fan-out: with n = soft rows of a donation and m = soft rows of it for
+    contact k,
+
+    * the donor is credited total x max(n, 1),
+    * each soft contact k other than the donor is credited total x m.
+
+    Soft rows are first counted per (donation, contact) and per donation, so
+    the donor side joins one row per donation (no skew whatever a donation's
+    fan-out), and the soft side is an inner join that adaptive execution can
+    split when one donation holds a large share of all soft rows."""
+    ok = c.where("_ok").select("id", "contact_id", "total_amount")
+    pairs = src["contribution_soft"].groupBy(
+        F.col("contribution_id").alias("_cid"), F.col("contact_id").alias("_sc")
+    ).agg(F.count(F.lit(1)).alias("_m"))
+    n = pairs.groupBy(F.col("_cid").alias("_ncid")).agg(F.sum("_m").alias("_n"))
+    donor = ok.join(n, ok["id"] == n["_ncid"], "left").select(
+        F.col("contact_id"),
+        (F.col("total_amount") * F.greatest(F.coalesce(F.col("_n"), F.lit(0)), F.lit(1))).alias("_hs"),
     )
-    credited = F.array_distinct(F.array_compact(F.array("contact_id", "_soft_contact")))
-    return j.select(
-        F.explode(credited).alias("contact_id"),
+    credited = pairs.join(ok, pairs["_cid"] == ok["id"], "inner").where(F.col("_sc") != F.col("contact_id"))
+    soft_rows = credited.select(F.col("_sc").alias("contact_id"), (F.col("total_amount") * F.col("_m")).alias("_hs"))
+    return donor.unionAll(soft_rows).select(
+        F.col("contact_id"),
         F.lit(False).alias("_own"),
         F.lit(False).alias("_ok"),
         F.lit(False).alias("_rok"),
         F.lit(None).cast(MONEY).alias("total_amount"),
         F.lit(None).cast("timestamp_ntz").alias("receive_date"),
-        F.col("total_amount").alias("_hs"),
+        F.col("_hs").cast("decimal(38,2)").alias("_hs"),
     )
