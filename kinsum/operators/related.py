@@ -8,13 +8,16 @@ matches (AG3).  P = related + own, NULL only when both are NULL.
 
 Plan (cost |edges| + |contributions|, never |edges| x |donations|):
 
-1. ``donor_totals``: one pass over contribution grouped by donor, one
-   conditional sum per window (NULL when the donor has nothing in it).
-2. ``symmetric_edges``: filtered edges plus their reverse (UNION ALL), which
+1. ``donor_totals``: completed donations of a listed type (filters pushed to
+   the scan) grouped by donor, one conditional sum per window (NULL when the
+   donor has nothing in it).
+2. ``symmetric_edges``: filtered edges, each emitting both directions, which
    replaces the reference's OR-join (that would plan as a nested-loop join).
 3. ``edges ⋈ donor_totals`` on the other endpoint, grouped by ``src``: partial
    aggregation before the shuffle, AQE splits a hub's skewed join partition.
-4. left-joined onto the population (every contact in ``contribution``).
+4. left-joined onto the shared contribution rollup (the population, and the
+   contact's own totals for the plus-me metrics); both sides are already
+   partitioned by contact, so this join adds no exchange.
 """
 
 from __future__ import annotations
@@ -73,10 +76,14 @@ def active_edges(src: Sources, cfg: RollupConfig, relationship: DataFrame | None
 
 
 def symmetric_edges(edges: DataFrame) -> DataFrame:
-    """SO1: both directions, duplicates kept: ``(src, dst)``."""
-    return edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(
-        edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))
+    """SO1: both directions, duplicates kept: ``(src, dst)``.  Each edge row
+    emits its two directed rows (``explode``), so the edge table is read once
+    instead of once per UNION ALL leg; a self-edge yields (x, x) twice."""
+    both = F.array(
+        F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
+        F.struct(F.col("b").alias("src"), F.col("a").alias("dst")),
     )
+    return edges.select(F.inline(both))
 
 
 def related_totals(
@@ -106,16 +113,16 @@ def build(
     keys = list(keys or KEYS)
     windows = [w for w in WINDOW_NAMES if any(window_of(k) == w for k in keys)]
     sym = restrict(symmetric_edges(active_edges(src, cfg)), "src", contacts)
-    needed = None
+    needed = None  # donors whose totals are needed (all of them in batch)
     if contacts is not None:
         # the restricted contacts and their neighbours (whose totals they need)
         needed = sym.select(F.col("dst").alias("entity_id")).unionAll(contacts.select("entity_id")).distinct()
-    base = contributions.rollup(src, cfg, list(extra_keys), windows, needed)
-    wcols = [f"w_{w}" for w in windows]
-    donors = base.where(F.coalesce(*[F.col(c) for c in wcols]).isNotNull() if len(wcols) > 1 else F.col(wcols[0]).isNotNull())
-    donors = donors.select(F.col("contact_id").alias("donor"), *wcols)
+    # donor totals for the edge join come from their own aggregation over the
+    # completed, listed donations only (those filters reach the scan); the
+    # population and the "own" part come from the shared contribution rollup
+    donors = donor_totals(src, cfg, windows, needed)
     rel = related_totals(src, cfg, windows, donors, sym)
-    base = restrict(base, "contact_id", contacts)
+    base = contributions.rollup(src, cfg, list(extra_keys), windows if any(k in PLUSME_KEYS for k in keys) else (), contacts)
     out = base.join(rel, base["contact_id"] == rel["entity_id"], "left").drop("entity_id")
     cols = []
     for k in keys:

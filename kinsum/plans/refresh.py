@@ -3,11 +3,13 @@
 Each family is computed once for all of its active keys (a single
 conditional aggregation per source table; the contribution and related
 families share theirs).  Every family output is one row per contact and is
-already hash-partitioned on the contact by its own aggregation, so the
-assembly is: the union of the contact ids (one narrow shuffle), then a chain
-of left joins on ``entity_id`` that reuse the families' partitioning (no
-further exchange) and the previous join's sort order.  Each metric keeps its
-own value, NULL included, and its own population.
+already hash-partitioned on the contact by its own aggregation.  The
+assembly is ``UNION ALL`` of the family outputs + ``groupBy(entity_id)`` with
+``max`` per column: with ``spark.sql.unionOutputPartitioning`` (on by default
+in Spark 4) the union keeps that partitioning, so the assembly adds no
+shuffle and no family is computed twice.  A column a family does not produce
+is NULL in its rows and ``max`` ignores NULL, so each metric keeps exactly its
+own value (NULL included) and its own population.
 """
 
 from __future__ import annotations
@@ -52,13 +54,10 @@ def family_frames(src: Sources, cfg: RollupConfig, registry: Registry, keys=None
 
 
 def wide(frames: list[DataFrame], keys: list[str]) -> DataFrame:
-    ids = frames[0].select("entity_id")
+    u = frames[0]
     for f in frames[1:]:
-        ids = ids.unionAll(f.select("entity_id"))
-    out = ids.distinct()
-    for f in frames:
-        out = out.join(f, "entity_id", "left")
-    return out.select("entity_id", *keys)
+        u = u.unionByName(f, allowMissingColumns=True)
+    return u.groupBy("entity_id").agg(*[F.max(k).alias(k) for k in keys])
 
 
 def refresh(
