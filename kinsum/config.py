@@ -38,7 +38,11 @@ class RollupConfig:
     # Q1: related metrics give NULL when nothing matches (batch form); "zero"
     # gives the 0 of the reference's incremental statements.
     related_empty: str = "null"
-    # M3: the SQL counts link-multiplied rows; True counts distinct links
+    # Q2: plus-me metrics count a donor once per edge (batch form); True counts
+    # each (contact, donor) pair once, like the reference's contribution-change
+    # statements (a self-edge still adds the contact's own total twice)
+    dedupe_donors: bool = False
+    # M3: the SQL counts link-multiplied rows; True counts emails with links
     distinct_links: bool = False
     # metric keys to compute (FLT9); None = all registered
     active: tuple[str, ...] | None = None

@@ -122,13 +122,22 @@ def build(
     # population and the "own" part come from the shared contribution rollup
     donors = donor_totals(src, cfg, windows, needed)
     rel = related_totals(src, cfg, windows, donors, sym)
+    rel_p = rel
+    if cfg.dedupe_donors and any(k in PLUSME_KEYS for k in keys):
+        # Q2 DISTINCT form for the plus-me metrics: one row per (contact, donor)
+        rel_p = related_totals(src, cfg, windows, donors, sym.distinct())
+        rel_p = rel_p.select("entity_id", *[F.col(f"r_{w}").alias(f"rp_{w}") for w in windows])
     base = contributions.rollup(src, cfg, list(extra_keys), windows if any(k in PLUSME_KEYS for k in keys) else (), contacts)
     out = base.join(rel, base["contact_id"] == rel["entity_id"], "left").drop("entity_id")
+    if rel_p is not rel:
+        out = out.join(rel_p, out["contact_id"] == rel_p["entity_id"], "left").drop("entity_id")
     cols = []
     for k in keys:
         w = window_of(k)
         r = F.col(f"r_{w}")
         if k in PLUSME_KEYS:
+            if rel_p is not rel:
+                r = F.col(f"rp_{w}")
             o = F.col(f"w_{w}")
             v = F.when(r.isNull() & o.isNull(), F.lit(None).cast(MONEY)).otherwise(
                 F.coalesce(r, F.lit(0)) + F.coalesce(o, F.lit(0))

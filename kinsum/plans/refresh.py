@@ -53,11 +53,15 @@ def family_frames(src: Sources, cfg: RollupConfig, registry: Registry, keys=None
     return frames
 
 
-def wide(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+def wide(frames: list[DataFrame], keys: list[str], labels: dict | None = None) -> DataFrame:
+    """Assemble family outputs; ``labels`` become column comments (PRJ3)."""
+    labels = labels or {}
     u = frames[0]
     for f in frames[1:]:
         u = u.unionByName(f, allowMissingColumns=True)
-    return u.groupBy("entity_id").agg(*[F.max(k).alias(k) for k in keys])
+    return u.groupBy("entity_id").agg(
+        *[F.max(k).alias(k, metadata={"comment": labels[k]} if k in labels else None) for k in keys]
+    )
 
 
 def refresh(
@@ -75,4 +79,4 @@ def refresh(
     active = [s.key for s in specs]
     frames = family_frames(src, cfg, reg, active, contacts)
     report.computed = active
-    return wide(frames, active), report
+    return wide(frames, active, {s.key: s.label for s in specs}), report

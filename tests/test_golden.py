@@ -116,3 +116,27 @@ def test_grants(src):
 def test_grant_status_default_all_known(src):
     cfg = GOLDEN_CFG.with_(grant_status_ids=None, grant_type_ids=None)
     assert _m(grants, src, "grant_count_received", cfg) == {1: 4, 2: 1, 3: 1}
+
+
+def test_dedupe_donors_plusme(src):
+    # contact 2: parallel edges to 1 count once, self-edge still twice (own + pair)
+    cfg = GOLDEN_CFG.with_(dedupe_donors=True)
+    got = _m(related, src, "relatedcontrib_plusme_alltime", cfg)
+    # 2's distinct donors are 1 (100 of a related type) and 2 itself (200), plus own 200
+    assert got[2] == 100 + 200 + 200
+    assert got[1] == 200 + 30 + 100  # donors 2 and 3, plus own 100
+    # the per-edge related metric is unchanged by the option
+    assert _m(related, src, "relatedcontrib_alltime", cfg) == _m(related, src, "relatedcontrib_alltime")
+
+
+def test_click_rate_distinct_links(src):
+    got = _m(mailings, src, "mail_clickrate_alltime", GOLDEN_CFG.with_(distinct_links=True))
+    assert got == {1: 100.0, 2: 0.0, 3: 0.0, 5: 100.0}
+
+
+def test_refresh_column_comments(spark, src):
+    from kinsum.plans.refresh import refresh
+
+    df, report = refresh(src, GOLDEN_CFG, keys=["hard_and_soft", "grant_types_received"])
+    assert df.schema["hard_and_soft"].metadata["comment"] == "Lifetime contributions + soft credits"
+    assert report.computed == ["hard_and_soft", "grant_types_received"] and report.ok
