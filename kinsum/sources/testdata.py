@@ -40,7 +40,19 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+_CACHE: dict = {}
+
+
 def crm_sources(spark: SparkSession, sf_dir: str) -> Sources:
+    """CRM views over ``sf_dir`` (built once per session and folder: the views
+    are lazy DataFrames, so reusing them only saves plan construction)."""
+    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir))
+    if key not in _CACHE:
+        _CACHE[key] = _build_sources(spark, sf_dir)
+    return _CACHE[key]
+
+
+def _build_sources(spark: SparkSession, sf_dir: str) -> Sources:
     orders = _read(spark, sf_dir, "orders")
     lineitem = _read(spark, sf_dir, "lineitem")
     customer = _read(spark, sf_dir, "customer").select(F.col("c_custkey"))
