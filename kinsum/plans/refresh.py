@@ -32,11 +32,28 @@ class RefreshReport:
     ok: bool = True
 
 
-def metric(src: Sources, cfg: RollupConfig, key: str, registry: Registry | None = None) -> DataFrame:
-    """One metric alone: ``DataFrame[entity_id, key]`` over its own population."""
+def metric(
+    src: Sources, cfg: RollupConfig, key: str, registry: Registry | None = None, population: str = "trigger_table"
+) -> DataFrame:
+    """One metric alone: ``DataFrame[entity_id, key]``.
+
+    POP1: ``population="trigger_table"`` gives the metric's own population
+    (contacts found in its source table); ``"all"`` gives every contact of any
+    active metric's population, NULL where the metric has no row (the rows the
+    wide table holds for it)."""
     reg = registry or default_registry()
     spec = reg.specs[key]
-    return reg.families[spec.family](src, cfg, [key])
+    own = reg.families[spec.family](src, cfg, [key])
+    if population == "trigger_table":
+        return own
+    if population != "all":
+        raise ValueError("population must be 'trigger_table' or 'all'")
+    keys = [s.key for s in reg.select(cfg.active)]
+    frames = family_frames(src, cfg, reg, keys)
+    ids = frames[0].select("entity_id")
+    for f in frames[1:]:
+        ids = ids.unionAll(f.select("entity_id"))
+    return ids.distinct().join(own, "entity_id", "left")
 
 
 # families whose keys have different populations: one frame per key
