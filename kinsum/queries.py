@@ -156,7 +156,23 @@ def q_contract_types(spark, sf_dir):
     return fails
 
 
+def q_population_all(spark, sf_dir):
+    """POP1: one metric over the union of every metric's population."""
+    from kinsum.plans.refresh import metric
+
+    return metric(_src(spark, sf_dir), CFG, "grant_types_received", population="all")
+
+
+def q_plusme_distinct_donors(spark, sf_dir):
+    """SO3 / Q2: plus-me all-time with each (contact, donor) pair counted once."""
+    from kinsum.operators import related
+
+    return related.build(_src(spark, sf_dir), CFG.with_(dedupe_donors=True), ["relatedcontrib_plusme_alltime"])
+
+
 QUERIES = {
+    "population_all": q_population_all,
+    "plusme_distinct_donors": q_plusme_distinct_donors,
     "relationship_type_labels": q_relationship_type_labels,
     "option_lookup": q_option_lookup,
     "neighbours": q_neighbours,

@@ -374,6 +374,21 @@ def extra_oracles() -> dict[str, str]:
                CASE WHEN p.entity_id IS NOT NULL THEN p.mail_openrate_last12months ELSE s.mail_openrate_last12months END
                  AS mail_openrate_last12months
         FROM s1 s FULL JOIN p2 p ON s.entity_id = p.entity_id""")
+    out["population_all"] = with_views(
+        f"SELECT entity_id, grant_types_received FROM ({wide_sql(keys, cfg)}) w")
+    out["plusme_distinct_donors"] = with_views(_per_contact("civicrm_contribution", "relatedcontrib_plusme_alltime", f"""
+      SELECT sum(ctrb.total_amount)
+      FROM (
+          SELECT DISTINCT if(r.contact_id_a = p.contact_id, r.contact_id_b, r.contact_id_a) AS donor_contact_id
+          FROM civicrm_relationship r
+          WHERE p.contact_id IN (r.contact_id_a, r.contact_id_b)
+            AND r.relationship_type_id IN ({_types_in(cfg)}) AND r.is_active
+          UNION ALL
+          SELECT p.contact_id
+        ) donors
+        JOIN civicrm_contribution ctrb ON ctrb.contact_id = donors.donor_contact_id
+          AND ctrb.financial_type_id IN ({_fin(cfg, related=True)})
+          AND ctrb.contribution_status_id = 1"""))
     gaps = """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice,
                      nullif(l_returnflag, 'A') AS l_returnflag, nullif(l_linestatus, 'F') AS l_linestatus
               FROM lineitem"""
