@@ -46,6 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     (local tests) a fresh temporary folder is created and registered."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(d)
         return d
     d = tempfile.mkdtemp(prefix="kinsum-ckpt-")
     spark.conf.set("spark.checkpoint.dir", d)

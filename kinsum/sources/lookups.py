@@ -27,7 +27,8 @@ BROADCAST_MAX_ROWS = 100_000
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` (shuffle
-    join).  The check reads at most ``max_rows + 1`` rows of a lookup."""
+    join).  The check reads at most ``max_rows + 1`` rows; pass a persisted
+    frame when it is expensive to compute, so the check and the join share it."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
