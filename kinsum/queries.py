@@ -82,6 +82,33 @@ def q_incremental_equals_batch(spark, sf_dir):
     return inc.refresh_affected(stored, src1, CFG, "contribution", inc.inserts(new))
 
 
+def q_incremental_relationship_equals_batch(spark, sf_dir):
+    """I3/I4 end to end: the base before the inactive edges were deactivated
+    (they were active), the deactivating updates as the change feed, then the
+    incremental refresh; must equal the batch over the whole base."""
+    src1 = _src(spark, sf_dir)
+    rel1 = src1["relationship"]
+    rel0 = rel1.select(
+        "contact_id_a", "contact_id_b", "relationship_type_id",
+        F.when(F.col("is_active") == F.lit(False), F.lit(True)).otherwise(F.col("is_active")).alias("is_active"),
+    )
+    src0 = src1.replace(relationship=rel0)
+    stored, _ = refresh(src0, CFG)
+    before = rel1.where(~F.col("is_active")).withColumn("is_active", F.lit(True))
+    changes = inc.updates(before, {"is_active": F.lit(False)})
+    return inc.refresh_affected(stored, src1, CFG, "relationship", changes)
+
+
+def q_incremental_mail_equals_batch(spark, sf_dir):
+    """I5-I7 end to end: the base without any link opens, then every link
+    open arrives as an insert; must equal the batch over the whole base."""
+    src1 = _src(spark, sf_dir)
+    opens = src1["mailing_url_open"]
+    src0 = src1.replace(mailing_url_open=src1.empty("mailing_url_open"))  # before any link was opened
+    stored, _ = refresh(src0, MAIL_CONFIG)
+    return inc.refresh_affected(stored, src1, MAIL_CONFIG, "mailing_url_open", inc.inserts(opens))
+
+
 UPSERT_KEYS = ["contribution_total_this_calendar_year", "relatedcontrib_alltime", "mail_openrate_last12months"]
 UPSERT_REL_CFG = CFG.with_(relationship_type_ids=(5, 6, 7))
 
@@ -180,6 +207,8 @@ QUERIES = {
     "affected_by_relationship": q_affected_by_relationship,
     "affected_by_mail_event": q_affected_by_mail_event,
     "incremental_equals_batch": q_incremental_equals_batch,
+    "incremental_relationship_equals_batch": q_incremental_relationship_equals_batch,
+    "incremental_mail_equals_batch": q_incremental_mail_equals_batch,
     "upsert_patch": q_upsert_patch,
     "contract_not_null": q_contract_not_null,
     "contract_defaults": q_contract_defaults,

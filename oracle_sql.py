@@ -356,6 +356,8 @@ def extra_oracles() -> dict[str, str]:
         JOIN civicrm_mailing_event_queue q ON q.id = o.event_queue_id""")
     keys = list(_all_keys())
     out["incremental_equals_batch"] = with_views(wide_sql(keys, cfg))
+    out["incremental_relationship_equals_batch"] = with_views(wide_sql(keys, cfg))
+    out["incremental_mail_equals_batch"] = with_views(wide_sql(keys, MAIL_CONFIG))
     ukeys = ["contribution_total_this_calendar_year", "relatedcontrib_alltime", "mail_openrate_last12months"]
     old = wide_sql(ukeys, cfg)
     p1 = metric_sql("relatedcontrib_alltime", cfg.with_(relationship_type_ids=(5, 6, 7)))
