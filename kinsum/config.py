@@ -44,6 +44,10 @@ class RollupConfig:
     dedupe_donors: bool = False
     # M3: the SQL counts link-multiplied rows; True counts emails with links
     distinct_links: bool = False
+    # Q8: G3 label DISTINCT/ORDER BY in binary order ("binary") or ignoring
+    # case like a case-insensitive collation ("nocase"; keeps the smallest
+    # spelling of each label)
+    label_order: str = "binary"
     # metric keys to compute (FLT9); None = all registered
     active: tuple[str, ...] | None = None
     extra: dict = field(default_factory=dict, compare=False, hash=False)
@@ -67,6 +71,8 @@ class RollupConfig:
             object.__setattr__(self, name, _ids(getattr(self, name)))
         if self.related_empty not in ("null", "zero"):
             raise ValueError("related_empty must be 'null' or 'zero'")
+        if self.label_order not in ("binary", "nocase"):
+            raise ValueError("label_order must be 'binary' or 'nocase'")
         if self.active is not None:
             object.__setattr__(self, "active", tuple(self.active))
 

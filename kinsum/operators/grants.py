@@ -37,6 +37,17 @@ def type_labels(src: Sources) -> DataFrame:
     )
 
 
+def _nocase_distinct(labels):
+    """Sorted ignoring case (ties in binary order), then one spelling per
+    case-insensitive label: the first, i.e. the smallest in binary order."""
+    def cmp(a, b):
+        la, lb = F.lower(a), F.lower(b)
+        return (F.when(la < lb, -1).when(la > lb, 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+
+    s = F.array_sort(labels, cmp)
+    return F.filter(s, lambda x, i: (i == 0) | (F.lower(x) != F.lower(F.element_at(s, i))))
+
+
 def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFrame:
     keys = list(keys or KEYS)
     g = restrict(src["grant"], "contact_id", contacts)
@@ -54,6 +65,8 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
             aggs.append(sum_or_zero(ok, F.col("amount_granted")).alias(k))
         elif k == "grant_types_received":
             s = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(ok, F.col("_labels"))))))
+            if cfg.label_order == "nocase":
+                s = _nocase_distinct(s)
             aggs.append(F.when(F.size(s) > 0, F.array_join(s, ", ")).alias(k))
         else:
             raise KeyError(k)

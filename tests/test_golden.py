@@ -140,3 +140,17 @@ def test_refresh_column_comments(spark, src):
     df, report = refresh(src, GOLDEN_CFG, keys=["hard_and_soft", "grant_types_received"])
     assert df.schema["hard_and_soft"].metadata["comment"] == "Lifetime contributions + soft credits"
     assert report.computed == ["hard_and_soft", "grant_types_received"] and report.ok
+
+
+def test_grant_labels_nocase(spark):
+    from kinsum.sources.crm import Sources
+
+    s = Sources.from_rows(
+        spark,
+        grant=[(1, 1, 1, None), (1, 1, 2, None), (1, 1, 3, None), (2, 1, 3, None)],
+        option_group=[(1, "grant_type")],
+        option_value=[(1, "1", "beta"), (1, "2", "Alpha"), (1, "3", "BETA")],
+    )
+    cfg = GOLDEN_CFG.with_(grant_status_ids=(1,), grant_type_ids=(1, 2, 3))
+    assert _m(grants, s, "grant_types_received", cfg) == {1: "Alpha, BETA, beta", 2: "BETA"}
+    assert _m(grants, s, "grant_types_received", cfg.with_(label_order="nocase")) == {1: "Alpha, BETA", 2: "BETA"}
