@@ -4,7 +4,7 @@
 * AG2 ``coalesce(sum(x))`` (one argument) -> plain ``sum`` (NULL on no rows)
 * AG3 ``coalesce(sum(x), 0)`` under GROUP BY in a scalar subquery -> NULL when
   the group is absent; callers left-join a plain ``sum`` onto the population.
-* AG6 ordered distinct concat -> :func:`distinct_sorted_concat`
+* AG6 ordered distinct concat: see :mod:`kinsum.operators.grants`
 """
 
 from __future__ import annotations
@@ -28,15 +28,6 @@ def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 
 
-def distinct_sorted_concat(cond: Column, label: Column, sep: str = ", ") -> Column:
-    """``GROUP_CONCAT(DISTINCT label ORDER BY label SEPARATOR sep)``; NULL when no
-    label.  ``collect_set`` is partially aggregated map-side and its size is
-    bounded by the number of distinct labels, so a hot contact does not gather
-    its rows into one buffer."""
-    s = F.array_sort(F.collect_set(F.when(cond, label)))
-    return F.when(F.size(s) > 0, F.array_join(s, sep))
-
-
 def restrict(df, column: str, contacts):
     """Keep rows whose ``column`` is one of ``contacts.entity_id`` (key
     restriction of the incremental path); identity when ``contacts`` is None."""

@@ -97,11 +97,6 @@ def related_totals(
     return j.groupBy(F.col("src").alias("entity_id")).agg(*[F.sum(f"w_{w}").alias(f"r_{w}") for w in windows])
 
 
-def population(src: Sources) -> DataFrame:
-    """Batch population: every contact found in ``contribution``."""
-    return src["contribution"].select(F.col("contact_id").alias("entity_id")).distinct()
-
-
 def build(
     src: Sources, cfg: RollupConfig, keys=None, contacts: DataFrame | None = None, extra_keys=()
 ) -> DataFrame:
