@@ -75,13 +75,13 @@ _BUILTIN = [
     RollupSpec("relatedcontrib_plusme_last_calendar_year", "relatedcontrib", "Combined contact & related contact contributions last calendar year", "Money", "contributions", _REL),
     RollupSpec("relatedcontrib_plusme_year_before_last_calendar_year", "relatedcontrib", "Combined contact & related contact contributions year before last calendar year", "Money", "contributions", _REL),
     RollupSpec("relatedcontrib_plusme_alltime", "relatedcontrib", "Combined contact & related contact contributions all time", "Money", "contributions", _REL),
-    RollupSpec("event_first_attended_date", "event_standard", "Date of the first attended event", "Date", "attendance", ("participant", "event")),
-    RollupSpec("grant_count_received", "civigrant", "Total number of grants received", "Int", "grants", ("grant",)),
-    RollupSpec("grant_total_received", "civigrant", "Total amount in grants received", "Money", "grants", ("grant",)),
-    RollupSpec("grant_types_received", "civigrant", "Grant types received", "String", "grants", ("grant", "option_value", "option_group")),
-    RollupSpec("mail_openrate_alltime", "civimail", "Open rate rate all time", "Float", "mailings", _MAIL),
-    RollupSpec("mail_openrate_last12months", "civimail", "Open rate rate last 12 months", "Float", "mailings", _MAIL),
-    RollupSpec("mail_clickrate_alltime", "civimail", "Click-through rate all time", "Float", "mailings", _CLICK),
+    RollupSpec("event_first_attended_date", "events", "Date of the first attended event", "Date", "attendance", ("participant", "event")),
+    RollupSpec("grant_count_received", "grants", "Total number of grants received", "Int", "grants", ("grant",)),
+    RollupSpec("grant_total_received", "grants", "Total amount in grants received", "Money", "grants", ("grant",)),
+    RollupSpec("grant_types_received", "grants", "Grant types received", "String", "grants", ("grant", "option_value", "option_group")),
+    RollupSpec("mail_openrate_alltime", "mailings", "Open rate rate all time", "Float", "mailings", _MAIL),
+    RollupSpec("mail_openrate_last12months", "mailings", "Open rate rate last 12 months", "Float", "mailings", _MAIL),
+    RollupSpec("mail_clickrate_alltime", "mailings", "Click-through rate all time", "Float", "mailings", _CLICK),
 ]
 
 # PRJ3: label overrides the reference applies to four parent metrics (metadata only).

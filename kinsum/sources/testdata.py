@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,72 +167,72 @@ def _build_sources(spark: SparkSession, sf_dir: str) -> Sources:
     )
 
 
-# DuckDB views with the same projections, named as the reference's tables.
+# DuckDB views with the same projections (``crm_*`` names) for the oracle queries.
 DUCKDB_VIEWS: dict[str, str] = {
-    "civicrm_contribution": """
+    "crm_contribution": """
         SELECT o_orderkey AS id, o_custkey AS contact_id,
                CAST(o_totalprice AS DECIMAL(20,2)) AS total_amount,
                o_orderdate AS receive_date,
                CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS contribution_status_id,
                CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS financial_type_id
         FROM orders""",
-    "civicrm_contribution_soft": """
+    "crm_soft_credit": """
         SELECT l_orderkey AS contribution_id, l_partkey AS contact_id,
                CAST(l_extendedprice AS DECIMAL(20,2)) AS amount
         FROM lineitem JOIN customer ON l_partkey = c_custkey
         WHERE l_returnflag = 'A'""",
-    "civicrm_relationship": """
+    "crm_relationship": """
         SELECT o_custkey AS contact_id_a, l_partkey AS contact_id_b,
                l_linenumber AS relationship_type_id, (l_linestatus = 'O') AS is_active
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey
              JOIN customer ON l_partkey = c_custkey
         WHERE l_returnflag = 'R' AND l_quantity <= 10""",
-    "civicrm_relationship_type": """
+    "crm_relationship_type": """
         SELECT n_nationkey AS id, n_name AS name_a_b, n_name AS label_a_b,
                n_name || ' of' AS label_b_a
         FROM nation WHERE n_nationkey BETWEEN 1 AND 7""",
-    "civicrm_participant": """
+    "crm_participant": """
         SELECT l_suppkey AS contact_id, l_orderkey AS event_id, l_linenumber AS status_id
         FROM lineitem""",
-    "civicrm_event": """
+    "crm_event": """
         SELECT o_orderkey AS id, o_orderdate AS start_date,
                CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS event_type_id
         FROM orders""",
-    "civicrm_grant": """
+    "crm_grant": """
         SELECT l_partkey AS contact_id,
                CASE l_linestatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 END AS status_id,
                l_linenumber AS grant_type_id,
                CAST(l_extendedprice AS DECIMAL(20,2)) AS amount_granted
         FROM lineitem WHERE l_returnflag = 'N'""",
-    "civicrm_option_group": """
+    "crm_option_group": """
         SELECT * FROM (VALUES (1, 'grant_type'), (2, 'grant_status')) AS t(id, name)""",
-    "civicrm_option_value": """
+    "crm_option_value": """
         SELECT CASE WHEN n_nationkey BETWEEN 1 AND 7 THEN 1 ELSE 2 END AS option_group_id,
                CAST(CASE WHEN n_nationkey BETWEEN 1 AND 7 THEN n_nationkey ELSE n_nationkey - 7 END AS VARCHAR) AS value,
                n_name AS label
         FROM nation""",
-    "civicrm_mailing_event_queue": """
+    "crm_mail_queue": """
         SELECT event_id AS id, user_id AS contact_id, CAST(dayofyear(ts) AS INTEGER) AS job_id
         FROM events""",
-    "civicrm_mailing_job": """
+    "crm_mail_job": """
         SELECT DISTINCT CAST(dayofyear(ts) AS INTEGER) AS id,
                CAST(dayofyear(ts) % 10 AS INTEGER) AS mailing_id,
                CAST(CAST(ts AS DATE) AS TIMESTAMP) AS start_date
         FROM events""",
-    "civicrm_mailing_event_delivered": "SELECT event_id AS event_queue_id FROM events WHERE event_type <> 'signup'",
-    "civicrm_mailing_event_opened": """
+    "crm_mail_delivered": "SELECT event_id AS event_queue_id FROM events WHERE event_type <> 'signup'",
+    "crm_mail_opened": """
         SELECT event_id AS event_queue_id FROM events WHERE event_type IN ('view', 'click')
         UNION ALL SELECT event_id FROM events WHERE event_type = 'click'""",
-    "civicrm_mailing_event_bounce": "SELECT event_id AS event_queue_id FROM events WHERE event_type = 'error'",
-    "civicrm_mailing_event_trackable_url_open": "SELECT event_id AS event_queue_id FROM events WHERE event_type = 'click'",
-    "civicrm_mailing_trackable_url": """
+    "crm_mail_bounce": "SELECT event_id AS event_queue_id FROM events WHERE event_type = 'error'",
+    "crm_mail_link_open": "SELECT event_id AS event_queue_id FROM events WHERE event_type = 'click'",
+    "crm_mail_link": """
         SELECT p_partkey AS id, CAST(p_size % 10 AS INTEGER) AS mailing_id FROM part WHERE p_partkey < 30""",
 }
 
 
 def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the CTEs it names (all if none given)."""
-    names = names or tuple(n for n in DUCKDB_VIEWS if n in sql)
+    names = names or tuple(n for n in DUCKDB_VIEWS if re.search(rf"\b{n}\b", sql))
     ctes = ",\n".join(f"{n} AS ({DUCKDB_VIEWS[n]})" for n in names)
     body = sql.strip()
     if body.upper().startswith("WITH "):
