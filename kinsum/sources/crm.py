@@ -6,10 +6,10 @@ schemas of :mod:`kinsum.sources.schemas`.  Loading never triggers a job.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from kinsum.sources.schemas import OPTIONAL, SCHEMAS
@@ -49,15 +49,16 @@ class Sources(Mapping):
     # Loaders ----------------------------------------------------------
     @classmethod
     def from_parquet_dir(cls, spark: SparkSession, path: str) -> "Sources":
-        """``<path>/<table>.parquet`` (file or directory) for each known table;
-        missing optional tables become empty.  Columns are selected and cast
-        to the declared schema so a wider physical file is pruned at the scan."""
+        """``<path>/<table>.parquet`` (file or directory, any Hadoop file
+        system) for each known table; a missing table (a component that is not
+        installed) reads as empty.  Columns are selected and cast to the
+        declared schema so a wider physical file is pruned at the scan."""
         tables = {}
         for name, schema in SCHEMAS.items():
-            p = os.path.join(path, f"{name}.parquet")
-            if not os.path.exists(p):
+            try:
+                df = spark.read.parquet(f"{path.rstrip('/')}/{name}.parquet")
+            except AnalysisException:  # path does not exist
                 continue
-            df = spark.read.parquet(p)
             tables[name] = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
         return cls(spark, tables)
 
