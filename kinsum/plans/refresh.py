@@ -60,32 +60,49 @@ def metric(
 PER_KEY_FAMILIES: set[str] = set()
 
 
-def family_frames(src: Sources, cfg: RollupConfig, registry: Registry, keys=None, contacts=None) -> list[DataFrame]:
+def flag(family: str) -> str:
+    """Hidden column of the stored table: the contact is in ``family``'s population."""
+    return f"_in_{family}"
+
+
+def family_frames(
+    src: Sources, cfg: RollupConfig, registry: Registry, keys=None, contacts=None, membership: bool = False
+) -> list[DataFrame]:
     frames = []
     for fam, fkeys in registry.by_family(keys).items():
         build = registry.families[fam]
         groups = [[k] for k in fkeys] if fam in PER_KEY_FAMILIES else [fkeys]
         for g in groups:
-            frames.append(build(src, cfg, g, contacts=contacts))
+            f = build(src, cfg, g, contacts=contacts)
+            frames.append(f.withColumn(flag(fam), F.lit(True)) if membership else f)
     return frames
 
 
-def wide(frames: list[DataFrame], keys: list[str], labels: dict | None = None) -> DataFrame:
-    """Assemble family outputs; ``labels`` become column comments (PRJ3)."""
+def wide(frames: list[DataFrame], keys: list[str], labels: dict | None = None, flags=()) -> DataFrame:
+    """Assemble family outputs; ``labels`` become column comments (PRJ3);
+    ``flags`` are carried as population-membership booleans (False if absent)."""
     labels = labels or {}
     u = frames[0]
     for f in frames[1:]:
         u = u.unionByName(f, allowMissingColumns=True)
     return u.groupBy("entity_id").agg(
-        *[F.max(k).alias(k, metadata={"comment": labels[k]} if k in labels else None) for k in keys]
+        *[F.max(k).alias(k, metadata={"comment": labels[k]} if k in labels else None) for k in keys],
+        *[F.coalesce(F.max(c), F.lit(False)).alias(c) for c in flags],
     )
 
 
 def refresh(
-    src: Sources, cfg: RollupConfig, registry: Registry | None = None, keys=None, contacts: DataFrame | None = None
+    src: Sources,
+    cfg: RollupConfig,
+    registry: Registry | None = None,
+    keys=None,
+    contacts: DataFrame | None = None,
+    membership: bool = False,
 ) -> tuple[DataFrame | None, RefreshReport]:
     """Wide table of the active metrics; with ``contacts`` only those contacts'
-    rows are computed (the incremental path), each from its own base rows."""
+    rows are computed (the incremental path), each from its own base rows.
+    ``membership=True`` adds the hidden ``_in_<family>`` population flags that
+    the stored table of the incremental path keeps."""
     reg = registry or default_registry()
     keys = keys if keys is not None else cfg.active
     specs = reg.select(keys)
@@ -94,6 +111,12 @@ def refresh(
         report.ok = False
         return None, report
     active = [s.key for s in specs]
-    frames = family_frames(src, cfg, reg, active, contacts)
+    frames = family_frames(src, cfg, reg, active, contacts, membership)
     report.computed = active
-    return wide(frames, active, {s.key: s.label for s in specs}), report
+    flags = [flag(f) for f in reg.by_family(active)] if membership else []
+    return wide(frames, active, {s.key: s.label for s in specs}, flags), report
+
+
+def public(stored: DataFrame) -> DataFrame:
+    """The stored table without its hidden membership flags."""
+    return stored.select([c for c in stored.columns if not c.startswith("_in_")])

@@ -20,7 +20,7 @@ from kinsum.functions.periods import fiscal_year_bounds
 from kinsum.operators import contracts as K
 from kinsum.operators.related import neighbours
 from kinsum.plans.affected import affected
-from kinsum.plans.refresh import refresh
+from kinsum.plans.refresh import public, refresh
 from kinsum.plans.upsert import upsert
 from kinsum.session import configure
 from kinsum.sources.lookups import option_lookup, relationship_type_labels
@@ -78,8 +78,8 @@ def q_incremental_equals_batch(spark, sf_dir):
     new = _new_donations(src1)
     old_rows = src1["contribution"].join(new.select("id"), "id", "left_anti")
     src0 = src1.replace(contribution=old_rows)
-    stored, _ = refresh(src0, CFG)
-    return inc.refresh_affected(stored, src1, CFG, "contribution", inc.inserts(new))
+    stored, _ = refresh(src0, CFG, membership=True)
+    return public(inc.refresh_affected(stored, src1, CFG, "contribution", inc.inserts(new)))
 
 
 def q_incremental_relationship_equals_batch(spark, sf_dir):
@@ -93,10 +93,10 @@ def q_incremental_relationship_equals_batch(spark, sf_dir):
         F.when(F.col("is_active") == F.lit(False), F.lit(True)).otherwise(F.col("is_active")).alias("is_active"),
     )
     src0 = src1.replace(relationship=rel0)
-    stored, _ = refresh(src0, CFG)
+    stored, _ = refresh(src0, CFG, membership=True)
     before = rel1.where(~F.col("is_active")).withColumn("is_active", F.lit(True))
     changes = inc.updates(before, {"is_active": F.lit(False)})
-    return inc.refresh_affected(stored, src1, CFG, "relationship", changes)
+    return public(inc.refresh_affected(stored, src1, CFG, "relationship", changes))
 
 
 def q_incremental_mail_equals_batch(spark, sf_dir):
@@ -105,8 +105,8 @@ def q_incremental_mail_equals_batch(spark, sf_dir):
     src1 = _src(spark, sf_dir)
     opens = src1["mailing_url_open"]
     src0 = src1.replace(mailing_url_open=src1.empty("mailing_url_open"))  # before any link was opened
-    stored, _ = refresh(src0, MAIL_CONFIG)
-    return inc.refresh_affected(stored, src1, MAIL_CONFIG, "mailing_url_open", inc.inserts(opens))
+    stored, _ = refresh(src0, MAIL_CONFIG, membership=True)
+    return public(inc.refresh_affected(stored, src1, MAIL_CONFIG, "mailing_url_open", inc.inserts(opens)))
 
 
 UPSERT_KEYS = ["contribution_total_this_calendar_year", "relatedcontrib_alltime", "mail_openrate_last12months"]
