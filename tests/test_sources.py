@@ -42,3 +42,41 @@ def test_lookups(spark):
     assert [tuple(r) for r in option_lookup(src, "grant_type").collect()] == [("1", "A")]
     # a missing component gives an empty lookup, not an error
     assert option_lookup(Sources(spark, {}), "grant_type").count() == 0
+
+
+def test_cli_refresh_and_stream(spark, tmp_path):
+    import json
+    import contextlib
+    import io
+
+    from pyspark.sql import functions as F
+
+    from kinsum.__main__ import main
+    from kinsum.plans.affected import apply_changes
+    from kinsum.plans.refresh import public
+    from kinsum.plans.upsert import VersionedTable
+    from kinsum.streaming import incremental as inc
+
+    src = golden_sources(spark)
+    srcdir = tmp_path / "src"
+    for name in ("contribution", "contribution_soft", "relationship"):
+        src[name].write.parquet(str(srcdir / f"{name}.parquet"))
+    args = ["--sources", str(srcdir), "--store", str(tmp_path / "wide"), "--as-of", "2025-03-15",
+            "--fiscal-start", "7-1", "--financial-types", "1,2", "--related-financial-types", "1",
+            "--relationship-types", "10", "--metrics", "hard_and_soft,relatedcontrib_alltime"]
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        assert main(["refresh", *args]) == 0
+    assert json.loads(out.getvalue())["version"] == 0
+    # a donation moves to contact 5: the base changes and the change row arrives
+    ch = inc.updates(src["contribution"].where("id = 1"), {"contact_id": F.lit(5).cast("long")})
+    after = apply_changes(src, "contribution", ch)["contribution"]
+    after.write.parquet(str(tmp_path / "src2" / "contribution.parquet"))
+    for name in ("contribution_soft", "relationship"):
+        src[name].write.parquet(str(tmp_path / "src2" / f"{name}.parquet"))
+    ch.write.parquet(str(tmp_path / "feed"))
+    args2 = [a if a != str(srcdir) else str(tmp_path / "src2") for a in args]
+    assert main(["stream", *args2, "--feed", f"contribution={tmp_path / 'feed'}", "--available-now",
+                 "--checkpoint", str(tmp_path / "ckpt")]) == 0
+    got = {r["entity_id"]: float(r["relatedcontrib_alltime"] or 0) for r in public(VersionedTable(spark, str(tmp_path / "wide")).current()).collect()}
+    assert got[2] == 400.0  # contact 1's 100 moved to 5: 2 now gets 2 x 200 (self-edge) only
