@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from kinsum.config import RollupConfig
 from kinsum.functions import periods
 from kinsum.functions.aggregates import MONEY, restrict, sum_if
-from kinsum.operators.contributions import completed_in_list
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
 

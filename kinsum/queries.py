@@ -13,7 +13,6 @@ from __future__ import annotations
 import datetime as dt
 import os
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinsum.functions.periods import fiscal_year_bounds
