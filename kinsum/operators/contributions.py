@@ -3,7 +3,11 @@
 
 Plan: one conditional aggregation keyed on ``contact_id``.  The C5 credit
 rows (see :func:`_hard_and_soft_rows`) are unioned with the plain
-contribution rows so a single shuffle feeds a single aggregate.
+contribution rows so one aggregate serves every key.  It shuffles once by
+contact; when the distinct-year count (C4) is requested Spark first merges
+partial results by (contact, year), a second shuffle of already-combined
+rows.  That is preferred to ``size(collect_set(year))``, whose object-hash
+aggregate falls back to sorting the raw rows once a task sees many contacts.
 """
 
 from __future__ import annotations
