@@ -54,7 +54,9 @@ def rollup(src: Sources, cfg: RollupConfig, keys, related_windows=(), contacts=N
         F.col("_rok"),
         F.col("total_amount"),
         F.col("receive_date"),
-        F.lit(None).cast("decimal(38,2)").alias("_hs"),
+        (
+            F.when(F.col("_ok"), F.col("total_amount")) if "hard_and_soft" in keys else F.lit(None)
+        ).cast("decimal(38,2)").alias("_hs"),
     )
     parts = [own]
     if "hard_and_soft" in keys:
@@ -94,31 +96,37 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
 
 
 def _hard_and_soft_rows(src: Sources, c: DataFrame) -> DataFrame:
-    """C5: Σ total_amount over rows of ``contribution ⟕ soft`` (fan-out kept)
+    """C5 credits beyond the donor's plain total.
+
+    C5 sums total_amount over rows of ``contribution ⟕ soft`` (fan-out kept)
     where the contact is the donor or the soft-credited contact; a row where
-    the contact is both counts once.  Computed without materialising the
-    fan-out: with n = soft rows of a donation and m = soft rows of it for
-    contact k,
+    the contact is both counts once.  With n = soft rows of a donation and m =
+    its soft rows for contact k:
 
-    * the donor is credited total x max(n, 1),
+    * the donor is credited total x max(n, 1) = total (carried by the plain
+      contribution rows, no join) + total x (n - 1) when n >= 2;
     * each soft contact k other than the donor is credited total x m.
 
-    Soft rows are first counted per (donation, contact) and per donation, so
-    the donor side joins one row per donation (no skew whatever a donation's
-    fan-out), and the soft side is an inner join that adaptive execution can
-    split when one donation holds a large share of all soft rows."""
+    Both extra credits come from one inner join of the soft rows, counted per
+    (donation, contact), with the completed donations on the donation id.  The
+    join only needs donations that have soft credits (a selective side for
+    Spark's runtime bloom filter), no donation's fan-out is materialised, and
+    the per-donation count reuses the join's partitioning on the id."""
     ok = c.where("_ok").select("id", "contact_id", "total_amount")
     pairs = src["contribution_soft"].groupBy(
         F.col("contribution_id").alias("_cid"), F.col("contact_id").alias("_sc")
     ).agg(F.count(F.lit(1)).alias("_m"))
-    n = pairs.groupBy(F.col("_cid").alias("_ncid")).agg(F.sum("_m").alias("_n"))
-    donor = ok.join(n, ok["id"] == n["_ncid"], "left").select(
-        F.col("contact_id"),
-        (F.col("total_amount") * F.greatest(F.coalesce(F.col("_n"), F.lit(0)), F.lit(1))).alias("_hs"),
+    credited = pairs.join(ok, pairs["_cid"] == ok["id"], "inner")
+    soft_rows = credited.where(F.col("_sc") != F.col("contact_id")).select(
+        F.col("_sc").alias("contact_id"), (F.col("total_amount") * F.col("_m")).alias("_hs")
+    )
+    extra = (
+        credited.groupBy("_cid", "contact_id", "total_amount")
+        .agg(F.sum("_m").alias("_n"))
+        .where(F.col("_n") >= 2)
+        .select("contact_id", (F.col("total_amount") * (F.col("_n") - 1)).alias("_hs"))
     )
-    credited = pairs.join(ok, pairs["_cid"] == ok["id"], "inner").where(F.col("_sc") != F.col("contact_id"))
-    soft_rows = credited.select(F.col("_sc").alias("contact_id"), (F.col("total_amount") * F.col("_m")).alias("_hs"))
-    return donor.unionAll(soft_rows).select(
+    return soft_rows.unionAll(extra).select(
         F.col("contact_id"),
         F.lit(False).alias("_own"),
         F.lit(False).alias("_ok"),
