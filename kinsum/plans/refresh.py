@@ -14,6 +14,7 @@ own value (NULL included) and its own population.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ from kinsum.config import RollupConfig
 from kinsum.plans.registry import Registry, default_registry
 from kinsum.sources.crm import Sources
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class RefreshReport:
@@ -66,14 +69,35 @@ def flag(family: str) -> str:
 
 
 def family_frames(
-    src: Sources, cfg: RollupConfig, registry: Registry, keys=None, contacts=None, membership: bool = False
+    src: Sources,
+    cfg: RollupConfig,
+    registry: Registry,
+    keys=None,
+    contacts=None,
+    membership: bool = False,
+    skipped: dict | None = None,
 ) -> list[DataFrame]:
+    """One frame per family (per key for ``PER_KEY_FAMILIES``).  With a
+    ``skipped`` dict, a family whose plan cannot be built (bad user metric,
+    missing column) is left out and its keys are reported there (X3);
+    without it the error propagates."""
     frames = []
     for fam, fkeys in registry.by_family(keys).items():
         build = registry.families[fam]
         groups = [[k] for k in fkeys] if fam in PER_KEY_FAMILIES else [fkeys]
         for g in groups:
-            f = build(src, cfg, g, contacts=contacts)
+            try:
+                f = build(src, cfg, g, contacts=contacts)
+                missing = [k for k in ["entity_id", *g] if k not in f.columns]
+                if missing:
+                    raise ValueError(f"family {fam!r} did not produce {missing}")
+            except Exception as e:  # noqa: BLE001 - reported, the other metrics continue
+                if skipped is None:
+                    raise
+                log.warning("skipping metrics %s: %s", g, e)
+                for k in g:
+                    skipped[k] = f"{type(e).__name__}: {e}"
+                continue
             frames.append(f.withColumn(flag(fam), F.lit(True)) if membership else f)
     return frames
 
@@ -110,8 +134,12 @@ def refresh(
     if not specs:
         report.ok = False
         return None, report
-    active = [s.key for s in specs]
-    frames = family_frames(src, cfg, reg, active, contacts, membership)
+    requested = [s.key for s in specs]
+    frames = family_frames(src, cfg, reg, requested, contacts, membership, report.skipped)
+    active = [k for k in requested if k not in report.skipped]
+    if not frames:
+        report.ok = False
+        return None, report
     report.computed = active
     flags = [flag(f) for f in reg.by_family(active)] if membership else []
     return wide(frames, active, {s.key: s.label for s in specs}, flags), report

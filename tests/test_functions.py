@@ -88,3 +88,28 @@ def test_dependents():
     reg = default_registry()
     assert set(reg.dependents("relationship")) == {k for k in reg.keys() if k.startswith("relatedcontrib_")}
     assert "soft_total_last_fiscal_year" in reg.dependents("contribution")  # Q6
+
+
+def test_custom_family_and_bad_metric_skipped(spark):
+    """X1: a user family is registered and computed with the built-ins; X3: a
+    failing user metric is reported and the others still refresh."""
+    from pyspark.sql import functions as F
+
+    from fixtures import GOLDEN_CFG, golden_sources
+    from kinsum.plans.refresh import refresh
+    from kinsum.plans.registry import FAMILIES, Registry, _BUILTIN
+
+    def largest_gift(src, cfg, keys, contacts=None):
+        c = src["contribution"].where(F.col("contribution_status_id") == 1)
+        return c.groupBy(F.col("contact_id").alias("entity_id")).agg(F.max("total_amount").alias(keys[0]))
+
+    def broken(src, cfg, keys, contacts=None):
+        return src["contribution"].select(F.col("no_such_column"))
+
+    reg = Registry(_BUILTIN, {**FAMILIES, "largest": largest_gift, "broken": broken})
+    assert reg.register(RollupSpec("largest_gift", "custom", "Largest gift", "Money", "largest", ("contribution",)))
+    assert reg.register(RollupSpec("bad_metric", "custom", "Bad", "Money", "broken", ("contribution",)))
+    df, report = refresh(golden_sources(spark), GOLDEN_CFG, reg, keys=["hard_and_soft", "largest_gift", "bad_metric"])
+    assert "bad_metric" in report.skipped and report.computed == ["hard_and_soft", "largest_gift"]
+    got = {r["entity_id"]: float(r["largest_gift"]) for r in df.collect() if r["largest_gift"] is not None}
+    assert got[1] == 100.0 and got[2] == 200.0
