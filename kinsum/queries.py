@@ -196,7 +196,24 @@ def q_plusme_distinct_donors(spark, sf_dir):
     return related.build(_src(spark, sf_dir), CFG.with_(dedupe_donors=True), ["relatedcontrib_plusme_alltime"])
 
 
+def q_related_empty_zero(spark, sf_dir):
+    """Q1: the related totals in the reference's incremental form (0, not
+    NULL, when nothing matches)."""
+    from kinsum.operators import related
+
+    return related.build(_src(spark, sf_dir), CFG.with_(related_empty="zero"), ["relatedcontrib_this_fiscal_year"])
+
+
+def q_mail_clickrate_distinct_links(spark, sf_dir):
+    """M3 option: emails instead of link-multiplied rows."""
+    from kinsum.operators import mailings
+
+    return mailings.build(_src(spark, sf_dir), MAIL_CONFIG.with_(distinct_links=True), ["mail_clickrate_alltime"])
+
+
 QUERIES = {
+    "related_empty_zero": q_related_empty_zero,
+    "mail_clickrate_distinct_links": q_mail_clickrate_distinct_links,
     "population_all": q_population_all,
     "plusme_distinct_donors": q_plusme_distinct_donors,
     "relationship_type_labels": q_relationship_type_labels,

@@ -344,6 +344,20 @@ def extra_oracles() -> dict[str, str]:
     out["plusme_distinct_donors"] = with_views(
         _related(cfg.with_(dedupe_donors=True), "relatedcontrib_plusme_alltime", "alltime", True, distinct_donors=True)
     )
+    out["related_empty_zero"] = with_views(
+        _related(cfg.with_(related_empty="zero"), "relatedcontrib_this_fiscal_year", "this_fiscal_year", False))
+    # emails (queue rows) instead of link-multiplied rows
+    emails_with_links = """SELECT DISTINCT q.id, q.contact_id FROM crm_mail_queue q
+        JOIN crm_mail_job j ON j.id = q.job_id
+        WHERE EXISTS (SELECT 1 FROM crm_mail_link l WHERE l.mailing_id = j.mailing_id)"""
+    out["mail_clickrate_distinct_links"] = with_views(_rate_query(
+        "mail_clickrate_alltime",
+        f"""SELECT e.contact_id, count(*) AS n FROM ({emails_with_links}) e
+            WHERE e.id IN (SELECT event_queue_id FROM crm_mail_delivered) GROUP BY e.contact_id""",
+        """SELECT q.contact_id, count(*) AS n FROM crm_mail_queue q
+            WHERE q.id IN (SELECT event_queue_id FROM crm_mail_link_open) GROUP BY q.contact_id""",
+        f"""SELECT e.contact_id, count(*) AS n FROM ({emails_with_links}) e
+            WHERE e.id IN (SELECT event_queue_id FROM crm_mail_bounce) GROUP BY e.contact_id"""))
     ukeys = ["contribution_total_this_calendar_year", "relatedcontrib_alltime", "mail_openrate_last12months"]
     patch1 = metric_sql("relatedcontrib_alltime", cfg.with_(relationship_type_ids=(5, 6, 7)))
     patch2 = metric_sql("mail_openrate_last12months", MAIL_CONFIG)
