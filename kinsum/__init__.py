@@ -3,14 +3,29 @@ events, grants, mailings) computed as Spark DataFrame jobs.
 
 Entry points:
 
-* :class:`kinsum.config.RollupConfig` - every filter list and the reference date.
-* :func:`kinsum.sources.crm.Sources` - the CRM-shaped input tables.
+* :class:`RollupConfig` - every filter list and the reference date.
+* :class:`Sources` - the CRM-shaped input tables.
 * :mod:`kinsum.operators` - one builder per metric family.
-* :func:`kinsum.plans.refresh.refresh` - fused wide table of all active metrics.
-* :func:`kinsum.plans.upsert.upsert` - keyed column patch onto a stored table.
-* :mod:`kinsum.streaming.incremental` - change feed -> affected contacts -> upsert.
+* :func:`refresh` - fused wide table of all active metrics; :func:`metric` - one metric.
+* :func:`upsert` / :class:`VersionedTable` - keyed column patch, versioned storage.
+* :mod:`kinsum.streaming.incremental` - change feed -> affected contacts -> patch.
 """
 
 from kinsum.config import RollupConfig
+from kinsum.plans.refresh import metric, public, refresh
+from kinsum.plans.registry import Registry, RollupSpec, default_registry
+from kinsum.plans.upsert import VersionedTable, upsert
+from kinsum.sources.crm import Sources
 
-__all__ = ["RollupConfig"]
+__all__ = [
+    "RollupConfig",
+    "Registry",
+    "RollupSpec",
+    "Sources",
+    "VersionedTable",
+    "default_registry",
+    "metric",
+    "public",
+    "refresh",
+    "upsert",
+]
