@@ -14,7 +14,10 @@ Plan (cost |edges| + |contributions|, never |edges| x |donations|):
 2. ``symmetric_edges``: filtered edges, each emitting both directions, which
    replaces the reference's OR-join (that would plan as a nested-loop join).
 3. ``edges ⋈ donor_totals`` on the other endpoint, grouped by ``src``: partial
-   aggregation before the shuffle, AQE splits a hub's skewed join partition.
+   aggregation before the shuffle.  The donor side keeps its aggregation's
+   partitioning, which AQE's skew-join split cannot work with, so the hottest
+   partners (a hub contact) are isolated and joined against a broadcast of
+   their donor rows (:func:`kinsum.functions.joins.hot_split_join`).
 4. left-joined onto the shared contribution rollup (the population, and the
    contact's own totals for the plus-me metrics); both sides are already
    partitioned by contact, so this join adds no exchange.
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from kinsum.config import RollupConfig
 from kinsum.functions import periods
 from kinsum.functions.aggregates import MONEY, restrict, sum_if
+from kinsum.functions.joins import hot_split_join
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
 
@@ -92,7 +96,9 @@ def related_totals(
     matched (edge, donor) pair."""
     donors = donors if donors is not None else donor_totals(src, cfg, windows)
     sym = sym if sym is not None else symmetric_edges(active_edges(src, cfg))
-    j = sym.join(donors, sym["dst"] == donors["donor"], "inner")
+    # donors is partitioned by its own aggregation, so AQE cannot split a hub's
+    # skewed join partition: isolate the hottest partners explicitly
+    j = hot_split_join(sym, donors, "dst", "donor", "inner")
     return j.groupBy(F.col("src").alias("entity_id")).agg(*[F.sum(f"w_{w}").alias(f"r_{w}") for w in windows])
 
 

@@ -7,13 +7,18 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Settings a rollup job should run with (applied by :func:`local_session` and
-# checked by :func:`configure`): UTC session time so timestamp_ntz round-trips,
-# AQE for runtime coalescing, broadcast conversion and skew-join splitting.
+# :func:`configure`): UTC session time so timestamp_ntz round-trips, AQE for
+# runtime coalescing, broadcast conversion and skew-join splitting.  Skew
+# splitting is forced even where it costs an extra shuffle: some joins here
+# (the soft-credit join of C5) feed an aggregation on their own key, and
+# without the force AQE would leave a hot donation's partition to one task.
 CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.unionOutputPartitioning": "true",
     "spark.sql.ansi.enabled": "true",
 }
 

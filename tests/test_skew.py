@@ -33,3 +33,14 @@ def test_hot_contact_hub_and_donation(spark):
     assert float(r[0]["relatedcontrib_alltime"]) == others  # each neighbour gave 1.00
     assert float(r[0]["relatedcontrib_plusme_alltime"]) == others + hot_total
     assert float(r[2]["relatedcontrib_alltime"]) == hot_total  # every leaf sees the hub's total
+
+
+def test_hot_split_join_equals_plain_join(spark):
+    from kinsum.functions.joins import hot_split_join
+
+    big = spark.createDataFrame([(i, 0 if i % 3 == 0 else i % 50) for i in range(600)] + [(999, None)], "id long, k long")
+    small = spark.createDataFrame([(k, k * 10) for k in range(0, 40)], "k2 long, v long")
+    for how in ("inner", "left"):
+        plain = sorted(map(tuple, big.join(small, big["k"] == small["k2"], how).collect()), key=repr)
+        split = sorted(map(tuple, hot_split_join(big, small, "k", "k2", how, top_k=3).collect()), key=repr)
+        assert split == plain
