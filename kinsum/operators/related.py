@@ -90,15 +90,23 @@ def symmetric_edges(edges: DataFrame) -> DataFrame:
 
 
 def related_totals(
-    src: Sources, cfg: RollupConfig, windows, donors: DataFrame | None = None, sym: DataFrame | None = None
+    src: Sources,
+    cfg: RollupConfig,
+    windows,
+    donors: DataFrame | None = None,
+    sym: DataFrame | None = None,
+    hot_split: bool = True,
 ) -> DataFrame:
     """``(entity_id, r_<window>...)`` for every contact with at least one
     matched (edge, donor) pair."""
     donors = donors if donors is not None else donor_totals(src, cfg, windows)
     sym = sym if sym is not None else symmetric_edges(active_edges(src, cfg))
-    # donors is partitioned by its own aggregation, so AQE cannot split a hub's
-    # skewed join partition: isolate the hottest partners explicitly
-    j = hot_split_join(sym, donors, "dst", "donor", "inner")
+    if hot_split:
+        # donors is partitioned by its own aggregation, so AQE cannot split a
+        # hub's skewed join partition: isolate the hottest partners explicitly
+        j = hot_split_join(sym, donors, "dst", "donor", "inner")
+    else:
+        j = sym.join(donors, sym["dst"] == donors["donor"], "inner")
     return j.groupBy(F.col("src").alias("entity_id")).agg(*[F.sum(f"w_{w}").alias(f"r_{w}") for w in windows])
 
 
@@ -121,11 +129,14 @@ def build(
     # completed, listed donations only (those filters reach the scan); the
     # population and the "own" part come from the shared contribution rollup
     donors = donor_totals(src, cfg, windows, needed)
-    rel = related_totals(src, cfg, windows, donors, sym)
+    # restricted to given contacts, a partner's edge rows are bounded by the
+    # (broadcast-sized) contact set, so the plain join is safe there
+    hot_split = contacts is None
+    rel = related_totals(src, cfg, windows, donors, sym, hot_split)
     rel_p = rel
     if cfg.dedupe_donors and any(k in PLUSME_KEYS for k in keys):
         # Q2 DISTINCT form for the plus-me metrics: one row per (contact, donor)
-        rel_p = related_totals(src, cfg, windows, donors, sym.distinct())
+        rel_p = related_totals(src, cfg, windows, donors, sym.distinct(), hot_split)
         rel_p = rel_p.select("entity_id", *[F.col(f"r_{w}").alias(f"rp_{w}") for w in windows])
     base = contributions.rollup(src, cfg, list(extra_keys), windows if any(k in PLUSME_KEYS for k in keys) else (), contacts)
     out = base.join(rel, base["contact_id"] == rel["entity_id"], "left").drop("entity_id")
