@@ -129,8 +129,9 @@ def build(
     # completed, listed donations only (those filters reach the scan); the
     # population and the "own" part come from the shared contribution rollup
     donors = donor_totals(src, cfg, windows, needed)
-    # restricted to given contacts, a partner's edge rows are bounded by the
-    # (broadcast-sized) contact set, so the plain join is safe there
+    # restricted to given contacts (an incremental batch), a partner's edge
+    # rows number at most the batch's contacts times their parallel edges, so
+    # the plain join is safe there and saves the hot-key pass
     hot_split = contacts is None
     rel = related_totals(src, cfg, windows, donors, sym, hot_split)
     rel_p = rel
