@@ -27,6 +27,10 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
     )
     e = IdFilter(cfg.event_type_ids, "event_type").restrict(src["event"], src, "event_type_id")
     e = e.select(F.col("id").alias("_eid"), F.col("start_date"))
+    if contacts is not None:
+        # incremental: only the events the restricted participants attended
+        ids = p.select(F.col("event_id").alias("_pe"))
+        e = e.join(ids, e["_eid"] == ids["_pe"], "left_semi")
     j = p.join(e, (p["event_id"] == e["_eid"]) & p["_status_ok"], "left")
     matched = F.col("_eid").isNotNull()
     return j.groupBy(F.col("contact_id").alias("entity_id")).agg(

@@ -60,7 +60,7 @@ def rollup(src: Sources, cfg: RollupConfig, keys, related_windows=(), contacts=N
     )
     parts = [own]
     if "hard_and_soft" in keys:
-        parts.append(_hard_and_soft_rows(src, c))
+        parts.append(_hard_and_soft_rows(src, c, contacts))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rows = restrict(rows, "contact_id", contacts)
 
@@ -95,7 +95,7 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
     return rollup(src, cfg, ckeys, (), contacts).select(F.col("contact_id").alias("entity_id"), *ckeys)
 
 
-def _hard_and_soft_rows(src: Sources, c: DataFrame) -> DataFrame:
+def _hard_and_soft_rows(src: Sources, c: DataFrame, contacts: DataFrame | None = None) -> DataFrame:
     """C5 credits beyond the donor's plain total.
 
     C5 sums total_amount over rows of ``contribution ⟕ soft`` (fan-out kept)
@@ -113,7 +113,18 @@ def _hard_and_soft_rows(src: Sources, c: DataFrame) -> DataFrame:
     Spark's runtime bloom filter), no donation's fan-out is materialised, and
     the per-donation count reuses the join's partitioning on the id."""
     ok = c.where("_ok").select("id", "contact_id", "total_amount")
-    pairs = src["contribution_soft"].groupBy(
+    soft = src["contribution_soft"]
+    if contacts is not None:
+        # incremental: the donations of the contacts and the donations that
+        # soft-credit them - all their soft rows (for n), and only them
+        ids = (
+            restrict(ok, "contact_id", contacts).select(F.col("id").alias("_k"))
+            .unionAll(restrict(soft, "contact_id", contacts).select(F.col("contribution_id").alias("_k")))
+            .distinct()
+        )
+        soft = soft.join(ids, soft["contribution_id"] == ids["_k"], "left_semi")
+        ok = ok.join(ids, ok["id"] == ids["_k"], "left_semi")
+    pairs = soft.groupBy(
         F.col("contribution_id").alias("_cid"), F.col("contact_id").alias("_sc")
     ).agg(F.count(F.lit(1)).alias("_m"))
     credited = pairs.join(ok, pairs["_cid"] == ok["id"], "inner")

@@ -43,6 +43,10 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
         F.col("id").alias("_pid"), *[win[k].contains("receive_date").alias(f"_in_{i}") for i, k in enumerate(keys)]
     )
     soft = restrict(src["contribution_soft"], "contact_id", contacts)
+    if contacts is not None:
+        # incremental: only the parents the restricted soft rows point at
+        ids = soft.select(F.col("contribution_id").alias("_sid"))
+        parents = parents.join(ids, parents["_pid"] == ids["_sid"], "left_semi")
     j = soft.join(parents, soft["contribution_id"] == parents["_pid"], "left")
     aggs = [sum_or_zero(F.coalesce(F.col(f"_in_{i}"), F.lit(False)), F.col("amount")).alias(k) for i, k in enumerate(keys)]
     return j.groupBy(F.col("contact_id").alias("entity_id")).agg(*aggs)
