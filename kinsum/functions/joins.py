@@ -47,3 +47,29 @@ def hot_split_join(
     on_hot = big_hot.join(small_hot, big_hot[big_key] == small_hot[small_key], how)
     on_cold = big_cold.join(small, big_cold[big_key] == small[small_key], how)
     return on_hot.unionByName(on_cold)
+
+
+# Small key sets of one incremental batch, persisted while the batch runs.
+# Batches are serialised (see kinsum.streaming.incremental), so a plain list
+# is enough; ``release_small_sides`` empties it once the batch is written.
+_PERSISTED: list = []
+SMALL_MAX_ROWS = 100_000
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_MAX_ROWS) -> DataFrame:
+    """Materialise a key set derived from an incremental batch once, and
+    broadcast it when its counted size is at most ``max_rows``.
+
+    A join is planned as a broadcast join only from sizes known at planning
+    time; adaptive execution converts a shuffle join later, after the big
+    side has already been shuffled.  Counting the (persisted) set first lets
+    the big side of every join with it stay unshuffled."""
+    df = df.persist()
+    _PERSISTED.append(df)
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def release_small_sides() -> None:
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kinsum.config import RollupConfig
 from kinsum.functions.aggregates import restrict
+from kinsum.functions.joins import small_side
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
 
@@ -29,7 +30,7 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
     e = e.select(F.col("id").alias("_eid"), F.col("start_date"))
     if contacts is not None:
         # incremental: only the events the restricted participants attended
-        ids = p.select(F.col("event_id").alias("_pe"))
+        ids = small_side(p.select(F.col("event_id").alias("_pe")).distinct())
         e = e.join(ids, e["_eid"] == ids["_pe"], "left_semi")
     j = p.join(e, (p["event_id"] == e["_eid"]) & p["_status_ok"], "left")
     matched = F.col("_eid").isNotNull()

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from kinsum.config import RollupConfig
 from kinsum.functions import periods
 from kinsum.functions.aggregates import MONEY, restrict, sum_if, sum_or_zero
+from kinsum.functions.joins import small_side
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
 
@@ -122,6 +123,7 @@ def _hard_and_soft_rows(src: Sources, c: DataFrame, contacts: DataFrame | None =
             .unionAll(restrict(soft, "contact_id", contacts).select(F.col("contribution_id").alias("_k")))
             .distinct()
         )
+        ids = small_side(ids)
         soft = soft.join(ids, soft["contribution_id"] == ids["_k"], "left_semi")
         ok = ok.join(ids, ok["id"] == ids["_k"], "left_semi")
     pairs = soft.groupBy(

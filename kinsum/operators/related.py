@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from kinsum.config import RollupConfig
 from kinsum.functions import periods
 from kinsum.functions.aggregates import MONEY, restrict, sum_if
-from kinsum.functions.joins import hot_split_join
+from kinsum.functions.joins import hot_split_join, small_side
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
 
@@ -124,7 +124,7 @@ def build(
     needed = None  # donors whose totals are needed (all of them in batch)
     if contacts is not None:
         # the restricted contacts and their neighbours (whose totals they need)
-        needed = sym.select(F.col("dst").alias("entity_id")).unionAll(contacts.select("entity_id")).distinct()
+        needed = small_side(sym.select(F.col("dst").alias("entity_id")).unionAll(contacts.select("entity_id")).distinct())
     # donor totals for the edge join come from their own aggregation over the
     # completed, listed donations only (those filters reach the scan); the
     # population and the "own" part come from the shared contribution rollup

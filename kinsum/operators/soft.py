@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from kinsum.config import RollupConfig
 from kinsum.functions import periods
 from kinsum.functions.aggregates import restrict, sum_or_zero
+from kinsum.functions.joins import small_side
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
 
@@ -45,7 +46,7 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
     soft = restrict(src["contribution_soft"], "contact_id", contacts)
     if contacts is not None:
         # incremental: only the parents the restricted soft rows point at
-        ids = soft.select(F.col("contribution_id").alias("_sid"))
+        ids = small_side(soft.select(F.col("contribution_id").alias("_sid")).distinct())
         parents = parents.join(ids, parents["_pid"] == ids["_sid"], "left_semi")
     j = soft.join(parents, soft["contribution_id"] == parents["_pid"], "left")
     aggs = [sum_or_zero(F.coalesce(F.col(f"_in_{i}"), F.lit(False)), F.col("amount")).alias(k) for i, k in enumerate(keys)]

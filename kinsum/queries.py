@@ -15,6 +15,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from kinsum.functions.joins import release_small_sides
 from kinsum.functions.periods import fiscal_year_bounds
 from kinsum.operators import contracts as K
 from kinsum.operators.related import neighbours
@@ -33,6 +34,7 @@ SPLIT = fiscal_year_bounds(CFG, 0)[0]
 
 def _src(spark, sf_dir):
     configure(spark)
+    release_small_sides()  # key sets kept for a previous query's result
     return crm_sources(spark, sf_dir)
 
 
