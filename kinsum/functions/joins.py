@@ -64,10 +64,15 @@ def small_side(df: DataFrame, max_rows: int = SMALL_MAX_ROWS) -> DataFrame:
     time; adaptive execution converts a shuffle join later, after the big
     side has already been shuffled.  Counting the (persisted) set first lets
     the big side of every join with it stay unshuffled."""
+    return small_side_checked(df, max_rows)[0]
+
+
+def small_side_checked(df: DataFrame, max_rows: int = SMALL_MAX_ROWS) -> tuple[DataFrame, bool]:
+    """:func:`small_side` plus whether the set was small enough to broadcast."""
     df = df.persist()
     _PERSISTED.append(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return (F.broadcast(df) if small else df), small
 
 
 def release_small_sides() -> None:

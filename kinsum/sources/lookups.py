@@ -5,11 +5,11 @@ pushes into the scan.  A missing list means "every id the lookup table knows":
 that is resolved as a join flag against the distinct lookup ids, so nothing is
 collected to the driver and the lookup may be of any size.
 
-Lookup joins carry no broadcast hint: adaptive execution measures the lookup
-side after its (small) shuffle stage and turns the join into a broadcast join
-only when the measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``;
-otherwise it stays a shuffle join.  :func:`bounded_broadcast` is the explicit
-form, for a side that is reused (it counts it first).
+Lookup joins carry no broadcast hint: the planner broadcasts a lookup whose
+estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` and adaptive
+execution converts the join once it has measured it; otherwise it stays a
+shuffle join.  Sides derived from an incremental batch are counted first
+(:func:`kinsum.functions.joins.small_side`).
 """
 
 from __future__ import annotations
@@ -21,18 +21,6 @@ from pyspark.sql import functions as F
 
 from kinsum.sources.crm import Sources
 
-# Rows below which a lookup side is broadcast; checked, never assumed.
-BROADCAST_MAX_ROWS = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` (shuffle
-    join).  The check reads at most ``max_rows + 1`` rows; pass a persisted
-    frame when it is expensive to compute, so the check and the join share it."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def option_lookup(src: Sources, group_name: str) -> DataFrame:
     """SRC2: ``(value, label)`` of one option group; empty when the component
     (its option tables) is missing."""
