@@ -53,3 +53,18 @@ def test_fused_refresh_scan_count(spark):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and df.columns[0] == "entity_id" and len(df.columns) == 28
+
+
+def test_restricted_refresh_has_no_nested_loop(spark):
+    from pyspark.sql import functions as F
+
+    from fixtures import GOLDEN_CFG, golden_sources
+    from kinsum.functions.joins import release_small_sides
+    from kinsum.plans.refresh import refresh
+
+    contacts = F.broadcast(spark.createDataFrame([(1,), (3,)], "entity_id long"))
+    df, _ = refresh(golden_sources(spark), GOLDEN_CFG, contacts=contacts, membership=True)
+    p = _plan(df)
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+    assert {r["entity_id"] for r in df.collect()} <= {1, 3}
+    release_small_sides()

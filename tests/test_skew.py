@@ -44,3 +44,15 @@ def test_hot_split_join_equals_plain_join(spark):
         plain = sorted(map(tuple, big.join(small, big["k"] == small["k2"], how).collect()), key=repr)
         split = sorted(map(tuple, hot_split_join(big, small, "k", "k2", how, top_k=3).collect()), key=repr)
         assert split == plain
+
+
+def test_small_side_checks_its_bound(spark):
+    from kinsum.functions import joins
+
+    df = spark.range(5).withColumnRenamed("id", "k")
+    _, small = joins.small_side_checked(df, max_rows=10)
+    _, large = joins.small_side_checked(df, max_rows=3)
+    assert small and not large
+    assert len(joins._PERSISTED) >= 2
+    joins.release_small_sides()
+    assert joins._PERSISTED == []
