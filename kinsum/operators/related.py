@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from kinsum.config import RollupConfig
 from kinsum.functions import periods
-from kinsum.functions.aggregates import MONEY, restrict, sum_if
+from kinsum.functions.aggregates import restrict, sum_if
 from kinsum.functions.joins import hot_split_join, small_side
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
@@ -46,6 +46,9 @@ WINDOW_NAMES = [
 RELATED_KEYS = [f"relatedcontrib_{w}" for w in WINDOW_NAMES]
 PLUSME_KEYS = [f"relatedcontrib_plusme_{w}" for w in WINDOW_NAMES]
 KEYS = RELATED_KEYS + PLUSME_KEYS
+# output type of the sums: wide enough that no total can overflow (ANSI mode
+# would raise rather than wrap)
+TOTAL = "decimal(38,2)"
 
 
 def window_of(key: str) -> str:
@@ -151,14 +154,14 @@ def build(
             if rel_p is not rel:
                 r = F.col(f"rp_{w}")
             o = F.col(f"w_{w}")
-            v = F.when(r.isNull() & o.isNull(), F.lit(None).cast(MONEY)).otherwise(
+            v = F.when(r.isNull() & o.isNull(), F.lit(None).cast(TOTAL)).otherwise(
                 F.coalesce(r, F.lit(0)) + F.coalesce(o, F.lit(0))
             )
         else:
             v = r
         if cfg.related_empty == "zero":
             v = F.coalesce(v, F.lit(0))
-        cols.append(v.cast(MONEY).alias(k))
+        cols.append(v.cast(TOTAL).alias(k))
     return out.select(F.col("contact_id").alias("entity_id"), *list(extra_keys), *cols)
 
 
