@@ -161,3 +161,55 @@ def test_mail_rates_against_brute_force(spark, seed):
         want = {x: _round_half_up(o.get(x, 0), s[x] - b.get(x, 0)) for x in s if s[x] > 0}
         got = {row["entity_id"]: row[key] for row in mailings.build(src, CFG, [key]).collect()}
         assert got == want, (seed, key)
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_events_and_grants_against_brute_force(spark, seed):
+    from kinsum.operators import attendance, grants
+
+    r = random.Random(seed)
+    contacts = list(range(1, 9))
+    events = [(e, r.choice([None, dt.datetime(2019, 1, 1), dt.datetime(2020, 5, 1), dt.datetime(2021, 1, 1)]), r.choice([1, 1, 5]))
+              for e in range(1, 8)]
+    participants = [(r.choice(contacts), r.randint(1, 9), r.choice([1, 2, 3])) for _ in range(25)]  # events 8, 9 missing
+    option_group = [(1, "grant_type"), (2, "grant_status")]
+    option_value = [(1, "1", "Beta"), (1, "2", "Alpha"), (1, "2", "Alpha"), (1, "3", "Gamma"), (1, "3.0", "Delta"),
+                    (1, "x", "Junk"), (2, "1", "Open")]
+    grant_rows = [(r.choice(contacts), r.choice([1, 2]), r.choice([1, 2, 3, 4]), r.choice([None, D(r.randint(1, 99))]))
+                  for _ in range(25)]
+    src = Sources.from_rows(spark, event=events, participant=participants, grant=grant_rows,
+                            option_group=option_group, option_value=option_value)
+    cfg = CFG
+    ev = {e[0]: e for e in events}
+
+    # E1: ORDER BY start_date ASC (NULL first) LIMIT 1 over matching rows
+    want_e1 = {}
+    for x in {p[0] for p in participants}:
+        starts = [ev[p[1]][1] for p in participants
+                  if p[0] == x and p[2] in cfg.participant_status_ids and p[1] in ev and ev[p[1]][2] in cfg.event_type_ids]
+        want_e1[x] = None if not starts or any(s is None for s in starts) else min(starts)
+    got_e1 = {row["entity_id"]: row["event_first_attended_date"] for row in attendance.build(src, cfg).collect()}
+    assert got_e1 == want_e1
+
+    # G1-G3: numeric comparison of option text with the type id; distinct labels, sorted
+    def match(g):
+        return g[1] in cfg.grant_status_ids and g[2] in cfg.grant_type_ids
+
+    def labels(type_id):
+        out = []
+        for gid, value, label in option_value:
+            try:
+                num = float(value)
+            except ValueError:
+                continue
+            if gid == 1 and num == type_id:
+                out.append(label)
+        return out
+
+    got = {row["entity_id"]: row.asDict() for row in grants.build(src, cfg).collect()}
+    for x in {g[0] for g in grant_rows}:
+        mine = [g for g in grant_rows if g[0] == x and match(g)]
+        assert got[x]["grant_count_received"] == len(mine)
+        assert D(got[x]["grant_total_received"]) == sum((g[3] for g in mine if g[3] is not None), D(0))
+        lab = sorted({lbl for g in mine for lbl in labels(g[2])})
+        assert got[x]["grant_types_received"] == (", ".join(lab) if lab else None)
