@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from kinsum.llm.bpe_codec import bpe_codec
 from kinsum.llm.common import table
 from kinsum.llm.exact_dedup import EXACT_SQL, exact_dedup
+from kinsum.llm.line_dedup import line_digest, line_sql
 from kinsum.llm.near_dedup import near_dedup, near_sql
+from kinsum.llm.quality_cnn import quality
 from kinsum.llm.token_counts import token_counts
 
 
@@ -33,11 +35,19 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_token_counts, op6_bpe_codec, op9_near_dedup)
+    f.__name__: f for f in (op2_exact_dedup, op3_token_counts, op6_bpe_codec, op7_quality_cnn, op8_line_dedup, op9_near_dedup)
 }
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": EXACT_SQL, "op9_near_dedup": near_sql(4, 80)}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": EXACT_SQL, "op8_line_dedup": line_sql(), "op9_near_dedup": near_sql(4, 80)}
