@@ -14,14 +14,17 @@ their Jaccard similarity.
    the registers, with a slack of five standard deviations, and verified on full
    shingle sets; the links give first components.
 4. Only pairs in different components are of interest from here on.  In a bucket of up
-   to SMALL members that lie in several components all such pairs are tested.  A larger
-   one tests its smallest and largest member against all others, and is then dealt
-   into finer buckets by further registers (SPLITS keys of FINER registers each),
-   which go the same way, LEVELS times.
+   to SMALL members that lie in several components all such pairs are tested; in a
+   larger one two centres are tested against all members of other components.
+5. Buckets that are then still large and of several components (unlike documents that
+   share a long passage, or copies at the very threshold) are compared exactly, in blocks:
+   every member outside a bucket's largest component meets all others in groups of
+   at most about two times BLOCK members, where shared shingles are counted by an
+   inverted index and only the links come out.
 
 Groups of copies collapse in 1, hot buckets are aggregated before they are shuffled and
 joined with a table that has one row a key (adaptive execution splits such joins); no
-group is collected beyond SMALL members.
+group is collected beyond SMALL or two times BLOCK members.
 
 Null, empty and blank texts have an empty set: they are linked with nothing.  Rows with
 a null id get a null component and are not kept.  Rows with the same id are one vertex.
@@ -31,6 +34,7 @@ An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +46,7 @@ from kinsum.llm.words import HASHES, MULT, bitmap, in_bitmap, mix, shingles
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
 B, RATE, Q = 1.001, 20.0, 65_534
-SMALL, SPLITS, FINER, LEVELS = 32, 8, 4, 3
+SMALL, BLOCK = 16, 500
 #: Below the threshold by five standard deviations of a register count at 0.8.
 SLACK = 0.16
 
@@ -114,6 +118,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
+    """(key, rep): the buckets of every representative."""
     schema = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
 
     def run(batches: Batches) -> Batches:
@@ -124,25 +129,6 @@ def buckets(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sketch").mapInArrow(run, "key long, rep long")
 
 
-def finer(rows: DataFrame, reps: DataFrame, level: int) -> DataFrame:
-    """Members (key, rep) of large buckets under SPLITS finer keys each."""
-    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
-    rng = np.random.default_rng(1000 + level)
-    picks = [rng.choice(M, FINER, replace=False) for _ in range(SPLITS)]
-
-    def run(batches: Batches) -> Batches:
-        for b in batches:
-            key, rep = (b.column(i).to_numpy() for i in (0, 1))
-            s = unpack(b.column(2), np.uint16, M).astype(np.uint64)
-            for j, pick in enumerate(picks):
-                h = mix(key.view(np.uint64) + np.uint64(j + 1 + SPLITS * level))
-                for i in pick:
-                    h = mix(h * MULT + s[:, i])
-                yield batch(schema, key=h.view(np.int64), rep=rep)
-
-    return rows.select("key", "rep").join(reps.select("rep", "sketch"), "rep").select("key", "rep", "sketch").mapInArrow(run, "key long, rep long")
-
-
 def screened(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose estimated similarity is at least ``least``."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -159,13 +145,12 @@ def screened(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union of their full sets."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, shingles (sorted uint64) of the documents in ``ids``; a bitmap of
+    fixed size lets some others through, which the caller's joins drop."""
     wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(ids, F.col("doc_id"))))
 
-    def sets(batches: Batches) -> Batches:
+    def run(batches: Batches) -> Batches:
         present = np.unpackbits(wanted.value).astype(bool)
         for b in batches:
             at = np.flatnonzero(in_bitmap(present, b.column(0).to_numpy(zero_copy_only=False)))
@@ -173,6 +158,13 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 some = b.take(pa.array(at[i : i + 200]))
                 yield batch(SETS, doc_id=some.column(0), shingles=[shingles(HASHES.of(t), width).tobytes() for t in some.column(1).to_pylist()])
 
+    return texts(docs.where(docs["doc_id"].isNotNull()), binary=True).mapInArrow(run, "doc_id long, shingles binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union of their full sets."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
     def compare(batches: Batches) -> Batches:
         for b in batches:
             keep = []
@@ -182,60 +174,99 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch(schema, a=b.column(0).filter(pa.array(keep, pa.bool_())), b=b.column(1).filter(pa.array(keep, pa.bool_())))
 
-    own = texts(docs.where(docs["doc_id"].isNotNull()), binary=True).mapInArrow(sets, "doc_id long, shingles binary")
-    own = own.join(ids.distinct(), "doc_id", "left_semi")
+    own = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), width)
     a, b = own.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), own.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, comps: DataFrame | None, last: bool):
-    """(pairs, large): pairs in different components from buckets (key, rep), and the
-    members of buckets that are too large to test all their pairs."""
-    if comps is not None:
-        members = members.join(comps.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("comp", "rep")).drop("comp")
-    else:
-        members = members.withColumn("c", F.col("rep"))
-    members = cut(members.select("key", "rep", "c"), "members")
-    stats = cut(
-        members.groupBy("key")
-        .agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("rep").alias("r0"), F.max_by("rep", F.struct("c", "rep")).alias("r1"))
-        .where("c0 <> c1"),
-        "buckets",
-    )
-    mixed = members.join(stats, "key")
+def mixed_buckets(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members (key, rep, c) of buckets that lie in several components, with the size
+    of the bucket and two of its members in different components as centres."""
+    named = rows.join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("c"))
+    members = cut(named, "members")
+    one = F.struct("c", "rep")
+    stats = members.groupBy("key").agg(F.count("*").alias("size"), F.min(one).alias("r0"), F.max(one).alias("r1")).where("r0.c <> r1.c")
+    return cut(members.join(cut(stats, "buckets"), "key"), "mixed")
+
+
+def small_pairs(mixed: DataFrame) -> DataFrame:
+    """All pairs in different components, from buckets of up to SMALL members."""
     whole = mixed.where(f"size <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep", "c"))).alias("m"))
-    small = whole.select(
-        F.explode(
-            F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, {SMALL}), y -> y.c <> x.c), y -> struct(x.rep as a, y.rep as b))))")
-        ).alias("p")
-    ).select("p.a", "p.b")
-    large = mixed.where(f"size > {SMALL}")
-    star = large.select(F.explode(F.array(F.struct(F.col("r0").alias("a"), F.col("rep").alias("b")), F.struct(F.col("r1").alias("a"), F.col("rep").alias("b")))).alias("p"))
-    star = star.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where("a <> b")
-    return small.unionByName(star).distinct(), None if last else large.select("key", "rep")
+    others = f"filter(slice(m, i + 2, {SMALL}), y -> y.c <> x.c)"
+    each = F.expr(f"flatten(transform(m, (x, i) -> transform({others}, y -> struct(x.rep as a, y.rep as b))))")
+    return whole.select(F.explode(each).alias("p")).select("p.a", "p.b")
 
 
-def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(verified links, their components) between class representatives."""
-    least = percent / 100 - SLACK
+def star_pairs(mixed: DataFrame) -> DataFrame:
+    """The centres of larger buckets with the members of other components."""
+    large = mixed.where(f"size > {SMALL}")
+    ends = [large.where(f"{r}.c <> c").select(F.least(f"{r}.rep", "rep").alias("a"), F.greatest(f"{r}.rep", "rep").alias("b")) for r in ("r0", "r1")]
+    return ends[0].unionByName(ends[1])
+
+
+def shared_counts(query: np.ndarray, tokens: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles of ``query`` each of n sets holds; ``tokens`` is sorted."""
+    lo, hi = np.searchsorted(tokens, query, "left"), np.searchsorted(tokens, query, "right")
+    size = hi - lo
+    at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    return np.bincount(owners[at], minlength=n)
+
+
+def block_links(percent: int):
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        m, q = g[g.role == 1], g[g.role == 0]
+        sets = [np.frombuffer(x, np.uint64) for x in m.shingles]
+        size, reps, comp = np.array([len(x) for x in sets], np.int64), m.rep.to_numpy(), m.c.to_numpy()
+        a, b = [], []
+        if len(sets):
+            tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owners = tokens[order], owners[order]
+            for rep, c, x in zip(q.rep, q.c, q.shingles, strict=True):
+                x = np.frombuffer(x, np.uint64)
+                both = shared_counts(x, tokens, owners, len(sets))
+                hit = np.flatnonzero((comp != c) & (both > 0) & (100 * both >= percent * (len(x) + size - both)))
+                _, first = np.unique(comp[hit], return_index=True)  # one link to each component
+                a.extend([rep] * len(first))
+                b.extend(reps[hit[first]])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return run
+
+
+def rest_links(docs: DataFrame, large: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links between different components within the buckets (key, rep, c)."""
+    each = large.groupBy("key", "c").agg(F.count("*").alias("n"))
+    top = F.max(F.struct("n", "c"))
+    stats = cut(each.groupBy("key").agg(top["c"].alias("top"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.sum("n") - top["n"]) / BLOCK).cast("int").alias("asking")), "sizes")
+    rows = large.select("key", "rep", "c").join(stats, "key")
+    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = rows.select("key", "rep", "c", F.lit(1).alias("role"), every("asking").alias("i"), mine("blocks").alias("j"))
+    asks = rows.where("c <> top").select("key", "rep", "c", F.lit(0).alias("role"), mine("asking").alias("i"), every("blocks").alias("j"))
+    sets = shingle_sets(docs, large.select(F.col("rep").alias("doc_id")), width).withColumnRenamed("doc_id", "rep")
+    return asked.unionByName(asks).join(sets, "rep").groupBy("key", "i", "j").applyInPandas(block_links(percent), "a long, b long")
+
+
+def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """Components (v, comp) of the verified links between class representatives."""
     rows = buckets(reps)
     stats = cut(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("r0")).where("size > 1"), "buckets")
     members = cut(rows.join(stats, "key"), "members")
-    star = members.where("rep <> r0").select(F.col("r0").alias("a"), F.col("rep").alias("b")).distinct()
-    test = lambda p: cut(verified(cut(screened(p, reps, least), "screened"), docs, width, percent), "links")
-    found = test(star)
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        close = cut(screened(pairs.distinct(), reps, percent / 100 - SLACK), "screened")
+        return cut(verified(close, docs, width, percent), "links")
+
+    found = tested(members.where("rep <> r0").select(F.col("r0").alias("a"), F.col("rep").alias("b")))
+    comps = components(found)
+    mixed = mixed_buckets(members.select("key", "rep"), comps)
+    found = found.unionByName(tested(small_pairs(mixed).unionByName(star_pairs(mixed))))
     comps = components(found)
-    rows = members.select("key", "rep")
-    for level in range(LEVELS):
-        pairs, large = cross_pairs(rows, comps, level == LEVELS - 1)
-        more = test(pairs)
-        if not more.isEmpty():
-            found = found.unionByName(more)
-            comps = components(found)
-        if large is None or (large := cut(large, "large")).isEmpty():
-            break
-        rows = finer(large, reps, level)
-    return found, comps
+    large = mixed_buckets(mixed.where(f"size > {SMALL}").select("key", "rep"), comps)
+    if large.isEmpty():
+        return comps
+    return components(found.unionByName(cut(rest_links(docs, large, width, percent).distinct(), "links")))
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -246,7 +277,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         named.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")),
         "reps",
     )
-    _, comps = links(docs, reps, width, percent)
+    comps = links(docs, reps, width, percent)
     classes = cut(reps.join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("comp", "rep").alias("comp")), "classes")
     out = rows.select("doc_id", "n", "k1", "k2").join(classes.hint("merge"), ["n", "k1", "k2"], "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

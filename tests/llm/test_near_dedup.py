@@ -67,8 +67,9 @@ def test_brute_force(make, odd, real):
 @pytest.mark.parametrize("small", [2, 8])
 def test_large_buckets(make, monkeypatch, small):
     """Groups of copies and a passage shared by unrelated documents overfill every
-    bucket; stars, finer buckets and components still find what brute force finds."""
+    bucket; stars, exact blocks and components still find what brute force finds."""
     monkeypatch.setattr(nd, "SMALL", small)
+    monkeypatch.setattr(nd, "BLOCK", 15)
     rnd = random.Random(4)
     passage = [f"p{i}" for i in range(60)]
     texts = [" ".join(passage + [f"u{rnd.randrange(10**6)}" for _ in range(25)]) for _ in range(60)]
