@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from kinsum.llm.common import Batches, batch, cut, texts
 from kinsum.llm.graph import components
-from kinsum.llm.words import HASHES, MULT, bitmap, in_bitmap, mix, shingles
+from kinsum.llm.words import HASHES, MULT, bloom, mix, shingles
 
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
@@ -148,17 +148,17 @@ def screened(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """doc_id, shingles (sorted uint64) of the documents in ``ids``; a bitmap of
     fixed size lets some others through, which the caller's joins drop."""
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(ids, F.col("doc_id"))))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids, F.xxhash64("doc_id"), 23))
 
     def run(batches: Batches) -> Batches:
-        present = np.unpackbits(wanted.value).astype(bool)
         for b in batches:
-            at = np.flatnonzero(in_bitmap(present, b.column(0).to_numpy(zero_copy_only=False)))
+            at = np.flatnonzero(wanted.value.may_hold(b.column(2).to_numpy()))
             for i in range(0, len(at), 200):
                 some = b.take(pa.array(at[i : i + 200]))
                 yield batch(SETS, doc_id=some.column(0), shingles=[shingles(HASHES.of(t), width).tobytes() for t in some.column(1).to_pylist()])
 
-    return texts(docs.where(docs["doc_id"].isNotNull()), binary=True).mapInArrow(run, "doc_id long, shingles binary")
+    rows = texts(docs.where(docs["doc_id"].isNotNull()), binary=True)
+    return rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, shingles binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:

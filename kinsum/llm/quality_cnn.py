@@ -241,3 +241,19 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     scored = texts(docs, binary=True).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text is not rejected."""
+    model = train(docs, labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Batches) -> Batches:
+        scorer = Scorer(model) if model else None
+        for b in batches:
+            if b.num_rows and scorer:
+                data, offsets = raw_bytes(b.column(at).cast(pa.large_string()).fill_null(""))
+                b = b.filter(pa.array(scorer.scores(data, offsets) >= THRESHOLD))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinsum.llm.bpe_codec import bpe_codec
 from kinsum.llm.common import table
+from kinsum.llm.decontam import decontaminate
 from kinsum.llm.exact_dedup import EXACT_SQL, exact_dedup
 from kinsum.llm.line_dedup import line_digest, line_sql
 from kinsum.llm.near_dedup import near_dedup, near_sql
@@ -23,6 +24,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,6 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_token_counts, op6_bpe_codec, op7_quality_cnn, op8_line_dedup, op9_near_dedup)
+    f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_counts, op6_bpe_codec, op7_quality_cnn, op8_line_dedup, op9_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": EXACT_SQL, "op8_line_dedup": line_sql(), "op9_near_dedup": near_sql(4, 80)}

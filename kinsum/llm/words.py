@@ -16,7 +16,9 @@ class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
+        return self.remember(word, xxhash.xxh3_64_intdigest(word))
+
+    def remember(self, word: bytes, h: int) -> int:
         if len(word) <= 64:
             if len(self) >= CACHE:
                 self.clear()
@@ -55,22 +57,32 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def bitmap(df: DataFrame, key: Column, bits: int = 23) -> np.ndarray:
-    """Which values ``key`` modulo 2**bits occur, as a boolean array of fixed
-    size: 2**(bits - 6) longs reach the driver at most, however large ``df`` is."""
-    at = F.pmod(key, F.lit(1 << bits))
+class Bloom:
+    """A Bloom bitmap with two places a key (64-bit integers)."""
+
+    def __init__(self, slots: np.ndarray):
+        self.bytes = slots.view(np.uint8)
+        self.mask = np.int64(len(slots) * 64 - 1)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        k = keys.view(np.int64)
+        out = np.ones(len(k), bool)
+        for at in (k & self.mask, (k >> np.int64(32)) & self.mask):
+            out &= (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def bloom(df: DataFrame, key: Column, bits: int = 26) -> Bloom:
+    """Bloom bitmap of the (well-mixed) values of ``key``.  Its size is fixed: at most
+    2**(bits - 6) longs reach the driver, however large ``df`` is."""
+    mask = F.lit((1 << bits) - 1)
+    at = F.explode(F.array(key.bitwiseAND(mask), F.shiftright(key, 32).bitwiseAND(mask)))
     rows = (
         df.select(at.alias("at"))
         .groupBy(F.shiftright("at", 6).cast("int").alias("slot"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-        .collect()
+        .toArrow()
     )
     out = np.zeros(1 << (bits - 6), np.int64)
-    for slot, b in rows:
-        out[slot] = b
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
-def in_bitmap(present: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """For signed or unsigned 64-bit keys: may the key be in the set?"""
-    return present[(keys.view(np.int64) & np.int64(len(present) - 1))]
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return Bloom(out)

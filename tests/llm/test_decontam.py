@@ -1,0 +1,79 @@
+import random
+
+import numpy as np
+
+from kinsum.llm import decontam as dc
+
+
+def words(t):
+    return [(w.strip(dc.EDGES) or w) for w in (t or "").encode().lower().split()]
+
+
+def brute(docs, bench):
+    """All mask matches of all pairs, then the best segment on each diagonal."""
+    out = {}
+    for d, t in docs:
+        dw = words(t)
+        for i, x in bench:
+            iw = words(x)
+            index = {}
+            for k, m in enumerate(dc.MASKS):
+                for q in range(len(iw) - m[-1]):
+                    index.setdefault((k, tuple(iw[q + j] for j in m)), []).append(q)
+            hits = {(p, p - q) for k, m in enumerate(dc.MASKS) for p in range(len(dw) - m[-1]) for q in index.get((k, tuple(dw[p + j] for j in m)), [])}
+            for diagonal in {g for _, g in hits}:
+                lo, hi = max(0, -diagonal), min(len(iw), len(dw) - diagonal)
+                same = [dw[q + diagonal] == iw[q] for q in range(lo, hi)]
+                best = (0, 0, 0)
+                for a in range(len(same)):
+                    for b in range(a + 1, len(same) + 1):
+                        n = sum(same[a:b])
+                        best = max(best, (3 * n - 2 * (b - a), n, b - a))
+                _, n, size = best
+                if n >= min(dc.WORDS, -(-dc.SHARE * len(iw) // 100)) and 100 * n >= dc.SHARE * size:
+                    out.setdefault(d, {})[i] = max(n, out.get(d, {}).get(i, 0))
+    return sorted(((d, len(out.get(d, {})), max(out.get(d, {0: 0}).values()), d in out) for d, _ in docs), key=repr)
+
+
+def test_brute_force(make, odd, real, spark):
+    rnd = random.Random(5)
+    bench = [(k, " ".join(f"b{rnd.randrange(80)}" for _ in range(rnd.randint(4, 30)))) for k in range(14)] + [(90, None), (91, ""), (92, "one two")]
+    docs = list(odd[:12]) + [t[:1500] for _, t in real[:15]]
+    for _ in range(50):
+        w = rnd.choice(bench[:14])[1].split()
+        for _ in range(rnd.randint(0, 4)):
+            w[rnd.randrange(len(w))] = "zzz"
+        a = rnd.randrange(len(w))
+        w = w if rnd.random() < 0.6 else w[a:]
+        docs.append(" ".join([f"x{rnd.randrange(999)}" for _ in range(rnd.randint(0, 30))] + [v.upper() + "." if rnd.random() < 0.1 else v for v in w] + ["tail"] * rnd.randint(0, 3)))
+    rows = [*enumerate(docs), (None, bench[0][1]), (7, "again")]
+    got = dc.decontaminate(make(rows), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    want = brute([r for r in rows if r != (7, "again")], bench)
+    seven = [w for w in want if w[0] == 7]
+    assert sorted(((r.doc_id, r.n_items, r.best_overlap, r.contaminated) for r in got), key=repr) == sorted(want + seven, key=repr)
+    assert sum(r.contaminated for r in got) > 10
+
+
+def test_hot_passage(make, spark):
+    passage = " ".join(f"p{i}" for i in range(25))
+    docs = [f"u{i} v{i} {passage} w{i}" if i % 3 == 0 else f"clean words {i} " * 20 for i in range(300)]
+    out = dc.decontaminate(make(docs, 6), spark.createDataFrame([(k, passage) for k in range(4)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in out if r.contaminated) == list(range(0, 300, 3))
+    assert {r.n_items for r in out if r.contaminated} == {4}
+
+
+def test_empty_tables_and_clean(make, spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert [r.contaminated for r in dc.decontaminate(make(["a b c"]), none).collect()] == [False]
+    assert dc.decontaminate(make([]), none).collect() == []
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    one = spark.createDataFrame([(1, text, 9)], "item_id long, text string, seed int")
+    left = dc.clean(make([text, "other", None]), one)
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2]
+
+
+def test_best_segment():
+    assert dc.best_segment(np.array([1, 1, 0, 1, 1, 1, 0, 0, 1], bool)) == (5, 6)
+    assert dc.best_segment(np.array([0, 0], bool)) == (0, 0)
+    assert dc.best_segment(np.zeros(0, bool)) == (0, 0)
