@@ -14,6 +14,7 @@ from kinsum.llm.exact_dedup import EXACT_SQL, exact_dedup
 from kinsum.llm.line_dedup import line_digest, line_sql
 from kinsum.llm.near_dedup import near_dedup, near_sql
 from kinsum.llm.quality_cnn import quality
+from kinsum.llm.repeats import remove_repeats
 from kinsum.llm.token_counts import token_counts
 
 
@@ -52,7 +53,11 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=4)
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_counts, op6_bpe_codec, op7_quality_cnn, op8_line_dedup, op9_near_dedup)
+    f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_counts, op6_bpe_codec, op7_quality_cnn, op8_line_dedup, op9_near_dedup, op10_repeats)
 }
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": EXACT_SQL, "op8_line_dedup": line_sql(), "op9_near_dedup": near_sql(4, 80)}

@@ -1,0 +1,91 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from kinsum.llm import repeats as rp
+
+
+def brute(rows):
+    x = [(t or "").encode() for _, t in rows]
+    n = Counter(b[i : i + rp.LENGTH] for b in x for i in range(len(b) - rp.LENGTH + 1))
+    out = []
+    for (d, _), b in zip(rows, x, strict=True):
+        gone = bytearray(len(b))
+        for i in range(len(b) - rp.LENGTH + 1):
+            if n[b[i : i + rp.LENGTH]] > 1:
+                gone[i : i + rp.LENGTH] = b"\1" * rp.LENGTH
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        out.append((d, len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def passages(rnd, n):
+    base = "".join(rnd.choice("abcdé ") for _ in range(3000))
+    out = []
+    for _ in range(n):
+        a = rnd.randrange(2500)
+        t = base[a : a + rnd.choice([150, 199, 200, 201, 230, 260, 500])]
+        if rnd.random() < 0.3:
+            k = rnd.randrange(len(t))
+            t = t[:k] + "#" + t[k + 1 :]
+        out.append("".join(rnd.choice("xyz") for _ in range(rnd.randint(0, 90))) + t + "".join(rnd.choice("uvw") for _ in range(rnd.randint(0, 90))))
+    return out
+
+
+def test_brute_force(make, odd, real):
+    rnd = random.Random(6)
+    rows = [t for t in odd if t is None or len(t) < 5000] + ["z" * 420, "ab" * 300, "z" * 199] + [t[:4000] for _, t in real[:60]] + passages(rnd, 120)
+    rows = [*enumerate(rows), (None, "q" * 200 + "unique tail"), (None, None), (3, "")]
+    assert got(rp.remove_repeats(make(rows))) == brute(rows)
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_very_large_groups_are_cut_into_pieces(make, monkeypatch, hot):
+    monkeypatch.setattr(rp, "HOT", hot)
+    rnd = random.Random(7)
+    rows = list(enumerate(passages(rnd, 100) + ["".join(rnd.choice("mno") for _ in range(60)) + "S" * 40 + "passage " * 25 + "T" * 5 + str(i) * 30 for i in range(40)]))
+    assert got(rp.remove_repeats(make(rows))) == brute(rows)
+
+
+def test_small_shards_and_blocks(make, monkeypatch):
+    monkeypatch.setattr(rp, "SHARD", 300)
+    monkeypatch.setattr(rp, "SYMBOLS", 2000)
+    rows = list(enumerate(passages(random.Random(8), 100)))
+    assert got(rp.remove_repeats(make(rows))) == brute(rows)
+
+
+def test_hash_seams_and_empty(make):
+    assert rp.remove_repeats(make([])).collect() == []
+    rng = np.random.default_rng(1)
+    b = rng.integers(0, 3, 2000, dtype=np.uint8)
+    h = rp.gram_hashes(b, rp.GRAM)
+    assert len({bytes(b[i : i + rp.GRAM]) for i in range(len(h))}) == len(set(h.tolist()))
+    at, _, first, last = rp.anchors(b)
+    assert first[0] == 0 and last[-1] == len(b) - rp.LENGTH and (first[1:] == last[:-1] + 1).all()
+    assert ((at >= last) & (at <= first + rp.REACH)).all()
+
+
+def test_interleave_is_the_sort_of_all_rotations():
+    """Merged order and blocks against a direct sort of all rotations."""
+    rnd = random.Random(9)
+    strings = [[rnd.randint(1, 2) for _ in range(rnd.randint(1, 12))] + [0] for _ in range(40)]
+    suffixes, bwt, sizes = [], [], []
+    for k in range(0, 40, 8):
+        rot = sorted(((s[i:] + s[:i]) * 30, k + j, i) for j, s in enumerate(strings[k : k + 8]) for i in range(len(s)))
+        suffixes.append([r[0] for r in rot])
+        bwt += [r[0][-1] for r in rot]
+        sizes.append(len(rot))
+    for rounds in (1, 2, 5, 30):
+        z, block = rp.interleave(np.array(bwt, np.uint16), sizes, rounds)
+        heads = [iter(s) for s in suffixes]
+        merged = [next(heads[i])[:rounds] for i in z]
+        assert merged == sorted(merged)
+        want = np.concatenate([[0], np.cumsum([a != b for a, b in zip(merged, merged[1:], strict=False)])])
+        assert (block == want).all()
