@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from kinsum.llm.common import Batches, batch, texts
 
 #: Words a worker remembers and the longest one it does; transitions it remembers.
-CACHE, CACHED_CHARS, ARCS = 300_000, 40, 2_000_000
+CACHE, CACHED_CHARS, ARCS = 200_000, 40, 300_000
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 OUT_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -73,7 +73,7 @@ class Automaton:
             self.gadget(step, vocab[u], vocab[v], vocab[u + v])
         self.longest = max(map(len, vocab), default=0)
         self.vocab = vocab
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
 
     def gadget(self, step: int, u: int, v: int, uv: int) -> None:
         self.lost.setdefault((u, v), step)
@@ -84,7 +84,8 @@ class Automaton:
     def arc(self, state: int, token: int) -> bool:
         """Has the state an arc for the token?  It has not if the arc, or the one it was
         made from, was lost by the state, or by one it was copied from, before the copy."""
-        known = self.table.get((state, token))
+        at = state * len(self.parent) + token
+        known = self.table.get(at)
         if known is not None:
             return known
         lost, ok = self.lost, True
@@ -103,7 +104,7 @@ class Automaton:
             a = self.parent[a]
         if len(self.table) >= ARCS:
             self.table.clear()
-        self.table[state, token] = ok
+        self.table[at] = ok
         return ok
 
     def path(self, symbols: list[str]) -> list[int]:

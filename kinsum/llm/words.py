@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose hash a worker remembers.
-CACHE = 500_000
+CACHE = 150_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
