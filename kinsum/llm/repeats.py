@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from kinsum.llm.common import Batches, batch, cut, raw_bytes, texts
 from kinsum.llm.words import Bloom, bloom, mix
 
-LENGTH, GRAM = 200, 150
+LENGTH, GRAM = 200, 144
 #: Offsets of an anchor in a window: 0 to REACH.
 REACH = LENGTH - GRAM
 HOT = 5000
@@ -55,8 +55,17 @@ FIRST_ID = -(1 << 63)
 PARTS = ((0, 0), (1, 1), (2, 3), (4, 7), (8, 15), (16, 31), (32, REACH))
 
 BYTE = np.random.default_rng(10).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes hashed at once; powers of an odd multiplier and of its inverse for them.
+CHUNK = 1 << 16
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
+
+def powers(base: int) -> np.ndarray:
+    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(CHUNK, base, np.uint64))])
+
+
+UP, DOWN = powers(int(MULT)), powers(pow(int(MULT), -1, 1 << 64))
+
 SEGMENT = pa.schema(
     [("id", pa.int64()), ("t", pa.int64()), ("p", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("key", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("left", pa.binary()), ("right", pa.binary())]
 )
@@ -67,31 +76,21 @@ MASK = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("mask", pa.int64())])
 # --- anchors -----------------------------------------------------------------------
 
 
-def gram_hashes(b: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all strings of ``size`` bytes, by doubling and joining powers of two."""
-    n = len(b) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h, power, out, at = BYTE[b], 1, None, 0
-    while True:
-        if size & power:
-            part = h[at : at + n]
-            out = part.copy() if out is None else mix(out * MULT + part)
-            at += power
-        if power * 2 > size:
-            return out
-        h = mix(h[:-power] * MULT + h[power:])
-        power *= 2
-
-
-def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position p of an anchor, its hash, first and last window start that it has).
-    Of equal minima in a window the last one is the anchor."""
-    h = gram_hashes(b, GRAM)
+def gram_hashes(b: np.ndarray) -> np.ndarray:
+    """Hashes of all strings of GRAM bytes in up to CHUNK bytes: differences of one
+    running sum of powers, so the cost does not depend on GRAM."""
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(BYTE[b] * UP[: len(b)], out=sums[1:])
+    h = (sums[GRAM:] - sums[: len(sums) - GRAM]) * DOWN[: len(b) - GRAM + 1]
+    return mix(h)
+
+
+def chunk_anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position p of an anchor, its hash, first and last window start that it has) of
+    texts that lie one after the other; ``ends`` has where they end.  Of equal
+    minima in a window the last one is the anchor."""
+    h = gram_hashes(b)
     n = len(b) - LENGTH + 1
-    if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none, none.view(np.uint64), none, none
     low32 = np.uint64(0xFFFFFFFF)
     w = REACH + 1
     x = np.full(-(-len(h) // w) * w, np.iinfo(np.uint64).max, np.uint64)
@@ -100,9 +99,36 @@ def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     ahead = np.minimum.accumulate(x, axis=1).ravel()
     behind = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
     p = (low32 - (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & low32)).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1])
-    at = p[first]
-    return at, h[at], first, np.concatenate([first[1:], [n]]) - 1
+    inside = np.ones(n, bool)  # windows within one text
+    for e in ends[:-1].tolist():
+        inside[max(0, e - LENGTH + 1) : e] = False
+    s = np.flatnonzero(inside)
+    new = np.ones(len(s), bool)
+    new[1:] = (np.diff(p[s]) != 0) | (np.diff(s) != 1)
+    first = np.flatnonzero(new)
+    at = p[s[first]]
+    return at, h[at], s[first], s[np.concatenate([first[1:], [len(s)]]) - 1] if len(s) else s
+
+
+def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`chunk_anchors` of all texts in ``data`` (``off``: where they begin and the
+    end), a chunk at a time; longer texts in chunks that overlap by LENGTH - 1 bytes."""
+    out, i, texts_ = [], 0, len(off) - 1
+    while i < texts_:
+        j = i + 1
+        while j < texts_ and off[j + 1] - off[i] <= CHUNK:
+            j += 1
+        a, e = int(off[i]), int(off[j])
+        for c in range(a, max(a + 1, e - LENGTH + 1), CHUNK - LENGTH + 1):
+            d = min(e, c + CHUNK)
+            if d - c >= LENGTH:
+                ends = off[i + 1 : j + 1] - c if d == e else np.array([d - c])
+                out.append([x if k == 1 else x + c for k, x in enumerate(chunk_anchors(data[c:d], ends))])
+        i = j
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none.view(np.uint64), none, none
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def anchor_counts(docs: DataFrame) -> DataFrame:
@@ -111,11 +137,8 @@ def anchor_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            data, off = raw_bytes(b.column(1))
-            found = [anchors(data[off[i] : off[i + 1]])[1] for i in np.flatnonzero(np.diff(off) >= LENGTH)]
-            if found:
-                h, n = np.unique(np.concatenate(found), return_counts=True)
-                yield batch(schema, a=h.view(np.int64), n=np.minimum(n, 2).astype(np.int32))
+            h, n = np.unique(anchors(*raw_bytes(b.column(1)))[1], return_counts=True)
+            yield batch(schema, a=h.view(np.int64), n=np.minimum(n, 2).astype(np.int32))
 
     return texts(docs, binary=True).mapInArrow(run, "a long, n int").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a")
 
@@ -126,9 +149,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("doc_id", F.lit(FIRST_ID)).alias("id"), "text", F.xxhash64("text").alias("t"))
 
 
-def content(key: bytes, lo: int, hi: int, left: bytes, right: bytes) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(b"%b|%d|%d|%d|" % (key, lo, hi, len(left)) + left + right)
-    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+def pairs(digests: list[bytes]) -> np.ndarray:
+    """128-bit digests as rows of two signed 64-bit integers."""
+    return np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
 
 
 def segments(docs: DataFrame, present: Bloom) -> DataFrame:
@@ -137,25 +160,29 @@ def segments(docs: DataFrame, present: Bloom) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(present)
 
     def run(batches: Batches) -> Batches:
+        digest = xxhash.xxh3_128_digest
         for b in batches:
             data, off = raw_bytes(b.column(1))
-            ids, ts = b.column(0).to_pylist(), b.column(2).to_pylist()
-            rows, seen = [], set()
-            for i in np.flatnonzero(np.diff(off) >= LENGTH):
-                x = data[off[i] : off[i + 1]]
-                at, h, first, last = anchors(x)
-                ok = shared.value.may_hold(h)
-                if not ok.any():
-                    continue
-                text = x.tobytes()
-                for p, s0, s1 in zip(at[ok].tolist(), first[ok].tolist(), last[ok].tolist(), strict=True):
-                    key = xxhash.xxh3_128_digest(text[p : p + GRAM])
-                    lo, hi, left, right = p - s1, p - s0, text[s0:p], text[p + GRAM : s1 + LENGTH]
-                    c = content(key, lo, hi, left, right)
-                    rows.append((ids[i], ts[i], p, *c, *((None,) * 5 if c in seen else (key, lo, hi, left, right))))
+            at, h, first, last = anchors(data, off)
+            ok = shared.value.may_hold(h)
+            at, first, last = at[ok], first[ok], last[ok]
+            doc = np.searchsorted(off, first, "right") - 1
+            raw = data.tobytes()
+            seen, names, where, new = set(), [], [], []
+            for k, (p, s0, s1) in enumerate(zip(at.tolist(), first.tolist(), last.tolist(), strict=True)):
+                c = digest(raw[s0 : s1 + LENGTH], p - s0)  # the seed tells where the anchor is
+                names.append(c)
+                if c not in seen:
                     seen.add(c)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SEGMENT, strict=True)], schema=SEGMENT)
+                    where.append(k)
+                    new.append((digest(raw[p : p + GRAM]), p - s1, p - s0, raw[s0:p], raw[p + GRAM : s1 + LENGTH]))
+            c = pairs(names)
+            place = np.full(len(at), -1, np.int64)
+            place[where] = np.arange(len(where))
+            take = pa.array(place, mask=place < 0)
+            more = [pa.array([r[j] for r in new], SEGMENT.field(5 + j).type).take(take) for j in range(5)]
+            cols = [b.column(0).take(pa.array(doc)), b.column(2).take(pa.array(doc)), pa.array((at - off[doc]).astype(np.int32)), pa.array(c[:, 0]), pa.array(c[:, 1]), *more]
+            yield pa.RecordBatch.from_arrays(cols, schema=SEGMENT)
 
     return keyed(docs).mapInArrow(run, SEGMENT_DDL)
 
@@ -236,8 +263,7 @@ def repeated_offsets(found: list[tuple[int, int, int, bytes, bytes]]) -> list[in
     return out
 
 
-def all_offsets(lo: int, hi: int) -> int:
-    return ((1 << (hi + 1)) - 1) ^ ((1 << lo) - 1)
+ALL_OFFSETS = "(shiftleft(1L, hi + 1) - 1) ^ (shiftleft(1L, lo) - 1)"
 
 
 def masks(batches: Batches) -> Batches:
@@ -249,7 +275,7 @@ def masks(batches: Batches) -> Batches:
         alone = np.bincount([r[3] for r in todo]) if todo else []
         some = [r for r in todo if alone[r[3]] > 1]
         merged = dict(zip([r[:2] for r in some], repeated_offsets([r[3:] for r in some]), strict=True)) if some else {}
-        out = [(r[0], r[1], all_offsets(r[4], r[5]) if r[2] > 1 else merged.get(r[:2], 0)) for r in todo]
+        out = [(r[0], r[1], merged.get(r[:2], 0)) for r in todo if r[2] == 1]  # others are known
         out = [r for r in out if r[2]]
         return batch(MASK, c1=[r[0] for r in out], c2=[r[1] for r in out], mask=[r[2] for r in out])
 
@@ -266,9 +292,12 @@ def masks(batches: Batches) -> Batches:
 
 
 def solved(contents: DataFrame) -> DataFrame:
-    """(c1, c2, mask) of distinct segments (c1, c2, n, key, lo, hi, left, right)."""
-    rows = contents.select("c1", "c2", "n", "key", "lo", "hi", "left", "right")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(masks, "c1 long, c2 long, mask long")
+    """(c1, c2, mask) of distinct segments (c1, c2, n, key, lo, hi, left, right).  Only groups
+    of several segments need the transforms; one alone is repeated if it occurs twice."""
+    several = cut(contents.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "several")
+    rows = contents.select("c1", "c2", "n", "key", "lo", "hi", "left", "right").join(several, "key", "left_semi")
+    merged = rows.select("c1", "c2", "n", "key", "lo", "hi", "left", "right").repartition("key").sortWithinPartitions("key").mapInArrow(masks, "c1 long, c2 long, mask long")
+    return contents.where("n > 1").select("c1", "c2", F.expr(ALL_OFFSETS).alias("mask")).unionByName(merged)
 
 
 def pieces(batches: Batches) -> Batches:
@@ -284,9 +313,11 @@ def pieces(batches: Batches) -> Batches:
                     continue
                 x, y = left[len(left) - z :], right[: REACH - a]
                 k = xxhash.xxh3_128_digest(b"%b|%d|" % (key, first) + left[len(left) - first :] + b"|" + right[: REACH - last])
-                rows.append((*content(k, a, z, x, y), c1, c2, n, k, a, z, x, y))
+                rows.append((c1, c2, n, k, a, z, x, y))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            q = pairs([xxhash.xxh3_128_digest(b"%b|%d|%d|%d|" % (k, a, z, len(x)) + x + y) for _, _, _, k, a, z, x, y in rows])
+            cols = [q[:, 0], q[:, 1], *zip(*rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
 PIECE_DDL = "q1 long, q2 long, c1 long, c2 long, n long, key binary, lo int, hi int, left binary, right binary"
@@ -317,11 +348,10 @@ def covered(n: int, p: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Which of n bytes lie in a marked window."""
     bits = np.unpackbits(mask.astype(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     i, o = np.nonzero(bits)
-    edge = np.zeros(n + 1, np.int64)
-    starts = np.unique(p[i] - o)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + LENGTH, -1)
-    return np.cumsum(edge)[:n] > 0
+    last = np.full(n, -LENGTH, np.int64)
+    starts = p[i] - o
+    last[starts] = starts
+    return np.arange(n) - np.maximum.accumulate(last) < LENGTH
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])

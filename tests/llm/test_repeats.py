@@ -63,13 +63,28 @@ def test_small_shards_and_blocks(make, monkeypatch):
 
 def test_hash_seams_and_empty(make):
     assert rp.remove_repeats(make([])).collect() == []
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 700])
+def test_anchors(monkeypatch, chunk):
+    """Grams, chunk seams and text ends against a direct search of each window."""
+    monkeypatch.setattr(rp, "CHUNK", chunk)
     rng = np.random.default_rng(1)
-    b = rng.integers(0, 3, 2000, dtype=np.uint8)
-    h = rp.gram_hashes(b, rp.GRAM)
-    assert len({bytes(b[i : i + rp.GRAM]) for i in range(len(h))}) == len(set(h.tolist()))
-    at, _, first, last = rp.anchors(b)
-    assert first[0] == 0 and last[-1] == len(b) - rp.LENGTH and (first[1:] == last[:-1] + 1).all()
-    assert ((at >= last) & (at <= first + rp.REACH)).all()
+    sizes = [0, 150, 199, 200, 201, 350, 2500, 60, 900]
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    data = rng.integers(0, 3, off[-1], dtype=np.uint8)
+    data[4000:4300] = 1
+    at, h, first, last = rp.anchors(data, off)
+    got = {s: (int(p), int(x)) for p, x, a, b in zip(at, h, first, last, strict=True) for s in range(a, b + 1)}
+    want, low = {}, np.uint64(0xFFFFFFFF)
+    for a, e in zip(off[:-1], off[1:], strict=True):
+        for s in range(a, e - rp.LENGTH + 1):
+            g = rp.gram_hashes(data[s : s + rp.LENGTH])
+            p = max(range(len(g)), key=lambda i: (-int(g[i] >> np.uint64(32)), i))
+            want[int(s)] = (int(s) + p, int(g[p]))
+    assert got == want
+    grams = rp.gram_hashes(data[:2000])
+    assert len({bytes(data[i : i + rp.GRAM]) for i in range(len(grams))}) == len(set(grams.tolist()))
 
 
 def test_interleave_is_the_sort_of_all_rotations():
