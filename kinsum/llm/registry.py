@@ -15,6 +15,7 @@ from kinsum.llm.line_dedup import line_digest, line_sql
 from kinsum.llm.near_dedup import near_dedup, near_sql
 from kinsum.llm.quality_cnn import quality
 from kinsum.llm.repeats import remove_repeats
+from kinsum.llm.secrets import secret_scan
 from kinsum.llm.token_counts import token_counts
 
 
@@ -37,6 +38,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -58,6 +63,6 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_counts, op6_bpe_codec, op7_quality_cnn, op8_line_dedup, op9_near_dedup, op10_repeats)
+    f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_counts, op5_secret_scan, op6_bpe_codec, op7_quality_cnn, op8_line_dedup, op9_near_dedup, op10_repeats)
 }
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": EXACT_SQL, "op8_line_dedup": line_sql(), "op9_near_dedup": near_sql(4, 80)}
