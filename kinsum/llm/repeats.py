@@ -67,9 +67,9 @@ def powers(base: int) -> np.ndarray:
 UP, DOWN = powers(int(MULT)), powers(pow(int(MULT), -1, 1 << 64))
 
 SEGMENT = pa.schema(
-    [("id", pa.int64()), ("t", pa.int64()), ("p", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("key", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("left", pa.binary()), ("right", pa.binary())]
+    [("id", pa.int64()), ("t", pa.int64()), ("p", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("key", pa.binary()), ("left", pa.binary()), ("right", pa.binary())]
 )
-SEGMENT_DDL = "id long, t long, p int, c1 long, c2 long, key binary, lo int, hi int, left binary, right binary"
+SEGMENT_DDL = "id long, t long, p int, c1 long, c2 long, lo int, hi int, key binary, left binary, right binary"
 MASK = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("mask", pa.int64())])
 
 
@@ -175,13 +175,14 @@ def segments(docs: DataFrame, present: Bloom) -> DataFrame:
                 if c not in seen:
                     seen.add(c)
                     where.append(k)
-                    new.append((digest(raw[p : p + GRAM]), p - s1, p - s0, raw[s0:p], raw[p + GRAM : s1 + LENGTH]))
+                    new.append((digest(raw[p : p + GRAM]), raw[s0:p], raw[p + GRAM : s1 + LENGTH]))
             c = pairs(names)
             place = np.full(len(at), -1, np.int64)
             place[where] = np.arange(len(where))
             take = pa.array(place, mask=place < 0)
-            more = [pa.array([r[j] for r in new], SEGMENT.field(5 + j).type).take(take) for j in range(5)]
-            cols = [b.column(0).take(pa.array(doc)), b.column(2).take(pa.array(doc)), pa.array((at - off[doc]).astype(np.int32)), pa.array(c[:, 0]), pa.array(c[:, 1]), *more]
+            more = [pa.array([r[j] for r in new], pa.binary()).take(take) for j in range(3)]
+            ints = [pa.array(x.astype(np.int32)) for x in (at - off[doc], at - last, at - first)]
+            cols = [b.column(0).take(pa.array(doc)), b.column(2).take(pa.array(doc)), ints[0], pa.array(c[:, 0]), pa.array(c[:, 1]), *ints[1:], *more]
             yield pa.RecordBatch.from_arrays(cols, schema=SEGMENT)
 
     return keyed(docs).mapInArrow(run, SEGMENT_DDL)
@@ -268,79 +269,103 @@ ALL_OFFSETS = "(shiftleft(1L, hi + 1) - 1) ^ (shiftleft(1L, lo) - 1)"
 
 def masks(batches: Batches) -> Batches:
     """Segments sorted by group -> (c1, c2, mask of repeated offsets)."""
-    todo: list[tuple] = []  # (c1, c2, n, group, lo, hi, left, right)
+    todo: list[tuple] = []  # (c1, c2, group, lo, hi, left, right)
     group, key, symbols = -1, None, 0
 
     def flush():
-        alone = np.bincount([r[3] for r in todo]) if todo else []
-        some = [r for r in todo if alone[r[3]] > 1]
-        merged = dict(zip([r[:2] for r in some], repeated_offsets([r[3:] for r in some]), strict=True)) if some else {}
-        out = [(r[0], r[1], merged.get(r[:2], 0)) for r in todo if r[2] == 1]  # others are known
-        out = [r for r in out if r[2]]
+        size = np.bincount([r[2] for r in todo]) if todo else []
+        some = [r for r in todo if size[r[2]] > 1]
+        found = zip(some, repeated_offsets([r[2:] for r in some]), strict=True) if some else ()
+        out = [(r[0], r[1], m) for r, m in found if m]
         return batch(MASK, c1=[r[0] for r in out], c2=[r[1] for r in out], mask=[r[2] for r in out])
 
     for b in batches:
-        for c1, c2, n, k, lo, hi, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for c1, c2, lo, hi, k, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if k != key:
                 if symbols >= SYMBOLS or group >= GROUPS:
                     yield flush()
                     todo, group, symbols = [], -1, 0
                 group, key = group + 1, k
-            todo.append((c1, c2, n, group, lo, hi, left, right))
+            todo.append((c1, c2, group, lo, hi, left, right))
             symbols += len(left) + len(right) + 2
     yield flush()
 
 
-def solved(contents: DataFrame) -> DataFrame:
-    """(c1, c2, mask) of distinct segments (c1, c2, n, key, lo, hi, left, right).  Only groups
-    of several segments need the transforms; one alone is repeated if it occurs twice."""
-    several = cut(contents.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "several")
-    rows = contents.select("c1", "c2", "n", "key", "lo", "hi", "left", "right").join(several, "key", "left_semi")
-    merged = rows.select("c1", "c2", "n", "key", "lo", "hi", "left", "right").repartition("key").sortWithinPartitions("key").mapInArrow(masks, "c1 long, c2 long, mask long")
-    return contents.where("n > 1").select("c1", "c2", F.expr(ALL_OFFSETS).alias("mask")).unionByName(merged)
+CONTENT = ["c1", "c2", "lo", "hi", "key", "left", "right"]
+
+
+def merged(contents: DataFrame) -> DataFrame:
+    """(c1, c2, mask) from the transforms of distinct segments, by group."""
+    rows = contents.select(CONTENT).repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(masks, "c1 long, c2 long, mask long")
+
+
+def twice(rows: DataFrame) -> DataFrame:
+    """(c1, c2, mask) of segments that occur twice: all their windows are repeated."""
+    each = rows.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+    return each.where("n > 1").select("c1", "c2", F.expr(ALL_OFFSETS).alias("mask"))
 
 
 def pieces(batches: Batches) -> Batches:
-    """Segments of very large groups, cut by window offset; q1, q2 name a piece."""
-    names = [pa.field(c, pa.int64()) for c in ("q1", "q2", "c1", "c2", "n")]
-    schema = pa.schema(names + [SEGMENT.field(i) for i in range(5, 10)])
+    """Segments of very large groups, cut by window offset; (c1, c2) is the piece, (of1,
+    of2) the segment."""
+    schema = pa.schema([("of1", pa.int64()), ("of2", pa.int64())] + [SEGMENT.field(c) for c in CONTENT])
     for b in batches:
         rows = []
-        for c1, c2, n, key, lo, hi, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for c1, c2, lo, hi, key, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
             for first, last in PARTS:
                 a, z = max(first, lo), min(last, hi)
-                if a > z:
-                    continue
-                x, y = left[len(left) - z :], right[: REACH - a]
-                k = xxhash.xxh3_128_digest(b"%b|%d|" % (key, first) + left[len(left) - first :] + b"|" + right[: REACH - last])
-                rows.append((c1, c2, n, k, a, z, x, y))
+                if a <= z:
+                    k = xxhash.xxh3_128_digest(b"%b|%d|" % (key, first) + left[len(left) - first :] + b"|" + right[: REACH - last])
+                    rows.append((c1, c2, a, z, k, left[len(left) - z :], right[: REACH - a]))
         if rows:
-            q = pairs([xxhash.xxh3_128_digest(b"%b|%d|%d|%d|" % (k, a, z, len(x)) + x + y) for _, _, _, k, a, z, x, y in rows])
-            cols = [q[:, 0], q[:, 1], *zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            q = pairs([xxhash.xxh3_128_digest(b"%b|%d|%d|%d|" % (k, a, z, len(x)) + x + y) for _, _, a, z, k, x, y in rows])
+            of1, of2, *rest = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((of1, of2, q[:, 0], q[:, 1], *rest), schema, strict=True)], schema=schema)
+
+
+PIECE_DDL = "of1 long, of2 long, c1 long, c2 long, lo int, hi int, key binary, left binary, right binary"
+
+
+def of_several(rows: DataFrame) -> DataFrame:
+    """Distinct segments of groups that have several: their bytes alone are shuffled (a
+    bitmap of the groups lets few others through)."""
+    bytes_ = rows.where("key is not null")
+    c = F.struct("c1", "c2")
+    several = cut(bytes_.groupBy("key").agg(F.min(c).alias("a"), F.max(c).alias("b")).where("a <> b").select("key"), "several")
+    bits = bitmap_bits(several)
+    shared = rows.sparkSession.sparkContext.broadcast(bloom(several, F.xxhash64("key"), bits))
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(shared.value.may_hold(b.column(7).to_numpy()))).columns[:7], names=CONTENT)
+
+    some = bytes_.select(*CONTENT, F.xxhash64("key").alias("h")).mapInArrow(run, PIECE_DDL.split(", ", 2)[2])
+    return some.groupBy("c1", "c2").agg(*[F.first(x).alias(x) for x in CONTENT[2:]])
 
 
-PIECE_DDL = "q1 long, q2 long, c1 long, c2 long, n long, key binary, lo int, hi int, left binary, right binary"
+def bitmap_bits(keys: DataFrame) -> int:
+    return max(20, min(28, math.ceil(math.log2(keys.count() + 1)) + 5))
 
 
-def repeated(docs: DataFrame, hot: int | None = None) -> DataFrame:
+def repeated(docs: DataFrame) -> DataFrame:
     """(id, t, marks): of each text with repeated windows, array<struct<p, mask>>: bit o of
     the mask is set if the window that starts at p - o is repeated."""
     again = cut(anchor_counts(docs), "anchors")
-    bits = max(20, min(28, math.ceil(math.log2(again.count() + 1)) + 5))
-    rows = cut(segments(docs, bloom(again, F.col("a"), bits)), "segments")
-    some = lambda c: F.first(c, ignorenulls=True).alias(c)
-    parts = [some(c) for c in ("key", "lo", "hi", "left", "right")]
-    contents = cut(rows.groupBy("c1", "c2").agg(F.count("*").alias("n"), *parts), "contents")
-    large = cut(contents.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > (hot or HOT)).select("key"), "large")
-    found = solved(contents.join(large, "key", "left_anti"))
-    if not large.isEmpty():
-        cols = ("c1", "c2", "n", "key", "lo", "hi", "left", "right")
-        cutup = cut(contents.join(large, "key", "left_semi").select(*cols).mapInArrow(pieces, PIECE_DDL), "pieces")
-        each = cutup.groupBy(F.col("q1").alias("c1"), F.col("q2").alias("c2")).agg(F.sum("n").alias("n"), *parts)
-        got = cut(solved(each).select(F.col("c1").alias("q1"), F.col("c2").alias("q2"), "mask"), "piece-masks")
-        found = found.unionByName(cutup.select("q1", "q2", "c1", "c2").join(got, ["q1", "q2"]).groupBy("c1", "c2").agg(F.bit_or("mask").alias("mask")))
-    marks = rows.select("id", "t", "p", "c1", "c2").join(cut(found, "masks"), ["c1", "c2"])
+    rows = cut(segments(docs, bloom(again, F.col("a"), bitmap_bits(again))), "segments")
+    contents = cut(of_several(rows), "contents")
+    large = cut(contents.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("key"), "large")
+    found = twice(rows)
+    if large.isEmpty():
+        found = found.unionByName(merged(contents))
+    else:
+        found = found.unionByName(merged(contents.join(large, "key", "left_anti")))
+        cutup = cut(contents.join(large, "key", "left_semi").select(CONTENT).mapInArrow(pieces, PIECE_DDL), "pieces")
+        each = cutup.groupBy("c1", "c2").agg(*[F.first(x).alias(x) for x in CONTENT[2:]])
+        got = cut(twice(cutup).unionByName(merged(each)), "piece-masks")
+        found = found.unionByName(cutup.select("of1", "of2", "c1", "c2").join(got, ["c1", "c2"]).select(F.col("of1").alias("c1"), F.col("of2").alias("c2"), "mask"))
+    known = cut(found.groupBy("c1", "c2").agg(F.bit_or("mask").alias("mask")), "masks")
+    marks = rows.select("id", "t", "p", "c1", "c2").join(known, ["c1", "c2"])
     return marks.groupBy("id", "t").agg(F.collect_list(F.struct("p", "mask")).alias("marks"))
 
 
