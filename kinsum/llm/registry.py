@@ -13,6 +13,7 @@ from kinsum.llm.decontam import decontaminate
 from kinsum.llm.exact_dedup import EXACT_SQL, exact_dedup
 from kinsum.llm.line_dedup import line_digest, line_sql
 from kinsum.llm.near_dedup import near_dedup, near_sql
+from kinsum.llm.ppm import ppm_scores
 from kinsum.llm.quality_cnn import quality
 from kinsum.llm.repeats import remove_repeats
 from kinsum.llm.secrets import secret_scan
@@ -38,6 +39,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,6 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_counts, op5_secret_scan, op6_bpe_codec, op7_quality_cnn, op8_line_dedup, op9_near_dedup, op10_repeats)
+    f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_counts, op4_ppm, op5_secret_scan, op6_bpe_codec, op7_quality_cnn, op8_line_dedup, op9_near_dedup, op10_repeats)
 }
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": EXACT_SQL, "op8_line_dedup": line_sql(), "op9_near_dedup": near_sql(4, 80)}
