@@ -14,9 +14,10 @@ the counts.
 Counts cover all training text: units are counted in Spark, and so are the (context, symbol)
 pairs.  The trie keeps the pairs that make up at least LEAST of all bytes (and two
 occurrences), so it has at most 1 / LEAST entries an order at any size of corpus, and is
-sent to the workers.  Words with at least LEAST of all tokens go with it for the
-base score (again at most 1 / LEAST); other words join the vocabulary by shuffle, where no
-word is frequent.
+sent to the workers.  A unit's score and the count of its word depend on the unit alone:
+units with at least LEAST of all tokens go with the trie (again at most 1 / LEAST);
+every other distinct unit of the corpus is scored once, and texts join that table by
+shuffle, where no unit is frequent.
 
 Null text counts as empty (one end token); a null id counts as empty text in crc32;
 repeated rows are scored each (and counted each in training).  Without training
@@ -28,8 +29,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,17 +41,18 @@ from kinsum.llm.common import Batches, batch, crc_mod, cut, texts
 ORDER = 5
 LEAST = 1e-6
 MARK, END = b" ", b"\xff"
-#: Entries a worker counts before it passes them on; units it remembers.
-COUNTED, CACHE = 300_000, 150_000
+#: Entries a worker counts before it passes them on.
+COUNTED = 300_000
 UNIT = re.compile(rb"[^ \t\n\r\x0b\x0c]*[ \t\n\r\x0b\x0c]|[^ \t\n\r\x0b\x0c]+$")
 SPACE = frozenset(b" \t\n\r\x0b\x0c\xff")
 
 COUNT = pa.schema([("k", pa.binary()), ("n", pa.int64())])
-RARE = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int32())]))
+UNITS = pa.schema([("k", pa.binary()), ("c", pa.int64()), ("score", pa.float64())])
+RARE = pa.list_(pa.struct([("k", pa.binary()), ("n", pa.int32())]))
 SCORED = pa.schema(
     [("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", RARE)]
 )
-SCORED_DDL = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<w: binary, n: int>>"
+SCORED_DDL = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<k: binary, n: int>>"
 
 
 def units(text: bytes) -> list[bytes]:
@@ -69,11 +71,13 @@ def passed_on(counts: dict[bytes, int]) -> pa.RecordBatch:
 
 
 def count_units(batches: Batches) -> Batches:
+    """Units with their training occurrences (0 for units of held-out texts alone)."""
     counts: dict[bytes, int] = {}
     for b in batches:
-        for t in b.column(0).to_pylist():
+        for t, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            one = 0 if held else 1
             for u in units(t):
-                counts[u] = counts.get(u, 0) + 1
+                counts[u] = counts.get(u, 0) + one
         if len(counts) > COUNTED:
             yield passed_on(counts)
             counts = {}
@@ -127,7 +131,6 @@ class Trie:
             else:
                 left = 256 - len(syms)
                 self.node[x] = (*own, 0.0, math.log10(left) if left else 0.0)
-        self.cache: dict[bytes, float] = {}
 
     @staticmethod
     def escape(total: int, distinct: int, pruned: int) -> tuple[float, float]:
@@ -138,16 +141,6 @@ class Trie:
         # a context that has no unseen symbol left keeps one part for the escape
         return math.log10(max(distinct + pruned, 1)) - math.log10(max(all_, total + 1)), math.log10(max(all_, total + 1))
 
-    def unit(self, u: bytes) -> float:
-        p = self.cache.get(u)
-        if p is None:
-            p = self.code(u)
-            if len(u) <= 40:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[u] = p
-        return p
-
     def code(self, u: bytes) -> float:
         x, out = MARK + u, 0.0
         node, counts = self.node, self.counts
@@ -183,53 +176,61 @@ def ppm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = texts(docs, binary=True).withColumn("held_out", crc_mod(F.col("doc_id"), 7) == 2)
-    seen = rows.where("not held_out").select("text").mapInArrow(count_units, "k binary, n long")
+    seen = rows.select("text", "held_out").mapInArrow(count_units, "k binary, n long")
     seen = cut(seen.groupBy("k").agg(F.sum("n").alias("n")), "units")
-    words = seen.select(F.expr("substring(k, 1, length(k) - 1)").alias("k"), "n").where("length(k) > 0")
-    words = cut(words.groupBy("k").agg(F.sum("n").alias("n")), "words")
-    size = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    byte = seen.agg(F.coalesce(F.sum(F.length("k") * F.col("n")), F.lit(0)).alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("u")).first()
-    ends = seen.where(F.substring(F.col("k"), -1, 1) == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    named = seen.select("k", "n", F.expr("substring(k, 1, length(k) - 1)").alias("w"))
+    words = cut(named.where("length(w) > 0").groupBy("w").agg(F.sum("n").alias("c")), "words")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    size = words.agg(F.count(F.when(F.col("c") > 0, 1)).alias("v"), total("c").alias("n")).first()
+    ended = F.when(F.substring(F.col("k"), -1, 1) == F.lit(END), F.col("n"))
+    byte = seen.agg(total(F.length("k") * F.col("n")).alias("b"), total("n").alias("u"), total(ended).alias("ends")).first()
+    ends = byte["ends"]
     n_train, distinct = size["n"] + ends, size["v"] + (ends > 0)
-    pairs = seen.mapInArrow(count_contexts, "k binary, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    trie_counts = table_of(pairs.where(F.col("n") >= max(2, math.ceil(LEAST * byte["b"]))))
-    often = max(2, math.ceil(LEAST * n_train))
-    sent = spark.sparkContext.broadcast((trie_counts, byte["u"], table_of(words.where(F.col("n") >= often)), ends))
+    pairs = seen.where("n > 0").mapInArrow(count_contexts, "k binary, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    counts = spark.sparkContext.broadcast((table_of(pairs.where(F.col("n") >= max(2, math.ceil(LEAST * byte["b"])))), byte["u"]))
+
+    def score_units(batches: Batches) -> Batches:
+        trie = Trie(*counts.value)
+        for b in batches:
+            yield batch(UNITS, k=b.column(0), c=b.column(1), score=[trie.code(u) for u in b.column(0).to_pylist()])
+
+    often = F.col("n") >= max(2, math.ceil(LEAST * n_train))
+    known = named.join(words, "w", "left").select("k", "n", F.coalesce("c", F.lit(0)).alias("c"))
+    frequent = known.where(often).select("k", "c").mapInArrow(score_units, "k binary, c long, score double").toArrow()
+    others = cut(known.where(~often).select("k", "c").mapInArrow(score_units, "k binary, c long, score double"), "other-units")
+    sent = spark.sparkContext.broadcast({k: (math.log10(c + 1), int(c > 0), p) for k, c, p in zip(*(x.to_pylist() for x in frequent.columns), strict=True)})
 
     def score(batches: Batches) -> Batches:
-        counts, n_units, frequent, n_ends = sent.value
-        trie = Trie(counts, n_units)
-        logs = {w: math.log10(n + 1) for w, n in frequent.items()}
-        end = math.log10(n_ends + 1)
+        get, end = sent.value.get, math.log10(ends + 1)
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
-                us = units(t)
-                p = sum(map(trie.unit, us))
-                base, known, tokens, rare = end, int(n_ends > 0), 1, {}
-                for u in us:
-                    w = u[:-1]
-                    if w:
-                        tokens += 1
-                        x = logs.get(w)
-                        if x is None:
-                            rare[w] = rare.get(w, 0) + 1
-                        else:
-                            base += x
-                            known += 1
-                out.append((uid, tokens, known, base, p, [{"w": w, "n": n} for w, n in rare.items()]))
+                base, p, known, tokens, rare = end, 0.0, int(ends > 0), 1, []
+                for u, n in Counter(units(t)).items():
+                    if len(u) > 1:
+                        tokens += n
+                    x = get(u)
+                    if x is None:
+                        rare.append({"k": u, "n": n})
+                    else:
+                        p += n * x[2]
+                        base += n * x[0]
+                        known += n * x[1]
+                out.append((uid, tokens, known, base, p, rare))
                 uid += 1
             u, n, k, s, p, r = zip(*out, strict=True) if out else ((),) * 6
             yield batch(SCORED, uid=u, doc_id=b.column(0), held_out=b.column(2), n_tokens=n, known=k, base=s, score=p, rare=r)
 
     scored = cut(rows.mapInArrow(score, SCORED_DDL), "scored")
-    rare = scored.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.w").alias("k"), F.col("r.n").alias("times"))
-    met = rare.join(words.hint("shuffle_hash"), "k")  # words that are not in the vocabulary add log10(1)
-    added = met.groupBy("uid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
+    rare = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.k", F.col("r.n").alias("times"))
+    met = rare.join(others.hint("shuffle_hash"), "k")
+    added = met.groupBy("uid").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"), F.sum(F.col("times") * F.col("score")).alias("points")
+    )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     out = scored.drop("rare").join(added, "uid", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + zero("more")).cast("long").alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("logs") - F.col("n_tokens") * F.lit(math.log10(n_train + distinct + 1))).alias("base_score"), "score",
+        (F.col("base") + zero("logs") - F.col("n_tokens") * F.lit(math.log10(n_train + distinct + 1))).alias("base_score"), (F.col("score") + zero("points")).alias("score"),
     )
