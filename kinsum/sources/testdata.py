@@ -56,7 +56,6 @@ def crm_sources(spark: SparkSession, sf_dir: str) -> Sources:
 def _build_sources(spark: SparkSession, sf_dir: str) -> Sources:
     orders = _read(spark, sf_dir, "orders")
     lineitem = _read(spark, sf_dir, "lineitem")
-    customer = _read(spark, sf_dir, "customer").select(F.col("c_custkey"))
     nation = _read(spark, sf_dir, "nation")
     events = _read(spark, sf_dir, "events")
     part = _read(spark, sf_dir, "part")
@@ -75,7 +74,6 @@ def _build_sources(spark: SparkSession, sf_dir: str) -> Sources:
     )
     soft = (
         lineitem.where(F.col("l_returnflag") == "A")
-        .join(customer, F.col("l_partkey") == F.col("c_custkey"), "left_semi")
         .select(
             F.col("l_orderkey").alias("contribution_id"),
             F.col("l_partkey").alias("contact_id"),
@@ -83,8 +81,7 @@ def _build_sources(spark: SparkSession, sf_dir: str) -> Sources:
         )
     )
     relationship = (
-        lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") <= 10))
-        .join(customer, F.col("l_partkey") == F.col("c_custkey"), "left_semi")
+        lineitem.where(F.col("l_returnflag") == "R")
         .join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("o_custkey").alias("contact_id_a"),
@@ -125,7 +122,7 @@ def _build_sources(spark: SparkSession, sf_dir: str) -> Sources:
     financial_type = orders.select(
         priority.alias("id"), F.col("o_orderpriority").alias("name")
     ).distinct()
-    doy = F.dayofyear("ts")
+    doy = F.year("ts") * 1000 + F.dayofyear("ts")  # one bulk mailing a day
     mailing_queue = events.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("contact_id"), doy.cast("int").alias("job_id")
     )
@@ -142,7 +139,7 @@ def _build_sources(spark: SparkSession, sf_dir: str) -> Sources:
     )
     bounce = events.where(et == "error").select(qid)
     url_open = events.where(et == "click").select(qid)
-    trackable = part.where(F.col("p_partkey") < 30).select(
+    trackable = part.select(
         F.col("p_partkey").alias("id"), (F.col("p_size") % 10).cast("int").alias("mailing_id")
     )
     return Sources.from_frames(
@@ -179,14 +176,12 @@ DUCKDB_VIEWS: dict[str, str] = {
     "crm_soft_credit": """
         SELECT l_orderkey AS contribution_id, l_partkey AS contact_id,
                CAST(l_extendedprice AS DECIMAL(20,2)) AS amount
-        FROM lineitem JOIN customer ON l_partkey = c_custkey
-        WHERE l_returnflag = 'A'""",
+        FROM lineitem WHERE l_returnflag = 'A'""",
     "crm_relationship": """
         SELECT o_custkey AS contact_id_a, l_partkey AS contact_id_b,
                l_linenumber AS relationship_type_id, (l_linestatus = 'O') AS is_active
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-             JOIN customer ON l_partkey = c_custkey
-        WHERE l_returnflag = 'R' AND l_quantity <= 10""",
+        WHERE l_returnflag = 'R'""",
     "crm_relationship_type": """
         SELECT n_nationkey AS id, n_name AS name_a_b, n_name AS label_a_b,
                n_name || ' of' AS label_b_a
@@ -212,10 +207,10 @@ DUCKDB_VIEWS: dict[str, str] = {
                n_name AS label
         FROM nation""",
     "crm_mail_queue": """
-        SELECT event_id AS id, user_id AS contact_id, CAST(dayofyear(ts) AS INTEGER) AS job_id
+        SELECT event_id AS id, user_id AS contact_id, CAST(year(ts) * 1000 + dayofyear(ts) AS INTEGER) AS job_id
         FROM events""",
     "crm_mail_job": """
-        SELECT DISTINCT CAST(dayofyear(ts) AS INTEGER) AS id,
+        SELECT DISTINCT CAST(year(ts) * 1000 + dayofyear(ts) AS INTEGER) AS id,
                CAST(dayofyear(ts) % 10 AS INTEGER) AS mailing_id,
                CAST(CAST(ts AS DATE) AS TIMESTAMP) AS start_date
         FROM events""",
@@ -226,7 +221,7 @@ DUCKDB_VIEWS: dict[str, str] = {
     "crm_mail_bounce": "SELECT event_id AS event_queue_id FROM events WHERE event_type = 'error'",
     "crm_mail_link_open": "SELECT event_id AS event_queue_id FROM events WHERE event_type = 'click'",
     "crm_mail_link": """
-        SELECT p_partkey AS id, CAST(p_size % 10 AS INTEGER) AS mailing_id FROM part WHERE p_partkey < 30""",
+        SELECT p_partkey AS id, CAST(p_size % 10 AS INTEGER) AS mailing_id FROM part""",
 }
 
 
