@@ -1,13 +1,12 @@
-"""Independent DuckDB oracle queries for the registered Spark queries.
+"""DuckDB oracle queries for the registered Spark queries, written from the metric
+definitions.
 
-The oracle is deliberately written differently from the Spark plans: one
-correlated scalar subquery per contact and metric (no fused aggregation), the
-related-contact sums over a directed-edge view joined to every single donation
-(no donor pre-aggregation), ``YEAR(d) = y`` and ``BETWEEN`` date tests (no
-range rewrite), ``hard_and_soft`` as an OR over the left-joined soft rows, and
-the 12-month open rate with each count multiplied by the contact's number of
-queue rows, as the batch statement's queue self-join does.  It runs over the
-``crm_*`` views of :data:`kinsum.sources.testdata.DUCKDB_VIEWS`.
+Donations are classified once (does it count, on which day) and aggregated per contact;
+``hard_and_soft`` adds up credits (a donor's own ones and those of soft contacts);
+grants are counted by contact and type first; mail rates weigh one tagged list of
+events per queue row.  Related-contact sums run over a directed-edge view joined to
+every single donation.  All run over the ``crm_*`` views of
+:data:`kinsum.sources.testdata.DUCKDB_VIEWS`.
 
 Money is cast to DOUBLE (Spark does the same at its boundary).  Rates use
 exact integer arithmetic: round_half_up(100 * o / d, 2) = floor((20000 * o + d)
@@ -100,34 +99,47 @@ def _own_completed(alias: str, cfg: RollupConfig, related: bool = False) -> str:
     return f"{alias}.contribution_status_id = 1 AND {alias}.financial_type_id IN ({_fin_types(cfg, related)})"
 
 
+def _gifts(cfg, window="alltime"):
+    """Donations with their day and whether they count in a window."""
+    return f"""gifts AS (
+        SELECT d.id, d.contact_id, d.total_amount AS amount, CAST(d.receive_date AS DATE) AS day,
+               coalesce({_own_completed('d', cfg)} AND {_in_window('d.receive_date', cfg, window)}, FALSE) AS counts
+        FROM crm_contribution d)"""
+
+
 def _contribution_total(cfg, key):
-    return _each_contact_of("crm_contribution", key, f"""
-        SELECT coalesce(sum(d.total_amount), 0) FROM crm_contribution d
-        WHERE d.contact_id = who.contact_id AND {_own_completed('d', cfg)}
-          AND {_in_window('d.receive_date', cfg, _CAL[key])}""")
+    return f"""WITH {_gifts(cfg, _CAL[key])}
+        SELECT contact_id AS entity_id, CAST(sum(if(counts, amount, 0)) AS DOUBLE) AS {key} FROM gifts GROUP BY contact_id"""
 
 
 def _distinct_years(cfg, key):
-    return _each_contact_of("crm_contribution", key, f"""
-        SELECT count(DISTINCT year(CAST(d.receive_date AS DATE))) FROM crm_contribution d
-        WHERE d.contact_id = who.contact_id AND {_own_completed('d', cfg)}""", as_double=False)
+    return f"""WITH {_gifts(cfg)},
+        per_year AS (SELECT contact_id, year(day) AS y, max(if(counts, 1, 0)) AS hit FROM gifts GROUP BY ALL)
+        SELECT contact_id AS entity_id, CAST(sum(if(y IS NULL, 0, hit)) AS BIGINT) AS {key} FROM per_year GROUP BY contact_id"""
 
 
 def _hard_and_soft(cfg, key):
-    # every row of donation LEFT JOIN soft credit in which the contact takes part
-    return _each_contact_of("crm_contribution", key, f"""
-        SELECT coalesce(sum(d.total_amount), 0)
-        FROM crm_contribution d LEFT JOIN crm_soft_credit sc ON sc.contribution_id = d.id
-        WHERE (d.contact_id = who.contact_id OR sc.contact_id = who.contact_id) AND {_own_completed('d', cfg)}""")
+    # a donor is credited once for each soft credit of the donation (once without any),
+    # another contact once for each of its own
+    return f"""WITH {_gifts(cfg)},
+        shares AS (SELECT contribution_id, contact_id, count(*) AS n FROM crm_soft_credit GROUP BY ALL),
+        per_gift AS (SELECT contribution_id, sum(n) AS n FROM shares GROUP BY contribution_id),
+        credits AS (
+          SELECT g.contact_id, g.amount * coalesce(p.n, 1) AS credit
+          FROM gifts g LEFT JOIN per_gift p ON p.contribution_id = g.id WHERE g.counts
+          UNION ALL
+          SELECT s.contact_id, g.amount * s.n
+          FROM shares s JOIN gifts g ON g.id = s.contribution_id
+          WHERE g.counts AND s.contact_id IS DISTINCT FROM g.contact_id),
+        per_contact AS (SELECT contact_id, sum(credit) AS credit FROM credits GROUP BY contact_id)
+        SELECT p.contact_id AS entity_id, CAST(coalesce(c.credit, 0) AS DOUBLE) AS {key}
+        FROM (SELECT contact_id FROM gifts GROUP BY contact_id) p LEFT JOIN per_contact c ON c.contact_id = p.contact_id"""
 
 
 def _soft_total(cfg, key):
-    return _each_contact_of("crm_soft_credit", key, f"""
-        SELECT coalesce(sum(sc.amount), 0) FROM crm_soft_credit sc
-        WHERE sc.contact_id = who.contact_id
-          AND sc.contribution_id IN (
-            SELECT d.id FROM crm_contribution d
-            WHERE {_own_completed('d', cfg)} AND {_in_window('d.receive_date', cfg, _SOFT[key])})""")
+    return f"""WITH {_gifts(cfg, _SOFT[key])}
+        SELECT s.contact_id AS entity_id, CAST(sum(if(coalesce(g.counts, FALSE), coalesce(s.amount, 0), 0)) AS DOUBLE) AS {key}
+        FROM crm_soft_credit s LEFT JOIN gifts g ON g.id = s.contribution_id GROUP BY s.contact_id"""
 
 
 # --- related-contact metrics ----------------------------------------------
@@ -168,27 +180,32 @@ def _related(cfg, key, window, plus_me, distinct_donors=False):
 
 
 def _first_attended(cfg, key):
-    return _each_contact_of("crm_participant", key, f"""
-        SELECT ev.start_date FROM crm_participant pa JOIN crm_event ev ON ev.id = pa.event_id
-        WHERE pa.contact_id = who.contact_id
-          AND pa.status_id IN ({_list(cfg.participant_status_ids)}) AND ev.event_type_id IN ({_list(cfg.event_type_ids)})
-        ORDER BY ev.start_date ASC NULLS FIRST LIMIT 1""", as_double=False)
+    # the earliest date, or none if an attended event has none
+    return f"""WITH attended AS (
+          SELECT pa.contact_id, ev.start_date FROM crm_participant pa, crm_event ev
+          WHERE ev.id = pa.event_id AND pa.status_id IN ({_list(cfg.participant_status_ids)}) AND ev.event_type_id IN ({_list(cfg.event_type_ids)})),
+        firsts AS (SELECT contact_id, if(bool_or(start_date IS NULL), NULL, min(start_date)) AS day FROM attended GROUP BY contact_id)
+        SELECT p.contact_id AS entity_id, f.day AS {key}
+        FROM (SELECT contact_id FROM crm_participant GROUP BY contact_id) p LEFT JOIN firsts f ON f.contact_id = p.contact_id"""
 
 
 def _grant(cfg, key):
-    match = f"""gr.contact_id = who.contact_id
-          AND gr.status_id IN ({_option_ids(cfg, 'grant_status')})
-          AND gr.grant_type_id IN ({_option_ids(cfg, 'grant_type')})"""
+    by_type = f"""by_type AS (
+          SELECT contact_id, grant_type_id, coalesce(status_id IN ({_option_ids(cfg, 'grant_status')}) AND grant_type_id IN ({_option_ids(cfg, 'grant_type')}), FALSE) AS ok,
+                 count(*) AS n, sum(amount_granted) AS amount
+          FROM crm_grant GROUP BY ALL)"""
     if key == "grant_count_received":
-        return _each_contact_of("crm_grant", key, f"SELECT count(*) FROM crm_grant gr WHERE {match}", as_double=False)
+        return f"WITH {by_type} SELECT contact_id AS entity_id, CAST(sum(if(ok, n, 0)) AS BIGINT) AS {key} FROM by_type GROUP BY contact_id"
     if key == "grant_total_received":
-        return _each_contact_of("crm_grant", key, f"SELECT coalesce(sum(gr.amount_granted), 0) FROM crm_grant gr WHERE {match}")
-    return _each_contact_of("crm_grant", key, f"""
-        SELECT string_agg(DISTINCT v.label, ', ' ORDER BY v.label)
-        FROM crm_grant gr
-          JOIN crm_option_value v ON TRY_CAST(v.value AS DOUBLE) = gr.grant_type_id
-          JOIN crm_option_group g ON g.id = v.option_group_id AND g.name = 'grant_type'
-        WHERE {match}""", as_double=False)
+        return f"WITH {by_type} SELECT contact_id AS entity_id, CAST(sum(if(ok, coalesce(amount, 0), 0)) AS DOUBLE) AS {key} FROM by_type GROUP BY contact_id"
+    return f"""WITH {by_type},
+        names AS (SELECT TRY_CAST(value AS DOUBLE) AS type_id, label FROM crm_option_value
+                  WHERE option_group_id IN (SELECT id FROM crm_option_group WHERE name = 'grant_type')),
+        named AS (SELECT DISTINCT b.contact_id, names.label FROM by_type b JOIN names ON names.type_id = b.grant_type_id
+                  WHERE b.ok AND names.label IS NOT NULL),
+        lists AS (SELECT contact_id, array_to_string(list_sort(list(label)), ', ') AS labels FROM named GROUP BY contact_id)
+        SELECT p.contact_id AS entity_id, lists.labels AS {key}
+        FROM (SELECT contact_id FROM by_type GROUP BY contact_id) p LEFT JOIN lists ON lists.contact_id = p.contact_id"""
 
 
 # --- mail rates -----------------------------------------------------------
@@ -204,51 +221,43 @@ def _rate_expr(o: str, s: str, b: str) -> str:
     )
 
 
-def _rate_query(key: str, sent: str, opened: str, bounced: str) -> str:
-    return f"""
-WITH sent AS ({sent}), opened AS ({opened}), bounced AS ({bounced})
-SELECT sent.contact_id AS entity_id, {_rate_expr('opened.n', 'sent.n', 'bounced.n')} AS {key}
-FROM sent LEFT JOIN opened ON opened.contact_id = sent.contact_id
-          LEFT JOIN bounced ON bounced.contact_id = sent.contact_id"""
+_TAGGED = """tagged AS (
+          SELECT event_queue_id AS id, 'sent' AS kind FROM crm_mail_delivered
+          UNION ALL SELECT event_queue_id, 'opened' FROM crm_mail_opened
+          UNION ALL SELECT event_queue_id, 'bounced' FROM crm_mail_bounce
+          UNION ALL SELECT event_queue_id, 'clicked' FROM crm_mail_link_open)"""
 
 
-def _per_contact_events(events: str, extra_join: str = "", where: str = "TRUE") -> str:
-    return f"""SELECT q.contact_id, count(*) AS n
-        FROM crm_mail_queue q JOIN {events} x ON x.event_queue_id = q.id {extra_join}
-        WHERE {where} GROUP BY q.contact_id"""
+def _rates(key, answer, weight="1", answer_weight="1", once=False):
+    """Rate of ``answer`` events per delivered and not bounced mail.  Each queue row weighs
+    ``weight`` (an expression over its job and number of links); ``once`` counts a
+    queue row at most once for each kind of event."""
+    n = "least(count(*), 1)" if once else "count(*)"
+    return f"""WITH {_TAGGED},
+        per_mail AS (SELECT id, kind, {n} AS n FROM tagged GROUP BY id, kind),
+        links AS (SELECT mailing_id, count(*) AS n_links FROM crm_mail_link GROUP BY mailing_id),
+        mails AS (
+          SELECT q.id, q.contact_id, {weight} AS w, {answer_weight} AS aw
+          FROM crm_mail_queue q LEFT JOIN crm_mail_job j ON j.id = q.job_id LEFT JOIN links ON links.mailing_id = j.mailing_id),
+        sums AS (
+          SELECT m.contact_id, sum(if(kind = 'sent', n * w, 0)) AS s, sum(if(kind = '{answer}', n * aw, 0)) AS o, sum(if(kind = 'bounced', n * w, 0)) AS b
+          FROM mails m JOIN per_mail USING (id) GROUP BY m.contact_id)
+        SELECT contact_id AS entity_id, {_rate_expr('o', 's', 'b')} AS {key} FROM sums WHERE s > 0"""
 
 
 def _open_rate_alltime(cfg, key):
-    return _rate_query(
-        key,
-        _per_contact_events("crm_mail_delivered"),
-        _per_contact_events("crm_mail_opened"),
-        _per_contact_events("crm_mail_bounce"),
-    )
+    return _rates(key, "opened")
 
 
 def _open_rate_12m(cfg, key):
-    # counts multiplied by the contact's number of queue rows, like the batch
-    # statement's queue self-join; the rate must not change
-    def leg(events):
-        return f"""SELECT q.contact_id, count(*) * max(k.n_rows) AS n
-        FROM crm_mail_queue q
-          JOIN {events} x ON x.event_queue_id = q.id
-          JOIN crm_mail_job j ON j.id = q.job_id
-          JOIN (SELECT contact_id, count(*) AS n_rows FROM crm_mail_queue GROUP BY contact_id) k ON k.contact_id = q.contact_id
-        WHERE j.start_date >= {_date(cfg.as_of)} - INTERVAL 1 YEAR
-        GROUP BY q.contact_id"""
-    return _rate_query(key, leg("crm_mail_delivered"), leg("crm_mail_opened"), leg("crm_mail_bounce"))
-
-
-def _click_rate(cfg, key):
-    with_links = "JOIN crm_mail_job j ON j.id = q.job_id JOIN crm_mail_link l ON l.mailing_id = j.mailing_id"
-    return _rate_query(
-        key,
-        _per_contact_events("crm_mail_delivered", with_links),
-        _per_contact_events("crm_mail_link_open"),
-        _per_contact_events("crm_mail_bounce", with_links),
-    )
+    recent = f"if(j.start_date >= {_date(cfg.as_of)} - INTERVAL 1 YEAR, 1, 0)"
+    return _rates(key, "opened", recent, recent)
+
+
+def _click_rate(cfg, key, once=False):
+    # a mail counts once for each trackable link of its mailing, an opened link once
+    links = "coalesce(n_links, 0)"
+    return _rates(key, "clicked", f"least({links}, 1)" if once else links, once=once)
 
 
 # --- entry points ---------------------------------------------------------
@@ -347,17 +356,7 @@ def extra_oracles() -> dict[str, str]:
     out["related_empty_zero"] = with_views(
         _related(cfg.with_(related_empty="zero"), "relatedcontrib_this_fiscal_year", "this_fiscal_year", False))
     # emails (queue rows) instead of link-multiplied rows
-    emails_with_links = """SELECT DISTINCT q.id, q.contact_id FROM crm_mail_queue q
-        JOIN crm_mail_job j ON j.id = q.job_id
-        WHERE EXISTS (SELECT 1 FROM crm_mail_link l WHERE l.mailing_id = j.mailing_id)"""
-    out["mail_clickrate_distinct_links"] = with_views(_rate_query(
-        "mail_clickrate_alltime",
-        f"""SELECT e.contact_id, count(*) AS n FROM ({emails_with_links}) e
-            WHERE e.id IN (SELECT event_queue_id FROM crm_mail_delivered) GROUP BY e.contact_id""",
-        """SELECT q.contact_id, count(*) AS n FROM crm_mail_queue q
-            WHERE q.id IN (SELECT event_queue_id FROM crm_mail_link_open) GROUP BY q.contact_id""",
-        f"""SELECT e.contact_id, count(*) AS n FROM ({emails_with_links}) e
-            WHERE e.id IN (SELECT event_queue_id FROM crm_mail_bounce) GROUP BY e.contact_id"""))
+    out["mail_clickrate_distinct_links"] = with_views(_click_rate(MAIL_CONFIG, "mail_clickrate_alltime", once=True))
     ukeys = ["contribution_total_this_calendar_year", "relatedcontrib_alltime", "mail_openrate_last12months"]
     patch1 = metric_sql("relatedcontrib_alltime", cfg.with_(relationship_type_ids=(5, 6, 7)))
     patch2 = metric_sql("mail_openrate_last12months", MAIL_CONFIG)
