@@ -60,7 +60,14 @@ def spark_type(sql_type: str) -> tuple[str, int | None]:
         "boolean": "boolean", "bool": "boolean", "double": "double", "float": "double",
         "text": "string", "longtext": "string", "varchar": "string", "date": "date",
         "datetime": "timestamp_ntz", "timestamp": "timestamp_ntz", "decimal": "decimal(20,2)",
+        "mediumtext": "string", "tinytext": "string", "time": "string", "blob": "binary", "longblob": "binary",
     }
+    # an unsigned type needs the next wider signed one
+    wider = {"int": "bigint", "integer": "bigint", "bigint": "decimal(20,0)"}
+    if "unsigned" in t.split()[1:] and base in wider:
+        return wider[base], None
+    if base not in table:
+        raise ValueError(f"unknown SQL type {sql_type!r}")
     return table[base], None
 
 

@@ -7,10 +7,11 @@ matches when its status and its type are both listed.
   the ``grant_type`` option group; the option value is text and is compared
   numerically with the integer type id.  NULL when no label.
 
-Plan: the option lookup is reduced to one row per type id holding its sorted
-label array (so duplicate option rows cannot fan out the counts) and joined
-to the grants (adaptive execution broadcasts it after measuring it); one
-aggregation per contact.
+Plan: grants are first counted and summed by (contact, status, type), a hash aggregate
+with partial aggregation; only those few rows meet the lookups (so no raw grant is
+shuffled on a status or type, of which there are a handful) and are combined per
+contact.  The option lookup has one row per type id with its sorted label array, so
+duplicate option rows cannot fan out the counts.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsum.config import RollupConfig
-from kinsum.functions.aggregates import count_if, restrict, sum_or_zero
+from kinsum.functions.aggregates import restrict, sum_or_zero
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter, option_lookup
 
@@ -51,6 +52,7 @@ def _nocase_distinct(labels):
 def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFrame:
     keys = list(keys or KEYS)
     g = restrict(src["grant"], "contact_id", contacts)
+    g = g.groupBy("contact_id", "status_id", "grant_type_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("amount_granted").alias("_amount"))
     g = IdFilter(cfg.grant_status_ids, "grant_status").apply(g, src, "status_id", "_st_ok")
     g = IdFilter(cfg.grant_type_ids, "grant_type").apply(g, src, "grant_type_id", "_ty_ok")
     ok = F.col("_st_ok") & F.col("_ty_ok")
@@ -60,9 +62,9 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
     aggs = []
     for k in keys:
         if k == "grant_count_received":
-            aggs.append(count_if(ok).alias(k))
+            aggs.append(F.coalesce(F.sum(F.when(ok, F.col("_n"))), F.lit(0)).cast("long").alias(k))
         elif k == "grant_total_received":
-            aggs.append(sum_or_zero(ok, F.col("amount_granted")).alias(k))
+            aggs.append(sum_or_zero(ok, F.col("_amount")).alias(k))
         elif k == "grant_types_received":
             s = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(ok, F.col("_labels"))))))
             if cfg.label_order == "nocase":
