@@ -86,7 +86,7 @@ def main(argv=None) -> int:
         if wide is None:
             print(json.dumps({"ok": False, "skipped": report.skipped}))
             return 1
-        version = store.commit(wide)
+        version = store.commit(wide, settings=cfg.settings())
         print(json.dumps({"ok": True, "version": version, "as_of": report.as_of,
                           "computed": report.computed, "skipped": report.skipped}))
         return 0

@@ -10,7 +10,8 @@ semi-join, by :mod:`kinsum.sources.lookups`), which is not the same thing as
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field, replace
+import json
+from dataclasses import dataclass, field, fields, replace
 
 
 def _ids(v):
@@ -78,3 +79,9 @@ class RollupConfig:
 
     def with_(self, **kw) -> "RollupConfig":
         return replace(self, **kw)
+
+    def settings(self) -> str:
+        """The date and options that values depend on, as JSON, to be stored with a table
+        (``active`` and ``extra`` choose columns and are left out)."""
+        values = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("active", "extra")}
+        return json.dumps(values, sort_keys=True, default=str)

@@ -59,10 +59,6 @@ def metric(
     return ids.distinct().join(own, "entity_id", "left")
 
 
-# families whose keys have different populations: one frame per key
-PER_KEY_FAMILIES: set[str] = set()
-
-
 def flag(family: str) -> str:
     """Hidden column of the stored table: the contact is in ``family``'s population."""
     return f"_in_{family}"
@@ -77,28 +73,39 @@ def family_frames(
     membership: bool = False,
     skipped: dict | None = None,
 ) -> list[DataFrame]:
-    """One frame per family (per key for ``PER_KEY_FAMILIES``).  With a
-    ``skipped`` dict, a family whose plan cannot be built (bad user metric,
-    missing column) is left out and its keys are reported there (X3);
-    without it the error propagates."""
+    """One frame per family.  With a ``skipped`` dict, a metric whose plan cannot be
+    built (bad user metric, missing column or lookup) is left out and reported there,
+    and the others of its family are computed (X3); without it the error propagates."""
+
+    def built(build, fkeys):
+        f = build(src, cfg, fkeys, contacts=contacts)
+        missing = [k for k in ["entity_id", *fkeys] if k not in f.columns]
+        if missing:
+            raise ValueError(f"no column {missing}")
+        return f
+
     frames = []
     for fam, fkeys in registry.by_family(keys).items():
         build = registry.families[fam]
-        groups = [[k] for k in fkeys] if fam in PER_KEY_FAMILIES else [fkeys]
-        for g in groups:
-            try:
-                f = build(src, cfg, g, contacts=contacts)
-                missing = [k for k in ["entity_id", *g] if k not in f.columns]
-                if missing:
-                    raise ValueError(f"family {fam!r} did not produce {missing}")
-            except Exception as e:  # noqa: BLE001 - reported, the other metrics continue
-                if skipped is None:
-                    raise
-                log.warning("skipping metrics %s: %s", g, e)
-                for k in g:
+        try:
+            f = built(build, fkeys)
+        except Exception as whole:  # noqa: BLE001 - reported, the other metrics continue
+            if skipped is None:
+                raise
+            good = []
+            for k in fkeys:
+                try:
+                    if len(fkeys) == 1:
+                        raise whole
+                    built(build, [k])
+                    good.append(k)
+                except Exception as e:  # noqa: BLE001
+                    log.warning("skipping metric %s: %s", k, e)
                     skipped[k] = f"{type(e).__name__}: {e}"
+            if not good:
                 continue
-            frames.append(f.withColumn(flag(fam), F.lit(True)) if membership else f)
+            f = built(build, good)
+        frames.append(f.withColumn(flag(fam), F.lit(True)) if membership else f)
     return frames
 
 
@@ -135,6 +142,10 @@ def refresh(
         report.ok = False
         return None, report
     requested = [s.key for s in specs]
+    if src.missing():  # a wrong path or a lost table must not look like an empty one
+        report.ok = False
+        report.skipped.update({k: f"required tables are absent: {', '.join(src.missing())}" for k in requested})
+        return None, report
     frames = family_frames(src, cfg, reg, requested, contacts, membership, report.skipped)
     active = [k for k in requested if k not in report.skipped]
     if not frames:

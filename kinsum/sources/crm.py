@@ -15,18 +15,26 @@ from pyspark.sql import functions as F
 from kinsum.sources.schemas import OPTIONAL, SCHEMAS
 
 
+class MissingTable(LookupError):
+    """An input table that a metric needs is absent."""
+
+
 class Sources(Mapping):
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame]):
+    """``absent``: tables that a loader looked for and did not find."""
+
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], absent=()):
         self.spark = spark
         self._t = dict(tables)
+        self.absent = frozenset(absent)
 
     # Mapping protocol -------------------------------------------------
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._t:
-            if name in OPTIONAL or name in SCHEMAS:
-                self._t[name] = self.empty(name)
-            else:
+            if name not in SCHEMAS:
                 raise KeyError(name)
+            if name in self.absent and name not in OPTIONAL:
+                raise MissingTable(f"required table {name!r} is absent")
+            self._t[name] = self.empty(name)
         return self._t[name]
 
     def __iter__(self):
@@ -44,23 +52,31 @@ class Sources(Mapping):
     def replace(self, **tables: DataFrame) -> "Sources":
         t = dict(self._t)
         t.update(tables)
-        return Sources(self.spark, t)
+        return Sources(self.spark, t, self.absent - set(tables))
+
+    def missing(self) -> list[str]:
+        """Required tables that are absent."""
+        return sorted(self.absent - OPTIONAL)
 
     # Loaders ----------------------------------------------------------
     @classmethod
     def from_parquet_dir(cls, spark: SparkSession, path: str) -> "Sources":
         """``<path>/<table>.parquet`` (file or directory, any Hadoop file
-        system) for each known table; a missing table (a component that is not
-        installed) reads as empty.  Columns are selected and cast to the
-        declared schema so a wider physical file is pruned at the scan."""
-        tables = {}
+        system) for each known table.  A table that is not there is recorded in
+        ``absent``: an optional one (a component that is not installed) reads as
+        empty, a required one fails when it is used.  Columns are selected and cast
+        to the declared schema so a wider physical file is pruned at the scan."""
+        tables, absent = {}, []
         for name, schema in SCHEMAS.items():
             try:
                 df = spark.read.parquet(f"{path.rstrip('/')}/{name}.parquet")
-            except AnalysisException:  # path does not exist
+            except AnalysisException as e:
+                if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+                    raise
+                absent.append(name)
                 continue
             tables[name] = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-        return cls(spark, tables)
+        return cls(spark, tables, absent)
 
     @classmethod
     def from_frames(cls, spark: SparkSession, **frames: DataFrame) -> "Sources":

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsum.sources.crm import Sources
+from kinsum.sources.crm import MissingTable, Sources
 
 def option_lookup(src: Sources, group_name: str) -> DataFrame:
     """SRC2: ``(value, label)`` of one option group; empty when the component
@@ -45,7 +45,13 @@ def relationship_type_labels(src: Sources) -> DataFrame:
 
 
 def known_ids(src: Sources, kind: str) -> DataFrame:
-    """Distinct ids currently known for one of the seven id lists (FLT3)."""
+    """Distinct ids currently known for one of the seven id lists (FLT3).  Without
+    the lookup table "all known ids" has no meaning: that is an error, not an
+    empty list."""
+    needs = {"grant_status": ("option_group", "option_value"), "grant_type": ("option_group", "option_value")}.get(kind, (kind,))
+    gone = [t for t in needs if t in src.absent]
+    if gone:
+        raise MissingTable(f"no {kind} ids are configured and the lookup {', '.join(gone)} is absent")
     if kind == "financial_type":
         df = src["financial_type"].select(F.col("id").cast("long").alias("id"))
     elif kind == "relationship_type":
