@@ -24,10 +24,6 @@ def sum_or_zero(cond: Column, x: Column) -> Column:
     return F.coalesce(sum_if(cond, x), F.lit(0).cast(MONEY))
 
 
-def count_if(cond: Column) -> Column:
-    return F.count(F.when(cond, F.lit(1)))
-
-
 def restrict(df, column: str, contacts):
     """Keep rows whose ``column`` is one of ``contacts.entity_id`` (key
     restriction of the incremental path); identity when ``contacts`` is None."""

@@ -25,19 +25,25 @@ from pyspark.sql import functions as F
 from kinsum.config import RollupConfig
 from kinsum.functions import periods
 from kinsum.functions.aggregates import restrict
+from kinsum.functions.joins import small_side
 from kinsum.functions.rates import rate
 from kinsum.sources.crm import Sources
 
 KEYS = ["mail_openrate_alltime", "mail_openrate_last12months", "mail_clickrate_alltime"]
 
 
-def _tagged(src: Sources, tables: dict[str, str], queue: DataFrame | None = None) -> DataFrame:
-    """UNION ALL of event tables as ``(qid, n_<tag>...)`` pre-aggregated per queue id."""
+def _tagged(src: Sources, tables: dict[str, str], queue_ids: DataFrame | None = None) -> DataFrame:
+    """UNION ALL of event tables as ``(qid, n_<tag>...)`` pre-aggregated per queue id.  With
+    ``queue_ids`` (``_qk``; broadcast when small) each event table is restricted to
+    them at its scan, before any shuffle."""
     tags = sorted(set(tables.values()))
     legs = []
     for t, tag in tables.items():
+        events = src[t]
+        if queue_ids is not None:
+            events = events.join(queue_ids, events["event_queue_id"] == queue_ids["_qk"], "left_semi")
         legs.append(
-            src[t].select(
+            events.select(
                 F.col("event_queue_id").alias("qid"),
                 *[F.lit(1 if x == tag else 0).alias(f"n_{x}") for x in tags],
             )
@@ -45,8 +51,6 @@ def _tagged(src: Sources, tables: dict[str, str], queue: DataFrame | None = None
     u = legs[0]
     for leg in legs[1:]:
         u = u.unionAll(leg)
-    if queue is not None:
-        u = u.join(queue.select(F.col("id").alias("_qk")), u["qid"] == F.col("_qk"), "left_semi")
     return u.groupBy("qid").agg(*[F.sum(f"n_{x}").alias(f"n_{x}") for x in tags])
 
 
@@ -66,7 +70,10 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
         tables["mailing_opened"] = "o"
     if "mail_clickrate_alltime" in keys:
         tables["mailing_url_open"] = "u"
-    ev = _tagged(src, tables, q if contacts is not None else None)
+    # the queue rows of a batch's contacts are found once; their ids are counted and
+    # broadcast when small, so no event table is shuffled for a small batch
+    ids = small_side(q.select(F.col("id").alias("_qk"))) if contacts is not None else None
+    ev = _tagged(src, tables, ids)
     tags = sorted(set(tables.values()))
 
     jobs = src["mailing_job"].select(F.col("id").alias("job_id"), "mailing_id", "start_date")

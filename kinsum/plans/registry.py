@@ -10,9 +10,10 @@ message and the others continue (X3).
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+from kinsum.functions.aggregates import restrict
 from kinsum.operators import attendance, contributions, grants, mailings, related, soft
 
 log = logging.getLogger(__name__)
@@ -28,7 +29,10 @@ class RollupSpec:
     dtype: str
     family: str
     # source tables whose row changes can change this metric (I1-I8, Q6)
-    depends_on: tuple[str, ...] = field(default_factory=tuple)
+    # - a tuple for the built-in change rules, or a mapping of a table (which may be a
+    # user's own) to its rule fn(src, changes) -> DataFrame[entity_id], None for the
+    # built-in one
+    depends_on: tuple[str, ...] | Mapping[str, Callable | None] = field(default_factory=tuple, hash=False)
 
     def validate(self, families: dict) -> None:
         if not self.key or not self.key.isidentifier():
@@ -133,9 +137,27 @@ class Registry:
             fam.setdefault(s.family, []).append(s.key)
         return fam
 
+    def change_rules(self, table: str, keys=None) -> list[Callable]:
+        """The change rules that active metrics declare for ``table`` (X1)."""
+        own = (s.depends_on.get(table) for s in self.select(keys) if isinstance(s.depends_on, Mapping))
+        return [fn for fn in own if fn is not None]
+
     def dependents(self, table: str, keys=None) -> list[str]:
         return [s.key for s in self.select(keys) if table in s.depends_on]
 
 
+def sql_family(query: str, tables: tuple[str, ...], args: Callable | None = None) -> Callable:
+    """X2: a family whose metrics are columns of a SQL query over source tables, written
+    ``{table}``, with named parameters: ``:as_of`` and what ``args(cfg)`` gives.  The
+    query gives ``entity_id`` and one column per key."""
+
+    def build(src, cfg, keys, contacts=None):
+        values = {"as_of": cfg.as_of, **(args(cfg) if args else {})}
+        df = src.spark.sql(query, args=values, **{t: src[t] for t in tables})
+        return restrict(df.select("entity_id", *keys), "entity_id", contacts)
+
+    return build
+
+
 def default_registry() -> Registry:
     return Registry(_BUILTIN)

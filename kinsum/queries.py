@@ -21,6 +21,7 @@ from kinsum.operators import contracts as K
 from kinsum.operators.related import neighbours
 from kinsum.plans.affected import affected
 from kinsum.plans.refresh import public, refresh
+from kinsum.plans.registry import Registry, RollupSpec, sql_family
 from kinsum.plans.upsert import upsert
 from kinsum.session import configure
 from kinsum.sources.lookups import option_lookup, relationship_type_labels
@@ -110,6 +111,49 @@ def q_incremental_mail_equals_batch(spark, sf_dir):
     return public(inc.refresh_affected(stored, src1, MAIL_CONFIG, "mailing_url_open", inc.inserts(opens)))
 
 
+def q_incremental_delete_equals_batch(spark, sf_dir):
+    """I10: the base also held a second donation of half the amount for every donation
+    that does not count; all of them are deleted, which only their old images tell."""
+    src1 = _src(spark, sf_dir)
+    gifts = src1["contribution"]
+    extra = gifts.where("contribution_status_id <> 1").select(
+        (-F.col("id") - 1).alias("id"), "contact_id", (F.col("total_amount") / 2).cast("decimal(20,2)").alias("total_amount"), "receive_date",
+        F.lit(1).alias("contribution_status_id"), "financial_type_id",
+    )
+    stored, _ = refresh(src1.replace(contribution=gifts.unionAll(extra)), CFG, membership=True)
+    return public(inc.refresh_affected(stored, src1, CFG, "contribution", inc.deletes(extra)))
+
+
+def q_incremental_moved_equals_batch(spark, sf_dir):
+    """Q3: the donations of the current fiscal year stood with another contact and are
+    moved to their own; both contacts change."""
+    src1 = _src(spark, sf_dir)
+    moved = _new_donations(src1)
+    before = moved.withColumn("contact_id", F.col("contact_id") + 1)
+    rest = src1["contribution"].join(moved.select("id"), "id", "left_anti").select(before.columns)
+    stored, _ = refresh(src1.replace(contribution=rest.unionAll(before)), CFG, membership=True)
+    return public(inc.refresh_affected(stored, src1, CFG, "contribution", inc.updates(before, {"contact_id": F.col("contact_id") - 1})))
+
+
+VISITS = "user_visits"
+
+
+def q_user_metric_incremental(spark, sf_dir):
+    """X1/X2: a metric declared as SQL over a user's own table (visits per contact up to
+    the date), with its own change rule, kept fresh for the visits that arrive."""
+    src1 = _src(spark, sf_dir)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    visits = events.select(F.col("user_id").cast("long").alias("visitor"), F.col("ts").alias("at"), F.col("event_type").alias("kind"))
+    reg = Registry(families={"visits": sql_family(
+        f"SELECT visitor AS entity_id, count(*) AS visit_count FROM {{{VISITS}}} WHERE CAST(at AS DATE) <= :as_of GROUP BY visitor", (VISITS,))})
+    rule = lambda src, ch: ch.select(F.explode(F.array("old.visitor", "new.visitor")).alias("entity_id"))
+    reg.register(RollupSpec("visit_count", "Visits", "Visits", "Int", "visits", {VISITS: rule}))
+    new = visits.where("kind = 'click'")
+    before = src1.replace(**{VISITS: visits.where("kind <> 'click'")})
+    stored, _ = refresh(before, MAIL_CONFIG, reg, membership=True)
+    return public(inc.refresh_affected(stored, src1.replace(**{VISITS: visits}), MAIL_CONFIG, VISITS, inc.inserts(new), reg))
+
+
 UPSERT_KEYS = ["contribution_total_this_calendar_year", "relatedcontrib_alltime", "mail_openrate_last12months"]
 UPSERT_REL_CFG = CFG.with_(relationship_type_ids=(5, 6, 7))
 
@@ -227,6 +271,9 @@ QUERIES = {
     "incremental_equals_batch": q_incremental_equals_batch,
     "incremental_relationship_equals_batch": q_incremental_relationship_equals_batch,
     "incremental_mail_equals_batch": q_incremental_mail_equals_batch,
+    "incremental_delete_equals_batch": q_incremental_delete_equals_batch,
+    "incremental_moved_equals_batch": q_incremental_moved_equals_batch,
+    "user_metric_incremental": q_user_metric_incremental,
     "upsert_patch": q_upsert_patch,
     "contract_not_null": q_contract_not_null,
     "contract_defaults": q_contract_defaults,

@@ -82,6 +82,9 @@ class Sources(Mapping):
     def from_frames(cls, spark: SparkSession, **frames: DataFrame) -> "Sources":
         out = {}
         for name, df in frames.items():
+            if name not in SCHEMAS:  # a user's own table
+                out[name] = df
+                continue
             schema = SCHEMAS[name]
             out[name] = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
         return cls(spark, out)

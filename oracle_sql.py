@@ -348,6 +348,11 @@ def extra_oracles() -> dict[str, str]:
         FROM crm_mail_link_open x JOIN crm_mail_queue q ON q.id = x.event_queue_id""")
     out["incremental_equals_batch"] = with_views(wide_sql(keys, cfg))
     out["incremental_relationship_equals_batch"] = with_views(wide_sql(keys, cfg))
+    out["incremental_delete_equals_batch"] = with_views(wide_sql(keys, cfg))
+    out["incremental_moved_equals_batch"] = with_views(wide_sql(keys, cfg))
+    out["user_metric_incremental"] = f"""
+        SELECT user_id AS entity_id, count(*) AS visit_count FROM events
+        WHERE CAST(ts AS DATE) <= {_date(MAIL_CONFIG.as_of)} GROUP BY user_id"""
     out["incremental_mail_equals_batch"] = with_views(wide_sql(keys, MAIL_CONFIG))
     out["population_all"] = with_views(f"SELECT entity_id, grant_types_received FROM ({wide_sql(keys, cfg)}) w")
     out["plusme_distinct_donors"] = with_views(
