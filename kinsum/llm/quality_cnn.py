@@ -37,6 +37,8 @@ FILTERS, WIDTH, EMBED, BLOCK = 16, 6, 8, 128
 #: Training bounds: rows, windows of a long text and bytes of a window.
 SAMPLE, WINDOWS, WINDOW = 4000, 6, 1500
 EPOCHS, BATCH, RATE, SEED = 12, 24, 0.01, 7
+#: A small sample is gone through more often, up to this many steps.
+LEAST_STEPS = 900
 #: Weight of a rejected text in training; they are the rarer class.
 REJECT_WEIGHT = 3.0
 THRESHOLD = 0.3
@@ -147,14 +149,15 @@ def fit(samples: list[bytes], labels: np.ndarray) -> Model | None:
         rng.normal(0, 0.1, FILTERS), rng.normal(0, 0.1, FILTERS), rng.normal(0, 0.1, FILTERS), np.array([np.log(rate / (1 - rate))]),
     )
     mom = [(np.zeros_like(p), np.zeros_like(p)) for p in m.params()]
-    step = 0
-    for epoch in range(EPOCHS):
+    step, per_epoch = 0, -(-len(samples) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
+    for _ in range(epochs):
         order = rng.permutation(len(samples))
         for i in range(0, len(order), BATCH):
             at = order[i : i + BATCH]
             step += 1
             grads = gradients(m, [samples[j] for j in at], labels[at])
-            lr = RATE * (0.5 ** (epoch / 3))
+            lr = RATE * 0.5 ** (4 * step / (epochs * per_epoch))
             for p, g, (a, b) in zip(m.params(), grads, mom, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
