@@ -76,8 +76,9 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
     ev = _tagged(src, tables, ids)
     tags = sorted(set(tables.values()))
 
-    jobs = src["mailing_job"].select(F.col("id").alias("job_id"), "mailing_id", "start_date")
     jflags = []
+    if keys != ["mail_openrate_alltime"]:  # the only rate that needs no job
+        jobs = src["mailing_job"].select(F.col("id").alias("job_id"), "mailing_id", "start_date")
     if "mail_openrate_last12months" in keys:
         jobs = jobs.withColumn("_in_win", periods.rolling_year(cfg).contains("start_date"))
         jflags.append("_in_win")

@@ -142,13 +142,11 @@ def refresh(
         report.ok = False
         return None, report
     requested = [s.key for s in specs]
-    if src.missing():  # a wrong path or a lost table must not look like an empty one
-        report.ok = False
-        report.skipped.update({k: f"required tables are absent: {', '.join(src.missing())}" for k in requested})
-        return None, report
     frames = family_frames(src, cfg, reg, requested, contacts, membership, report.skipped)
     active = [k for k in requested if k not in report.skipped]
-    if not frames:
+    # a wrong path or a lost table must not look like an empty one
+    lost = [k for k in requested if "required table" in report.skipped.get(k, "")]
+    if lost or not frames:
         report.ok = False
         return None, report
     report.computed = active
