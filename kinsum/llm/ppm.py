@@ -8,14 +8,19 @@ before it, back to the mark (0x20) that stands for the boundary before the unit.
 A symbol is coded in the longest context that the trie knows.  If the context has not seen
 it, an escape is coded and the next shorter one asked, where the symbols of the longer one
 are excluded; below order 0 all 256 bytes are equally likely.  Escapes are estimated
-by method C: the number of distinct symbols (and the count of pruned ones) against
-the counts.
-
-Counts cover all training text: units are counted in Spark, and so are the (context, symbol)
-pairs.  The trie keeps the pairs that make up at least LEAST of all bytes (and two
-occurrences), so it has at most 1 / LEAST entries an order at any size of corpus, and is
-sent to the workers.  A unit's score and the count of its word depend on the unit alone:
-units with at least LEAST of all tokens go with the trie (again at most 1 / LEAST);
+by method C: the number of distinct symbols against the counts.
+
+Counts cover all training text and no context is dropped.  The trie is a table: a gram is a
+byte with its whole context, as a number; each distinct gram of the corpus (of held-out
+texts too, with count 0) is a leaf, and the nodes at depth k are the grams cut to their last
+k context bytes.  ``gram_codes`` goes down the trie depth by depth: a node joins the one
+above it, whose code it needs for escapes, and a window over a context's symbols (at most
+256 rows) gives its counts.  So the model grows with the corpus and is nowhere held whole.
+A unit's score is the sum of its grams' codes: grams that make up at least LEAST of all
+training bytes (at most 1 / LEAST of them) go to the workers, the others are joined.
+
+A unit's score and the count of its word depend on the unit alone:
+units with at least LEAST of all tokens go to the workers (again at most 1 / LEAST);
 every other distinct unit of the corpus is scored once, and texts join that table by
 shuffle, where no unit is frequent.
 
@@ -30,24 +35,27 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinsum.llm.common import Batches, batch, crc_mod, cut, texts
+from kinsum.llm.common import Batches, batch, crc_mod, cut, raw_bytes, texts
 
 ORDER = 5
 LEAST = 1e-6
-MARK, END = b" ", b"\xff"
+MARK, END = ord(" "), b"\xff"
 #: Entries a worker counts before it passes them on.
 COUNTED = 300_000
 UNIT = re.compile(rb"[^ \t\n\r\x0b\x0c]*[ \t\n\r\x0b\x0c]|[^ \t\n\r\x0b\x0c]+$")
 SPACE = frozenset(b" \t\n\r\x0b\x0c\xff")
 
 COUNT = pa.schema([("k", pa.binary()), ("n", pa.int64())])
-UNITS = pa.schema([("k", pa.binary()), ("c", pa.int64()), ("score", pa.float64())])
+GRAMS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+PARTS = pa.schema([("uid", pa.int64()), ("k", pa.binary()), ("n", pa.int64()), ("c", pa.int64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
 RARE = pa.list_(pa.struct([("k", pa.binary()), ("n", pa.int32())]))
 SCORED = pa.schema(
     [("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", RARE)]
@@ -84,92 +92,110 @@ def count_units(batches: Batches) -> Batches:
     yield passed_on(counts)
 
 
-def contexts(unit: bytes):
-    """Every (context + symbol) of a unit, of all orders."""
-    x = MARK + unit
-    for i in range(1, len(x)):
-        for a in range(max(0, i - ORDER), i + 1):
-            yield x[a : i + 1]
+def gram_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The gram of every byte: from high to low its context's length, the ORDER bytes before
+    it (the nearest first, zeros beyond the mark) and the byte itself."""
+    at = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    out = data.astype(np.int64) | (np.minimum(at + 1, ORDER) << (8 * ORDER + 8))
+    for j in range(1, ORDER + 1):
+        before = np.zeros(len(data), np.int64)
+        before[j:] = data[:-j]
+        before[at < j] = 0
+        before[at == j - 1] = MARK
+        out |= before << (8 * (ORDER + 1 - j))
+    return out
 
 
-def count_contexts(batches: Batches) -> Batches:
-    counts: dict[bytes, int] = {}
-    for b in batches:
-        for u, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for c in contexts(u):
-                counts[c] = counts.get(c, 0) + n
-            if len(counts) > COUNTED:
-                yield passed_on(counts)
-                counts = {}
-    yield passed_on(counts)
+def count_grams(batches: Batches) -> Batches:
+    """Distinct grams of the units with their training occurrences."""
+    keys, counts, held = [], [], 0
 
+    def passed() -> pa.RecordBatch:
+        k, at = np.unique(np.concatenate(keys), return_inverse=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        n = np.zeros(len(k), np.int64)
+        np.add.at(n, at, np.concatenate(counts) if counts else n)
+        return batch(GRAMS, key=k, n=n)
 
-class Trie:
-    """log10 probabilities of units, from counts of context + symbol.
-
-    ``node[x]`` of a context x: (direct escape, denominator, escape and denominator of
-    the next shorter context when the symbols of x are excluded there)."""
-
-    def __init__(self, counts: dict[bytes, int], n_units: int):
-        self.counts = counts
-        kids: dict[bytes, list[int]] = {}
-        for k in counts:
-            kids.setdefault(k[:-1], []).append(k[-1])
-        self.kids = kids
-        total = {x: sum(counts[x + bytes((s,))] for s in syms) for x, syms in kids.items()}
-        # occurrences of x as a context that no kept symbol accounts for
-        seen = lambda x: n_units if x == MARK else counts.get(x, 0)
-        n_bytes = sum(counts[bytes((s,))] for s in kids.get(b"", ()))
-        self.pruned = {x: max(0, (seen(x) if x else n_bytes) - total[x]) for x in kids}
-        self.node: dict[bytes, tuple[float, float, float, float]] = {}
-        for x, syms in kids.items():
-            own = self.escape(total[x], len(syms), self.pruned[x])
-            if x:
-                y = x[1:]
-                rest = total[y] - sum(counts[y + bytes((s,))] for s in syms)
-                self.node[x] = (*own, *self.escape(rest, len(kids[y]) - len(syms), self.pruned[y]))
-            else:
-                left = 256 - len(syms)
-                self.node[x] = (*own, 0.0, math.log10(left) if left else 0.0)
-
-    @staticmethod
-    def escape(total: int, distinct: int, pruned: int) -> tuple[float, float]:
-        """(log10 of the escape probability, of the denominator)."""
-        all_ = total + distinct + pruned
-        if total == 0 or all_ == 0:
-            return 0.0, 0.0
-        # a context that has no unseen symbol left keeps one part for the escape
-        return math.log10(max(distinct + pruned, 1)) - math.log10(max(all_, total + 1)), math.log10(max(all_, total + 1))
-
-    def code(self, u: bytes) -> float:
-        x, out = MARK + u, 0.0
-        node, counts = self.node, self.counts
-        for i in range(1, len(x)):
-            a = max(0, i - ORDER)
-            while a < i and x[a:i] not in node:
-                a += 1
-            if x[a:i] not in node:  # not even order 0 is known
-                out -= math.log10(256)
-                continue
-            esc, den, next_esc, next_den = node[x[a:i]]
-            while True:
-                n = counts.get(x[a : i + 1])
-                if n is not None:
-                    out += math.log10(n) - den
-                    break
-                out += esc
-                if a == i:
-                    out -= next_den
-                    break
-                esc, den = next_esc, next_den
-                a += 1
-                _, _, next_esc, next_den = node[x[a:i]]
-        return out
-
-
-def table_of(df: DataFrame) -> dict[bytes, int]:
-    t = df.select("k", "n").toArrow()
-    return dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True))
+    for b in batches:
+        data, offsets = raw_bytes(b.column(0))
+        keys.append(gram_keys(data, offsets))
+        counts.append(np.repeat(b.column(1).to_numpy(), np.diff(offsets)))
+        held += len(data)
+        if held > COUNTED:
+            yield passed()
+            keys, counts, held = [], [], 0
+    yield passed()
+
+
+def gram_codes(grams: DataFrame) -> DataFrame:
+    """(key, code) of every gram of ``grams`` (key, n): log10 of the byte's probability in
+    its context, learnt from the counts n."""
+    bits = F.col("key").bitwiseAND(F.lit((1 << (8 * ORDER + 8)) - 1))
+    length = F.shiftright("key", 8 * ORDER + 8)
+    log = lambda x: F.log10(F.greatest(x, F.lit(1)))
+
+    def nodes(k: int) -> DataFrame:
+        """Counts of (context of k bytes, symbol)."""
+        x = F.shiftright(bits, 8 * (ORDER + 1 - k))
+        return grams.where(length >= k).groupBy(x.alias("x"), bits.bitwiseAND(F.lit(255)).alias("s")).agg(F.sum("n").alias("n"))
+
+    root = nodes(0)
+    all_ = root.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t"), F.count(F.when(F.col("n") > 0, 1)).alias("d")).first()
+    t, d = all_["t"], all_["d"]
+    new = -math.log10(max(256 - d, 1))
+    seen = F.log10("n") - math.log10(max(t + d, 1))
+    unseen = F.lit(math.log10(d / (t + d)) + new if t else new)
+    above = root.select("x", "s", "n", F.lit(t).alias("t"), F.lit(d).alias("d"), F.when(F.col("n") > 0, seen).otherwise(unseen).alias("code"), F.lit(new).alias("escaped"))
+    of_context, known = Window.partitionBy("x"), F.col("n") > 0
+    out = []
+    for k in range(1, ORDER + 1):
+        # u*: the same symbol in the next shorter context; escaped: its code there and
+        # further up, without the symbols of this context
+        up = above.select(F.col("x").alias("ux"), F.col("s").alias("us"), F.col("n").alias("un"), F.col("t").alias("ut"), F.col("d").alias("ud"), F.col("code").alias("ucode"), F.col("escaped").alias("uescaped"))
+        here = nodes(k)
+        met = here.join(up, (F.shiftright(here["x"], 8) == up["ux"]) & (here["s"] == up["us"]))
+        met = met.withColumns({
+            "t": F.sum("n").over(of_context),
+            "d": F.count(F.when(known, 1)).over(of_context),
+            "rest": F.col("ut") - F.coalesce(F.sum(F.when(known, F.col("un"))).over(of_context), F.lit(0)),
+        })
+        others = F.col("ud") - F.col("d")
+        met = met.withColumn("escaped", F.when(F.col("un") > 0, log(F.col("un")) - log(F.col("rest") + others)).otherwise(log(others) - log(F.col("rest") + others) + F.col("uescaped")))
+        total = log(F.col("t") + F.col("d"))
+        code = F.when(F.col("t") == 0, F.col("ucode")).when(known, log(F.col("n")) - total).otherwise(log(F.col("d")) - total + F.col("escaped"))
+        above = cut(met.select("x", "s", "n", "t", "d", code.alias("code"), "escaped"), f"trie-{k}")
+        whole = above if k == ORDER else above.where(F.col("x").bitwiseAND(F.lit(255)) == MARK)
+        key = F.lit(k << (8 * ORDER + 8)).bitwiseOR(F.shiftleft("x", 8 * (ORDER + 1 - k))).bitwiseOR(F.col("s"))
+        out.append(whole.select(key.alias("key"), "code"))
+    return reduce(DataFrame.unionAll, out)
+
+
+def unit_codes(known: DataFrame, grams: DataFrame, n_bytes: int) -> DataFrame:
+    """(k, n, c, score) of the distinct units: the sum of their grams' codes."""
+    codes = cut(gram_codes(grams).join(grams, "key"), "gram-codes")
+    often = codes.where(F.col("n") >= max(2, math.ceil(LEAST * n_bytes))).select("key", "code").toArrow()
+    order = np.argsort(often.column(0).to_numpy())
+    sent = known.sparkSession.sparkContext.broadcast((often.column(0).to_numpy()[order], often.column(1).to_numpy()[order]))
+
+    def add_up(batches: Batches) -> Batches:
+        keys, code = sent.value
+        uid = TaskContext.get().partitionId() << 40
+        for b in batches:
+            data, offsets = raw_bytes(b.column(0))
+            units_, own = len(b.column(0)), gram_keys(data, offsets)
+            unit = np.repeat(np.arange(units_), np.diff(offsets))
+            at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+            found = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+            score = np.bincount(unit[found], code[at[found]], units_)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(unit[~found], minlength=units_))])
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own[~found], pa.int64()))
+            yield batch(PARTS, uid=uid + np.arange(units_), k=b.column(0), n=b.column(1), c=b.column(2), score=score, rare=rare)
+            uid += units_
+
+    parts = cut(known.select("k", "n", "c").mapInArrow(add_up, "uid long, k binary, n long, c long, score double, rare array<long>"), "unit-parts")
+    rare = parts.select("uid", F.explode("rare").alias("key")).groupBy("uid", "key").agg(F.count(F.lit(1)).alias("times"))
+    more = rare.join(codes.select("key", "code"), "key").groupBy("uid").agg(F.sum(F.col("times") * F.col("code")).alias("more"))
+    return parts.join(more, "uid", "left").select("k", "n", "c", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 def ppm_scores(docs: DataFrame) -> DataFrame:
@@ -183,21 +209,15 @@ def ppm_scores(docs: DataFrame) -> DataFrame:
     total = lambda x: F.coalesce(F.sum(x), F.lit(0))
     size = words.agg(F.count(F.when(F.col("c") > 0, 1)).alias("v"), total("c").alias("n")).first()
     ended = F.when(F.substring(F.col("k"), -1, 1) == F.lit(END), F.col("n"))
-    byte = seen.agg(total(F.length("k") * F.col("n")).alias("b"), total("n").alias("u"), total(ended).alias("ends")).first()
+    byte = seen.agg(total(F.length("k") * F.col("n")).alias("b"), total(ended).alias("ends")).first()
     ends = byte["ends"]
     n_train, distinct = size["n"] + ends, size["v"] + (ends > 0)
-    pairs = seen.where("n > 0").mapInArrow(count_contexts, "k binary, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    counts = spark.sparkContext.broadcast((table_of(pairs.where(F.col("n") >= max(2, math.ceil(LEAST * byte["b"])))), byte["u"]))
-
-    def score_units(batches: Batches) -> Batches:
-        trie = Trie(*counts.value)
-        for b in batches:
-            yield batch(UNITS, k=b.column(0), c=b.column(1), score=[trie.code(u) for u in b.column(0).to_pylist()])
-
-    often = F.col("n") >= max(2, math.ceil(LEAST * n_train))
+    grams = cut(seen.select("k", "n").mapInArrow(count_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
     known = named.join(words, "w", "left").select("k", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    frequent = known.where(often).select("k", "c").mapInArrow(score_units, "k binary, c long, score double").toArrow()
-    others = cut(known.where(~often).select("k", "c").mapInArrow(score_units, "k binary, c long, score double"), "other-units")
+    scored_units = cut(unit_codes(known, grams, byte["b"]), "unit-scores")
+    often = F.col("n") >= max(2, math.ceil(LEAST * n_train))
+    frequent = scored_units.where(often).select("k", "c", "score").toArrow()
+    others = scored_units.where(~often).select("k", "c", "score")
     sent = spark.sparkContext.broadcast({k: (math.log10(c + 1), int(c > 0), p) for k, c, p in zip(*(x.to_pylist() for x in frequent.columns), strict=True)})
 
     def score(batches: Batches) -> Batches:

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from kinsum.llm import ppm
@@ -19,48 +20,30 @@ def brute_base(rows):
     return [(i, not training(i), len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in toks]
 
 
-def brute_score(rows, least):
+def brute_score(rows):
     """The definition, symbol by symbol: contexts down from ORDER, escapes with exclusion."""
     follow = defaultdict(Counter)
-    split = lambda t: [MARKED(u) for u in ppm.units((t or "").encode())]
-    MARKED = lambda u: b" " + u
+    split = lambda t: [b" " + u for u in ppm.units((t or "").encode())]
     for i, t in rows:
         if training(i):
             for x in split(t):
                 for k in range(1, len(x)):
                     for a in range(max(0, k - ppm.ORDER), k + 1):
                         follow[x[a:k]][x[k]] += 1
-    full = {x: sum(c.values()) for x, c in follow.items()}
-    kept = {x: {s: n for s, n in c.items() if n >= least} for x, c in follow.items()}
-    kept = {x: c for x, c in kept.items() if c}
-    n_bytes = sum(kept.get(b"", {}).values())
-    full[b""] = n_bytes
-    out = []
-    for _, t in rows:
-        p = 0.0
-        for x in split(t):
-            for k in range(1, len(x)):
-                gone = set()
-                for a in range(max(0, k - ppm.ORDER), k + 1):
-                    c = kept.get(x[a:k])
-                    if c is None:
-                        continue
-                    left = {s: n for s, n in c.items() if s not in gone}
-                    pruned = full[x[a:k]] - sum(c.values())
-                    total, q = sum(left.values()), len(left) + pruned
-                    if total == 0:
-                        gone |= set(c)
-                        continue
-                    den = max(total + q, total + 1)
-                    if x[k] in left:
-                        p += math.log10(left[x[k]] / den)
-                        break
-                    p += math.log10(max(q, 1) / den)
-                    gone |= set(c)
-                else:
-                    p -= math.log10(256 - len(gone)) if len(gone) < 256 else 0
-        out.append(p)
-    return out
+    return [sum(code(follow, x, k) for x in split(t) for k in range(1, len(x))) for _, t in rows]
+
+
+def code(follow, x, k):
+    p, gone = 0.0, set()
+    for a in range(max(0, k - ppm.ORDER), k + 1):
+        left = {s: n for s, n in follow.get(x[a:k], {}).items() if s not in gone}
+        if left:
+            den = sum(left.values()) + len(left)
+            if x[k] in left:
+                return p + math.log10(left[x[k]] / den)
+            p += math.log10(len(left) / den)
+            gone |= set(left)
+    return p - math.log10(256 - len(gone))
 
 
 def test_base_and_score(make, odd, real):
@@ -68,7 +51,7 @@ def test_base_and_score(make, odd, real):
     out = ppm.ppm_scores(make(rows)).collect()
     key = lambda r: (repr(r[0]), r[2], r[5])
     got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out), key=key)
-    want = sorted(((*b, s) for b, s in zip(brute_base(rows), brute_score(rows, 2), strict=True)), key=key)
+    want = sorted(((*b, s) for b, s in zip(brute_base(rows), brute_score(rows), strict=True)), key=key)
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
         assert g[:5] == w[:5]
@@ -76,25 +59,32 @@ def test_base_and_score(make, odd, real):
 
 
 def test_rare_words_join(make, monkeypatch, real):
-    """With a high bound nearly all words go by the vocabulary join and the trie is pruned."""
+    """With a high bound nearly all words and grams go by the joins."""
     monkeypatch.setattr(ppm, "LEAST", 0.002)
     rows = [(i, t[:800]) for i, t in real[:50]]
     out = {r.doc_id: r for r in ppm.ppm_scores(make(rows)).collect()}
-    n = sum(len(u) for i, t in rows if training(i) for u in ppm.units((t or "").encode()))
-    for b, s in zip(brute_base(rows), brute_score(rows, max(2, math.ceil(0.002 * n))), strict=True):
+    for b, s in zip(brute_base(rows), brute_score(rows), strict=True):
         r = out[b[0]]
         assert (r.n_tokens, r.n_known, r.train_tokens) == b[2:5]
         assert (r.base_score, r.score) == pytest.approx((b[5], s), rel=1e-9)
 
 
-def test_probabilities_sum_to_one_or_less():
-    counts = Counter()
-    for u in [b"the ", b"then ", b"to ", b"a ", b"the\xff", b"t "] * 3:
-        counts.update(ppm.contexts(u))
-    trie = ppm.Trie(dict(counts), 18)
-    for prefix in (b"", b"t", b"th", b"the", b"q"):
-        before = trie.code(prefix)
-        assert sum(10 ** (trie.code(prefix + bytes((s,))) - before) for s in range(256)) <= 1 + 1e-9
+def test_probabilities_sum_to_one(spark):
+    """Over all 256 symbols, in contexts that are known in full, in part or not at all."""
+    seen, asked = Counter(), []
+    for u in [b"the ", b"then ", b"to ", b"a ", b"the\xff", b"t ", b"theatres "] * 3:
+        seen.update(grams(u))
+    for prefix in (b"", b"t", b"th", b"the", b"q", b"heatre", b"xyztheatr"):
+        asked.append([grams(prefix + bytes((s,)))[-1] for s in range(256)])
+        seen.update(dict.fromkeys(asked[-1], 0))
+    got = {r.key: r.code for r in ppm.gram_codes(spark.createDataFrame(list(seen.items()), "key long, n long")).collect()}
+    assert set(got) == set(seen)
+    for keys in asked:
+        assert sum(10 ** got[k] for k in keys) == pytest.approx(1)
+
+
+def grams(unit):
+    return ppm.gram_keys(np.frombuffer(unit, np.uint8), np.array([0, len(unit)])).tolist()
 
 
 def test_model_prefers_text_to_noise(make, real):
