@@ -41,6 +41,7 @@ def config_from_args(a) -> RollupConfig:
         participant_status_ids=_ids(a.participant_statuses),
         event_type_ids=_ids(a.event_types),
         related_empty=a.related_empty,
+        related_population=a.related_population,
         dedupe_donors=a.dedupe_donors,
         distinct_links=a.distinct_links,
         label_order=a.label_order,
@@ -62,6 +63,7 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument(f"--{opt}", default=None, help="comma-separated ids; omitted = every known id")
         s.add_argument("--metrics", default=None, help="comma-separated metric keys; omitted = all")
         s.add_argument("--related-empty", default="null", choices=["null", "zero"])
+        s.add_argument("--related-population", default="donors", choices=["donors", "edges"])
         s.add_argument("--dedupe-donors", action="store_true")
         s.add_argument("--distinct-links", action="store_true")
         s.add_argument("--label-order", default="binary", choices=["binary", "nocase"])

@@ -39,6 +39,9 @@ class RollupConfig:
     # Q1: related metrics give NULL when nothing matches (batch form); "zero"
     # gives the 0 of the reference's incremental statements.
     related_empty: str = "null"
+    # who has a related total: "donors" (contacts found in contribution, the batch
+    # population) or "edges" (also every contact with an active listed edge)
+    related_population: str = "donors"
     # Q2: plus-me metrics count a donor once per edge (batch form); True counts
     # each (contact, donor) pair once, like the reference's contribution-change
     # statements (a self-edge still adds the contact's own total twice)
@@ -72,6 +75,8 @@ class RollupConfig:
             object.__setattr__(self, name, _ids(getattr(self, name)))
         if self.related_empty not in ("null", "zero"):
             raise ValueError("related_empty must be 'null' or 'zero'")
+        if self.related_population not in ("donors", "edges"):
+            raise ValueError("related_population must be 'donors' or 'edges'")
         if self.label_order not in ("binary", "nocase"):
             raise ValueError("label_order must be 'binary' or 'nocase'")
         if self.active is not None:

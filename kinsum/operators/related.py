@@ -16,11 +16,16 @@ Plan (cost |edges| + |contributions|, never |edges| x |donations|):
 3. ``edges ⋈ donor_totals`` on the other endpoint, grouped by ``src``: partial
    aggregation before the shuffle.  The donor side keeps its aggregation's
    partitioning, which AQE's skew-join split cannot work with, so the hottest
-   partners (a hub contact) are isolated and joined against a broadcast of
-   their donor rows (:func:`kinsum.functions.joins.hot_split_join`).
+   partners (a hub contact) are salted
+   (:func:`kinsum.functions.joins.hot_split_join`): the edges are read twice, once
+   to count, and the donors are aggregated once.
 4. left-joined onto the shared contribution rollup (the population, and the
    contact's own totals for the plus-me metrics); both sides are already
    partitioned by contact, so this join adds no exchange.
+
+``related_population="edges"`` also gives a row to every contact with an active listed
+edge who is not found in ``contribution`` (a non-donating spouse): step 3 then keeps
+the edges without a donor and step 4 is a full join.
 """
 
 from __future__ import annotations
@@ -99,17 +104,18 @@ def related_totals(
     donors: DataFrame | None = None,
     sym: DataFrame | None = None,
     hot_split: bool = True,
+    how: str = "inner",
 ) -> DataFrame:
     """``(entity_id, r_<window>...)`` for every contact with at least one
-    matched (edge, donor) pair."""
+    matched (edge, donor) pair; with ``how="left"`` for every contact with an edge."""
     donors = donors if donors is not None else donor_totals(src, cfg, windows)
     sym = sym if sym is not None else symmetric_edges(active_edges(src, cfg))
     if hot_split:
         # donors is partitioned by its own aggregation, so AQE cannot split a
-        # hub's skewed join partition: isolate the hottest partners explicitly
-        j = hot_split_join(sym, donors, "dst", "donor", "inner")
+        # hub's skewed join partition: salt the hottest partners explicitly
+        j = hot_split_join(sym, donors, "dst", "donor", how)
     else:
-        j = sym.join(donors, sym["dst"] == donors["donor"], "inner")
+        j = sym.join(donors, sym["dst"] == donors["donor"], how)
     return j.groupBy(F.col("src").alias("entity_id")).agg(*[F.sum(f"w_{w}").alias(f"r_{w}") for w in windows])
 
 
@@ -136,14 +142,21 @@ def build(
     # rows number at most the batch's contacts times their parallel edges, so
     # the plain join is safe there and saves the hot-key pass
     hot_split = contacts is None
-    rel = related_totals(src, cfg, windows, donors, sym, hot_split)
+    by_edge = cfg.related_population == "edges"
+    if by_edge:
+        rel = related_totals(src, cfg, windows, donors, sym.where(F.col("src").isNotNull()), hot_split, "left")
+    else:
+        rel = related_totals(src, cfg, windows, donors, sym, hot_split)
     rel_p = rel
     if cfg.dedupe_donors and any(k in PLUSME_KEYS for k in keys):
         # Q2 DISTINCT form for the plus-me metrics: one row per (contact, donor)
         rel_p = related_totals(src, cfg, windows, donors, sym.distinct(), hot_split)
         rel_p = rel_p.select("entity_id", *[F.col(f"r_{w}").alias(f"rp_{w}") for w in windows])
     base = contributions.rollup(src, cfg, list(extra_keys), windows if any(k in PLUSME_KEYS for k in keys) else (), contacts)
-    out = base.join(rel, base["contact_id"] == rel["entity_id"], "left").drop("entity_id")
+    out = base.join(rel, base["contact_id"] == rel["entity_id"], "full" if by_edge else "left")
+    if by_edge:
+        out = out.withColumn("contact_id", F.coalesce("contact_id", "entity_id"))
+    out = out.drop("entity_id")
     if rel_p is not rel:
         out = out.join(rel_p, out["contact_id"] == rel_p["entity_id"], "left").drop("entity_id")
     cols = []

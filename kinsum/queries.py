@@ -250,6 +250,28 @@ def q_related_empty_zero(spark, sf_dir):
     return related.build(_src(spark, sf_dir), CFG.with_(related_empty="zero"), ["relatedcontrib_this_fiscal_year"])
 
 
+EDGE_KEYS = ["relatedcontrib_alltime", "relatedcontrib_plusme_this_calendar_year", "relatedcontrib_plusme_alltime"]
+
+
+def q_related_population_edges(spark, sf_dir):
+    """Related totals of everyone with an active edge or a donation."""
+    from kinsum.operators import related
+
+    return related.build(_src(spark, sf_dir), CFG.with_(related_population="edges"), EDGE_KEYS)
+
+
+def q_incremental_edge_population(spark, sf_dir):
+    """The edge population kept fresh: the base before the inactive edges were deactivated,
+    then those updates; contacts whose only edges they were leave the table."""
+    cfg = CFG.with_(related_population="edges")
+    src1 = _src(spark, sf_dir)
+    rel1 = src1["relationship"]
+    before = rel1.where(~F.col("is_active")).withColumn("is_active", F.lit(True)).select(rel1.columns)
+    src0 = src1.replace(relationship=rel1.where("is_active is distinct from false").unionAll(before))
+    stored, _ = refresh(src0, cfg, keys=EDGE_KEYS, membership=True)
+    return public(inc.refresh_affected(stored, src1, cfg, "relationship", inc.updates(before, {"is_active": F.lit(False)})))
+
+
 def q_mail_clickrate_distinct_links(spark, sf_dir):
     """M3 option: emails instead of link-multiplied rows."""
     from kinsum.operators import mailings
@@ -259,6 +281,8 @@ def q_mail_clickrate_distinct_links(spark, sf_dir):
 
 QUERIES = {
     "related_empty_zero": q_related_empty_zero,
+    "related_population_edges": q_related_population_edges,
+    "incremental_edge_population": q_incremental_edge_population,
     "mail_clickrate_distinct_links": q_mail_clickrate_distinct_links,
     "population_all": q_population_all,
     "plusme_distinct_donors": q_plusme_distinct_donors,

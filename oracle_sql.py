@@ -360,6 +360,23 @@ def extra_oracles() -> dict[str, str]:
     )
     out["related_empty_zero"] = with_views(
         _related(cfg.with_(related_empty="zero"), "relatedcontrib_this_fiscal_year", "this_fiscal_year", False))
+    # everyone with a gift or a live edge, and what each live edge or the person itself brings
+    brought = f"""
+        WITH bond AS (SELECT d.person, d.partner FROM {_DIRECTED} d
+                      WHERE d.active AND d.rtype IN ({_edge_types(cfg)}) AND d.person IS NOT NULL),
+        given AS (SELECT contact_id, sum(total_amount) AS ever,
+                         sum(total_amount) FILTER (WHERE {_in_window('g.receive_date', cfg, 'this_calendar_year')}) AS this_year
+                  FROM crm_contribution g WHERE {_own_completed('g', cfg, related=True)} GROUP BY contact_id),
+        by_partners AS (SELECT person, sum(ever) AS ever, sum(this_year) AS this_year
+                        FROM bond LEFT JOIN given ON contact_id = partner GROUP BY person),
+        people AS (SELECT contact_id FROM crm_contribution UNION SELECT person FROM bond)"""
+    both = lambda c: f"CASE WHEN b.{c} IS NOT NULL OR o.{c} IS NOT NULL THEN coalesce(b.{c}, 0) + coalesce(o.{c}, 0) END"
+    edge_population = with_views(f"""{brought}
+        SELECT p.contact_id AS entity_id, CAST(b.ever AS DOUBLE) AS relatedcontrib_alltime,
+               CAST({both('this_year')} AS DOUBLE) AS relatedcontrib_plusme_this_calendar_year,
+               CAST({both('ever')} AS DOUBLE) AS relatedcontrib_plusme_alltime
+        FROM people p LEFT JOIN by_partners b ON b.person = p.contact_id LEFT JOIN given o ON o.contact_id = p.contact_id""")
+    out["related_population_edges"] = out["incremental_edge_population"] = edge_population
     # emails (queue rows) instead of link-multiplied rows
     out["mail_clickrate_distinct_links"] = with_views(_click_rate(MAIL_CONFIG, "mail_clickrate_alltime", once=True))
     ukeys = ["contribution_total_this_calendar_year", "relatedcontrib_alltime", "mail_openrate_last12months"]

@@ -4,6 +4,7 @@ query shapes on hand-made rows (FIXTURES.md §3)."""
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import GOLDEN_CFG, as_dict, golden_sources
 from kinsum.operators import attendance, contributions, grants, mailings, related, soft
@@ -81,6 +82,21 @@ def test_related_empty_zero(src):
     assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
 
 
+def test_edge_population(spark, src):
+    """Contact 7 never gave and is joined to donor 3; everyone else keeps their value."""
+    cfg = GOLDEN_CFG.with_(related_population="edges")
+    live = src["relationship"].where("is_active").where(F.col("relationship_type_id").isin(*cfg.relationship_type_ids))
+    ends = {x for r in live.collect() for x in (r["contact_id_a"], r["contact_id_b"])} - {None}
+    for key, exp in REL.items():
+        got = _m(related, src, key, cfg)
+        assert [got[k] for k in range(1, 6)] == exp
+        assert set(got) == {1, 2, 3, 4, 5} | ends and 7 in got
+    assert _m(related, src, "relatedcontrib_alltime", cfg)[7] == 30
+    assert _m(related, src, "relatedcontrib_plusme_alltime", cfg)[7] == 30
+    nobody = src.replace(relationship=src.empty("relationship"), contribution=src.empty("contribution"))
+    assert related.build(nobody, cfg).collect() == []
+
+
 def test_edge_direction_flip_invariant(spark, src):
     flipped = src["relationship"].selectExpr(
         "contact_id_b AS contact_id_a", "contact_id_a AS contact_id_b", "relationship_type_id", "is_active"

@@ -50,6 +50,29 @@ def test_fused_refresh_scan_count(spark):
     assert len(orders) <= 8, len(orders)
 
 
+def test_related_edges_are_read_once_and_donors_summed_once(spark):
+    """Without any broadcast by size: the count of the hot partners and the join share the
+    edges' shuffle (the view joins them from lineitem), and both sides of the join share
+    the table of hot partners."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        df = E.queries()["relatedcontrib_alltime"](spark, SF)
+        df.collect()
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+    final = buf.getvalue().split("== Initial Plan ==")[0]
+    scans = [line for line in final.splitlines() if "FileScan parquet" in line]
+    assert len([s for s in scans if "lineitem.parquet" in s]) == 1
+    # the population, the donors and the endpoint lookup of the relationship view
+    assert len([s for s in scans if "orders.parquet" in s]) == 3
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and df.columns[0] == "entity_id" and len(df.columns) == 28
