@@ -24,7 +24,9 @@ too is removed.
 
 A group whose segments exceed HOT (the borders of a passage that very many documents
 share) is cut into pieces by window offset: pieces are keyed by the bytes all
-their windows hold, so that they fall into small groups, or become equal.
+their windows hold.  Where the group of a piece still exceeds HOT its offsets are halved, down
+to one offset, whose key is the whole window: equal pieces are counted then.  So no
+task gathers a group of more than HOT distinct segments or pieces.
 
 Null text counts as empty; rows that repeat id and text are windows that start elsewhere,
 so all of a text of LENGTH bytes or more goes when its row is repeated.  Null
@@ -35,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -292,6 +295,7 @@ def masks(batches: Batches) -> Batches:
 
 
 CONTENT = ["c1", "c2", "lo", "hi", "key", "left", "right"]
+CONTENT_DDL = "c1 long, c2 long, lo int, hi int, key binary, left binary, right binary"
 
 
 def merged(contents: DataFrame) -> DataFrame:
@@ -306,25 +310,49 @@ def twice(rows: DataFrame) -> DataFrame:
     return each.where("n > 1").select("c1", "c2", F.expr(ALL_OFFSETS).alias("mask"))
 
 
+def halves(first: int, last: int) -> tuple[tuple[int, int], ...]:
+    middle = (first + last) // 2
+    return ((first, middle), (middle + 1, last))
+
+
 def pieces(batches: Batches) -> Batches:
-    """Segments of very large groups, cut by window offset; (c1, c2) is the piece, (of1,
-    of2) the segment."""
-    schema = pa.schema([("of1", pa.int64()), ("of2", pa.int64())] + [SEGMENT.field(c) for c in CONTENT])
+    """Segments of very large groups, or pieces of them, cut by window offset; (c1, c2) is
+    the piece, (of1, of2) the segment, first and last the offsets its group stands for."""
+    schema = pa.schema([(c, pa.int64()) for c in ("of1", "of2")] + [(c, pa.int32()) for c in ("first", "last")] + [SEGMENT.field(c) for c in CONTENT])
     for b in batches:
         rows = []
-        for c1, c2, lo, hi, key, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for first, last in PARTS:
+        for of1, of2, f, t, lo, hi, key, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for first, last in PARTS if f is None else halves(f, t):
                 a, z = max(first, lo), min(last, hi)
                 if a <= z:
                     k = xxhash.xxh3_128_digest(b"%b|%d|" % (key, first) + left[len(left) - first :] + b"|" + right[: REACH - last])
-                    rows.append((c1, c2, a, z, k, left[len(left) - z :], right[: REACH - a]))
+                    rows.append((of1, of2, first, last, a, z, k, left[len(left) - z :], right[: REACH - a]))
         if rows:
-            q = pairs([xxhash.xxh3_128_digest(b"%b|%d|%d|%d|" % (k, a, z, len(x)) + x + y) for _, _, a, z, k, x, y in rows])
-            of1, of2, *rest = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((of1, of2, q[:, 0], q[:, 1], *rest), schema, strict=True)], schema=schema)
+            q = pairs([xxhash.xxh3_128_digest(b"%b|%d|%d|%d|" % (k, a, z, len(x)) + x + y) for *_, a, z, k, x, y in rows])
+            of1, of2, first, last, *rest = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((of1, of2, first, last, q[:, 0], q[:, 1], *rest), schema, strict=True)], schema=schema)
+
+
+PIECE_DDL = "of1 long, of2 long, first int, last int, " + CONTENT_DDL
 
 
-PIECE_DDL = "of1 long, of2 long, c1 long, c2 long, lo int, hi int, key binary, left binary, right binary"
+def distinct(pieces_: DataFrame) -> DataFrame:
+    return pieces_.groupBy("c1", "c2").agg(*[F.first(x).alias(x) for x in CONTENT[2:]])
+
+
+def cut_up(segments_: DataFrame) -> DataFrame:
+    """Pieces of ``segments_`` whose groups have at most HOT distinct ones."""
+    none = F.lit(None).cast("int")
+    todo = segments_.select(F.col("c1").alias("of1"), F.col("c2").alias("of2"), none.alias("first"), none.alias("last"), *CONTENT[2:])
+    done = []
+    while True:
+        now = cut(todo.mapInArrow(pieces, PIECE_DDL), "pieces")
+        # the pieces of a group at one offset are all equal
+        large = cut(distinct(now.where("first < last")).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("key"), "large-pieces")
+        if large.isEmpty():
+            return reduce(DataFrame.unionAll, [*done, now])
+        done.append(now.join(large, "key", "left_anti").select(now.columns))
+        todo = now.join(large, "key", "left_semi").select("of1", "of2", "first", "last", *CONTENT[2:])
 
 
 def of_several(rows: DataFrame) -> DataFrame:
@@ -340,7 +368,7 @@ def of_several(rows: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays(b.filter(pa.array(shared.value.may_hold(b.column(7).to_numpy()))).columns[:7], names=CONTENT)
 
-    some = bytes_.select(*CONTENT, F.xxhash64("key").alias("h")).mapInArrow(run, PIECE_DDL.split(", ", 2)[2])
+    some = bytes_.select(*CONTENT, F.xxhash64("key").alias("h")).mapInArrow(run, CONTENT_DDL)
     return some.groupBy("c1", "c2").agg(*[F.first(x).alias(x) for x in CONTENT[2:]])
 
 
@@ -360,9 +388,8 @@ def repeated(docs: DataFrame) -> DataFrame:
         found = found.unionByName(merged(contents))
     else:
         found = found.unionByName(merged(contents.join(large, "key", "left_anti")))
-        cutup = cut(contents.join(large, "key", "left_semi").select(CONTENT).mapInArrow(pieces, PIECE_DDL), "pieces")
-        each = cutup.groupBy("c1", "c2").agg(*[F.first(x).alias(x) for x in CONTENT[2:]])
-        got = cut(twice(cutup).unionByName(merged(each)), "piece-masks")
+        cutup = cut_up(contents.join(large, "key", "left_semi"))
+        got = cut(twice(cutup).unionByName(merged(distinct(cutup))), "piece-masks")
         found = found.unionByName(cutup.select("of1", "of2", "c1", "c2").join(got, ["c1", "c2"]).select(F.col("of1").alias("c1"), F.col("of2").alias("c2"), "mask"))
     known = cut(found.groupBy("c1", "c2").agg(F.bit_or("mask").alias("mask")), "masks")
     marks = rows.select("id", "t", "p", "c1", "c2").join(known, ["c1", "c2"])

@@ -54,6 +54,20 @@ def test_very_large_groups_are_cut_into_pieces(make, monkeypatch, hot):
     assert got(rp.remove_repeats(make(rows))) == brute(rows)
 
 
+def test_no_group_of_pieces_stays_hot(make, monkeypatch):
+    """A shared passage in differing surroundings: near its borders the pieces of every
+    document differ and have one key."""
+    monkeypatch.setattr(rp, "HOT", 5)
+    sizes, merged = [], rp.merged
+    monkeypatch.setattr(rp, "merged", lambda c: sizes.extend(r["count"] for r in c.groupBy("key").count().collect()) or merged(c))
+    rnd = random.Random(10)
+    noise = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(30, 90)))
+    passage = "".join(rnd.choice("ijklmnop") for _ in range(400))
+    rows = [(i, noise() + passage + noise()) for i in range(60)]
+    assert got(rp.remove_repeats(make(rows))) == brute(rows)
+    assert sizes and max(sizes) <= 5
+
+
 def test_small_shards_and_blocks(make, monkeypatch):
     monkeypatch.setattr(rp, "SHARD", 300)
     monkeypatch.setattr(rp, "SYMBOLS", 2000)
