@@ -58,6 +58,27 @@ def test_base_and_score(make, odd, real):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-6)
 
 
+def test_contexts_cross_white_space(make, real, monkeypatch):
+    """The score depends on the order of words, and is that of whole texts."""
+    monkeypatch.setattr(ppm, "CHUNK", 37)
+    rows = [(i, t[:600]) for i, t in real[:30]]
+    held, text = next((i, t) for i, t in rows if not training(i) and len(t.split(" ")) > 20)
+    new = next(i for i in range(10**6, 10**6 + 100) if not training(i))
+    rows.append((new, " ".join(sorted(text.split(" ")))))
+    out = {r.doc_id: r for r in ppm.ppm_scores(make(rows)).collect()}
+    follow, want = defaultdict(Counter), {}
+    for i, t in rows:
+        x = b" " + t.encode().lower() + b"\xff"
+        for k in range(1, len(x)) if training(i) else ():
+            for a in range(max(0, k - 5), k + 1):
+                follow[x[a:k]][x[k]] += 1
+    for i, t in rows:
+        x = b" " + t.encode().lower() + b"\xff"
+        want[i] = sum(code(follow, x, k) for k in range(1, len(x)))
+    assert {i: r.score for i, r in out.items()} == pytest.approx(want, rel=1e-9)
+    assert out[held].score != pytest.approx(out[new].score, rel=1e-6)
+
+
 def test_rare_words_join(make, monkeypatch, real):
     """With a high bound nearly all words and grams go by the joins."""
     monkeypatch.setattr(ppm, "LEAST", 0.002)
