@@ -3,8 +3,12 @@
 A later repeated run of at least RUN lines is deleted: a line goes when a window
 of RUN lines that holds it occurs earlier, in the order of doc_id and then of position.
 
+With ``words`` fewer lines that hold that many words are a window too, beside those of RUN
+lines, so a repeated passage of one or two long lines goes, also in texts of fewer than
+RUN lines.
+
 1. Each window of RUN line hashes selects its minimum as a fingerprint.  Selection looks at
-   the window alone, so a run of RUN lines that two texts share selects the same
+   the window alone, so a window that two texts share selects the same
    fingerprint in both.
 2. Positions of fingerprints are joined by hash (through their first and last position,
    which partial aggregation gives without gathering a group): windows whose
@@ -18,7 +22,7 @@ A hot line or passage is one key of an aggregation or of a join whose other side
 one row a key and comes from files, which adaptive execution splits.
 
 Lines end at \\n only; null text counts as empty (one empty line), texts of fewer than RUN
-lines lose nothing.  Rows are told apart by id and text: rows that repeat both are
+lines lose nothing without ``words``.  Words are cut at 0x20 and 0x09-0x0D.  Rows are told apart by id and text: rows that repeat both are
 one row for "earlier", and are treated alike; a null id comes before all others.  An
 empty table gives an empty result.  All columns of the input are passed on.
 """
@@ -31,6 +35,9 @@ from pyspark.sql import functions as F
 from kinsum.llm.common import cut
 
 RUN = 3
+#: Words of a passage that is a run whatever its number of lines.
+WORDS = 50
+WORD = "[^ \\t\\n\\x0B\\f\\r]+"
 NEWLINE = "\n"
 FIRST_ID = -(1 << 63)
 
@@ -43,47 +50,64 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def windows(docs: DataFrame, run: int) -> DataFrame:
-    """_id, _t, pos, f (fingerprint), fpos (its position), k1, k2 (window hash)."""
-    hashed = keyed(docs).where(F.size("_lines") >= run).select(
-        "_id", "_t", F.transform("_lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("_lines", lambda x: F.xxhash64(F.lit(1), x)).alias("g")
-    )
-
-    def window(i):
-        h, g = F.slice("h", i + 1, run), F.slice("g", i + 1, run)
+def windows(docs: DataFrame, run: int, words: int | None) -> DataFrame:
+    """_id, _t, pos, size (lines), f (fingerprint), fpos (its position), k1, k2 (window hash)."""
+    rows = keyed(docs) if words else keyed(docs).where(F.size("_lines") >= run)
+    hashed = rows.select(
+        "_id", "_t", F.transform("_lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("_lines", lambda x: F.xxhash64(F.lit(1), x)).alias("g"),
+        *[F.transform("_lines", lambda x: F.regexp_count(x, F.lit(WORD))).alias("c")] * bool(words),
+    )
+
+    def sizes(i):
+        """Lines of the windows that start at line i; null for one that the text cannot hold."""
+        whole = F.when(i + run <= F.size("h"), run)
+        held, short = F.lit(0), F.lit(None).cast("int")
+        for n in range(1, run):
+            held = held + F.get("c", i + (n - 1))  # null beyond the last line
+            short = F.coalesce(short, F.when(held >= words, n))
+        return F.array(short, whole)
+
+    def window(w):
+        i, n = w["pos"], w["size"]
+        h, g = F.slice("h", i + 1, n), F.slice("g", i + 1, n)
         f = F.array_min(h)
         return F.struct(
-            i.alias("pos"), f.alias("f"), (i + F.array_position(h, f).cast("int") - 1).alias("fpos"), F.xxhash64(h, g).alias("k1"), F.xxhash64(F.lit(2), g, h).alias("k2")
+            i.alias("pos"), n.alias("size"), f.alias("f"), (i + F.array_position(h, f).cast("int") - 1).alias("fpos"), F.xxhash64(h, g).alias("k1"), F.xxhash64(F.lit(2), g, h).alias("k2")
         )
 
-    each = F.transform(F.sequence(F.lit(0), F.size("h") - run), window)
+    if words:
+        starts = F.flatten(F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.transform(F.array_compact(sizes(i)), lambda n: F.struct(i.alias("pos"), n.alias("size")))))
+    else:
+        starts = F.transform(F.sequence(F.lit(0), F.size("h") - run), lambda i: F.struct(i.alias("pos"), F.lit(run).alias("size")))
+    each = F.transform(starts, window)
     return hashed.select("_id", "_t", F.explode(each).alias("w")).select("_id", "_t", "w.*")
 
 
-def later_windows(docs: DataFrame, run: int) -> DataFrame:
-    """_id, _t, pos of the windows that occur earlier."""
-    rows = cut(windows(docs, run), "windows")
+def later_windows(docs: DataFrame, run: int, words: int | None) -> DataFrame:
+    """_id, _t, pos, size of the windows that occur earlier."""
+    rows = cut(windows(docs, run, words), "windows")
     at = F.struct("_id", "_t", "fpos")
     repeated = cut(rows.groupBy("f").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("f"), "fingerprints")
-    some = cut(rows.join(repeated, "f").select("_id", "_t", "pos", "k1", "k2"), "matches")
+    some = cut(rows.join(repeated, "f").select("_id", "_t", "pos", "size", "k1", "k2"), "matches")
     at = F.struct("_id", "_t", "pos")
     first = cut(some.groupBy("k1", "k2").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("k1", "k2", "a"), "first")
-    return some.join(first, ["k1", "k2"]).where(at > F.col("a")).select("_id", "_t", "pos").distinct()
+    return some.join(first, ["k1", "k2"]).where(at > F.col("a")).select("_id", "_t", "pos", "size").distinct()
 
 
-def runs(later: DataFrame, run: int) -> DataFrame:
+def runs(later: DataFrame) -> DataFrame:
     """_id, _t, runs: the merged line ranges array<struct<s, e>> (e exclusive), sorted."""
     order = "partition by _id, _t order by pos"
-    parts = later.select("*", F.expr(f"case when pos <= lag(pos) over ({order}) + {run} then 0 else 1 end").alias("fresh"))
-    parts = parts.select("_id", "_t", "pos", F.expr(f"sum(fresh) over ({order})").alias("part"))
-    ranges = parts.groupBy("_id", "_t", "part").agg(F.min("pos").alias("s"), (F.max("pos") + run).alias("e"))
+    before = f"max(pos + size) over ({order} rows between unbounded preceding and 1 preceding)"
+    parts = later.select("*", F.expr(f"case when pos <= {before} then 0 else 1 end").alias("fresh"))
+    parts = parts.select("_id", "_t", "pos", "size", F.expr(f"sum(fresh) over ({order})").alias("part"))
+    ranges = parts.groupBy("_id", "_t", "part").agg(F.min("pos").alias("s"), F.max(F.col("pos") + F.col("size")).alias("e"))
     return ranges.groupBy("_id", "_t").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_runs"))
 
 
-def line_dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
+def line_dedup(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """``docs`` with the shortened ``text`` and, under the names _n_lines, _n_removed
     and _n_runs, what was done to it.  Texts that lose nothing stay as they are."""
-    found = runs(later_windows(docs, run), run)
+    found = runs(later_windows(docs, run, words))
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)), "_t": F.xxhash64(t)})
     rows = rows.join(found.hint("merge"), ["_id", "_t"], "left").withColumn("_lines", F.split(t, NEWLINE))
@@ -103,9 +127,9 @@ def line_dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
     return out.select(*docs.columns, "_n_lines", "_n_removed", F.greatest("_n_runs", F.lit(0)).alias("_n_runs"))
 
 
-def line_digest(docs: DataFrame, run: int = RUN) -> DataFrame:
+def line_digest(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the remaining lines joined by \\n)."""
-    out = line_dedup(docs.select("doc_id", "text"), run)
+    out = line_dedup(docs.select("doc_id", "text"), run, words)
     return out.select(
         "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
@@ -123,3 +147,26 @@ SELECT e.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
        sha256(coalesce(string_agg(e.line, chr(10) ORDER BY e.i) FILTER (WHERE gone.i IS NULL), '')) AS kept_sha256
 FROM e LEFT JOIN gone ON e.doc_id = gone.doc_id AND e.i = gone.i GROUP BY e.doc_id
 """
+
+
+def passage_digest(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
+    """:func:`line_digest` where passages of ``words`` words are runs too."""
+    return line_digest(docs, run, words)
+
+
+def passage_sql(run: int = RUN, words: int = WORDS) -> str:
+    """:func:`passage_digest` in DuckDB (ids are unique there)."""
+    return f"""
+WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+y AS (SELECT doc_id, l, list_transform(l, lambda z: len(regexp_extract_all(z, '[^ \\t\\n\\x0B\\f\\r]+'))) AS c FROM x),
+p AS (SELECT doc_id, l, c, unnest(range(1, len(l) + 1)) AS i FROM y),
+n AS (SELECT doc_id, i, l, n, n = {run} OR (list_sum(c[i:i + n - 1]) >= {words} AND (n = 1 OR list_sum(c[i:i + n - 2]) < {words})) AS ok
+      FROM p, (SELECT unnest(range(1, {run + 1})) AS n) WHERE i + n - 1 <= len(l)),
+w AS (SELECT doc_id, i, n, array_to_string(l[i:i + n - 1], chr(10)) AS w FROM n WHERE ok),
+f AS (SELECT *, row_number() OVER (PARTITION BY w, n ORDER BY doc_id, i) AS k FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM f WHERE k > 1),
+e AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM x)
+SELECT e.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+       sha256(coalesce(string_agg(e.line, chr(10) ORDER BY e.i) FILTER (WHERE gone.i IS NULL), '')) AS kept_sha256
+FROM e LEFT JOIN gone ON e.doc_id = gone.doc_id AND e.i = gone.i GROUP BY e.doc_id
+"""

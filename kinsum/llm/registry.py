@@ -11,7 +11,7 @@ from kinsum.llm.bpe_codec import bpe_codec
 from kinsum.llm.common import table
 from kinsum.llm.decontam import decontaminate
 from kinsum.llm.exact_dedup import EXACT_SQL, exact_dedup
-from kinsum.llm.line_dedup import line_digest, line_sql
+from kinsum.llm.line_dedup import line_digest, line_sql, passage_digest, passage_sql
 from kinsum.llm.near_dedup import near_dedup, near_sql
 from kinsum.llm.ppm import ppm_scores
 from kinsum.llm.quality_cnn import quality
@@ -59,6 +59,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=4)
 
@@ -68,6 +72,6 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_counts, op4_ppm, op5_secret_scan, op6_bpe_codec, op7_quality_cnn, op8_line_dedup, op9_near_dedup, op10_repeats)
+    f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_counts, op4_ppm, op5_secret_scan, op6_bpe_codec, op7_quality_cnn, op8_line_dedup, op8_passage_dedup, op9_near_dedup, op10_repeats)
 }
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": EXACT_SQL, "op8_line_dedup": line_sql(), "op9_near_dedup": near_sql(4, 80)}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": EXACT_SQL, "op8_line_dedup": line_sql(), "op8_passage_dedup": passage_sql(), "op9_near_dedup": near_sql(4, 80)}

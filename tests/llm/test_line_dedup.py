@@ -36,6 +36,44 @@ def test_brute_force(make, odd, real, run):
     assert sorted(((r.doc_id, r._n_lines, r._n_removed, r._n_runs, r.text) for r in out), key=repr) == brute(rows, run)
 
 
+def brute_words(rows, run, words):
+    """Windows of ``run`` lines, and of the first fewer lines that hold ``words`` words."""
+    lines = [(t or "").split("\n") for _, t in rows]
+
+    def ends(x):
+        for p in range(len(x)):
+            held = [e for e in range(p + 1, min(p + run, len(x) + 1)) if sum(len(y.encode().split()) for y in x[p:e]) >= words]
+            yield from [(p, e) for e in held[:1]]
+            if p + run <= len(x):
+                yield p, p + run
+
+    seen, out = {}, []
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0)):
+        for p, e in ends(lines[k]):
+            seen.setdefault(tuple(lines[k][p:e]), (k, p))
+    for k, (i, _) in enumerate(rows):
+        gone = {q for p, e in ends(lines[k]) if seen[tuple(lines[k][p:e])] != (k, p) for q in range(p, e)}
+        runs = sum(p in gone and p - 1 not in gone for p in range(len(lines[k])))
+        out.append((i, len(lines[k]), len(gone), runs, rows[k][1] if not gone else "\n".join(x for p, x in enumerate(lines[k]) if p not in gone)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("words", [4, ld.WORDS])
+def test_long_passages_of_few_lines(make, odd, real, words):
+    rnd = random.Random(words)
+    long = [" ".join(f"w{rnd.randrange(99)}" for _ in range(n)) for n in (2, 3, 4, 24, 25, 26, 49, 50, 57)]
+    texts = [t for t in odd if t not in ("", None)] + [t for _, t in real]
+    texts += ["\n".join(rnd.choice([*long, *"abc"]) for _ in range(rnd.randint(1, 9))) for _ in range(150)]
+    rows = list(enumerate(texts))
+    rows += [(1000, f"x\n{' '.join('p%d' % i for i in range(57))}\ny"), (1001, " ".join("p%d" % i for i in range(57)))]
+    out = ld.line_dedup(make(rows), words=words).collect()
+    got = sorted(((r.doc_id, r._n_lines, r._n_removed, r._n_runs, r.text) for r in out), key=repr)
+    assert got == brute_words(rows, ld.RUN, words)
+    assert next(r for r in out if r.doc_id == 1001)._n_removed == 1
+    before = {r.doc_id: r._n_removed for r in ld.line_dedup(make(rows)).collect()}
+    assert all(r._n_removed >= before[r.doc_id] for r in out)
+
+
 def test_rows_that_repeat_and_nulls(make):
     t = "a\nb\nc\nd"
     out = ld.line_digest(make([(1, t), (1, t), (2, t), (3, None), (3, "")])).collect()
