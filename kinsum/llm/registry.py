@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinsum.llm.alignment import cross_alignment
 from kinsum.llm.bpe_codec import bpe_codec
 from kinsum.llm.common import table
 from kinsum.llm.decontam import decontaminate
@@ -17,6 +18,8 @@ from kinsum.llm.ppm import ppm_scores
 from kinsum.llm.quality_cnn import quality
 from kinsum.llm.repeats import remove_repeats
 from kinsum.llm.secrets import secret_scan
+from kinsum.llm.simhash import simhash_dedup
+from kinsum.llm.spelling import spelling_variants
 from kinsum.llm.token_counts import token_counts
 
 
@@ -71,7 +74,24 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_alignment(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_counts, op4_ppm, op5_secret_scan, op6_bpe_codec, op7_quality_cnn, op8_line_dedup, op8_passage_dedup, op9_near_dedup, op10_repeats)
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_exact_dedup, op3_token_counts, op4_ppm, op5_secret_scan, op6_bpe_codec, op7_quality_cnn,
+        op8_line_dedup, op8_passage_dedup, op9_near_dedup, op10_repeats, op11_simhash, op12_alignment, op13_spelling,
+    )
+
 }
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": EXACT_SQL, "op8_line_dedup": line_sql(), "op8_passage_dedup": passage_sql(), "op9_near_dedup": near_sql(4, 80)}
