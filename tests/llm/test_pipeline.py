@@ -7,7 +7,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import tokenizers
 from test_decontam import brute as brute_decontam
-from test_line_dedup import brute as brute_lines
+from test_line_dedup import brute_words as brute_lines
 from test_near_dedup import brute as brute_near
 
 import corpus_pipeline as cp
@@ -26,7 +26,7 @@ def test_run(spark):
     scores = scorer.scores(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
     rows = [r for r, s in zip(rows, scores, strict=True) if s >= quality_cnn.THRESHOLD]
     assert 0 < len(rows) < len(data)
-    rows = sorted((i, text) for i, *_, text in brute_lines(rows, line_dedup.RUN))
+    rows = sorted((i, text) for i, *_, text in brute_lines(rows, line_dedup.RUN, line_dedup.WORDS))
     rows = [(i, t) for (i, t), (j, _, c) in zip(rows, sorted(brute_near(rows, 5)), strict=True) if i == j == c]
     bad = {d for d, *_, hit in brute_decontam(rows, list(zip(bench["item_id"], bench["text"], strict=True))) if hit}
     rows = [r for r in rows if r[0] not in bad]
