@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinsum.llm.bpe_codec import bpe_codec
 from kinsum.llm.common import cut, table
 from kinsum.llm.decontam import clean
-from kinsum.llm.line_dedup import line_dedup
+from kinsum.llm.line_dedup import added, line_dedup
 from kinsum.llm.near_dedup import near_dedup
 from kinsum.llm.quality_cnn import accepted
 from kinsum.llm.registry import tokenizer
@@ -26,7 +26,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go; n_chars is that of what is left."""
     out = line_dedup(docs)
-    n = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    (removed,) = added(docs, "_n_removed")
+    n = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", n).select(*docs.columns)
 
 
