@@ -10,11 +10,11 @@ they are applied after pooling.
 Scoring runs on every byte of every text.  As the input is discrete, the
 convolution is a sum of table rows: one table for each pair of byte positions.
 
-Training takes a bounded sample: of the labelled rows whose crc32(doc_id) mod 5 is
-not 0, the SAMPLE ones with the smallest hash of the id; of a text longer than
-WINDOWS * WINDOW bytes, that many windows, spread evenly.  Only bytes of the text and
-the quality label are used.  The model (some 10 KB) is fitted on the driver by Adam and
-sent to the workers.
+Training takes a bounded number of rows: of the labelled ones whose crc32(doc_id) mod 5 is
+not 0, the SAMPLE with the smallest hash of the id, each with its whole text.  It goes
+through them EPOCHS times, or as often as makes LEAST_STEPS steps (all three are parameters of
+:func:`train`).  Only bytes of the text and the quality label are used.  The model (some
+10 KB) is fitted on the driver by Adam and sent to the workers; long texts are convolved in slices.
 
 Null text counts as empty and gets a score like any other (the padding is scored);
 null labels and ids are not trained on; repeated rows are scored each; without any
@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from kinsum.llm.common import Batches, batch, crc_mod, raw_bytes, texts
 
 FILTERS, WIDTH, EMBED, BLOCK = 16, 6, 8, 128
-#: Training bounds: rows, windows of a long text and bytes of a window.
-SAMPLE, WINDOWS, WINDOW = 4000, 6, 1500
+#: Most rows that training takes.
+SAMPLE = 4000
 EPOCHS, BATCH, RATE, SEED = 12, 24, 0.01, 7
-#: A small sample is gone through more often, up to this many steps.
+#: Least number of steps: few rows are gone through more often.
 LEAST_STEPS = 900
 #: Weight of a rejected text in training; they are the rarer class.
 REJECT_WEIGHT = 3.0
@@ -138,7 +138,7 @@ class Scorer:
         return probability(self.model, self.pooled(x, len(x) // BLOCK)[at], first)
 
 
-def fit(samples: list[bytes], labels: np.ndarray) -> Model | None:
+def fit(samples: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, least_steps: int = LEAST_STEPS) -> Model | None:
     """Adam on the cross-entropy; None without samples."""
     if not samples:
         return None
@@ -150,7 +150,7 @@ def fit(samples: list[bytes], labels: np.ndarray) -> Model | None:
     )
     mom = [(np.zeros_like(p), np.zeros_like(p)) for p in m.params()]
     step, per_epoch = 0, -(-len(samples) // BATCH)
-    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
+    epochs = max(epochs, -(-least_steps // per_epoch))
     for _ in range(epochs):
         order = rng.permutation(len(samples))
         for i in range(0, len(order), BATCH):
@@ -165,18 +165,28 @@ def fit(samples: list[bytes], labels: np.ndarray) -> Model | None:
     return m
 
 
+def block_maxima(t: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest filter responses of n blocks and where they are, SLICE blocks at a time."""
+    top, arg = np.empty((n, FILTERS), np.float32), np.empty((n, FILTERS), np.int64)
+    for b in range(0, n, SLICE):
+        e = min(n, b + SLICE)
+        lo, size = b * BLOCK, (e - b) * BLOCK
+        conv = t[0][x[lo : lo + size]]
+        for k in range(1, WIDTH):
+            conv += t[k][x[lo + k : lo + k + size]]
+        conv = conv.reshape(-1, BLOCK, FILTERS)
+        arg[b:e] = conv.argmax(axis=1)
+        top[b:e] = np.take_along_axis(conv, arg[b:e, None, :], 1)[:, 0]
+    return top, arg
+
+
 def gradients(m: Model, samples: list[bytes], y: np.ndarray) -> list[np.ndarray]:
     data = np.frombuffer(b"".join(samples), np.uint8)
     x, first, at = padded(data, np.concatenate([[0], np.cumsum([len(s) for s in samples])]))
     n = len(x)
     x = np.concatenate([x, np.zeros(WIDTH, np.uint8)])
-    t = m.table()
-    conv = t[0][x[:n]]
-    for k in range(1, WIDTH):
-        conv += t[k][x[k : k + n]]
-    conv = conv.reshape(-1, BLOCK, FILTERS)[at]
-    arg = conv.argmax(axis=1)
-    blocks = np.take_along_axis(conv, arg[:, None, :], 1)[:, 0]
+    blocks, arg = block_maxima(m.table(), x, n // BLOCK)
+    blocks, arg = blocks[at], arg[at]
     pos = at[:, None] * BLOCK + arg
     # chunk maxima and where they are
     chunks, start = chunked(blocks, first)
@@ -213,21 +223,18 @@ def chunked_positions(blocks: np.ndarray, pos: np.ndarray, first: np.ndarray) ->
     return both[keep]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most SAMPLE rows (bytes of the sampled text, label)."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """At most ``sample`` rows (doc_id, label, bytes of the whole text)."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("y is not null and doc_id is not null")
     known = known.where(crc_mod(F.col("doc_id"), 5) != 0)
-    some = known.orderBy(F.xxhash64("doc_id"), "y").limit(SAMPLE)
-    t = texts(docs, binary=True).join(F.broadcast(some), "doc_id")
-    n = F.length("text")
-    parts = [F.substring("text", F.lit(1) + F.floor((n - WINDOW) * i / (WINDOWS - 1)).cast("int"), F.lit(WINDOW)) for i in range(WINDOWS)]
-    t = t.select("doc_id", "y", F.when(n > WINDOW * WINDOWS, F.concat(*parts)).otherwise(F.col("text")).alias("text"))
-    return t.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE)
+    some = known.orderBy(F.xxhash64("doc_id"), "y").limit(sample)
+    t = texts(docs, binary=True).join(F.broadcast(some), "doc_id").select("doc_id", "y", "text")
+    return t.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    rows = training_rows(docs, labels).collect()
-    return fit([bytes(r.text) for r in rows], np.array([r.y for r in rows]))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS, least_steps: int = LEAST_STEPS) -> Model | None:
+    rows = training_rows(docs, labels, sample).collect()
+    return fit([bytes(r.text) for r in rows], np.array([r.y for r in rows]), epochs, least_steps)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
