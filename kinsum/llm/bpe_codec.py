@@ -7,13 +7,15 @@ behind u, an arc uv leads on; and the state that uv leads to starts as a copy of
 one v leads to at that time.  All arcs with one label lead to one state, so a state is
 named by its last token.  Copies are stored as inheritance: a state holds its parent, the
 step at which it was copied, and the arcs it has lost itself with their step; an arc
-uv refers to its first part u and the step that made it.  ``arc`` resolves a
-transition by walking these (short) chains and keeps the result in the table, so
-that each transition is worked out once.
+uv refers to its first part u and the step that made it.  ``arc`` works out whether
+a state has an arc by walking these (short) chains, once for each pair that is met.
 
-A word has exactly one path in the automaton.  It is found from left to right: the
-state after each prefix is the one whose token ends there and whose arc leaves the
-state before it.  Decoding walks the identifiers and emits the labels of their arcs.
+The arcs are spelled out over symbols: the tokens form a trie, each of whose nodes has a transition
+for every symbol (where the trie ends, that of the longest suffix that is a node), and the tokens
+that end at a node are chained from the longest to the shortest.  A word has
+exactly one path in the automaton.  It is found in one walk of the transition table from left to
+right: the state after each prefix is the token of the chain whose arc leaves the state before it.
+Decoding walks the identifiers and emits the labels of their arcs.
 
 Text is cut at the special strings, normalised (NFC, runs of white space to a space,
 lower case) and pre-split as the tokenizer file says.  Null text counts as empty (0
@@ -27,6 +29,7 @@ import hashlib
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -34,8 +37,8 @@ from pyspark.sql import DataFrame
 
 from kinsum.llm.common import Batches, batch, texts
 
-#: Words a worker remembers and the longest one it does; transitions it remembers.
-CACHE, CACHED_CHARS, ARCS = 200_000, 40, 300_000
+#: Words a worker remembers and the longest one it does; arcs and transitions it remembers.
+CACHE, CACHED_CHARS, ARCS = 200_000, 40, 500_000
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 OUT_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -54,6 +57,13 @@ def byte_letters() -> list[str]:
     return out
 
 
+def make_room(known: dict, limit: int) -> None:
+    """Drop the older half of a full table."""
+    if len(known) >= limit:
+        for k in list(islice(known, limit // 2)):
+            del known[k]
+
+
 class Automaton:
     """Token automaton of a merge list.  States and arcs are token numbers; the
     start state is -1 and has an arc for every token."""
@@ -71,9 +81,59 @@ class Automaton:
         self.lost: dict[tuple[int, int], int] = {}  # (state, arc) -> step
         for step, (u, v) in enumerate(merges):
             self.gadget(step, vocab[u], vocab[v], vocab[u + v])
-        self.longest = max(map(len, vocab), default=0)
-        self.vocab = vocab
         self.table: dict[int, bool] = {}
+        self.spell(vocab, merges)
+
+    def spell(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> None:
+        """The trie of the tokens over symbols, with suffix links."""
+        made = {u + v for u, v in merges}
+        self.symbols = {t: k for k, t in enumerate(t for t in vocab if t not in made)}
+        parts = {t: (k,) for t, k in self.symbols.items()}
+        for u, v in merges:
+            parts[u + v] = parts[u] + parts[v]
+        self.size = [0] * len(self.labels)  # symbols of each token
+        self.width = len(self.symbols)
+        self.step: dict[int, int] = {}  # node * width + symbol -> node: the trie and what was worked out since
+        self.ends = [-1]  # token of each node
+        edges: list[tuple[int, int, int]] = []
+        for t, symbols in parts.items():
+            at = 0
+            for k in symbols:
+                new = self.step.get(at * self.width + k)
+                if new is None:
+                    new = self.step[at * self.width + k] = len(self.ends)
+                    self.ends.append(-1)
+                    edges.append((at, k, new))
+                at = new
+            self.ends[at] = vocab[t]
+            self.size[vocab[t]] = len(symbols)
+        self.trie = len(self.step)
+        self.suffix = [0] * len(self.ends)  # longest proper suffix that is a node
+        self.shorter = [0] * len(self.ends)  # longest proper suffix that is a token
+        below: list[list[tuple[int, int]]] = [[] for _ in self.ends]
+        for at, k, new in edges:
+            below[at].append((k, new))
+        level = [0]
+        while level:  # by depth, so a suffix is done before what it is a suffix of
+            deeper = []
+            for at in level:
+                for k, new in below[at]:
+                    s = self.suffix[new] = self.move(self.suffix[at], k) if at else 0
+                    self.shorter[new] = s if self.ends[s] >= 0 else self.shorter[s]
+                    deeper.append(new)
+            level = deeper
+
+    def move(self, node: int, symbol: int) -> int:
+        """The transition of a node; one that is not in the trie is remembered."""
+        at = node * self.width + symbol
+        known = self.step.get(at)
+        if known is None:
+            known = self.move(self.suffix[node], symbol) if node else 0
+            if len(self.step) - self.trie >= ARCS:
+                for k in list(islice(self.step, self.trie, self.trie + ARCS // 2)):
+                    del self.step[k]
+            self.step[at] = known
+        return known
 
     def gadget(self, step: int, u: int, v: int, uv: int) -> None:
         self.lost.setdefault((u, v), step)
@@ -102,33 +162,38 @@ class Automaton:
                 t = self.first[t]
             until = self.copied[a]
             a = self.parent[a]
-        if len(self.table) >= ARCS:
-            self.table.clear()
+        make_room(self.table, ARCS)
         self.table[at] = ok
         return ok
 
     def path(self, symbols: list[str]) -> list[int]:
         """Tokens of the one path that spells the symbols."""
-        n = len(symbols)
-        vocab, arc, longest = self.vocab, self.arc, self.longest
-        last: list[int] = [-1] * (n + 1)  # state after each prefix
-        back = [0] * (n + 1)
-        whole = "".join(symbols)
-        ends = [0]
-        for s in symbols:
-            ends.append(ends[-1] + len(s))
-        for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                t = vocab.get(whole[ends[i] : ends[j]])
-                if t is not None and (i == 0 or arc(last[i], t)):
-                    last[j], back[j] = t, i
+        number, step, width, ends, shorter, size = self.symbols, self.step, self.width, self.ends, self.shorter, self.size
+        table, states = self.table, len(self.parent)
+        last = [-1]  # state after each prefix
+        node = 0
+        for j, s in enumerate(symbols, 1):
+            k = number[s]
+            to = step.get(node * width + k)
+            node = self.move(node, k) if to is None else to
+            at = node if ends[node] >= 0 else shorter[node]
+            while at:
+                t = ends[at]
+                i = j - size[t]
+                if not i:
                     break
+                ok = table.get(last[i] * states + t)
+                if self.arc(last[i], t) if ok is None else ok:
+                    break
+                at = shorter[at]
             else:
-                raise ValueError(f"no path spells {whole!r}")
+                raise ValueError(f"no path spells {''.join(symbols)!r}")
+            last.append(t)
         out = []
+        n = len(symbols)
         while n:
             out.append(last[n])
-            n = back[n]
+            n -= size[last[n]]
         return out[::-1]
 
 
@@ -172,8 +237,7 @@ class Codec:
             ids = self.word_ids(w)
             e = (len(ids), " ".join(map(str, ids)), self.decode(ids))
             if len(w) <= CACHED_CHARS:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
+                make_room(self.known, CACHE)
                 self.known[w] = e
         return e
 
