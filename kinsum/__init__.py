@@ -7,14 +7,15 @@ Entry points:
 * :class:`Sources` - the CRM-shaped input tables.
 * :mod:`kinsum.operators` - one builder per metric family.
 * :func:`refresh` - fused wide table of all active metrics; :func:`metric` - one metric.
-* :func:`upsert` / :class:`VersionedTable` - keyed column patch, versioned storage.
-* :mod:`kinsum.streaming.incremental` - change feed -> affected contacts -> patch.
+* :func:`upsert` - keyed column patch; :class:`Store` - the wide table and its state in contact buckets.
+* :mod:`kinsum.streaming.incremental` - change feeds -> affected contacts -> patch.
 """
 
 from kinsum.config import RollupConfig
 from kinsum.plans.refresh import metric, public, refresh
 from kinsum.plans.registry import Registry, RollupSpec, default_registry
-from kinsum.plans.upsert import VersionedTable, upsert
+from kinsum.plans.store import Store
+from kinsum.plans.upsert import upsert
 from kinsum.sources.crm import Sources
 
 __all__ = [
@@ -22,7 +23,7 @@ __all__ = [
     "Registry",
     "RollupSpec",
     "Sources",
-    "VersionedTable",
+    "Store",
     "default_registry",
     "metric",
     "public",

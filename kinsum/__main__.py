@@ -1,12 +1,12 @@
 """Job entry points (X5), for ``spark-submit -m kinsum`` style use.
 
     python -m kinsum refresh --sources DIR --store DIR --as-of 2025-03-15 [options]
+    python -m kinsum advance --sources DIR --store DIR --as-of 2025-03-16 --from 2025-03-15 [options]
     python -m kinsum stream  --sources DIR --store DIR --feed contribution=DIR [--feed ...] [options]
 
-``refresh`` writes a new version of the stored wide table (with population
-flags) and prints the refresh report as JSON; ``stream`` keeps that table
-fresh from change feeds until the feeds are drained (``--available-now``)
-or forever.  The session comes from the cluster (master, checkpoint folder).
+``refresh`` writes the store (wide table and its state) anew and prints the refresh
+report as JSON; ``advance`` moves its date; ``stream`` keeps it fresh from change
+feeds until the feeds are drained (``--available-now``) or forever.  The session comes from the cluster (master, checkpoint folder).
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from kinsum.config import RollupConfig
-from kinsum.plans.refresh import refresh
-from kinsum.plans.upsert import VersionedTable
+from kinsum.plans.store import Store
 from kinsum.session import configure
 from kinsum.sources.crm import Sources
 
@@ -52,10 +51,11 @@ def config_from_args(a) -> RollupConfig:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="kinsum")
     sub = p.add_subparsers(dest="cmd", required=True)
-    for name in ("refresh", "stream"):
+    for name in ("refresh", "advance", "stream"):
         s = sub.add_parser(name)
         s.add_argument("--sources", required=True, help="folder of <table>.parquet inputs")
-        s.add_argument("--store", required=True, help="folder of the versioned wide table")
+        s.add_argument("--store", required=True, help="folder of the wide table and its state")
+        s.add_argument("--buckets", type=int, default=64, help="hash buckets of the store's tables")
         s.add_argument("--as-of", required=True)
         s.add_argument("--fiscal-start", default="1-1", help="MONTH-DAY")
         for opt in ("financial-types", "related-financial-types", "relationship-types", "grant-statuses",
@@ -67,6 +67,8 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--dedupe-donors", action="store_true")
         s.add_argument("--distinct-links", action="store_true")
         s.add_argument("--label-order", default="binary", choices=["binary", "nocase"])
+        if name == "advance":
+            s.add_argument("--from", dest="from_date", required=True, help="the date that the store has")
         if name == "stream":
             s.add_argument("--feed", action="append", required=True, help="TABLE=FOLDER of change rows")
             s.add_argument("--checkpoint", default=None, help="default: under spark.checkpoint.dir")
@@ -78,27 +80,24 @@ def main(argv=None) -> int:
     a = parser().parse_args(argv)
     spark = configure(SparkSession.builder.appName(f"kinsum-{a.cmd}").getOrCreate())
     cfg = config_from_args(a)
-    store = VersionedTable(spark, a.store)
+    store = Store(spark, a.store, a.buckets)
 
     def load():
         return Sources.from_parquet_dir(spark, a.sources)
 
     if a.cmd == "refresh":
-        wide, report = refresh(load(), cfg, membership=True)
-        if wide is None:
-            print(json.dumps({"ok": False, "skipped": report.skipped}))
-            return 1
-        version = store.commit(wide, settings=cfg.settings())
-        print(json.dumps({"ok": True, "version": version, "as_of": report.as_of,
-                          "computed": report.computed, "skipped": report.skipped}))
-        return 0
-    from kinsum.streaming.incremental import start_all
+        report = store.create(load(), cfg)
+        print(json.dumps({"ok": report.ok, "as_of": report.as_of, "computed": report.computed, "skipped": report.skipped}))
+        return 0 if report.ok else 1
+    if a.cmd == "advance":
+        skipped = store.advance(load(), cfg.with_(as_of=a.from_date), cfg)
+        print(json.dumps({"ok": not skipped, "as_of": cfg.as_of.isoformat(), "skipped": skipped}))
+        return 0 if not skipped else 1
+    from kinsum.streaming.incremental import start
 
     feeds = dict(f.split("=", 1) for f in a.feed)
     trigger = {"availableNow": True} if a.available_now else {"processingTime": "1 minute"}
-    queries = start_all(spark, feeds, load, cfg, store, a.checkpoint, trigger=trigger)
-    for q in queries:
-        q.awaitTermination()
+    start(spark, feeds, load, cfg, store, a.checkpoint, trigger).awaitTermination()
     return 0
 
 

@@ -34,7 +34,7 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
         e = e.join(ids, e["_eid"] == ids["_pe"], "left_semi")
     j = p.join(e, (p["event_id"] == e["_eid"]) & p["_status_ok"], "left")
     matched = F.col("_eid").isNotNull()
-    return j.groupBy(F.col("contact_id").alias("entity_id")).agg(
+    return j.where("contact_id is not null").groupBy(F.col("contact_id").alias("entity_id")).agg(
         F.when(
             F.max((matched & F.col("start_date").isNull()).cast("int")) == 1, F.lit(None).cast("timestamp_ntz")
         )

@@ -1,5 +1,6 @@
 """Contribution family C1-C5.  Population: every contact with a row in
-``contribution`` (unfiltered), so the filters sit inside the aggregates.
+``contribution`` (unfiltered), so the filters sit inside the aggregates.  A NULL contact
+is nobody: it is in no population, here and in the other families.
 
 Plan: one conditional aggregation keyed on ``contact_id``.  The C5 credit
 rows (see :func:`_hard_and_soft_rows`) are unioned with the plain
@@ -22,10 +23,14 @@ from kinsum.functions.joins import small_side
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
 
+#: Key -> window of its total, as a function of the configuration.
 WINDOWS = {
-    "contribution_total_this_calendar_year": 0,
-    "contribution_total_last_calendar_year": 1,
-    "contribution_total_calendar_year_before_last": 2,
+    "contribution_total_this_calendar_year": lambda cfg: periods.calendar_year(cfg, 0),
+    "contribution_total_last_calendar_year": lambda cfg: periods.calendar_year(cfg, 1),
+    "contribution_total_calendar_year_before_last": lambda cfg: periods.calendar_year(cfg, 2),
+    "contribution_total_this_year": lambda cfg: periods.fiscal_year(cfg, 0),
+    "contribution_total_last_year": lambda cfg: periods.fiscal_year(cfg, 1),
+    "contribution_total_year_before_last": lambda cfg: periods.fiscal_year(cfg, 2),
 }
 KEYS = [*WINDOWS, "contribution_count_distinct_years", "hard_and_soft"]
 
@@ -63,13 +68,13 @@ def rollup(src: Sources, cfg: RollupConfig, keys, related_windows=(), contacts=N
     if "hard_and_soft" in keys:
         parts.append(_hard_and_soft_rows(src, c, contacts))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rows = restrict(rows, "contact_id", contacts)
+    rows = restrict(rows, "contact_id", contacts).where("contact_id is not null")
 
     ok = F.col("_own") & F.col("_ok")
     aggs = []
     for k in keys:
         if k in WINDOWS:
-            p = periods.calendar_year(cfg, WINDOWS[k])
+            p = WINDOWS[k](cfg)
             aggs.append(sum_or_zero(ok & p.contains("receive_date"), F.col("total_amount")).alias(k))
         elif k == "contribution_count_distinct_years":
             aggs.append(F.count_distinct(F.when(ok, F.year(F.to_date("receive_date")))).alias(k))
@@ -130,7 +135,8 @@ def _hard_and_soft_rows(src: Sources, c: DataFrame, contacts: DataFrame | None =
         F.col("contribution_id").alias("_cid"), F.col("contact_id").alias("_sc")
     ).agg(F.count(F.lit(1)).alias("_m"))
     credited = pairs.join(ok, pairs["_cid"] == ok["id"], "inner")
-    soft_rows = credited.where(F.col("_sc") != F.col("contact_id")).select(
+    # a donation without donor credits all its soft contacts
+    soft_rows = credited.where(~F.col("_sc").eqNullSafe(F.col("contact_id"))).select(
         F.col("_sc").alias("contact_id"), (F.col("total_amount") * F.col("_m")).alias("_hs")
     )
     extra = (

@@ -51,7 +51,7 @@ def _nocase_distinct(labels):
 
 def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFrame:
     keys = list(keys or KEYS)
-    g = restrict(src["grant"], "contact_id", contacts)
+    g = restrict(src["grant"], "contact_id", contacts).where("contact_id is not null")
     g = g.groupBy("contact_id", "status_id", "grant_type_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("amount_granted").alias("_amount"))
     g = IdFilter(cfg.grant_status_ids, "grant_status").apply(g, src, "status_id", "_st_ok")
     g = IdFilter(cfg.grant_type_ids, "grant_type").apply(g, src, "grant_type_id", "_ty_ok")

@@ -64,7 +64,7 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
     for k in keys:
         if k not in KEYS:
             raise KeyError(k)
-    q = restrict(src["mailing_queue"].select("id", "contact_id", "job_id"), "contact_id", contacts)
+    q = restrict(src["mailing_queue"].select("id", "contact_id", "job_id"), "contact_id", contacts).where("contact_id is not null")
     tables = {"mailing_delivered": "s", "mailing_bounce": "b"}
     if "mail_openrate_alltime" in keys or "mail_openrate_last12months" in keys:
         tables["mailing_opened"] = "o"

@@ -77,22 +77,22 @@ def donor_totals(src: Sources, cfg: RollupConfig, windows, donors: DataFrame | N
     return c.groupBy(F.col("contact_id").alias("donor")).agg(*aggs)
 
 
-def active_edges(src: Sources, cfg: RollupConfig, relationship: DataFrame | None = None) -> DataFrame:
-    """``(a, b)`` of active edges of a listed type (FLT8, FLT2); edge dates are
-    not consulted; NULL ``is_active`` drops the edge."""
+def active_edges(src: Sources, cfg: RollupConfig, relationship: DataFrame | None = None, *more: str) -> DataFrame:
+    """``(a, b)`` (and ``more`` columns) of active edges of a listed type (FLT8, FLT2);
+    edge dates are not consulted; NULL ``is_active`` drops the edge."""
     r = relationship if relationship is not None else src["relationship"]
     r = r.where(F.col("is_active"))
     r = IdFilter(cfg.relationship_type_ids, "relationship_type").restrict(r, src, "relationship_type_id")
-    return r.select(F.col("contact_id_a").alias("a"), F.col("contact_id_b").alias("b"))
+    return r.select(F.col("contact_id_a").alias("a"), F.col("contact_id_b").alias("b"), *more)
 
 
-def symmetric_edges(edges: DataFrame) -> DataFrame:
+def symmetric_edges(edges: DataFrame, *more: str) -> DataFrame:
     """SO1: both directions, duplicates kept: ``(src, dst)``.  Each edge row
     emits its two directed rows (``explode``), so the edge table is read once
     instead of once per UNION ALL leg; a self-edge yields (x, x) twice."""
     both = F.array(
-        F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
-        F.struct(F.col("b").alias("src"), F.col("a").alias("dst")),
+        F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), *more),
+        F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), *more),
     )
     return edges.select(F.inline(both))
 

@@ -1,4 +1,4 @@
-"""Soft-credit family S1-S3.  Σ soft.amount whose parent donation is completed,
+"""Soft-credit family S1-S3 (and the total of this fiscal year).  Σ soft.amount whose parent donation is completed,
 of a listed own financial type and received in the window (``IN (SELECT id
 ...)``).  Population: every contact with a soft-credit row; 0 when nothing
 matches.
@@ -20,7 +20,7 @@ from kinsum.functions.joins import small_side
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
 
-KEYS = ["soft_total_this_calendar_year", "soft_total_last_calendar_year", "soft_total_last_fiscal_year"]
+KEYS = ["soft_total_this_calendar_year", "soft_total_last_calendar_year", "soft_total_last_fiscal_year", "soft_total_this_year"]
 
 
 def windows(cfg: RollupConfig) -> dict:
@@ -28,6 +28,7 @@ def windows(cfg: RollupConfig) -> dict:
         "soft_total_this_calendar_year": periods.calendar_year(cfg, 0),
         "soft_total_last_calendar_year": periods.calendar_year(cfg, 1),
         "soft_total_last_fiscal_year": periods.fiscal_year(cfg, 1),
+        "soft_total_this_year": periods.fiscal_year(cfg, 0),
     }
 
 
@@ -50,4 +51,4 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
         parents = parents.join(ids, parents["_pid"] == ids["_sid"], "left_semi")
     j = soft.join(parents, soft["contribution_id"] == parents["_pid"], "left")
     aggs = [sum_or_zero(F.coalesce(F.col(f"_in_{i}"), F.lit(False)), F.col("amount")).alias(k) for i, k in enumerate(keys)]
-    return j.groupBy(F.col("contact_id").alias("entity_id")).agg(*aggs)
+    return j.where("contact_id is not null").groupBy(F.col("contact_id").alias("entity_id")).agg(*aggs)

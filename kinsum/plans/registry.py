@@ -53,20 +53,27 @@ FAMILIES: dict[str, Callable] = {
     "mailings": mailings.build,
 }
 
-# The user-facing labels and option groups of the metrics.
-_CONTRIB = ("contribution", "contribution_soft")
-_REL = ("contribution", "relationship")
+# The user-facing labels and option groups of the metrics.  The four totals
+# of "this year" and the years before carry the overriding fiscal-year labels (PRJ3).
+_OWN = ("contribution", "financial_type")
+_CONTRIB = ("contribution", "contribution_soft", "financial_type")
+_REL = ("contribution", "relationship", "financial_type", "relationship_type")
+_GRANT = ("grant", "option_value", "option_group")
 _MAIL = ("mailing_delivered", "mailing_opened", "mailing_bounce", "mailing_queue", "mailing_job")
 _CLICK = ("mailing_delivered", "mailing_url_open", "mailing_bounce", "mailing_queue", "mailing_job", "mailing_trackable_url")
 _BUILTIN = [
-    RollupSpec("contribution_total_this_calendar_year", "fundraising", "Total Contributions this Calendar Year", "Money", "contributions", ("contribution",)),
-    RollupSpec("contribution_total_last_calendar_year", "fundraising", "Total Contributions last Calendar Year", "Money", "contributions", ("contribution",)),
-    RollupSpec("contribution_total_calendar_year_before_last", "fundraising", "Total Contributions Calendar Year Before Last", "Money", "contributions", ("contribution",)),
-    RollupSpec("contribution_count_distinct_years", "fundraising", "Number of Years of Contributions", "Integer", "contributions", ("contribution",)),
+    RollupSpec("contribution_total_this_calendar_year", "fundraising", "Total Contributions this Calendar Year", "Money", "contributions", _OWN),
+    RollupSpec("contribution_total_last_calendar_year", "fundraising", "Total Contributions last Calendar Year", "Money", "contributions", _OWN),
+    RollupSpec("contribution_total_calendar_year_before_last", "fundraising", "Total Contributions Calendar Year Before Last", "Money", "contributions", _OWN),
+    RollupSpec("contribution_total_this_year", "fundraising", "Total Contributions this Fiscal Year", "Money", "contributions", _OWN),
+    RollupSpec("contribution_total_last_year", "fundraising", "Total Contributions last Fiscal Year", "Money", "contributions", _OWN),
+    RollupSpec("contribution_total_year_before_last", "fundraising", "Total Contributions Fiscal Year Before Last", "Money", "contributions", _OWN),
+    RollupSpec("contribution_count_distinct_years", "fundraising", "Number of Years of Contributions", "Integer", "contributions", _OWN),
     RollupSpec("hard_and_soft", "fundraising", "Lifetime contributions + soft credits", "Money", "contributions", _CONTRIB),
     RollupSpec("soft_total_this_calendar_year", "soft", "Total Soft Credits this Calendar Year", "Money", "soft", _CONTRIB),
     RollupSpec("soft_total_last_calendar_year", "soft", "Total Soft Credits last Calendar Year", "Money", "soft", _CONTRIB),
     RollupSpec("soft_total_last_fiscal_year", "soft", "Total Soft Credits last Fiscal Year", "Money", "soft", _CONTRIB),
+    RollupSpec("soft_total_this_year", "soft", "Total Soft Credits this Fiscal Year", "Money", "soft", _CONTRIB),
     RollupSpec("relatedcontrib_this_fiscal_year", "relatedcontrib", "Related contact contributions this fiscal year", "Money", "contributions", _REL),
     RollupSpec("relatedcontrib_last_fiscal_year", "relatedcontrib", "Related contact contributions last fiscal year", "Money", "contributions", _REL),
     RollupSpec("relatedcontrib_this_calendar_year", "relatedcontrib", "Related contact contributions this calendar year", "Money", "contributions", _REL),
@@ -79,24 +86,15 @@ _BUILTIN = [
     RollupSpec("relatedcontrib_plusme_last_calendar_year", "relatedcontrib", "Combined contact & related contact contributions last calendar year", "Money", "contributions", _REL),
     RollupSpec("relatedcontrib_plusme_year_before_last_calendar_year", "relatedcontrib", "Combined contact & related contact contributions year before last calendar year", "Money", "contributions", _REL),
     RollupSpec("relatedcontrib_plusme_alltime", "relatedcontrib", "Combined contact & related contact contributions all time", "Money", "contributions", _REL),
-    RollupSpec("event_first_attended_date", "events", "Date of the first attended event", "Date", "attendance", ("participant", "event")),
-    RollupSpec("grant_count_received", "grants", "Total number of grants received", "Int", "grants", ("grant",)),
-    RollupSpec("grant_total_received", "grants", "Total amount in grants received", "Money", "grants", ("grant",)),
-    RollupSpec("grant_types_received", "grants", "Grant types received", "String", "grants", ("grant", "option_value", "option_group")),
+    RollupSpec("event_first_attended_date", "events", "Date of the first attended event", "Date", "attendance", ("participant", "event", "participant_status", "event_type")),
+    RollupSpec("grant_count_received", "grants", "Total number of grants received", "Int", "grants", _GRANT),
+    RollupSpec("grant_total_received", "grants", "Total amount in grants received", "Money", "grants", _GRANT),
+    RollupSpec("grant_types_received", "grants", "Grant types received", "String", "grants", _GRANT),
     RollupSpec("mail_openrate_alltime", "mailings", "Open rate rate all time", "Float", "mailings", _MAIL),
     RollupSpec("mail_openrate_last12months", "mailings", "Open rate rate last 12 months", "Float", "mailings", _MAIL),
     RollupSpec("mail_clickrate_alltime", "mailings", "Click-through rate all time", "Float", "mailings", _CLICK),
 ]
 
-# PRJ3: label overrides the reference applies to four parent metrics (metadata only).
-PARENT_LABELS = {
-    "contribution_total_this_year": "Total Contributions this Fiscal Year",
-    "contribution_total_last_year": "Total Contributions last Fiscal Year",
-    "contribution_total_year_before_last": "Total Contributions Fiscal Year Before Last",
-    "soft_total_this_year": "Total Soft Credits this Fiscal Year",
-}
-
-
 class Registry:
     def __init__(self, specs=(), families=None):
         self.families = dict(families or FAMILIES)

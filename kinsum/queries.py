@@ -12,20 +12,24 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
 from kinsum.functions.joins import release_small_sides
 from kinsum.functions.periods import fiscal_year_bounds
 from kinsum.operators import contracts as K
+from kinsum.operators import contributions, related, soft
 from kinsum.operators.related import neighbours
 from kinsum.plans.affected import affected
-from kinsum.plans.refresh import public, refresh
-from kinsum.plans.registry import Registry, RollupSpec, sql_family
+from kinsum.plans.refresh import public, refresh, wide
+from kinsum.plans.registry import Registry, RollupSpec, default_registry, sql_family
+from kinsum.plans import deltas, partials
+from kinsum.plans.store import Store
 from kinsum.plans.upsert import upsert
-from kinsum.session import configure
+from kinsum.session import checkpoint_dir, configure
 from kinsum.sources.lookups import option_lookup, relationship_type_labels
-from kinsum.sources.testdata import MAIL_CONFIG, TESTDATA_CONFIG, crm_sources
+from kinsum.sources.testdata import AFTER_YEAR_ENDS, BEFORE_YEAR_ENDS, BETWEEN_YEAR_ENDS, MAIL_CONFIG, OTHER_DATE, TESTDATA_CONFIG, crm_sources
 from kinsum.streaming import incremental as inc
 
 CFG = TESTDATA_CONFIG
@@ -279,7 +283,140 @@ def q_mail_clickrate_distinct_links(spark, sf_dir):
     return mailings.build(_src(spark, sf_dir), MAIL_CONFIG.with_(distinct_links=True), ["mail_clickrate_alltime"])
 
 
+def q_hard_and_soft_anonymous(spark, sf_dir):
+    """C5 where the donations of one type have no donor: they credit their soft contacts only."""
+    src = _src(spark, sf_dir)
+    gifts = src["contribution"]
+    gifts = gifts.withColumn("contact_id", F.when(F.col("financial_type_id") != 3, F.col("contact_id"))).select(gifts.columns)
+    return contributions.build(src.replace(contribution=gifts), CFG, ["hard_and_soft"])
+
+
+def _keeper(spark):
+    """Stores tables in a new folder of the shared ones, so that what is built from them starts there."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/kinsum-state-{uuid.uuid4().hex}"
+
+    def keep(name, df):
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    return keep
+
+
+def q_totals_of_another_date(spark, sf_dir):
+    """C and S keys of a date long before the one that the partials were built with."""
+    src = _src(spark, sf_dir)
+    keys = [k for k in default_registry().keys() if k in contributions.KEYS or k in soft.KEYS]
+    frames = partials.values(partials.initial(src, CFG, _keeper(spark)), CFG.with_(as_of=OTHER_DATE), keys)
+    return wide(list(frames.values()), keys)
+
+
+def _mixed_changes(src1):
+    """Base tables before, and the changes that lead to ``src1``: donations of the fiscal year are
+    inserted, those of the year before move to their contact from the next one, a
+    second donation of half the amount goes for each that does not count; edges are deactivated;
+    soft credits of the inserted donations are new, and each other one lost a second one of its donation."""
+    gifts, soft_rows, edges = src1["contribution"], src1["contribution_soft"], src1["relationship"]
+    new = _new_donations(src1)
+    begin, end = (dt.datetime.combine(x, dt.time()) for x in (fiscal_year_bounds(CFG, 1)[0], SPLIT))
+    in_year = (F.col("receive_date") >= F.lit(begin).cast("timestamp_ntz")) & (F.col("receive_date") < F.lit(end).cast("timestamp_ntz"))
+    moved = gifts.where(in_year).withColumn("contact_id", F.col("contact_id") + 1).select(gifts.columns)
+    gone = gifts.where("contribution_status_id <> 1").select(
+        (-F.col("id") - 1).alias("id"), "contact_id", (F.col("total_amount") / 2).cast("decimal(20,2)").alias("total_amount"), "receive_date",
+        F.lit(1).alias("contribution_status_id"), "financial_type_id",
+    )
+    old_rows = gifts.where(~in_year).join(new.select("id"), "id", "left_anti").select(gifts.columns)
+    new_soft = soft_rows.join(new.select(F.col("id").alias("contribution_id")), "contribution_id", "left_semi").select(soft_rows.columns)
+    old_soft = soft_rows.join(new.select(F.col("id").alias("contribution_id")), "contribution_id", "left_anti").select(soft_rows.columns)
+    gone_soft = old_soft.withColumn("contact_id", F.col("contact_id") + 3).select(soft_rows.columns)
+    live = edges.where(~F.col("is_active")).withColumn("is_active", F.lit(True)).select(edges.columns)
+    src0 = src1.replace(
+        contribution=old_rows.unionAll(moved).unionAll(gone), contribution_soft=old_soft.unionAll(gone_soft),
+        relationship=edges.where("is_active is distinct from false").unionAll(live),
+    )
+    changes = {
+        "contribution": inc.inserts(new).unionAll(inc.updates(moved, {"contact_id": F.col("contact_id") - 1})).unionAll(inc.deletes(gone)),
+        "contribution_soft": inc.inserts(new_soft).unionAll(inc.deletes(gone_soft)),
+        "relationship": inc.updates(live, {"is_active": F.lit(False)}),
+    }
+    return src0, changes
+
+
+def q_signed_delta_equals_batch(spark, sf_dir):
+    """I1-I4, I10: the state before mixed changes of three tables plus their signed change gives
+    what a batch over the tables after them gives."""
+    src1 = _src(spark, sf_dir)
+    src0, changes = _mixed_changes(src1)
+    kept = _keeper(spark)
+    state = partials.initial(src0, CFG, kept)
+    change = deltas.step(state, CFG, deltas.changed(src1, CFG, changes))
+    change = partials.State(**{name: kept(f"change-{name}", df) for name, df in change.tables().items()})
+    after = partials.merge(state, change)
+    keys = [k for k in default_registry().keys() if k in (*contributions.KEYS, *related.KEYS, *soft.KEYS)]
+    return wide(list(partials.values(after, CFG, keys).values()), keys)
+
+
+def _store(spark, src, cfg, buckets=16):
+    """A new store in the shared folder."""
+    store = Store(spark, f"{checkpoint_dir(spark).rstrip('/')}/kinsum-store-{uuid.uuid4().hex}", buckets)
+    store.create(src, cfg)
+    return store
+
+
+def q_bundle_stream_equals_batch(spark, sf_dir):
+    """I9: the feeds of three tables, drained by one stream into a bucketed store."""
+    src1 = _src(spark, sf_dir)
+    src0, changes = _mixed_changes(src1)
+    store = _store(spark, src0, CFG)
+    feeds = {}
+    for table, rows in changes.items():
+        feeds[table] = f"{store.path}-feed/{table}"
+        rows.write.parquet(feeds[table])
+    inc.start(spark, feeds, lambda: src1, CFG, store, f"{store.path}-checkpoint").awaitTermination()
+    return public(store.current())
+
+
+def q_advance_over_year_ends(spark, sf_dir):
+    """Q7: a store moves over the end of a fiscal year and then of a calendar year."""
+    src = _src(spark, sf_dir)
+    dates = [CFG.with_(as_of=d) for d in (BEFORE_YEAR_ENDS, BETWEEN_YEAR_ENDS, AFTER_YEAR_ENDS)]
+    store = _store(spark, src, dates[0])
+    for old, new in zip(dates, dates[1:], strict=False):
+        store.advance(src, old, new)
+    return public(store.current())
+
+
+def q_advance_mail_window(spark, sf_dir):
+    """Q7: mailings leave the twelve months."""
+    src = _src(spark, sf_dir)
+    before = CFG.with_(as_of=MAIL_CONFIG.as_of - dt.timedelta(days=8))
+    store = _store(spark, src, before)
+    store.advance(src, before, CFG.with_(as_of=MAIL_CONFIG.as_of))
+    return public(store.current())
+
+
+def q_lookup_change_equals_batch(spark, sf_dir):
+    """FLT3: an added grant status and a removed event type, of lists that are not set."""
+    src1 = _src(spark, sf_dir)
+    types = spark.read.parquet(os.path.join(sf_dir, "nation.parquet")).where("n_nationkey between 1 and 4")
+    types = types.select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("name"))
+    values = src1["option_value"]
+    added = values.where("option_group_id = 2 and value = '2'")
+    src1 = src1.replace(event_type=types.where("id <> 4"))
+    src0 = src1.replace(event_type=types, option_value=values.exceptAll(added))
+    cfg = CFG.with_(event_type_ids=None)
+    store = _store(spark, src0, cfg)
+    store.apply({"option_value": inc.inserts(added), "event_type": inc.deletes(types.where("id = 4"))}, src1, cfg)
+    return public(store.current())
+
+
 QUERIES = {
+    "hard_and_soft_anonymous": q_hard_and_soft_anonymous,
+    "totals_of_another_date": q_totals_of_another_date,
+    "signed_delta_equals_batch": q_signed_delta_equals_batch,
+    "bundle_stream_equals_batch": q_bundle_stream_equals_batch,
+    "advance_over_year_ends": q_advance_over_year_ends,
+    "advance_mail_window": q_advance_mail_window,
+    "lookup_change_equals_batch": q_lookup_change_equals_batch,
     "related_empty_zero": q_related_empty_zero,
     "related_population_edges": q_related_population_edges,
     "incremental_edge_population": q_incremental_edge_population,

@@ -59,7 +59,5 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    d = tempfile.mkdtemp(prefix="kinsum-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinsum-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()

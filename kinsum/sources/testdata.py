@@ -35,6 +35,9 @@ TESTDATA_CONFIG = RollupConfig(
     event_type_ids=(1, 2, 3),
 )
 MAIL_CONFIG = TESTDATA_CONFIG.with_(as_of=dt.date(2025, 1, 15))
+# Dates that queries move to: another one for the same partials, one after the ends of a fiscal and a calendar year.
+OTHER_DATE = dt.date(1998, 2, 28)
+BEFORE_YEAR_ENDS, BETWEEN_YEAR_ENDS, AFTER_YEAR_ENDS = dt.date(2000, 6, 30), dt.date(2000, 7, 1), dt.date(2001, 1, 1)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,8 +4,8 @@ definitions.
 Donations are classified once (does it count, on which day) and aggregated per contact;
 ``hard_and_soft`` adds up credits (a donor's own ones and those of soft contacts);
 grants are counted by contact and type first; mail rates weigh one tagged list of
-events per queue row.  Related-contact sums run over a directed-edge view joined to
-every single donation.  All run over the ``crm_*`` views of
+events per queue row.  Related-contact sums join live edges, one row a direction, to what
+each contact gave.  All run over the ``crm_*`` views of
 :data:`kinsum.sources.testdata.DUCKDB_VIEWS`.
 
 Money is cast to DOUBLE (Spark does the same at its boundary).  Rates use
@@ -19,7 +19,7 @@ import datetime as dt
 
 from kinsum.config import RollupConfig
 from kinsum.functions.periods import fiscal_year_bounds
-from kinsum.sources.testdata import MAIL_CONFIG, TESTDATA_CONFIG, with_views
+from kinsum.sources.testdata import AFTER_YEAR_ENDS, MAIL_CONFIG, OTHER_DATE, TESTDATA_CONFIG, with_views
 
 # --- building blocks -------------------------------------------------------
 
@@ -70,28 +70,28 @@ def _in_window(col: str, cfg: RollupConfig, window: str) -> str:
         return f"{day} BETWEEN {_date(fy_begin)} AND {_date(fy_end)}"
     if window == "last_fiscal_year":
         return f"{day} BETWEEN {_date(fy_begin)} - INTERVAL 1 YEAR AND {_date(fy_end)} - INTERVAL 1 YEAR"
+    if window == "fiscal_year_before_last":
+        return f"{day} BETWEEN {_date(fy_begin)} - INTERVAL 2 YEAR AND {_date(fy_end)} - INTERVAL 2 YEAR"
     if window == "alltime":
         return "TRUE"
     raise KeyError(window)
 
 
-def _each_contact_of(table: str, key: str, subquery: str, as_double: bool = True) -> str:
-    """One row per distinct contact of ``table`` with the correlated value."""
-    value = f"CAST(({subquery}) AS DOUBLE)" if as_double else f"({subquery})"
-    return f"SELECT who.contact_id AS entity_id, {value} AS {key}\nFROM (SELECT DISTINCT contact_id FROM {table}) who"
-
-
 # --- contribution and soft-credit metrics ---------------------------------
 
 _CAL = {
     "contribution_total_this_calendar_year": "this_calendar_year",
     "contribution_total_last_calendar_year": "last_calendar_year",
     "contribution_total_calendar_year_before_last": "year_before_last_calendar_year",
+    "contribution_total_this_year": "this_fiscal_year",
+    "contribution_total_last_year": "last_fiscal_year",
+    "contribution_total_year_before_last": "fiscal_year_before_last",
 }
 _SOFT = {
     "soft_total_this_calendar_year": "this_calendar_year",
     "soft_total_last_calendar_year": "last_calendar_year",
     "soft_total_last_fiscal_year": "last_fiscal_year",
+    "soft_total_this_year": "this_fiscal_year",
 }
 
 
@@ -109,13 +109,13 @@ def _gifts(cfg, window="alltime"):
 
 def _contribution_total(cfg, key):
     return f"""WITH {_gifts(cfg, _CAL[key])}
-        SELECT contact_id AS entity_id, CAST(sum(if(counts, amount, 0)) AS DOUBLE) AS {key} FROM gifts GROUP BY contact_id"""
+        SELECT contact_id AS entity_id, CAST(sum(if(counts, amount, 0)) AS DOUBLE) AS {key} FROM gifts WHERE contact_id IS NOT NULL GROUP BY contact_id"""
 
 
 def _distinct_years(cfg, key):
     return f"""WITH {_gifts(cfg)},
         per_year AS (SELECT contact_id, year(day) AS y, max(if(counts, 1, 0)) AS hit FROM gifts GROUP BY ALL)
-        SELECT contact_id AS entity_id, CAST(sum(if(y IS NULL, 0, hit)) AS BIGINT) AS {key} FROM per_year GROUP BY contact_id"""
+        SELECT contact_id AS entity_id, CAST(sum(if(y IS NULL, 0, hit)) AS BIGINT) AS {key} FROM per_year WHERE contact_id IS NOT NULL GROUP BY contact_id"""
 
 
 def _hard_and_soft(cfg, key):
@@ -133,13 +133,13 @@ def _hard_and_soft(cfg, key):
           WHERE g.counts AND s.contact_id IS DISTINCT FROM g.contact_id),
         per_contact AS (SELECT contact_id, sum(credit) AS credit FROM credits GROUP BY contact_id)
         SELECT p.contact_id AS entity_id, CAST(coalesce(c.credit, 0) AS DOUBLE) AS {key}
-        FROM (SELECT contact_id FROM gifts GROUP BY contact_id) p LEFT JOIN per_contact c ON c.contact_id = p.contact_id"""
+        FROM (SELECT contact_id FROM gifts WHERE contact_id IS NOT NULL GROUP BY contact_id) p LEFT JOIN per_contact c ON c.contact_id = p.contact_id"""
 
 
 def _soft_total(cfg, key):
     return f"""WITH {_gifts(cfg, _SOFT[key])}
         SELECT s.contact_id AS entity_id, CAST(sum(if(coalesce(g.counts, FALSE), coalesce(s.amount, 0), 0)) AS DOUBLE) AS {key}
-        FROM crm_soft_credit s LEFT JOIN gifts g ON g.id = s.contribution_id GROUP BY s.contact_id"""
+        FROM crm_soft_credit s LEFT JOIN gifts g ON g.id = s.contribution_id WHERE s.contact_id IS NOT NULL GROUP BY s.contact_id"""
 
 
 # --- related-contact metrics ----------------------------------------------
@@ -150,30 +150,34 @@ _DIRECTED = """(SELECT contact_id_a AS person, contact_id_b AS partner, relation
          SELECT contact_id_b, contact_id_a, relationship_type_id, is_active FROM crm_relationship)"""
 
 
+def _bonds(cfg):
+    """Live edges, one row for each direction."""
+    return f"""bond AS (SELECT d.person, d.partner FROM {_DIRECTED} d
+                      WHERE d.active AND d.rtype IN ({_edge_types(cfg)}) AND d.person IS NOT NULL)"""
+
+
+def _given(cfg, **windows):
+    """What each contact gave to the related types: one sum for each window."""
+    sums = ", ".join(f"sum(total_amount) FILTER (WHERE {_in_window('g.receive_date', cfg, w)}) AS {name}" for name, w in windows.items())
+    return f"given AS (SELECT contact_id, {sums} FROM crm_contribution g WHERE {_own_completed('g', cfg, related=True)} GROUP BY contact_id)"
+
+
+def _either(a, b):
+    return f"CASE WHEN {a} IS NOT NULL OR {b} IS NOT NULL THEN coalesce({a}, 0) + coalesce({b}, 0) END"
+
+
 def _related(cfg, key, window, plus_me, distinct_donors=False):
-    partner_rows = f"""
-            SELECT gift.total_amount AS amount
-            FROM {_DIRECTED} e JOIN crm_contribution gift ON gift.contact_id = e.partner
-            WHERE e.person = who.contact_id AND e.active AND e.rtype IN ({_edge_types(cfg)})
-              AND {_own_completed('gift', cfg, related=True)} AND {_in_window('gift.receive_date', cfg, window)}"""
-    if distinct_donors:
-        partner_rows = f"""
-            SELECT gift.total_amount AS amount
-            FROM (SELECT DISTINCT e.partner FROM {_DIRECTED} e
-                  WHERE e.person = who.contact_id AND e.active AND e.rtype IN ({_edge_types(cfg)})
-                  UNION ALL SELECT who.contact_id) e
-            JOIN crm_contribution gift ON gift.contact_id = e.partner
-            WHERE {_own_completed('gift', cfg, related=True)} AND {_in_window('gift.receive_date', cfg, window)}"""
-    elif plus_me:
-        partner_rows += f"""
-            UNION ALL
-            SELECT mine.total_amount FROM crm_contribution mine
-            WHERE mine.contact_id = who.contact_id
-              AND {_own_completed('mine', cfg, related=True)} AND {_in_window('mine.receive_date', cfg, window)}"""
-    total = f"SELECT sum(amount) FROM ({partner_rows}) rows_of_contact"
+    pairs = "SELECT DISTINCT person, partner FROM bond" if distinct_donors else "SELECT person, partner FROM bond"
+    value = "b.brought"
+    if plus_me:
+        value = _either("b.brought", "o.sums")
     if cfg.related_empty == "zero":
-        total = f"SELECT coalesce(({total}), 0)"
-    return _each_contact_of("crm_contribution", key, total)
+        value = f"coalesce({value}, 0)"
+    return f"""WITH {_bonds(cfg)}, {_given(cfg, sums=window)},
+        by_partners AS (SELECT person, sum(sums) AS brought FROM ({pairs}) p JOIN given ON contact_id = partner GROUP BY person),
+        donors AS (SELECT contact_id FROM crm_contribution WHERE contact_id IS NOT NULL GROUP BY contact_id)
+        SELECT d.contact_id AS entity_id, CAST({value} AS DOUBLE) AS {key}
+        FROM donors d LEFT JOIN by_partners b ON b.person = d.contact_id LEFT JOIN given o ON o.contact_id = d.contact_id"""
 
 
 # --- events and grants ----------------------------------------------------
@@ -186,14 +190,14 @@ def _first_attended(cfg, key):
           WHERE ev.id = pa.event_id AND pa.status_id IN ({_list(cfg.participant_status_ids)}) AND ev.event_type_id IN ({_list(cfg.event_type_ids)})),
         firsts AS (SELECT contact_id, if(bool_or(start_date IS NULL), NULL, min(start_date)) AS day FROM attended GROUP BY contact_id)
         SELECT p.contact_id AS entity_id, f.day AS {key}
-        FROM (SELECT contact_id FROM crm_participant GROUP BY contact_id) p LEFT JOIN firsts f ON f.contact_id = p.contact_id"""
+        FROM (SELECT contact_id FROM crm_participant WHERE contact_id IS NOT NULL GROUP BY contact_id) p LEFT JOIN firsts f ON f.contact_id = p.contact_id"""
 
 
 def _grant(cfg, key):
     by_type = f"""by_type AS (
           SELECT contact_id, grant_type_id, coalesce(status_id IN ({_option_ids(cfg, 'grant_status')}) AND grant_type_id IN ({_option_ids(cfg, 'grant_type')}), FALSE) AS ok,
                  count(*) AS n, sum(amount_granted) AS amount
-          FROM crm_grant GROUP BY ALL)"""
+          FROM crm_grant WHERE contact_id IS NOT NULL GROUP BY ALL)"""
     if key == "grant_count_received":
         return f"WITH {by_type} SELECT contact_id AS entity_id, CAST(sum(if(ok, n, 0)) AS BIGINT) AS {key} FROM by_type GROUP BY contact_id"
     if key == "grant_total_received":
@@ -242,7 +246,7 @@ def _rates(key, answer, weight="1", answer_weight="1", once=False):
         sums AS (
           SELECT m.contact_id, sum(if(kind = 'sent', n * w, 0)) AS s, sum(if(kind = '{answer}', n * aw, 0)) AS o, sum(if(kind = 'bounced', n * w, 0)) AS b
           FROM mails m JOIN per_mail USING (id) GROUP BY m.contact_id)
-        SELECT contact_id AS entity_id, {_rate_expr('o', 's', 'b')} AS {key} FROM sums WHERE s > 0"""
+        SELECT contact_id AS entity_id, {_rate_expr('o', 's', 'b')} AS {key} FROM sums WHERE s > 0 AND contact_id IS NOT NULL"""
 
 
 def _open_rate_alltime(cfg, key):
@@ -315,7 +319,6 @@ def extra_oracles() -> dict[str, str]:
     cfg = TESTDATA_CONFIG
     keys = list(_all_keys())
     fy_begin = fiscal_year_bounds(cfg, 0)[0]
-    live_edge = f"r.is_active AND r.relationship_type_id IN ({_edge_types(cfg)})"
     out: dict[str, str] = {}
     out["relationship_type_labels"] = with_views("""
         SELECT id, coalesce(label_a_b, '') || '/' || coalesce(label_b_a, '') AS label
@@ -323,23 +326,13 @@ def extra_oracles() -> dict[str, str]:
     out["option_lookup"] = with_views("""
         SELECT v.value, v.label FROM crm_option_value v
         WHERE v.option_group_id IN (SELECT id FROM crm_option_group WHERE name = 'grant_type')""")
-    # membership join: a contact and the other end of each of its live edges
-    out["neighbours"] = with_views(f"""
-        SELECT DISTINCT c.contact_id AS entity_id,
-               CASE WHEN r.contact_id_a = c.contact_id THEN r.contact_id_b ELSE r.contact_id_a END AS related_contact_id
-        FROM (SELECT contact_id_a AS contact_id FROM crm_relationship
-              UNION SELECT contact_id_b FROM crm_relationship) c
-        JOIN crm_relationship r ON c.contact_id IN (r.contact_id_a, r.contact_id_b)
-        WHERE {live_edge}""")
+    out["neighbours"] = with_views(f"WITH {_bonds(cfg)} SELECT person AS entity_id, partner AS related_contact_id FROM bond GROUP BY ALL")
     out["affected_by_contribution"] = with_views(f"""
-        WITH new_gift AS (SELECT * FROM crm_contribution WHERE receive_date >= {_date(fy_begin)})
+        WITH {_bonds(cfg)},
+        new_gift AS (SELECT id, contact_id FROM crm_contribution WHERE receive_date >= {_date(fy_begin)})
         SELECT contact_id AS entity_id FROM new_gift
-        UNION
-        SELECT CASE WHEN r.contact_id_a = n.contact_id THEN r.contact_id_b ELSE r.contact_id_a END
-        FROM new_gift n JOIN crm_relationship r ON n.contact_id IN (r.contact_id_a, r.contact_id_b)
-        WHERE {live_edge}
-        UNION
-        SELECT sc.contact_id FROM crm_soft_credit sc WHERE sc.contribution_id IN (SELECT id FROM new_gift)""")
+        UNION SELECT b.person FROM bond b SEMI JOIN new_gift n ON n.contact_id = b.partner
+        UNION SELECT sc.contact_id FROM crm_soft_credit sc SEMI JOIN new_gift n ON n.id = sc.contribution_id""")
     out["affected_by_relationship"] = with_views("""
         SELECT contact_id_a AS entity_id FROM crm_relationship WHERE NOT is_active
         UNION SELECT contact_id_b FROM crm_relationship WHERE NOT is_active""")
@@ -361,22 +354,25 @@ def extra_oracles() -> dict[str, str]:
     out["related_empty_zero"] = with_views(
         _related(cfg.with_(related_empty="zero"), "relatedcontrib_this_fiscal_year", "this_fiscal_year", False))
     # everyone with a gift or a live edge, and what each live edge or the person itself brings
-    brought = f"""
-        WITH bond AS (SELECT d.person, d.partner FROM {_DIRECTED} d
-                      WHERE d.active AND d.rtype IN ({_edge_types(cfg)}) AND d.person IS NOT NULL),
-        given AS (SELECT contact_id, sum(total_amount) AS ever,
-                         sum(total_amount) FILTER (WHERE {_in_window('g.receive_date', cfg, 'this_calendar_year')}) AS this_year
-                  FROM crm_contribution g WHERE {_own_completed('g', cfg, related=True)} GROUP BY contact_id),
+    edge_population = with_views(f"""
+        WITH {_bonds(cfg)}, {_given(cfg, ever='alltime', this_year='this_calendar_year')},
         by_partners AS (SELECT person, sum(ever) AS ever, sum(this_year) AS this_year
                         FROM bond LEFT JOIN given ON contact_id = partner GROUP BY person),
-        people AS (SELECT contact_id FROM crm_contribution UNION SELECT person FROM bond)"""
-    both = lambda c: f"CASE WHEN b.{c} IS NOT NULL OR o.{c} IS NOT NULL THEN coalesce(b.{c}, 0) + coalesce(o.{c}, 0) END"
-    edge_population = with_views(f"""{brought}
+        people AS (SELECT contact_id FROM crm_contribution UNION SELECT person FROM bond)
         SELECT p.contact_id AS entity_id, CAST(b.ever AS DOUBLE) AS relatedcontrib_alltime,
-               CAST({both('this_year')} AS DOUBLE) AS relatedcontrib_plusme_this_calendar_year,
-               CAST({both('ever')} AS DOUBLE) AS relatedcontrib_plusme_alltime
-        FROM people p LEFT JOIN by_partners b ON b.person = p.contact_id LEFT JOIN given o ON o.contact_id = p.contact_id""")
+               CAST({_either('b.this_year', 'o.this_year')} AS DOUBLE) AS relatedcontrib_plusme_this_calendar_year,
+               CAST({_either('b.ever', 'o.ever')} AS DOUBLE) AS relatedcontrib_plusme_alltime
+        FROM people p LEFT JOIN by_partners b ON b.person = p.contact_id LEFT JOIN given o ON o.contact_id = p.contact_id
+        WHERE p.contact_id IS NOT NULL""")
     out["related_population_edges"] = out["incremental_edge_population"] = edge_population
+    anonymous = "(SELECT * REPLACE (CASE WHEN financial_type_id = 3 THEN NULL ELSE contact_id END AS contact_id) FROM crm_contribution)"
+    out["hard_and_soft_anonymous"] = with_views(_hard_and_soft(cfg, "hard_and_soft").replace("crm_contribution d", f"{anonymous} d"))
+    additive = [k for k in keys if k in _CAL or k in _SOFT or k in ("hard_and_soft", "contribution_count_distinct_years")]
+    out["totals_of_another_date"] = with_views(wide_sql(additive, cfg.with_(as_of=OTHER_DATE)))
+    out["signed_delta_equals_batch"] = with_views(wide_sql([*additive, *[k for k in keys if k.startswith("relatedcontrib")]], cfg))
+    out["bundle_stream_equals_batch"] = out["lookup_change_equals_batch"] = with_views(wide_sql(keys, cfg))
+    out["advance_over_year_ends"] = with_views(wide_sql(keys, cfg.with_(as_of=AFTER_YEAR_ENDS)))
+    out["advance_mail_window"] = with_views(wide_sql(keys, cfg.with_(as_of=MAIL_CONFIG.as_of)))
     # emails (queue rows) instead of link-multiplied rows
     out["mail_clickrate_distinct_links"] = with_views(_click_rate(MAIL_CONFIG, "mail_clickrate_alltime", once=True))
     ukeys = ["contribution_total_this_calendar_year", "relatedcontrib_alltime", "mail_openrate_last12months"]

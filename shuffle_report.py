@@ -23,7 +23,7 @@ def main():
     from pyspark.sql import functions as F
 
     from kinsum.plans.refresh import refresh
-    from kinsum.plans.upsert import VersionedTable
+    from kinsum.plans.store import Store
     from kinsum.session import CONF
     from kinsum.sources.testdata import TESTDATA_CONFIG as CFG
     from kinsum.sources.testdata import crm_sources
@@ -42,17 +42,15 @@ def main():
     cut = F.lit(dt.datetime(2001, 8, 1)).cast("timestamp_ntz")
     new = src1["contribution"].where(F.col("receive_date") >= cut)
     src0 = src1.replace(contribution=src1["contribution"].where(~(F.col("receive_date") >= cut)))
-    store = VersionedTable(spark, os.path.join(scratch, "wide"))
-    store.commit(refresh(src0, CFG, membership=True)[0])
+    store = Store(spark, os.path.join(scratch, "store"))
+    store.create(src0, CFG)
     spark.sparkContext.setJobGroup("full", "full refresh")
-    refresh(src1, CFG, membership=True)[0].write.format("noop").mode("overwrite").save()
+    refresh(src1, CFG, membership=True)[0].write.parquet(os.path.join(scratch, "wide"))
     spark.sparkContext.setJobGroup("incremental", "one-day batch")
-    inc.refresh_affected(store.current(), src1, CFG, "contribution", inc.inserts(new)).write.format("noop").mode(
-        "overwrite"
-    ).save()
+    store.apply({"contribution": inc.inserts(new)}, src1, CFG)
     spark.stop()
 
-    stage_group, written, read = {}, collections.Counter(), collections.Counter()
+    stage_group, written, read, out = {}, collections.Counter(), collections.Counter(), collections.Counter()
     logs = [p for p in glob.glob(os.path.join(scratch, "*")) if os.path.isfile(p)]
     logs += sorted(glob.glob(os.path.join(scratch, "eventlog*", "events*")))  # rolling log folders
     for path in logs:
@@ -66,7 +64,8 @@ def main():
                 m = e.get("Task Metrics") or {}
                 written[g] += m.get("Shuffle Write Metrics", {}).get("Shuffle Bytes Written", 0)
                 read[g] += m.get("Input Metrics", {}).get("Records Read", 0)
-    print(json.dumps({g: {"shuffle_bytes_written": written[g], "input_records_read": read[g]} for g in ("full", "incremental")}))
+                out[g] += m.get("Output Metrics", {}).get("Records Written", 0)
+    print(json.dumps({g: {"shuffle_bytes_written": written[g], "input_records_read": read[g], "records_written": out[g]} for g in ("full", "incremental")}))
 
 
 if __name__ == "__main__":

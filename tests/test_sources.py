@@ -54,7 +54,7 @@ def test_cli_refresh_and_stream(spark, tmp_path):
     from kinsum.__main__ import main
     from kinsum.plans.affected import apply_changes
     from kinsum.plans.refresh import public
-    from kinsum.plans.upsert import VersionedTable
+    from kinsum.plans.store import Store
     from kinsum.streaming import incremental as inc
 
     src = golden_sources(spark)
@@ -63,11 +63,11 @@ def test_cli_refresh_and_stream(spark, tmp_path):
         src[name].write.parquet(str(srcdir / f"{name}.parquet"))
     args = ["--sources", str(srcdir), "--store", str(tmp_path / "wide"), "--as-of", "2025-03-15",
             "--fiscal-start", "7-1", "--financial-types", "1,2", "--related-financial-types", "1",
-            "--relationship-types", "10", "--metrics", "hard_and_soft,relatedcontrib_alltime"]
+            "--relationship-types", "10", "--metrics", "hard_and_soft,relatedcontrib_alltime", "--buckets", "3"]
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
         assert main(["refresh", *args]) == 0
-    assert json.loads(out.getvalue())["version"] == 0
+    assert json.loads(out.getvalue())["computed"] == ["hard_and_soft", "relatedcontrib_alltime"]
     # a donation moves to contact 5: the base changes and the change row arrives
     ch = inc.updates(src["contribution"].where("id = 1"), {"contact_id": F.lit(5).cast("long")})
     after = apply_changes(src, "contribution", ch)["contribution"]
@@ -78,5 +78,10 @@ def test_cli_refresh_and_stream(spark, tmp_path):
     args2 = [a if a != str(srcdir) else str(tmp_path / "src2") for a in args]
     assert main(["stream", *args2, "--feed", f"contribution={tmp_path / 'feed'}", "--available-now",
                  "--checkpoint", str(tmp_path / "ckpt")]) == 0
-    got = {r["entity_id"]: float(r["relatedcontrib_alltime"] or 0) for r in public(VersionedTable(spark, str(tmp_path / "wide")).current()).collect()}
+    got = {r["entity_id"]: float(r["relatedcontrib_alltime"] or 0) for r in public(Store(spark, str(tmp_path / "wide"), 3).current()).collect()}
     assert got[2] == 400.0  # contact 1's 100 moved to 5: 2 now gets 2 x 200 (self-edge) only
+    args3 = [a if a != "2025-03-15" else "2026-01-01" for a in args2]
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        assert main(["advance", *args3, "--from", "2025-03-15"]) == 0
+    assert json.loads(out.getvalue()) == {"ok": True, "as_of": "2026-01-01", "skipped": {}}
