@@ -7,8 +7,10 @@ functions only.
 2. Candidates are the base spans' secrets and long letter-and-digit tokens (bare) that
    overlap no base span.
 3. Ownership: for the 128-bit hash of each candidate's value the distinct owners (sources)
-   and repositories (documents) are counted, pre-aggregated per owner.  A value of more
-   than MAX_OWNERS owners is a widely copied example; others look live.
+   and repositories (different texts of an owner; copies of a document are one) are
+   counted, pre-aggregated per owner.  A value of more than MAX_OWNERS owners or of more than
+   MAX_REPOSITORIES repositories is a widely copied example, so one that a single large owner
+   repeats in many texts is one too; others look live.
 4. Base spans stay; bare candidates are added as spans if they look live.
 
 A value that very many documents hold is one key of an aggregation and of a join with a
@@ -16,7 +18,7 @@ table that has one row a value and comes from files; adaptive execution splits i
 
 Positions count code points, the end is exclusive; letters are ASCII (the pattern is not
 case-sensitive where stated).  Null text counts as empty; a null source is an owner like
-others; rows that repeat id and text get the same result and count once.  An empty
+others; a null id is no other id; rows that repeat id and text get the same result and count once.  An empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -38,8 +40,7 @@ PATTERNS = {
     "bare": r"[A-Za-z0-9+_=-]{20,}",
 }
 ASSIGN_LEAST = 6
-MAX_OWNERS = 3
-FIRST_ID = -(1 << 63)
+MAX_OWNERS, MAX_REPOSITORIES = 3, 10
 
 FOUND = T.ArrayType(T.StructType([T.StructField("gap", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("value", T.StringType())]))
 
@@ -56,12 +57,17 @@ def matches(text: Column, kind: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), made).otherwise(F.array().cast(FOUND))
 
 
+def row_id(docs: DataFrame) -> Column:
+    """The id as a value that keeps null apart from every id."""
+    return F.struct(docs["doc_id"].isNotNull().alias("known"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("id"))
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """id, t, source, kind (its place in KINDS), s, e, value: base spans, and bare ones that
     overlap none."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select(
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST_ID)).alias("id"), F.xxhash64(text).alias("t"), docs["source"].cast("string").alias("source"), text.alias("text")
+        row_id(docs).alias("id"), F.xxhash64(text).alias("t"), docs["source"].cast("string").alias("source"), text.alias("text")
     )
     each = rows.select("id", "t", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), matches(F.col("text"), name).alias("m")) for k, name in enumerate(KINDS)])).alias("k"))
     found = cut(each.where(F.size("k.m") > 0).select("id", "t", "source", "k.kind", F.posexplode("k.m").alias("i", "m")).select("id", "t", "source", "kind", "i", "m.*").distinct(), "matches")
@@ -85,7 +91,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def ownership(found: DataFrame) -> DataFrame:
     """h1, h2 (hash of a value), owners, repositories."""
-    per_owner = found.groupBy("h1", "h2", "source", "id").agg(F.lit(1).alias("one")).groupBy("h1", "h2", "source").agg(F.count("*").alias("n"))
+    per_owner = found.groupBy("h1", "h2", "source", "t").agg(F.lit(1).alias("one")).groupBy("h1", "h2", "source").agg(F.count("*").alias("n"))
     return per_owner.groupBy("h1", "h2").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
@@ -94,7 +100,7 @@ def scan(docs: DataFrame) -> DataFrame:
     hashed = spans(docs).withColumns({"h1": F.xxhash64("value"), "h2": F.xxhash64(F.lit(1), "value")}).drop("value")
     found = cut(hashed, "spans")
     owned = cut(ownership(found), "owners")
-    out = found.join(owned, ["h1", "h2"]).withColumn("live", F.col("owners") <= MAX_OWNERS)
+    out = found.join(owned, ["h1", "h2"]).withColumn("live", (F.col("owners") <= MAX_OWNERS) & (F.col("repositories") <= MAX_REPOSITORIES))
     return out.where("kind < 3 or live").select("id", "t", "kind", "s", "e", "owners", "repositories", "live").distinct()
 
 
@@ -116,7 +122,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.transform(F.filter("all", lambda x: x["kind"] < 3), label), ","), 256).alias("base_sha256"),
     )
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST_ID)).alias("id"), F.xxhash64(text).alias("t"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_id(docs).alias("id"), F.xxhash64(text).alias("t"))
     out = rows.join(joined.hint("merge"), ["id", "t"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select(

@@ -22,11 +22,12 @@ def brute(rows):
         bare = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+_=-]{20,}", t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
         bare = [x for x in bare if not any(y[0] < x[2] and x[0] < y[2] for y in b)]
         found.append((d, src, b + bare))
-    owners = defaultdict(set)
-    for _, src, f in found:
+    owners, texts = defaultdict(set), defaultdict(set)
+    for (_, src, f), (_, t, _) in zip(found, rows, strict=True):
         for x in f:
             owners[x[3]].add(src)
-    live = lambda x: len(owners[x[3]]) <= sc.MAX_OWNERS
+            texts[x[3]].add((src, t or ""))
+    live = lambda x: len(owners[x[3]]) <= sc.MAX_OWNERS and len(texts[x[3]]) <= sc.MAX_REPOSITORIES
     out = []
     for d, _, f in found:
         f = sorted(x for x in f if x[1] < 3 or live(x))
@@ -65,6 +66,21 @@ def test_copied_example_and_live_values(make):
     assert out[100].spans == "bare:5:32" and out[101].n_live == 1
 
 
+def test_one_owner_with_a_third_of_the_rows(make):
+    """An example that one source repeats in many texts is no live value; a credential in a document
+    that is copied many times is."""
+    example, real, own = "Zx9" * 9, "Qw7" * 9, "Rt5" * 9
+    rows = [(k, f"text {k} shows {example} to all", "big") for k in range(100)]
+    rows += [(1000 + k, f"copied {real}", "big") for k in range(100)]
+    rows += [(2000 + k, f"text {k} of {own}", "big") for k in range(sc.MAX_REPOSITORIES)]
+    rows += [(3000 + k, f"words only {k}", f"src{k % 9}") for k in range(400)]
+    rows += [(None, f"copied {real}", "big"), (-(1 << 63), "token=lowestid9", "big"), (None, "token=nullid999 x", "big")]
+    out = sc.secret_scan(make(rows))
+    assert got(out) == brute(rows)
+    spans = {r.doc_id: r.spans for r in out.collect()}
+    assert spans[5] == "" and spans[1005] == "bare:7:34" and spans[2003] and spans[-(1 << 63)] == "assign:0:15"
+
+
 def test_repeated_rows_empty_and_native(make, spark):
     t = "token=abcdef99 " * 2
     out = sc.secret_scan(make([(1, t), (1, t), (1, "other")])).collect()
