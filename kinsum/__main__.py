@@ -87,7 +87,8 @@ def main(argv=None) -> int:
 
     if a.cmd == "refresh":
         report = store.create(load(), cfg)
-        print(json.dumps({"ok": report.ok, "as_of": report.as_of, "computed": report.computed, "skipped": report.skipped}))
+        print(json.dumps({"ok": report.ok, "as_of": report.as_of, "rows": report.rows, "filled": report.filled,
+                          "computed": report.computed, "skipped": report.skipped}))
         return 0 if report.ok else 1
     if a.cmd == "advance":
         skipped = store.advance(load(), cfg.with_(as_of=a.from_date), cfg)

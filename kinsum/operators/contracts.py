@@ -13,6 +13,10 @@ into DDL, applied instead as checks on DataFrames.
 
 Counts come from one aggregation pass per table (``count_if`` per column),
 unpivoted with ``stack`` into ``(column_name, violations)`` rows.
+
+:func:`write_checked` applies all five in the pass that writes a table: every row is written
+once, conformed and with defaults, the failing ones to a quarantine partition with
+their original values, and the report's counts are observed on the written rows.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import datetime as dt
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -91,6 +95,10 @@ def conform(df: DataFrame, contract: TableContract) -> tuple[DataFrame, DataFram
 
 def apply_defaults(df: DataFrame, contract: TableContract, now: dt.datetime | None = None) -> DataFrame:
     """K2: NULL -> declared default; booleans default to FALSE."""
+    return df.select(_defaulted(df, contract, now))
+
+
+def _defaulted(df: DataFrame, contract: TableContract, now: dt.datetime | None = None) -> list[Column]:
     out = []
     for f in df.columns:
         spec = next((c for c in contract.columns if c.name == f), None)
@@ -108,7 +116,7 @@ def apply_defaults(df: DataFrame, contract: TableContract, now: dt.datetime | No
             out.append(F.coalesce(F.col(f), F.lit(now).cast("timestamp_ntz")).alias(f))
         else:
             out.append(F.coalesce(F.col(f), F.lit(d).cast(df.schema[f].dataType)).alias(f))
-    return df.select(out)
+    return out
 
 
 def _count_flags(flags: DataFrame, names: list[str]) -> DataFrame:
@@ -140,3 +148,80 @@ def fk_violations(child: DataFrame, col: str, parent: DataFrame, parent_col: str
     counts = child.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n_rows"))
     p = parent.select(F.col(parent_col).alias("_pk"))
     return counts.join(p, F.col(col) == F.col("_pk"), "left_anti")
+
+
+# ---------------------------------------------------------------- checks in the pass that writes
+
+
+@dataclass
+class WriteReport:
+    rows: int
+    quarantined: int
+    violations: dict[str, int]  # check -> rows that fail it
+
+
+def judged(df: DataFrame, contract: TableContract, parents: dict[str, DataFrame] | None = None, now: dt.datetime | None = None) -> tuple[DataFrame, list[str]]:
+    """The rows conformed (K1) and with defaults (K2), ``_errors`` (names of the checks that
+    the row fails, in order) and ``_row`` (the original values of a failing row as JSON);
+    and the names of all checks: ``type:c``, ``null:c``, ``unique:c,d``, ``foreign:c``.
+
+    Every row of a duplicated key fails; a parent that is not given is not checked.  Keys are
+    counted and matched once each before they meet the rows, so a frequent one has one partner."""
+    cols = [c for c in contract.columns if c.name in df.columns]
+    names, flags = [], {}
+
+    def check(name: str, failed: Column) -> None:
+        names.append(name)
+        flags[name] = F.coalesce(failed, F.lit(False))
+
+    rows = df
+    for i, keys in enumerate([k for k in (contract.primary_key, *contract.unique) if k]):
+        twice = unique_violations(df, keys).select(*[F.col(k).alias(f"_u{i}_{k}") for k in keys], F.lit(True).alias(f"_u{i}"))
+        on = None
+        for k in keys:
+            c = df[k] == twice[f"_u{i}_{k}"]
+            on = c if on is None else on & c
+        rows = rows.join(twice, on, "left")
+    for i, (col, parent, parent_col) in enumerate(contract.foreign_keys):
+        if parent in (parents or {}):
+            lost = fk_violations(df, col, parents[parent], parent_col).select(F.col(col).alias(f"_f{i}_key"), F.lit(True).alias(f"_f{i}"))
+            rows = rows.join(lost, df[col] == lost[f"_f{i}_key"], "left")
+    for c in cols:
+        check(f"type:{c.name}", df[c.name].isNotNull() & _cast(c.name, c.sql_type).isNull())
+    value = {c: e for c, e in zip(df.columns, _defaulted(df, contract, now), strict=True)}
+    for c in cols:
+        if c.required:
+            check(f"null:{c.name}", df[c.name].isNull() & value[c.name].isNull())
+    for i, keys in enumerate([k for k in (contract.primary_key, *contract.unique) if k]):
+        check(f"unique:{','.join(keys)}", F.col(f"_u{i}"))
+    for i, (col, parent, _) in enumerate(contract.foreign_keys):
+        if parent in (parents or {}):
+            check(f"foreign:{col}", F.col(f"_f{i}"))
+    errors = F.array_compact(F.array(*[F.when(flags[n], F.lit(n)) for n in names]))
+    done = [(F.coalesce(_cast(c.name, c.sql_type), value[c.name].cast(spark_type(c.sql_type)[0]))).alias(c.name) for c in cols]
+    # a value that does not conform is not replaced by a default
+    done = [F.when(flags[f"type:{c.name}"], F.lit(None)).otherwise(d).alias(c.name) for c, d in zip(cols, done, strict=True)]
+    raw = F.to_json(F.struct(*[df[c] for c in df.columns]))
+    out = rows.select(*done, errors.alias("_errors"), F.when(F.size(errors) > 0, raw).alias("_row"))
+    return out, names
+
+
+def write_checked(df: DataFrame, contract: TableContract, path: str, parents: dict[str, DataFrame] | None = None, now: dt.datetime | None = None) -> WriteReport:
+    """Write ``df`` under ``path``: sound rows to ``_quarantined=false``, others, with ``_errors``
+    and ``_row``, to ``_quarantined=true``.  The counts come from the job that writes."""
+    rows, names = judged(df, contract, parents, now)
+    seen = Observation(f"contract-{contract.name}")
+    bad = F.size("_errors") > 0
+    counts = [F.count_if(F.array_contains("_errors", n)).alias(n) for n in names]
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("quarantined"), *counts)
+    rows.withColumn("_quarantined", bad).write.mode("overwrite").partitionBy("_quarantined").parquet(path)
+    got = seen.get
+    return WriteReport(got["rows"], got["quarantined"], {n: got[n] for n in names})
+
+
+def sound_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where("not cast(_quarantined as boolean)").drop("_errors", "_row", "_quarantined")
+
+
+def quarantined_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where("cast(_quarantined as boolean)").drop("_quarantined")

@@ -14,7 +14,8 @@ Population: contacts with at least one *sent* row of the metric.
 
 Plan: the event tables are tagged and unioned, pre-aggregated per queue id
 (the join key, so the shuffle is shared with the queue join), joined to the
-queue once, and counted per contact once for all three metrics.
+queue once, and counted per contact once for all three metrics.  The jobs (one row a
+mailing) are counted and broadcast to the queue.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from kinsum.config import RollupConfig
 from kinsum.functions import periods
 from kinsum.functions.aggregates import restrict
-from kinsum.functions.joins import small_side
+from kinsum.functions.joins import hot_split_join, small_side, small_side_checked
 from kinsum.functions.rates import rate
 from kinsum.sources.crm import Sources
 
@@ -87,7 +88,13 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
         jobs = jobs.join(u, "mailing_id", "left")
         jflags.append("n_links")
     if jflags:
-        q = q.join(jobs.select("job_id", *jflags), "job_id", "left")
+        # one bulk mailing is one job of very many queue rows: the queue is never shuffled by job.  The
+        # jobs are counted and broadcast; too many of them meet a queue whose frequent jobs are dealt out
+        jobs, small = small_side_checked(jobs.select("job_id", *jflags))
+        if small:
+            q = q.join(jobs, "job_id", "left")
+        else:
+            q = hot_split_join(q, jobs.withColumnRenamed("job_id", "_job"), "job_id", "_job", "left").drop("_job")
     j = ev.join(q, ev["qid"] == q["id"], "inner")
 
     n = {t: F.col(f"n_{t}") for t in tags}

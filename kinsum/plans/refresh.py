@@ -33,6 +33,9 @@ class RefreshReport:
     skipped: dict[str, str] = field(default_factory=dict)
     as_of: str = ""
     ok: bool = True
+    # of the written table: its rows, and how many have a value of each metric
+    rows: int | None = None
+    filled: dict[str, int] = field(default_factory=dict)
 
 
 def metric(

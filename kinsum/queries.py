@@ -232,6 +232,16 @@ def q_contract_types(spark, sf_dir):
     return fails
 
 
+def q_contract_quarantine(spark, sf_dir):
+    """K1-K5 in the pass that writes lineitem: the rows it puts in quarantine, with what they fail."""
+    configure(spark)
+    li = _lineitem_with_gaps(spark, sf_dir)
+    parents = {t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")) for t in ("customer", "orders")}
+    path = f"{checkpoint_dir(spark).rstrip('/')}/kinsum-contract-{uuid.uuid4().hex}"
+    K.write_checked(li, LINEITEM_CONTRACT, path, parents)
+    return K.quarantined_rows(spark, path).select("l_orderkey", "l_linenumber", "l_returnflag", F.array_join("_errors", ";").alias("errors"))
+
+
 def q_population_all(spark, sf_dir):
     """POP1: one metric over the union of every metric's population."""
     from kinsum.plans.refresh import metric
@@ -441,4 +451,5 @@ QUERIES = {
     "contract_unique": q_contract_unique,
     "contract_fk": q_contract_fk,
     "contract_types": q_contract_types,
+    "contract_quarantine": q_contract_quarantine,
 }

@@ -422,4 +422,14 @@ def extra_oracles() -> dict[str, str]:
         f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NOT NULL AND {cond}) AS violations FROM lineitem"
         for c, cond in failing.items()
     )
+    checks = [f"CASE WHEN {c} IS NOT NULL AND {cond} THEN 'type:{c}' END" for c, cond in failing.items()]
+    checks += [f"CASE WHEN {c} IS NULL THEN 'null:{c}' END" for c in ("l_orderkey", "l_linenumber", "l_extendedprice")]
+    checks += [
+        "CASE WHEN l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL AND count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 THEN 'unique:l_orderkey,l_linenumber' END",
+        "CASE WHEN l_partkey IS NOT NULL AND l_partkey NOT IN (SELECT c_custkey FROM customer) THEN 'foreign:l_partkey' END",
+        "CASE WHEN l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders) THEN 'foreign:l_orderkey' END",
+    ]
+    out["contract_quarantine"] = f"""
+        WITH g AS ({gaps}), j AS (SELECT *, concat_ws(';', {', '.join(checks)}) AS errors FROM g)
+        SELECT l_orderkey, l_linenumber, coalesce(l_returnflag, 'N') AS l_returnflag, errors FROM j WHERE errors <> ''"""
     return out

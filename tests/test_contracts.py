@@ -51,3 +51,28 @@ def test_fk(spark):
     child = spark.createDataFrame([(1,), (2,), (2,), (None,), (9,)], "p int")
     parent = spark.createDataFrame([(1,), (9,)], "id int")
     assert [tuple(r) for r in K.fk_violations(child, "p", parent, "id").collect()] == [(2, 2)]
+
+
+def test_checks_in_the_pass_that_writes(spark, tmp_path):
+    contract = K.TableContract(
+        "t",
+        (K.ColumnSpec("id", "int", required=True), K.ColumnSpec("code", "char(2)", required=True, default="zz"), K.ColumnSpec("n", "decimal(3,1)"),
+         K.ColumnSpec("on", "boolean"), K.ColumnSpec("p", "bigint")),
+        primary_key=("id",), unique=(("code", "n"),), foreign_keys=(("p", "parent", "k"), ("p", "absent", "k")),
+    )
+    rows = [("1", "ab", "1.0", None, 7), ("2", None, "2.0", True, None), ("2", "cd", "99999", None, 8), (None, "toolong", None, None, 7), ("x", "ab", "1.0", False, 9), ("5", "ef", None, None, 9)]
+    df = spark.createDataFrame(rows, "id string, code string, n string, on boolean, p long")
+    report = K.write_checked(df, contract, str(tmp_path / "t"), {"parent": spark.createDataFrame([(7,), (9,), (None,)], "k long")})
+    bad = {(r["id"], r["code"], r["p"]): r["_errors"] for r in K.quarantined_rows(spark, str(tmp_path / "t")).collect()}
+    assert bad == {
+        (1, "ab", 7): ["unique:code,n"],
+        (2, "zz", None): ["unique:id"],
+        (2, "cd", 8): ["type:n", "unique:id", "foreign:p"],
+        (None, None, 7): ["type:code", "null:id"],
+        (None, "ab", 9): ["type:id", "unique:code,n"],
+    }
+    assert [tuple(r) for r in K.sound_rows(spark, str(tmp_path / "t")).collect()] == [(5, "ef", None, False, 9)]
+    assert (report.rows, report.quarantined) == (6, 5)
+    assert report.violations == {"type:id": 1, "type:code": 1, "type:n": 1, "type:on": 0, "type:p": 0, "null:id": 1, "null:code": 0, "unique:id": 2, "unique:code,n": 2, "foreign:p": 1}
+    raw = [r["_row"] for r in K.quarantined_rows(spark, str(tmp_path / "t")).collect() if r["p"] == 8]
+    assert raw == ['{"id":"2","code":"cd","n":"99999","p":8}']

@@ -73,9 +73,29 @@ def test_related_edges_are_read_once_and_donors_summed_once(spark):
     assert len([s for s in scans if "orders.parquet" in s]) == 3
 
 
+@pytest.mark.parametrize("name", ["mail_openrate_last12months", "mail_clickrate_alltime", "mail_clickrate_distinct_links"])
+def test_the_mail_queue_is_never_shuffled_by_job(spark, monkeypatch, name):
+    """Without any broadcast by size the counted jobs are broadcast; too many of them are salted, with
+    the same result."""
+    from kinsum.functions import joins
+
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    want = sorted(map(tuple, E.queries()[name](spark, SF).collect()))
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        exchanges = [x for x in _plan(E.queries()[name](spark, SF)).splitlines() if "Arguments: hashpartitioning" in x]
+        assert exchanges and not any("hashpartitioning(job_id" in x for x in exchanges)
+        monkeypatch.setattr(joins.small_side_checked, "__defaults__", (0,))
+        assert sorted(map(tuple, E.queries()[name](spark, SF).collect())) == want
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert df.count() > 0 and df.columns[0] == "entity_id" and len(df.columns) == 28
+    assert df.count() > 0 and df.columns[0] == "entity_id" and len(df.columns) == 32
 
 
 def test_restricted_refresh_has_no_nested_loop(spark):
