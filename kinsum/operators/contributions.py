@@ -3,8 +3,9 @@
 is nobody: it is in no population, here and in the other families.
 
 Plan: one conditional aggregation keyed on ``contact_id``.  The C5 credit
-rows (see :func:`_hard_and_soft_rows`) are unioned with the plain
-contribution rows so one aggregate serves every key.  It shuffles once by
+rows (see :func:`_credit_rows`) are unioned with the plain
+contribution rows so one aggregate serves every key; in a fused refresh it
+serves the soft-credit family too (:func:`fused`).  It shuffles once by
 contact; when the distinct-year count (C4) is requested Spark first merges
 partial results by (contact, year), a second shuffle of already-combined
 rows.  That is preferred to ``size(collect_set(year))``, whose object-hash
@@ -20,6 +21,7 @@ from kinsum.config import RollupConfig
 from kinsum.functions import periods
 from kinsum.functions.aggregates import MONEY, restrict, sum_if, sum_or_zero
 from kinsum.functions.joins import small_side
+from kinsum.operators import soft
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
 
@@ -42,12 +44,16 @@ def completed_in_list(src: Sources, cfg: RollupConfig, ids, flag: str = "_ok", c
     return c.withColumn(flag, (F.col("contribution_status_id") == 1) & F.col("_type_ok")).drop("_type_ok")
 
 
-def rollup(src: Sources, cfg: RollupConfig, keys, related_windows=(), contacts=None) -> DataFrame:
+def rollup(src: Sources, cfg: RollupConfig, keys, related_windows=(), contacts=None, soft_keys=()) -> DataFrame:
     """One aggregation over contribution (plus the C5 fan-out rows) grouped by
     contact: ``contact_id``, the requested C keys and, for the related family,
     ``w_<window>`` = Σ completed donations of a listed *related* financial type
     in the window (NULL when none).  Every contact in ``contribution`` gets a
-    row (the batch population of both families)."""
+    row (the batch population of both families).
+
+    With ``soft_keys`` (S keys) also every contact with a soft credit: each family's
+    keys are NULL outside its population, which ``_in_contributions`` and ``_in_soft``
+    (true or NULL) tell."""
     c = completed_in_list(src, cfg, cfg.financial_type_ids)
     if related_windows:
         c = completed_in_list(src, cfg, cfg.related_financial_type_ids, "_rok", c)
@@ -65,9 +71,10 @@ def rollup(src: Sources, cfg: RollupConfig, keys, related_windows=(), contacts=N
         ).cast("decimal(38,2)").alias("_hs"),
     )
     parts = [own]
-    if "hard_and_soft" in keys:
-        parts.append(_hard_and_soft_rows(src, c, contacts))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    soft_windows = {k: w for k, w in soft.windows(cfg).items() if k in soft_keys}
+    if "hard_and_soft" in keys or soft_windows:
+        parts.append(_credit_rows(src, c, contacts, soft_windows))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     rows = restrict(rows, "contact_id", contacts).where("contact_id is not null")
 
     ok = F.col("_own") & F.col("_ok")
@@ -85,8 +92,29 @@ def rollup(src: Sources, cfg: RollupConfig, keys, related_windows=(), contacts=N
     rok = F.col("_own") & F.col("_rok")
     for w in related_windows:
         aggs.append(sum_if(rok & periods.named(cfg, w).contains("receive_date"), F.col("total_amount")).alias(f"w_{w}"))
-    out = rows.groupBy("contact_id").agg(F.max(F.col("_own").cast("int")).alias("_in_pop"), *aggs)
-    return out.where(F.col("_in_pop") == 1).drop("_in_pop")
+    for k in soft_windows:
+        aggs.append(F.coalesce(F.sum(f"_{k}"), F.lit(0)).cast(soft.TOTAL).alias(k))
+    if soft_windows:
+        aggs.append(F.max(F.when(F.col("_soft"), True)).alias("_in_soft"))
+    out = rows.groupBy("contact_id").agg(F.max(F.when(F.col("_own"), True)).alias("_in_contributions"), *aggs)
+    if not soft_windows:
+        return out.where("_in_contributions").drop("_in_contributions")
+    outside = {k: F.when(F.col("_in_contributions"), F.col(k)) for k in keys}
+    outside |= {k: F.when(F.col("_in_soft"), F.col(k)) for k in soft_windows}
+    return out.withColumns(outside).where("_in_contributions or _in_soft")
+
+
+def fused(src: Sources, cfg: RollupConfig, keys, soft_keys) -> DataFrame:
+    """C, R, P and S keys of a whole refresh from two reads of contribution: one for the rows
+    by contact, one for the donations that soft credits point at.  ``entity_id``, the keys
+    and the population flags ``_in_contributions`` and ``_in_soft``."""
+    from kinsum.operators import related
+
+    ckeys = [k for k in keys if k in KEYS]
+    rkeys = [k for k in keys if k in related.KEYS]
+    if rkeys:
+        return related.build(src, cfg, rkeys, extra_keys=ckeys, soft_keys=list(soft_keys), one_pass=True)
+    return rollup(src, cfg, ckeys, soft_keys=list(soft_keys)).withColumnRenamed("contact_id", "entity_id")
 
 
 def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFrame:
@@ -101,8 +129,8 @@ def build(src: Sources, cfg: RollupConfig, keys=None, contacts=None) -> DataFram
     return rollup(src, cfg, ckeys, (), contacts).select(F.col("contact_id").alias("entity_id"), *ckeys)
 
 
-def _hard_and_soft_rows(src: Sources, c: DataFrame, contacts: DataFrame | None = None) -> DataFrame:
-    """C5 credits beyond the donor's plain total.
+def _credit_rows(src: Sources, c: DataFrame, contacts: DataFrame | None = None, soft_windows: dict | None = None) -> DataFrame:
+    """C5 credits beyond the donor's plain total, and the soft totals.
 
     C5 sums total_amount over rows of ``contribution ⟕ soft`` (fan-out kept)
     where the contact is the donor or the soft-credited contact; a row where
@@ -110,47 +138,48 @@ def _hard_and_soft_rows(src: Sources, c: DataFrame, contacts: DataFrame | None =
     its soft rows for contact k:
 
     * the donor is credited total x max(n, 1) = total (carried by the plain
-      contribution rows, no join) + total x (n - 1) when n >= 2;
+      contribution rows, no join) + total x (n - 1) when n >= 1;
     * each soft contact k other than the donor is credited total x m.
 
-    Both extra credits come from one inner join of the soft rows, counted per
-    (donation, contact), with the completed donations on the donation id.  The
-    join only needs donations that have soft credits (a selective side for
-    Spark's runtime bloom filter), no donation's fan-out is materialised, and
-    the per-donation count reuses the join's partitioning on the id."""
-    ok = c.where("_ok").select("id", "contact_id", "total_amount")
-    soft = src["contribution_soft"]
+    Each soft row is tagged twice, for its contact and for the whole donation, and counted
+    per (donation, contact) before the one join with the completed donations on the
+    donation id: the donations are read once for both credits and for the soft totals
+    (``soft_windows``: key -> window), and no donation's fan-out is materialised.
+    Without soft totals the join only needs donations that have soft credits (a
+    selective side for Spark's runtime bloom filter)."""
+    soft_windows = soft_windows or {}
+    ok = c.where("_ok").select("id", "contact_id", "total_amount", "receive_date")
+    soft_rows = src["contribution_soft"]
     if contacts is not None:
         # incremental: the donations of the contacts and the donations that
         # soft-credit them - all their soft rows (for n), and only them
         ids = (
             restrict(ok, "contact_id", contacts).select(F.col("id").alias("_k"))
-            .unionAll(restrict(soft, "contact_id", contacts).select(F.col("contribution_id").alias("_k")))
+            .unionAll(restrict(soft_rows, "contact_id", contacts).select(F.col("contribution_id").alias("_k")))
             .distinct()
         )
         ids = small_side(ids)
-        soft = soft.join(ids, soft["contribution_id"] == ids["_k"], "left_semi")
+        soft_rows = soft_rows.join(ids, soft_rows["contribution_id"] == ids["_k"], "left_semi")
         ok = ok.join(ids, ok["id"] == ids["_k"], "left_semi")
-    pairs = soft.groupBy(
-        F.col("contribution_id").alias("_cid"), F.col("contact_id").alias("_sc")
-    ).agg(F.count(F.lit(1)).alias("_m"))
-    credited = pairs.join(ok, pairs["_cid"] == ok["id"], "inner")
+    amount = F.col("amount") if soft_windows else F.lit(None)
+    each = F.struct(F.col("contact_id").alias("_sc"), F.lit(False).alias("_all"), amount.cast(MONEY).alias("_amount"))
+    whole = F.struct(F.lit(None).cast("long").alias("_sc"), F.lit(True).alias("_all"), F.lit(None).cast(MONEY).alias("_amount"))
+    tagged = soft_rows.withColumn("_tags", F.array(each, whole)).select(F.col("contribution_id").alias("_cid"), F.inline("_tags"))
+    counted = tagged.groupBy("_cid", "_sc", "_all").agg(F.count(F.lit(1)).alias("_m"), F.sum("_amount").alias("_amount"))
+    credited = counted.join(ok, counted["_cid"] == ok["id"], "left" if soft_windows else "inner")
     # a donation without donor credits all its soft contacts
-    soft_rows = credited.where(~F.col("_sc").eqNullSafe(F.col("contact_id"))).select(
-        F.col("_sc").alias("contact_id"), (F.col("total_amount") * F.col("_m")).alias("_hs")
+    credit = F.when(F.col("_all"), F.col("total_amount") * (F.col("_m") - 1)).when(
+        ~F.col("_sc").eqNullSafe(F.col("contact_id")), F.col("total_amount") * F.col("_m")
     )
-    extra = (
-        credited.groupBy("_cid", "contact_id", "total_amount")
-        .agg(F.sum("_m").alias("_n"))
-        .where(F.col("_n") >= 2)
-        .select("contact_id", (F.col("total_amount") * (F.col("_n") - 1)).alias("_hs"))
-    )
-    return soft_rows.unionAll(extra).select(
-        F.col("contact_id"),
+    sums = [F.when(~F.col("_all") & w.contains("receive_date"), F.col("_amount")).alias(f"_{k}") for k, w in soft_windows.items()]
+    return credited.select(
+        F.when(F.col("_all"), F.col("contact_id")).otherwise(F.col("_sc")).alias("contact_id"),
         F.lit(False).alias("_own"),
         F.lit(False).alias("_ok"),
         F.lit(False).alias("_rok"),
         F.lit(None).cast(MONEY).alias("total_amount"),
         F.lit(None).cast("timestamp_ntz").alias("receive_date"),
-        F.col("_hs").cast("decimal(38,2)").alias("_hs"),
+        credit.cast("decimal(38,2)").alias("_hs"),
+        (~F.col("_all")).alias("_soft"),
+        *sums,
     )

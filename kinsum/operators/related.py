@@ -37,6 +37,7 @@ from kinsum.config import RollupConfig
 from kinsum.functions import periods
 from kinsum.functions.aggregates import restrict, sum_if
 from kinsum.functions.joins import hot_split_join, small_side
+from kinsum.session import written
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
 
@@ -120,11 +121,15 @@ def related_totals(
 
 
 def build(
-    src: Sources, cfg: RollupConfig, keys=None, contacts: DataFrame | None = None, extra_keys=()
+    src: Sources, cfg: RollupConfig, keys=None, contacts: DataFrame | None = None, extra_keys=(), soft_keys=(), one_pass=False
 ) -> DataFrame:
     """R/P keys (plus any contribution-family ``extra_keys``, computed by the
     same aggregation).  With ``contacts``, only their rows: edges are cut to
-    those contacts first and only their neighbours' donations are summed."""
+    those contacts first and only their neighbours' donations are summed.
+
+    With ``one_pass`` (a whole refresh) the shared rollup, one row per contact, is written and
+    read back as the donor totals and as the population, so the donations are not read for
+    the donors; the result has the ``soft_keys`` and the population flags."""
     from kinsum.operators import contributions
 
     keys = list(keys or KEYS)
@@ -137,7 +142,14 @@ def build(
     # donor totals for the edge join come from their own aggregation over the
     # completed, listed donations only (those filters reach the scan); the
     # population and the "own" part come from the shared contribution rollup
-    donors = donor_totals(src, cfg, windows, needed)
+    plus_me = any(k in PLUSME_KEYS for k in keys)
+    base = contributions.rollup(src, cfg, list(extra_keys), windows if plus_me or one_pass else (), contacts, soft_keys)
+    if one_pass:
+        base = written(base, "rollup")
+        totals = [f"w_{w}" for w in windows]
+        donors = base.where(F.coalesce(*totals).isNotNull()).select(F.col("contact_id").alias("donor"), *totals)
+    else:
+        donors = donor_totals(src, cfg, windows, needed)
     # restricted to given contacts (an incremental batch), a partner's edge
     # rows number at most the batch's contacts times their parallel edges, so
     # the plain join is safe there and saves the hot-key pass
@@ -148,15 +160,19 @@ def build(
     else:
         rel = related_totals(src, cfg, windows, donors, sym, hot_split)
     rel_p = rel
-    if cfg.dedupe_donors and any(k in PLUSME_KEYS for k in keys):
+    if cfg.dedupe_donors and plus_me:
         # Q2 DISTINCT form for the plus-me metrics: one row per (contact, donor)
         rel_p = related_totals(src, cfg, windows, donors, sym.distinct(), hot_split)
         rel_p = rel_p.select("entity_id", *[F.col(f"r_{w}").alias(f"rp_{w}") for w in windows])
-    base = contributions.rollup(src, cfg, list(extra_keys), windows if any(k in PLUSME_KEYS for k in keys) else (), contacts)
     out = base.join(rel, base["contact_id"] == rel["entity_id"], "full" if by_edge else "left")
     if by_edge:
         out = out.withColumn("contact_id", F.coalesce("contact_id", "entity_id"))
-    out = out.drop("entity_id")
+    inside = F.lit(True)
+    if soft_keys:
+        inside = F.col("_in_contributions")
+        if by_edge:
+            inside = F.when(inside | F.col("entity_id").isNotNull(), True)
+    out = out.withColumn("_in_contributions", inside).drop("entity_id")
     if rel_p is not rel:
         out = out.join(rel_p, out["contact_id"] == rel_p["entity_id"], "left").drop("entity_id")
     cols = []
@@ -174,8 +190,9 @@ def build(
             v = r
         if cfg.related_empty == "zero":
             v = F.coalesce(v, F.lit(0))
-        cols.append(v.cast(TOTAL).alias(k))
-    return out.select(F.col("contact_id").alias("entity_id"), *list(extra_keys), *cols)
+        cols.append((F.when(F.col("_in_contributions"), v) if soft_keys else v).cast(TOTAL).alias(k))
+    flags = ["_in_contributions", *(["_in_soft"] if soft_keys else [])] if one_pass else []
+    return out.select(F.col("contact_id").alias("entity_id"), *list(extra_keys), *cols, *soft_keys, *flags)
 
 
 def neighbours(src: Sources, cfg: RollupConfig) -> DataFrame:

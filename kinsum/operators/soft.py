@@ -20,6 +20,8 @@ from kinsum.functions.joins import small_side
 from kinsum.sources.crm import Sources
 from kinsum.sources.lookups import IdFilter
 
+# type of the totals, here and in the fused refresh
+TOTAL = "decimal(30,2)"
 KEYS = ["soft_total_this_calendar_year", "soft_total_last_calendar_year", "soft_total_last_fiscal_year", "soft_total_this_year"]
 
 

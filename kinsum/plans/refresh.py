@@ -1,8 +1,9 @@
 """Fused batch refresh (SNK2, X5): every active metric in one wide table.
 
 Each family is computed once for all of its active keys (a single
-conditional aggregation per source table; the contribution and related
-families share theirs).  Every family output is one row per contact and is
+conditional aggregation per source table; the contribution, related and soft
+families share theirs, and the donations are read twice: by contact, and by the
+soft credits' donation id).  Every family output is one row per contact and is
 already hash-partitioned on the contact by its own aggregation.  The
 assembly is ``UNION ALL`` of the family outputs + ``groupBy(entity_id)`` with
 ``max`` per column: with ``spark.sql.unionOutputPartitioning`` (on by default
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsum.config import RollupConfig
+from kinsum.operators import contributions, related, soft
 from kinsum.plans.registry import Registry, default_registry
 from kinsum.sources.crm import Sources
 
@@ -67,6 +69,15 @@ def flag(family: str) -> str:
     return f"_in_{family}"
 
 
+def _fusible(registry: Registry, families: dict) -> bool:
+    """Several readers of the donations, with the library's own families."""
+    if registry.families.get("contributions") is not contributions.build or registry.families.get("soft") is not soft.build:
+        return False
+    keys = families.get("contributions", [])
+    readers = [any(k in related.KEYS for k in keys), "hard_and_soft" in keys, "soft" in families]
+    return bool(keys) and (readers[0] or (readers[1] and readers[2]))
+
+
 def family_frames(
     src: Sources,
     cfg: RollupConfig,
@@ -88,7 +99,21 @@ def family_frames(
         return f
 
     frames = []
-    for fam, fkeys in registry.by_family(keys).items():
+    families = registry.by_family(keys)
+    if contacts is None and _fusible(registry, families):
+        try:
+            skeys = families.get("soft", [])
+            f = contributions.fused(src, cfg, families["contributions"], skeys)
+            kept = [flag(fam) for fam in ("contributions", "soft") if fam in families] if membership else []
+            if not skeys and flag("contributions") not in f.columns:
+                f = f.withColumn(flag("contributions"), F.lit(True))
+            frames.append(f.select("entity_id", *families.pop("contributions"), *skeys, *kept))
+            families.pop("soft", None)
+        except Exception as e:  # noqa: BLE001 - the families are tried one by one, which tells the metric
+            if skipped is None:
+                raise
+            log.warning("families are computed one by one: %s", e)
+    for fam, fkeys in families.items():
         build = registry.families[fam]
         try:
             f = built(build, fkeys)
