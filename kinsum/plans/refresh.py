@@ -75,7 +75,8 @@ def _fusible(registry: Registry, families: dict) -> bool:
         return False
     keys = families.get("contributions", [])
     readers = [any(k in related.KEYS for k in keys), "hard_and_soft" in keys, "soft" in families]
-    return bool(keys) and (readers[0] or (readers[1] and readers[2]))
+    known = all(k in contributions.KEYS or k in related.KEYS for k in keys) and all(k in soft.KEYS for k in families.get("soft", []))
+    return known and (readers[0] or (readers[1] and readers[2]))
 
 
 def family_frames(
@@ -102,13 +103,11 @@ def family_frames(
     families = registry.by_family(keys)
     if contacts is None and _fusible(registry, families):
         try:
-            skeys = families.get("soft", [])
-            f = contributions.fused(src, cfg, families["contributions"], skeys)
+            ckeys, skeys = families["contributions"], families.get("soft", [])
+            f = contributions.fused(src, cfg, ckeys, skeys)
             kept = [flag(fam) for fam in ("contributions", "soft") if fam in families] if membership else []
-            if not skeys and flag("contributions") not in f.columns:
-                f = f.withColumn(flag("contributions"), F.lit(True))
-            frames.append(f.select("entity_id", *families.pop("contributions"), *skeys, *kept))
-            families.pop("soft", None)
+            frames.append(f.select("entity_id", *ckeys, *skeys, *kept))
+            families = {fam: ks for fam, ks in families.items() if fam not in ("contributions", "soft")}
         except Exception as e:  # noqa: BLE001 - the families are tried one by one, which tells the metric
             if skipped is None:
                 raise
