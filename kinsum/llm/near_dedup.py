@@ -47,6 +47,8 @@ BANDS, ROWS = 32, 5
 M = BANDS * ROWS
 B, RATE, Q = 1.001, 20.0, 65_534
 SMALL, BLOCK = 16, 500
+#: Up to so many ids (16 MB of bitmap) texts are picked by a bitmap of BITS_AN_ID bits an id.
+FILTERED, BITS_AN_ID = 8_000_000, 16
 #: Below the threshold by five standard deviations of a register count at 0.8.
 SLACK = 0.16
 
@@ -146,19 +148,27 @@ def screened(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id, shingles (sorted uint64) of the documents in ``ids``; a bitmap of
-    fixed size lets some others through, which the caller's joins drop."""
-    wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids, F.xxhash64("doc_id"), 23))
+    """doc_id, shingles (sorted uint64) of the documents in ``ids``, written once for all that
+    read it.  Up to FILTERED ids a bitmap sized by their number picks the texts where they are
+    read and lets some others through, which the caller's joins drop; more ids are joined."""
+    ids = cut(ids.distinct(), "wanted")
+    n = ids.count()
+    rows = texts(docs.where(docs["doc_id"].isNotNull()), binary=True)
+    wanted = None
+    if n > FILTERED:
+        rows = rows.join(ids, "doc_id", "left_semi")
+    else:
+        bits = max(16, (n * BITS_AN_ID).bit_length())
+        wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids, F.xxhash64("doc_id"), bits))
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            at = np.flatnonzero(wanted.value.may_hold(b.column(2).to_numpy()))
+            at = np.arange(b.num_rows) if wanted is None else np.flatnonzero(wanted.value.may_hold(b.column(2).to_numpy()))
             for i in range(0, len(at), 200):
                 some = b.take(pa.array(at[i : i + 200]))
                 yield batch(SETS, doc_id=some.column(0), shingles=[shingles(HASHES.of(t), width).tobytes() for t in some.column(1).to_pylist()])
 
-    rows = texts(docs.where(docs["doc_id"].isNotNull()), binary=True)
-    return rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, shingles binary")
+    return cut(rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, shingles binary"), "sets")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:

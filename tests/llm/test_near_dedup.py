@@ -106,3 +106,21 @@ def test_components_of_chains_and_stars(spark):
             low[a] = low[b] = min(low[a], low[b])
     looped = {v for a, b in e if a != b for v in (a, b)}
     assert got_ == {v: c for v, c in low.items() if v in looped}
+
+
+@pytest.mark.parametrize("bound", [nd.FILTERED, 3])
+def test_sets_by_bitmap_or_join(spark, make, monkeypatch, bound):
+    monkeypatch.setattr(nd, "FILTERED", bound)
+    rows = [(i, f"a{i} b c d{i} e f") for i in range(300)] + [(None, "a b c d"), (7, "x y z w v"), (9, None)]
+    ids = spark.createDataFrame([(i,) for i in (1, 5, 5, 7, 9, 299, 1000)], "doc_id long")
+    out = nd.shingle_sets(make(rows), ids, 4).join(ids.distinct(), "doc_id").collect()
+    want = sorted((i, len(sets(t, 4))) for i, t in rows if i in (1, 5, 7, 9, 299))
+    assert sorted((r.doc_id, len(r.shingles) // 8) for r in out) == want
+
+
+def test_join_in_place_of_the_bitmap(make, monkeypatch):
+    monkeypatch.setattr(nd, "FILTERED", 0)
+    rnd = random.Random(4)
+    base = [f"w{rnd.randrange(900)}" for _ in range(120)]
+    rows = list(enumerate(variants(rnd, base, 60, 8)))
+    assert got(nd.near_dedup(make(rows), width=4)) == brute(rows)
