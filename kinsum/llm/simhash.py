@@ -12,16 +12,19 @@ RADIUS = 3 bits.
    and the pair meets half-way in the variant that has one of them flipped.  So
    every linked pair shares a key.
 3. Variants are shuffled and sorted by key and read in one pass.  Pairs in runs of up to
-   SMALL classes are compared bit by bit; the links are deduplicated.
-4. Members of longer runs (clusters of very many slightly different copies) emit all
-   2,081 variants of the whole fingerprint within two bits.  In a run of one variant all
+   SMALL classes are compared bit by bit.  A run of up to LARGE classes gives a spanning
+   forest of its links: each class reached is compared with those not reached yet, so a dense
+   cluster costs little more than one comparison a class.  The links are deduplicated.
+4. Only where a comparison with the whole run would cost more than the variants within two
+   bits number (2,081), in runs longer than LARGE, do the members
+   emit all those variants of the whole fingerprint.  In a run of one variant all
    members lie within two bits of it, so when one of them, the centre, lies within one bit,
    it is linked with every other: a star, not all pairs.  A pair at one to three
    bits always has a variant within one bit of one and two of the other.  This costs a
    constant a class, however large the cluster is.
 5. Components of the links are found in rounds of joins.
 
-No group is collected: runs are streamed with up to SMALL rows carried over.
+No group is collected: runs are streamed with up to LARGE rows carried over.
 
 Texts without words (null, empty, blank) have fingerprint zero and are linked like any
 other.  A text with fewer than three words is one shingle.  Rows are told apart by
@@ -32,6 +35,8 @@ reached the component is null.  An empty table gives an empty result; other colu
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -46,6 +51,8 @@ WIDTH, SEED, RADIUS = 3, 42, 3
 BLOCKS = (22, 21, 21)
 #: Classes of one key that are compared pair by pair, by streaming offsets.
 SMALL = 16
+#: Classes of one key that are linked by a spanning forest; members of longer runs emit their variants.
+LARGE = 2048
 #: Shingle hashes whose bits are spread out at a time.
 SPREAD = 8192
 
@@ -126,16 +133,36 @@ def near_pairs(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return unique_pairs(np.concatenate(a), np.concatenate(b))
 
 
-def compare_runs(batches: Batches) -> Batches:
-    """Sorted (key, fp) -> links (a < b); members of runs over SMALL come out as (fp, fp)."""
+def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a < b) that connect all fingerprints within RADIUS bits, fewer than there are fingerprints."""
+    left = np.unique(fp)
+    a, b = [left[:0]], [left[:0]]
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            x = reached.pop()
+            near = np.bitwise_count((left ^ x).view(np.uint64)) <= RADIUS
+            if near.any():
+                found, left = left[near], left[~near]
+                a.append(np.minimum(found, x))
+                b.append(np.maximum(found, x))
+                reached.extend(found)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def compare_runs(batches: Batches, large: int = LARGE) -> Batches:
+    """Sorted (key, fp) -> links (a < b); members of runs over ``large`` come out as (fp, fp)."""
     key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
     long_run = None  # the key of an open run that is known to be long
 
     def settle(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(starts, len(key)))
-        big = np.repeat((size > SMALL) | (key[starts] == long_run if long_run is not None else False), size)
-        a, b = near_pairs(key[~big], fp[~big])
+        over = (size > large) | (key[starts] == long_run if long_run is not None else False)
+        small, big = np.repeat((size <= SMALL) & ~over, size), np.repeat(over, size)
+        found = [near_pairs(key[small], fp[small])]
+        found += [forest(fp[i : i + n]) for i, n in zip(starts[(size > SMALL) & ~over], size[(size > SMALL) & ~over], strict=True)]
+        a, b = unique_pairs(*(np.concatenate(side) for side in zip(*found, strict=True)))
         members = np.unique(fp[big])
         return batch(PAIRS, a=np.concatenate([a, members]), b=np.concatenate([b, members]))
 
@@ -145,7 +172,7 @@ def compare_runs(batches: Batches) -> Batches:
         if not len(key):
             continue
         first = int(np.searchsorted(key, key[-1]))  # the last run may go on
-        if len(key) - first > SMALL or key[-1] == long_run:
+        if len(key) - first > large or key[-1] == long_run:
             if long_run != key[-1]:
                 yield settle(key[:first], fp[:first])
                 long_run, key, fp = key[-1], key[first:], fp[first:]
@@ -174,9 +201,9 @@ def centre_stars(batches: Batches) -> Batches:
         last, centre, near = key[-1], heads[run[-1]], bool(open_[run[-1]])
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, large: int = LARGE) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints within RADIUS bits."""
-    found = masked_variants(fps).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(compare_runs, "a long, b long")
+    found = masked_variants(fps).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(compare_runs, large=large), "a long, b long")
     found = cut(found.distinct(), "links")
     pairs, members = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("fp"))
     if members.isEmpty():

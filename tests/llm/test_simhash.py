@@ -117,3 +117,50 @@ def test_runs_across_batches():
     for n in (1, 7, 50):
         assert pairs(sh.compare_runs(deal(n, key, fp))) == pairs(sh.compare_runs(deal(200, key, fp)))
         assert pairs(sh.centre_stars(deal(n, key[order], far[order], fp[order]))) == pairs(sh.centre_stars(deal(200, key[order], far[order], fp[order])))
+
+
+def connected(pairs, fps):
+    """The groups of ``fps`` that ``pairs`` connect."""
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    return {frozenset(f for f in fps if find(f) == r) for r in map(find, fps)}
+
+
+def test_long_runs_emit_no_variants(spark, monkeypatch):
+    """A cluster of several hundred near copies is linked by its runs, with fewer links than classes in
+    each; the same groups come out of the variants that longer runs emit."""
+    rnd = random.Random(11)
+    flip = lambda f, n: f ^ sum(1 << b for b in rnd.sample(range(64), n))
+    core = rnd.getrandbits(64)
+    fps = {core} | {flip(core, rnd.randint(1, 3)) for _ in range(400)} | {flip(core, 5) for _ in range(60)}
+    want = {}
+    for f, r in reach(fps).items():
+        want.setdefault(r, set()).add(f)
+    want = {frozenset(g) for g in want.values()}
+    df = spark.createDataFrame([(sh.signed(f),) for f in fps], "fp long").repartition(4)
+    called = []
+    ball = sh.ball_variants
+    monkeypatch.setattr(sh, "ball_variants", lambda members: called.append(members.count()) or ball(members))
+    links = lambda *large: [(r.a % (1 << 64), r.b % (1 << 64)) for r in sh.links(df, *large).collect()]
+    assert connected(links(), fps) == want
+    assert not called
+    assert connected(links(40), fps) == want
+    assert called
+
+
+def test_forest():
+    rnd = np.random.default_rng(3)
+    fp = (rnd.integers(0, 1 << 12, 300) << 52).astype(np.int64)
+    fps = set(fp.tolist())
+    a, b = sh.forest(fp)
+    assert all(bin((x ^ y) % (1 << 64)).count("1") <= 3 for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    near = [(x, y) for x in fps for y in fps if bin((x ^ y) % (1 << 64)).count("1") <= 3]
+    assert connected(zip(a.tolist(), b.tolist(), strict=True), fps) == connected(near, fps) and len(a) < len(fps)
+    assert len(sh.forest(fp[:0])[0]) == 0
