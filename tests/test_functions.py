@@ -113,3 +113,19 @@ def test_custom_family_and_bad_metric_skipped(spark):
     assert "bad_metric" in report.skipped and report.computed == ["hard_and_soft", "largest_gift"]
     got = {r["entity_id"]: float(r["largest_gift"]) for r in df.collect() if r["largest_gift"] is not None}
     assert got[1] == 100.0 and got[2] == 200.0
+
+
+def test_money_added_as_two_longs_is_exact(spark):
+    from decimal import Decimal
+
+    from kinsum.functions.aggregates import halves, sum_halves_if
+
+    amounts = ["999999999999999999.99", "-0.01", "-123456789.99", "100000000.00", "0.07", None]
+    df = spark.createDataFrame([(i % 2, Decimal(a) if a else None) for i, a in enumerate(amounts * 50)], "k int, x decimal(20,2)")
+    up, low = halves(F.col("x"))
+    df = df.withColumn("up", up).withColumn("low", low)
+    total = sum_halves_if(F.col("k") >= 0, F.col("up"), F.col("low")).alias("total")
+    none = sum_halves_if(F.col("k") > 1, F.col("up"), F.col("low")).alias("none")
+    got = df.groupBy("k").agg(total, none, F.sum("x").alias("plain"))
+    assert got.schema["total"].dataType == got.schema["plain"].dataType
+    assert all(r["total"] == r["plain"] and r["none"] is None for r in got.collect())
