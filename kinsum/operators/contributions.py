@@ -2,11 +2,12 @@
 ``contribution`` (unfiltered), so the filters sit inside the aggregates.  A NULL contact
 is nobody: it is in no population, here and in the other families.
 
-Plan: one conditional aggregation keyed on ``contact_id``.  The C5 credit
-rows (see :func:`_credit_rows`) are unioned with the plain
-contribution rows so one aggregate serves every key; in a fused refresh it
-serves the soft-credit family too (:func:`fused`).  It shuffles once by
-contact; when the distinct-year count (C4) is requested Spark first merges
+Plan: one conditional aggregation of the plain contribution rows and one of the C5 credit
+rows (see :func:`_credit_rows`), both keyed on ``contact_id``: there are more credit rows than
+donations, and they have a few of the sums only.  In a fused refresh the latter
+serves the soft-credit family too (:func:`fused`).  Each shuffles by contact, and their union
+keeps that partitioning, so one row per contact is made of both without another
+shuffle; when the distinct-year count (C4) is requested Spark first merges
 partial results by (contact, year), a second shuffle of already-combined
 rows.  That is preferred to ``size(collect_set(year))``, whose object-hash
 aggregate falls back to sorting the raw rows once a task sees many contacts.
@@ -45,7 +46,7 @@ def completed_in_list(src: Sources, cfg: RollupConfig, ids, flag: str = "_ok", c
 
 
 def rollup(src: Sources, cfg: RollupConfig, keys, related_windows=(), contacts=None, soft_keys=()) -> DataFrame:
-    """One aggregation over contribution (plus the C5 fan-out rows) grouped by
+    """One aggregation over contribution (and one over the C5 fan-out rows) grouped by
     contact: ``contact_id``, the requested C keys and, for the related family,
     ``w_<window>`` = Σ completed donations of a listed *related* financial type
     in the window (NULL when none).  Every contact in ``contribution`` gets a
@@ -63,27 +64,25 @@ def rollup(src: Sources, cfg: RollupConfig, keys, related_windows=(), contacts=N
     upper, lower = halves(F.col("total_amount"))
     own = c.withColumns({"_upper": upper, "_lower": lower}).select(
         F.col("contact_id"),
-        F.lit(True).alias("_own"),
         F.col("_ok"),
         F.col("_rok"),
         F.col("_upper"),
         F.col("_lower"),
         F.col("receive_date"),
-        *[F.when(F.col("_ok") & F.lit("hard_and_soft" in keys), F.col(x)).alias(f"_hs{x}") for x in ("_upper", "_lower")],
+        *[F.when(F.col("_ok"), F.col(x)).alias(f"_hs{x}") for x in ("_upper", "_lower")],
     )
-    parts = [own]
     soft_windows = {k: w for k, w in soft.windows(cfg).items() if k in soft_keys}
-    if "hard_and_soft" in keys or soft_windows:
-        parts.append(_credit_rows(src, c, contacts, bool(soft_windows)))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-    rows = restrict(rows, "contact_id", contacts).where("contact_id is not null")
     none = F.lit(0).cast(MONEY)
 
+    def by_contact(rows, aggs):
+        return restrict(rows, "contact_id", contacts).where("contact_id is not null").groupBy("contact_id").agg(*aggs)
+
     def total(cond):
         return sum_halves_if(cond, F.col("_upper"), F.col("_lower"))
 
-    ok = F.col("_own") & F.col("_ok")
-    aggs = []
+    ok = F.col("_ok")
+    hard_and_soft = sum_halves_if(F.lit(True), F.col("_hs_upper"), F.col("_hs_lower")).alias("hard_and_soft")
+    aggs = [F.lit(True).alias("_in_contributions")]
     for k in keys:
         if k in WINDOWS:
             p = WINDOWS[k](cfg)
@@ -91,18 +90,22 @@ def rollup(src: Sources, cfg: RollupConfig, keys, related_windows=(), contacts=N
         elif k == "contribution_count_distinct_years":
             aggs.append(F.count_distinct(F.when(ok, F.year(F.to_date("receive_date")))).alias(k))
         elif k == "hard_and_soft":
-            credits = sum_halves_if(F.lit(True), F.col("_hs_upper"), F.col("_hs_lower"))
-            aggs.append(F.coalesce(credits.cast("decimal(38,2)"), none).alias(k))
+            aggs.append(hard_and_soft)
         else:
             raise KeyError(k)
-    rok = F.col("_own") & F.col("_rok")
     for w in related_windows:
-        aggs.append(total(rok & periods.named(cfg, w).contains("receive_date")).alias(f"w_{w}"))
-    for k, w in soft_windows.items():
-        aggs.append(F.coalesce(total(F.col("_soft") & w.contains("receive_date")), none).cast(soft.TOTAL).alias(k))
-    if soft_windows:
-        aggs.append(F.max(F.when(F.col("_soft"), True)).alias("_in_soft"))
-    out = rows.groupBy("contact_id").agg(F.max(F.when(F.col("_own"), True)).alias("_in_contributions"), *aggs)
+        aggs.append(total(F.col("_rok") & periods.named(cfg, w).contains("receive_date")).alias(f"w_{w}"))
+    out = by_contact(own, aggs)
+    if "hard_and_soft" in keys or soft_windows:
+        aggs = [F.coalesce(total(F.col("_soft") & w.contains("receive_date")), none).cast(soft.TOTAL).alias(k) for k, w in soft_windows.items()]
+        if soft_windows:
+            aggs.append(F.max(F.when(F.col("_soft"), True)).alias("_in_soft"))
+        if "hard_and_soft" in keys:
+            aggs.append(hard_and_soft)
+        both = out.unionByName(by_contact(_credit_rows(src, c, contacts, bool(soft_windows)), aggs), allowMissingColumns=True)
+        # each side has one row per contact, and only the credits are in both
+        one = lambda k: F.coalesce(F.sum(k).cast("decimal(38,2)"), none) if k == "hard_and_soft" else F.max(k)
+        out = both.groupBy("contact_id").agg(*[one(k).alias(k) for k in both.columns if k != "contact_id"])
     if not soft_windows:
         return out.where("_in_contributions").drop("_in_contributions")
     outside = {k: F.when(F.col("_in_contributions"), F.col(k)) for k in keys}
@@ -180,9 +183,6 @@ def _credit_rows(src: Sources, c: DataFrame, contacts: DataFrame | None = None,
     times = F.when(F.col("_all"), F.col("_m") - 1).when(~F.col("_sc").eqNullSafe(F.col("contact_id")), F.col("_m"))
     return credited.select(
         F.when(F.col("_all"), F.col("contact_id")).otherwise(F.col("_sc")).alias("contact_id"),
-        F.lit(False).alias("_own"),
-        F.lit(False).alias("_ok"),
-        F.lit(False).alias("_rok"),
         F.col("_upper"),
         F.col("_lower"),
         (F.col("receive_date") if soft_totals else F.lit(None).cast("timestamp_ntz")).alias("receive_date"),

@@ -18,7 +18,9 @@ Plan (cost |edges| + |contributions|, never |edges| x |donations|):
    partitioning, which AQE's skew-join split cannot work with, so the hottest
    partners (a hub contact) are salted
    (:func:`kinsum.functions.joins.hot_split_join`): the edges are read twice, once
-   to count, and the donors are aggregated once.
+   to count, and the donors are aggregated once.  In a whole refresh the donors come
+   from files, both sides of the join have their own shuffle and AQE splits such a
+   partner itself: the edges are read once.
 4. left-joined onto the shared contribution rollup (the population, and the
    contact's own totals for the plus-me metrics); both sides are already
    partitioned by contact, so this join adds no exchange.
@@ -156,8 +158,9 @@ def build(
         donors = donor_totals(src, cfg, windows, needed)
     # restricted to given contacts (an incremental batch), a partner's edge
     # rows number at most the batch's contacts times their parallel edges, so
-    # the plain join is safe there and saves the hot-key pass
-    hot_split = contacts is None
+    # the plain join is safe there and saves the hot-key pass; written donors have
+    # no aggregation's partitioning, so AQE can split a hub's partition
+    hot_split = contacts is None and not one_pass
     by_edge = cfg.related_population == "edges"
     if by_edge:
         rel = related_totals(src, cfg, windows, donors, sym.where(F.col("src").isNotNull()), hot_split, "left")
